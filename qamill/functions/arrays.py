@@ -20,7 +20,10 @@ def _c(x) -> Column:
 
 
 def _lit(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
+    """Column as is, a name as a column, anything else as a literal."""
+    if isinstance(x, Column):
+        return x
+    return F.col(x) if isinstance(x, str) else F.lit(x)
 
 
 def truncate(ids, max_len) -> Column:
@@ -57,7 +60,7 @@ def masked_labels(input_ids, prompt_len) -> Column:
 
 
 def _fill(value, count) -> Column:
-    return F.array_repeat(F.lit(value), F.greatest(_lit(count), F.lit(0)))
+    return F.array_repeat(F.lit(value), F.greatest(_lit(count), F.lit(0)).cast("int"))
 
 
 def pad_right(ids, width, pad_value) -> Column:

@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qamill.functions import arrays as A
 from qamill.functions import text as T
-from qamill.operators import scoring, summary
+from qamill.operators import conversations, scoring, sft, summary, tokens
 from qamill.operators.tasks import GSM8K
 from qamill.sources import fixtures
 from qamill.sources.tables import read_table
@@ -159,3 +160,144 @@ def output_union(spark, d):
     chat = o.where(F.col("eval_chat_template")).drop("eval_chat_template")
     raw = o.where(~F.col("eval_chat_template")).drop("eval_chat_template")
     return chat.unionByName(raw)
+
+
+# --- P1 conversations and training text -----------------------------------------------
+
+SFT_MAX_LEN = 64
+BATCH_SIZE = 16
+BATCH_SLICE = 3
+
+
+def _pairs(spark, d):
+    return fixtures.pairs(spark, d)
+
+
+@query
+def conv_pairs(spark, d):
+    return _pairs(spark, d).select("sid", "conv_id", "turn", "question", "answer")
+
+
+@query
+def chat_render(spark, d):
+    conv = read_table(spark, d, "conversations", ["conv_id", "turn", "role", "text"])
+    return conversations.render(conv)
+
+
+@query
+def chat_prompt(spark, d):
+    return conversations.with_prompts(_pairs(spark, d), use_chat=True).select("sid", "prompt")
+
+
+@query
+def sft_text(spark, d):
+    both = _pairs(spark, d).withColumn(
+        "use_chat_template", F.explode(F.array(F.lit(True), F.lit(False))))
+    return both.select("sid", "use_chat_template",
+                       T.full_text(F.col("question"), F.col("answer"),
+                                   F.col("use_chat_template")).alias("text"))
+
+
+@query
+def vocab(spark, d):
+    docs = read_table(spark, d, "documents", ["doc_id", "text"])
+    return tokens.build_vocab(docs, ["text"]).select("token", "n", "token_id")
+
+
+def _tok(spark, d):
+    return sft.tokenized(_pairs(spark, d), use_chat=False)
+
+
+def _examples(spark, d):
+    return sft.examples(_tok(spark, d), mask_question=True, max_len=SFT_MAX_LEN)
+
+
+def _batched(spark, d):
+    return sft.assign_batches(_examples(spark, d), "sid", BATCH_SIZE)
+
+
+@query
+def token_ids(spark, d):
+    t = _tok(spark, d)
+    return t.select("sid", F.size("full_ids").cast("bigint").alias("n_tokens"),
+                    A.as_text("full_ids").alias("input_ids"),
+                    A.as_text(A.ones_like("full_ids")).alias("attention_mask"))
+
+
+@query
+def truncate_tokens(spark, d):
+    t = _tok(spark, d).withColumn("ids", A.truncate("full_ids", SFT_MAX_LEN))
+    return t.select("sid", F.size("ids").cast("bigint").alias("n_tokens"),
+                    A.as_text("ids").alias("input_ids"))
+
+
+@query
+def prompt_lcp(spark, d):
+    return _examples(spark, d).select("sid", F.col("prompt_len").cast("bigint").alias("prompt_len"))
+
+
+@query
+def mask_labels(spark, d):
+    return _examples(spark, d).select("sid", A.as_text("labels").alias("labels"))
+
+
+@query
+def sft_examples(spark, d):
+    return _examples(spark, d).select("sid", A.as_text("input_ids").alias("input_ids"),
+                                      A.as_text("attention_mask").alias("attention_mask"),
+                                      A.as_text("labels").alias("labels"))
+
+
+@query
+def loss_token_stats(spark, d):
+    return sft.loss_token_stats(_examples(spark, d), SFT_MAX_LEN)
+
+
+@query
+def batch_assign(spark, d):
+    return _batched(spark, d).select("sid", "batch_id")
+
+
+@query
+def batch_slice(spark, d):
+    b = _batched(spark, d).where(F.col("batch_id") == BATCH_SLICE)
+    return b.select("sid", "batch_id", A.as_text("input_ids").alias("input_ids"))
+
+
+@query
+def batch_pad(spark, d):
+    p = sft.pad_batches(_batched(spark, d))
+    return p.select("sid", "batch_id", "width", A.as_text("input_ids").alias("input_ids"),
+                    A.as_text("labels").alias("labels"),
+                    A.as_text("attention_mask").alias("attention_mask"))
+
+
+def _left(spark, d):
+    return sft.left_pad_prompts(_batched(spark, d))
+
+
+@query
+def left_pad(spark, d):
+    return _left(spark, d).select("sid", "batch_id", "width",
+                                  A.as_text("gen_input_ids").alias("input_ids"),
+                                  A.as_text("gen_attention_mask").alias("attention_mask"))
+
+
+@query
+def mask_counts(spark, d):
+    lp = _left(spark, d)
+    return lp.select("sid", A.array_sum("gen_attention_mask").alias("real_tokens"),
+                     A.count_value("gen_attention_mask", 0).cast("bigint").alias("pad_tokens"))
+
+
+@query
+def completion_slice(spark, d):
+    """A generated sequence = left-padded prompt ids + answer ids; slicing off
+    padding and prompt must give the answer ids back."""
+    lp = _left(spark, d)
+    full_lcp = A.common_prefix_len("prompt_ids", "full_ids")
+    answer_ids = F.slice("full_ids", full_lcp + 1, F.greatest(F.size("full_ids"), F.lit(1)))
+    gen = F.concat("gen_input_ids", answer_ids)
+    comp = A.completion_slice(gen, A.count_value("gen_attention_mask", 0),
+                              A.array_sum("gen_attention_mask"))
+    return lp.select("sid", A.as_text(comp).alias("completion_ids"))

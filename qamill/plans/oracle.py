@@ -190,3 +190,112 @@ q("output_union", f"""WITH {OUTS}
 SELECT run_id, sample_id, gen_no, model_output FROM outs WHERE eval_chat_template
 UNION ALL
 SELECT run_id, sample_id, gen_no, model_output FROM outs WHERE NOT eval_chat_template""")
+
+
+# --- conversations, tokens, SFT examples, batches ------------------------------------
+from qamill.operators.tokens import TOKEN_PATTERN  # noqa: E402
+
+PAIRS = f"""pairs AS (
+  SELECT conv_id * 100 + turn AS sid, conv_id, turn, {strip('text')} AS question,
+         {strip('next_text')} AS answer
+  FROM (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) c
+  WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+def lcp(p: str, f: str) -> str:
+    m = f"least(len({p}), len({f}))"
+    return (f"coalesce(list_position(list_transform(range(1, {m} + 1), lambda i: {p}[i] = {f}[i]), false) - 1, "
+            f"{m})")
+
+
+def fill(value: str, n: str) -> str:
+    return f"list_transform(range(greatest({n}, 0)), lambda x: {value})"
+
+
+def txt(x: str) -> str:
+    return f"array_to_string({x}, ' ')"
+
+
+TOK = f"""{PAIRS},
+texts AS (
+  SELECT sid, {raw_prompt('question')} AS ptext, {raw_prompt('question')} || answer || '<|im_end|>' AS ftext
+  FROM pairs),
+tl AS (SELECT sid, regexp_extract_all(ptext, '{TOKEN_PATTERN}') AS ptoks,
+              regexp_extract_all(ftext, '{TOKEN_PATTERN}') AS ftoks FROM texts),
+ftok AS (SELECT sid, pos, ftoks[pos] AS token
+         FROM (SELECT sid, ftoks, unnest(range(1, len(ftoks) + 1)) AS pos FROM tl)),
+ptok AS (SELECT sid, pos, ptoks[pos] AS token
+         FROM (SELECT sid, ptoks, unnest(range(1, len(ptoks) + 1)) AS pos FROM tl)),
+vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS token_id
+          FROM ftok GROUP BY token),
+fids AS (SELECT sid, list(token_id ORDER BY pos) AS full_ids FROM ftok JOIN vocab USING (token) GROUP BY sid),
+pids AS (SELECT sid, list(token_id ORDER BY pos) AS prompt_ids FROM ptok JOIN vocab USING (token) GROUP BY sid),
+tok AS (SELECT tl.sid, coalesce(fids.full_ids, []::BIGINT[]) AS full_ids,
+               coalesce(pids.prompt_ids, []::BIGINT[]) AS prompt_ids
+        FROM tl LEFT JOIN fids USING (sid) LEFT JOIN pids USING (sid)),
+ex1 AS (SELECT sid, full_ids, prompt_ids, list_slice(full_ids, 1, 64) AS input_ids,
+               list_slice(prompt_ids, 1, 64) AS pt FROM tok),
+ex2 AS (SELECT *, {lcp('pt', 'input_ids')} AS prompt_len FROM ex1),
+ex AS (SELECT *, list_transform(input_ids, lambda x: 1) AS attention_mask,
+              list_concat({fill('-100', 'least(prompt_len, len(input_ids))')},
+                          list_slice(input_ids, prompt_len + 1, len(input_ids))) AS labels
+       FROM ex2),
+b AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY sid) - 1) / 16) AS BIGINT) AS batch_id FROM ex),
+lp AS (SELECT *, CAST(max(len(prompt_ids)) OVER (PARTITION BY batch_id) AS BIGINT) AS width FROM b),
+lp2 AS (SELECT *, list_concat({fill('0', 'width - len(prompt_ids)')}, prompt_ids) AS gen_ids,
+               list_concat({fill('0', 'width - len(prompt_ids)')}, list_transform(prompt_ids, lambda x: 1)) AS gen_mask
+        FROM lp)"""
+
+q("conv_pairs", f"WITH {PAIRS} SELECT sid, conv_id, turn, question, answer FROM pairs")
+q("chat_render", f"""
+SELECT conv_id, count(*) AS n_turns,
+       string_agg({chat_seg('role', 'text')}, '' ORDER BY turn) ||
+       CASE WHEN arg_max(role, turn) <> 'assistant' THEN '<|im_start|>assistant' || {NL} ELSE '' END AS text
+FROM conversations GROUP BY conv_id""")
+q("chat_prompt", f"WITH {PAIRS} SELECT sid, {chat_prompt('question')} AS prompt FROM pairs")
+q("sft_text", f"""WITH {PAIRS}
+SELECT sid, f.use_chat_template,
+       CASE WHEN f.use_chat_template THEN {chat_full('question', 'answer')}
+            ELSE {raw_prompt('question')} || answer || '<|im_end|>' END AS text
+FROM pairs, (VALUES (true), (false)) AS f(use_chat_template)""")
+q("vocab", f"""
+WITH toks AS (SELECT unnest(regexp_extract_all(text, '{TOKEN_PATTERN}')) AS token FROM documents)
+SELECT token, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, token) AS token_id
+FROM toks GROUP BY token""")
+q("token_ids", f"""WITH {TOK}
+SELECT sid, CAST(len(full_ids) AS BIGINT) AS n_tokens, {txt('full_ids')} AS input_ids,
+       {txt('list_transform(full_ids, lambda x: 1)')} AS attention_mask FROM tok""")
+q("truncate_tokens", f"""WITH {TOK}
+SELECT sid, CAST(len(input_ids) AS BIGINT) AS n_tokens, {txt('input_ids')} AS input_ids FROM ex""")
+q("prompt_lcp", f"WITH {TOK} SELECT sid, CAST(prompt_len AS BIGINT) AS prompt_len FROM ex")
+q("mask_labels", f"WITH {TOK} SELECT sid, {txt('labels')} AS labels FROM ex")
+q("sft_examples", f"""WITH {TOK}
+SELECT sid, {txt('input_ids')} AS input_ids, {txt('attention_mask')} AS attention_mask,
+       {txt('labels')} AS labels FROM ex""")
+q("loss_token_stats", f"""WITH {TOK},
+s AS (SELECT len(labels) AS total, len(list_filter(labels, lambda x: x = -100)) AS masked,
+             len(full_ids) AS n_full FROM ex)
+SELECT count(*) AS n_rows, CAST(sum(masked) AS BIGINT) AS masked_tokens,
+       CAST(sum(total - masked) AS BIGINT) AS supervised_tokens,
+       count(*) FILTER (WHERE total - masked = 0) AS rows_no_supervised,
+       count(*) FILTER (WHERE n_full > 64) AS rows_truncated
+FROM s""")
+q("batch_assign", f"WITH {TOK} SELECT sid, batch_id FROM b")
+q("batch_slice", f"WITH {TOK} SELECT sid, batch_id, {txt('input_ids')} AS input_ids FROM b WHERE batch_id = 3")
+q("batch_pad", f"""WITH {TOK},
+w AS (SELECT *, CAST(max(len(input_ids)) OVER (PARTITION BY batch_id) AS BIGINT) AS width FROM b)
+SELECT sid, batch_id, width,
+       {txt("list_concat(input_ids, " + fill('0', 'width - len(input_ids)') + ")")} AS input_ids,
+       {txt("list_concat(labels, " + fill('-100', 'width - len(labels)') + ")")} AS labels,
+       {txt("list_concat(attention_mask, " + fill('0', 'width - len(attention_mask)') + ")")} AS attention_mask
+FROM w""")
+q("left_pad", f"""WITH {TOK}
+SELECT sid, batch_id, width, {txt('gen_ids')} AS input_ids, {txt('gen_mask')} AS attention_mask FROM lp2""")
+q("mask_counts", f"""WITH {TOK}
+SELECT sid, CAST(list_sum(gen_mask) AS BIGINT) AS real_tokens,
+       CAST(len(list_filter(gen_mask, lambda x: x = 0)) AS BIGINT) AS pad_tokens FROM lp2""")
+q("completion_slice", f"""WITH {TOK},
+g AS (SELECT sid, list_concat(gen_ids, list_slice(full_ids, {lcp('prompt_ids', 'full_ids')} + 1, len(full_ids))) AS gen,
+             width FROM lp2)
+SELECT sid, {txt('list_slice(gen, width + 1, len(gen))')} AS completion_ids FROM g""")
