@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qamill.functions import arrays as A
+from qamill.functions import fmt
+from qamill.functions import options as O
 from qamill.functions import text as T
-from qamill.operators import conversations, scoring, sft, summary, tokens
+from qamill.functions import times as TM
+from qamill.operators import conversations, experiments, report, scoring, sft, summary, tokens
 from qamill.operators.tasks import GSM8K
 from qamill.sources import fixtures
 from qamill.sources.tables import read_table
@@ -301,3 +304,154 @@ def completion_slice(spark, d):
     comp = A.completion_slice(gen, A.count_value("gen_attention_mask", 0),
                               A.array_sum("gen_attention_mask"))
     return lp.select("sid", A.as_text(comp).alias("completion_ids"))
+
+
+# --- P3/P4 run summaries and the comparison report --------------------------------------
+
+DROPPED_RUN = "A_F_1"          # its summary is missing in the pairs / discovery queries
+DUPLICATED_RUN = "N_O_0"       # evaluated twice; the later directory must be ignored
+EXPERIMENT_PICK = ["sft_no_chat_mask_q", "grpo_no_chat", "sft_chat"]
+
+
+def _runs(spark, d):
+    s = summary.run_summary(_scored(spark, d, gen_no=False))
+    return s.withColumn("eval_dir", F.concat(F.lit("eval/"), F.col("run_id")))
+
+
+REPORT_COLS = ["run_id", "eval_dir", *summary.SUMMARY_COLS]
+
+
+@query
+def report_comparison(spark, d):
+    return report.comparison(_runs(spark, d)).select(*REPORT_COLS, "label", "train_label")
+
+
+@query
+def report_first(spark, d):
+    runs = _runs(spark, d)
+    again = runs.where(F.col("run_id") == DUPLICATED_RUN) \
+        .withColumn("eval_dir", F.concat(F.col("eval_dir"), F.lit("_rerun"))) \
+        .withColumn("accuracy", F.lit(1.0) - F.col("accuracy"))
+    return report.first_per_format(report.with_labels(runs.unionByName(again)))
+
+
+@query
+def report_grouped(spark, d):
+    return report.grouped(report.with_labels(_runs(spark, d)))
+
+
+@query
+def report_pairs(spark, d):
+    runs = _runs(spark, d).where(F.col("run_id") != DROPPED_RUN)
+    return report.chat_raw_pairs(report.with_labels(runs))
+
+
+@query
+def report_labels(spark, d):
+    return report.label_order(report.with_labels(_runs(spark, d)))
+
+
+@query
+def report_max(spark, d):
+    return report.best_accuracy(_runs(spark, d))
+
+
+@query
+def accuracy_pct(spark, d):
+    return _runs(spark, d).select("run_id", "accuracy", fmt.percent("accuracy", 2).alias("accuracy_pct"),
+                                  fmt.percent("accuracy", 1).alias("accuracy_pct1"))
+
+
+@query
+def summary_union(spark, d):
+    """Summaries written by two tool versions: the raw-format half lacks
+    ``train_method`` and ``train_mask_question``; absent keys become null."""
+    runs = _runs(spark, d)
+    full = runs.where(F.col("eval_chat_template"))
+    ragged = runs.where(~F.col("eval_chat_template")).drop("train_method", "train_mask_question")
+    both = full.unionByName(ragged, allowMissingColumns=True)
+    return report.with_labels(both).select(*REPORT_COLS, "train_label", "label")
+
+
+@query
+def runs_with_summary(spark, d):
+    """Run directories that hold a summary: all runs seen in the outputs,
+    semi-joined to the summaries present (one is missing)."""
+    listed = _outs(spark, d, gen_no=False).select(
+        F.concat(F.lit("eval/"), F.col("run_id")).alias("eval_dir")).distinct()
+    present = _runs(spark, d).where(F.col("run_id") != DROPPED_RUN).select("eval_dir")
+    return listed.join(present, "eval_dir", "left_semi")
+
+
+@query
+def run_enrich(spark, d):
+    enriched = summary.enrich_runs(_runs(spark, d), fixtures.run_info(spark))
+    return enriched.select("run_id", "model_path", "train_method", "train_chat_template",
+                           "train_mask_question")
+
+
+# --- experiment grid -------------------------------------------------------------------
+
+def _cells(spark, names=None):
+    exps = fixtures.experiments(spark)
+    if names is not None:
+        exps = experiments.select_experiments(exps, names)
+    return experiments.grid(exps)
+
+
+GRID_COLS = ["name", "method", "use_chat_template", "mask_question", "eval_chat_template",
+             "eval_order", "eval_name"]
+
+
+@query
+def experiment_matrix(spark, d):
+    return experiments.with_results(_cells(spark), _runs(spark, d)) \
+        .select(*GRID_COLS, "run_id", "accuracy")
+
+
+@query
+def experiment_filter(spark, d):
+    return experiments.with_results(_cells(spark, EXPERIMENT_PICK), _runs(spark, d)) \
+        .select(*GRID_COLS, "run_id", "accuracy")
+
+
+@query
+def missing_evals(spark, d):
+    return experiments.missing(_cells(spark), _runs(spark, d)).select(*GRID_COLS)
+
+
+# --- run options and run names (events) ----------------------------------------------
+
+CONFIG_OPTIONS = {"k": "0", "src": "cfg"}
+
+
+def _merged(spark, d):
+    ev = read_table(spark, d, "events", ["event_id", "ts", "event_type", "props"])
+    return ev.withColumn("opts", O.merge_override(O.literal_options(CONFIG_OPTIONS),
+                                                  O.parse_options("props")))
+
+
+@query
+def option_merge(spark, d):
+    m = _merged(spark, d)
+    return m.select("event_id", F.element_at("opts", F.lit("k")).alias("opt_k"),
+                    F.element_at("opts", F.lit("src")).alias("opt_src"),
+                    F.size("opts").cast("bigint").alias("n_opts"))
+
+
+@query
+def option_default(spark, d):
+    m = _merged(spark, d)
+    return m.select("event_id", O.get_option("opts", "k", "none").alias("opt_k"),
+                    O.get_option("opts", "temperature", "0.0").alias("opt_temperature"),
+                    O.get_option("opts", "do_sample", "false").alias("opt_do_sample"))
+
+
+@query
+def run_names(spark, d):
+    ev = read_table(spark, d, "events", ["event_id", "ts", "event_type"])
+    stamp = TM.local_stamp("ts")
+    method = F.when(F.col("event_type").isin("purchase", "signup"), F.lit("grpo")).otherwise(F.lit("sft"))
+    name = T.model_dir_name(F.col("event_id") % 2 == 0, method, F.col("event_id") % 3 == 0,
+                            F.lit(fixtures.TASK_NAME), stamp)
+    return ev.select("event_id", stamp.alias("stamp"), name.alias("run_name"))

@@ -299,3 +299,138 @@ q("completion_slice", f"""WITH {TOK},
 g AS (SELECT sid, list_concat(gen_ids, list_slice(full_ids, {lcp('prompt_ids', 'full_ids')} + 1, len(full_ids))) AS gen,
              width FROM lp2)
 SELECT sid, {txt('list_slice(gen, width + 1, len(gen))')} AS completion_ids FROM g""")
+
+
+# --- run summaries, report, experiment grid, options ---------------------------------
+def train_label(m: str, c: str, k: str) -> str:
+    return (f"concat_ws(' | ', upper(coalesce({m}, '?')), "
+            f"'train:' || CASE WHEN {c} THEN 'chat' ELSE 'raw' END, CASE WHEN {k} THEN 'mask_q' END)")
+
+
+def full_label(m: str, c: str, k: str, e: str) -> str:
+    return f"({train_label(m, c, k)} || ' | eval:' || CASE WHEN {e} THEN 'chat' ELSE 'raw' END)"
+
+
+LABELLED = f"""{RUNS},
+lab AS (SELECT *, {train_label('train_method', 'train_chat_template', 'train_mask_question')} AS train_label,
+               {full_label('train_method', 'train_chat_template', 'train_mask_question', 'eval_chat_template')} AS label
+        FROM runs)"""
+
+REPORT_COLS = ("run_id, eval_dir, experiment_name, train_method, train_chat_template, train_mask_question, "
+               "eval_chat_template, model_path, task, total_samples, correct, accuracy")
+
+
+def first_sql(src: str) -> str:
+    return (f"SELECT train_label, eval_chat_template, min(eval_dir) AS eval_dir, "
+            f"arg_min(accuracy, eval_dir) AS accuracy FROM {src} "
+            f"WHERE eval_chat_template IS NOT NULL GROUP BY train_label, eval_chat_template")
+
+
+def sides_sql(src: str) -> str:
+    return (f"SELECT train_label, max(CASE WHEN eval_chat_template THEN accuracy END) AS chat_accuracy, "
+            f"max(CASE WHEN NOT eval_chat_template THEN accuracy END) AS raw_accuracy "
+            f"FROM ({first_sql(src)}) f GROUP BY train_label")
+
+
+ORDER_SQL = ("SELECT train_label, min(eval_dir) AS first_dir, "
+             "row_number() OVER (ORDER BY min(eval_dir), train_label) AS label_order FROM lab GROUP BY train_label")
+
+q("report_comparison", f"WITH {LABELLED} SELECT {REPORT_COLS}, label, train_label FROM lab")
+q("report_first", f"""WITH {RUNS},
+both_runs AS (SELECT * FROM runs UNION ALL
+              SELECT * REPLACE (eval_dir || '_rerun' AS eval_dir, 1.0 - accuracy AS accuracy)
+              FROM runs WHERE run_id = 'N_O_0'),
+lab AS (SELECT *, {train_label('train_method', 'train_chat_template', 'train_mask_question')} AS train_label FROM both_runs)
+{first_sql('lab')}""")
+q("report_grouped", f"""WITH {LABELLED}
+SELECT s.train_label, coalesce(chat_accuracy, 0.0) AS chat_accuracy, coalesce(raw_accuracy, 0.0) AS raw_accuracy,
+       o.label_order
+FROM ({sides_sql('lab')}) s JOIN ({ORDER_SQL}) o USING (train_label)""")
+q("report_pairs", f"""WITH {RUNS},
+lab AS (SELECT *, {train_label('train_method', 'train_chat_template', 'train_mask_question')} AS train_label
+        FROM runs WHERE run_id <> 'A_F_1')
+SELECT train_label, chat_accuracy AS chat, raw_accuracy AS raw FROM ({sides_sql('lab')}) s
+WHERE chat_accuracy IS NOT NULL AND raw_accuracy IS NOT NULL""")
+q("report_labels", f"WITH {LABELLED} {ORDER_SQL}")
+q("report_max", f"WITH {RUNS} SELECT max(accuracy) AS max_accuracy FROM runs")
+q("accuracy_pct", f"""WITH {RUNS}
+SELECT run_id, accuracy, printf('%.2f%%', accuracy * 100) AS accuracy_pct,
+       printf('%.1f%%', accuracy * 100) AS accuracy_pct1 FROM runs""")
+q("summary_union", f"""WITH {RUNS},
+u AS (SELECT * FROM runs WHERE eval_chat_template
+      UNION ALL BY NAME
+      SELECT * EXCLUDE (train_method, train_mask_question) FROM runs WHERE NOT eval_chat_template)
+SELECT {REPORT_COLS},
+       {train_label('train_method', 'train_chat_template', 'train_mask_question')} AS train_label,
+       {full_label('train_method', 'train_chat_template', 'train_mask_question', 'eval_chat_template')} AS label
+FROM u""")
+q("runs_with_summary", f"""WITH {RUNS}
+SELECT eval_dir FROM (SELECT DISTINCT 'eval/' || run_id AS eval_dir FROM outs) l
+WHERE eval_dir IN (SELECT eval_dir FROM runs WHERE run_id <> 'A_F_1')""")
+
+RUN_INFO_VALUES = """(VALUES ('models/N_O_0', 'configs/grpo.yaml', true, false),
+        ('models/N_O_1', 'configs/sft.yaml', false, true),
+        ('models/N_F_0', 'configs/custom.yaml', NULL, NULL),
+        ('models/A_F_0', 'configs/grpo.yaml', true, false))
+        AS ri(ri_path, ri_cfg, ri_chat, ri_mask)"""
+
+q("run_enrich", f"""WITH {RUNS}
+SELECT run_id, model_path,
+       CASE WHEN ri_path IS NOT NULL AND coalesce(train_method, '') = ''
+            THEN coalesce(CASE WHEN contains(ri_cfg, 'grpo') THEN 'grpo' WHEN contains(ri_cfg, 'sft') THEN 'sft' END,
+                          train_method)
+            ELSE train_method END AS train_method,
+       CASE WHEN ri_path IS NOT NULL AND NOT coalesce(train_chat_template, false)
+            THEN coalesce(ri_chat, false) ELSE train_chat_template END AS train_chat_template,
+       CASE WHEN ri_path IS NOT NULL AND NOT coalesce(train_mask_question, false)
+            THEN coalesce(ri_mask, false) ELSE train_mask_question END AS train_mask_question
+FROM runs LEFT JOIN {RUN_INFO_VALUES} ON runs.model_path = ri.ri_path""")
+
+EXPERIMENTS_VALUES = """(VALUES ('sft_chat_template', 'sft', true, false),
+        ('grpo_chat_template', 'grpo', true, false),
+        ('sft_no_chat_full_loss', 'sft', false, false),
+        ('grpo_no_chat', 'grpo', false, false),
+        ('sft_no_chat_mask_q', 'sft', false, true)) AS e(name, method, use_chat_template, mask_question)"""
+
+CELLS = f"""cells AS (
+  SELECT e.*, CAST(f.eval_order AS BIGINT) AS eval_order, f.eval_chat_template,
+         name || '_' || CASE WHEN f.eval_chat_template THEN 'eval_chat' ELSE 'eval_raw' END AS eval_name
+  FROM {EXPERIMENTS_VALUES}, (VALUES (0, true), (1, false)) AS f(eval_order, eval_chat_template))"""
+
+GRID_COLS = "name, method, use_chat_template, mask_question, eval_chat_template, eval_order, eval_name"
+CELL_JOIN = ("cells.method = runs.train_method AND cells.use_chat_template = runs.train_chat_template AND "
+             "cells.mask_question = runs.train_mask_question AND cells.eval_chat_template = runs.eval_chat_template")
+
+q("experiment_matrix", f"""WITH {RUNS}, {CELLS}
+SELECT {', '.join('cells.' + c for c in GRID_COLS.split(', '))}, runs.run_id, runs.accuracy
+FROM cells LEFT JOIN runs ON {CELL_JOIN}""")
+q("experiment_filter", f"""WITH {RUNS}, {CELLS}
+SELECT {', '.join('cells.' + c for c in GRID_COLS.split(', '))}, runs.run_id, runs.accuracy
+FROM cells LEFT JOIN runs ON {CELL_JOIN}
+WHERE cells.name IN ('sft_no_chat_mask_q', 'grpo_no_chat', 'sft_chat')""")
+q("missing_evals", f"""WITH {RUNS}, {CELLS}
+SELECT {GRID_COLS} FROM cells WHERE NOT EXISTS (SELECT 1 FROM runs WHERE {CELL_JOIN})""")
+
+MERGED = """m AS (SELECT event_id, map_concat(MAP {'k': '0', 'src': 'cfg'},
+                                         json_transform(props, '"MAP(VARCHAR, VARCHAR)"')) AS opts
+              FROM events)"""
+
+
+def opt_get(key: str, default: str) -> str:
+    return f"CASE WHEN map_contains(opts, '{key}') THEN opts['{key}'] ELSE '{default}' END"
+
+
+q("option_merge", f"""WITH {MERGED}
+SELECT event_id, opts['k'] AS opt_k, opts['src'] AS opt_src, CAST(cardinality(opts) AS BIGINT) AS n_opts FROM m""")
+q("option_default", f"""WITH {MERGED}
+SELECT event_id, {opt_get('k', 'none')} AS opt_k, {opt_get('temperature', '0.0')} AS opt_temperature,
+       {opt_get('do_sample', 'false')} AS opt_do_sample FROM m""")
+q("run_names", """WITH e AS (
+  SELECT event_id, strftime(timezone('America/Los_Angeles', timezone('UTC', ts)), '%Y%m%d_%H%M%S') AS stamp,
+         CASE WHEN event_type IN ('purchase', 'signup') THEN 'grpo' ELSE 'sft' END AS method
+  FROM events)
+SELECT event_id, stamp,
+       concat_ws('_', CASE WHEN event_id % 2 = 0 THEN 'chat' ELSE 'nochat' END, method,
+                 CASE WHEN method = 'grpo' THEN 'default' WHEN event_id % 3 = 0 THEN 'maskq' ELSE 'fullloss' END,
+                 'gsm8k', stamp) AS run_name
+FROM e""")

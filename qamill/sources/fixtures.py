@@ -145,5 +145,6 @@ def run_info(spark: SparkSession) -> DataFrame:
 def experiments(spark: SparkSession) -> DataFrame:
     """The experiment definitions, in declaration order (``ordinal``)."""
     rows = [(*r, i) for i, r in enumerate(EXPERIMENT_ROWS)]
-    schema = EXPERIMENT_SCHEMA.add("ordinal", Ty.IntegerType(), False)
+    schema = Ty.StructType([*EXPERIMENT_SCHEMA.fields,
+                            Ty.StructField("ordinal", Ty.IntegerType(), False)])
     return spark.createDataFrame(rows, schema)
