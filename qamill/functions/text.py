@@ -38,6 +38,7 @@ NUMBER_PATTERN = r"-?\p{Nd}[\p{Nd},]*\.?\p{Nd}*"
 PYFLOAT_PATTERN = (r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)"
                    r"([eE][+-]?\d+(_\d+)*)?$")
 PYFLOAT_SPECIAL_NAN = r"^[+-]?nan$"
+PLAIN_NUMBER_CHARS = "0123456789.eE+-"
 PYFLOAT_SPECIAL_INF = r"^[+-]?(inf|infinity)$"
 # Prompt layout without a chat template; the trailing space is part of it.
 RAW_QUESTION_PREFIX = "Question: "
@@ -106,29 +107,45 @@ def extract_answer(col) -> Column:
 def py_float(col) -> Column:
     """``float(x)`` as a nullable double: null where Python raises ValueError.
 
-    Non-ASCII digits are the one accepted deviation (Python parses them).
+    The plain-number pattern is tried first (the common case); the special
+    words are only looked at for short strings. Non-ASCII digits are the one
+    accepted deviation (Python parses them).
     """
     s = py_strip(col)
     low = F.lower(s)
-    return (F.when(low.rlike(PYFLOAT_SPECIAL_NAN), F.lit(float("nan")))
-            .when(low.rlike(PYFLOAT_SPECIAL_INF),
-                  F.when(F.startswith(low, F.lit("-")), F.lit(float("-inf")))
-                  .otherwise(F.lit(float("inf"))))
+    short = F.length(s) <= F.lit(len("+infinity"))
+    # Over the characters 0-9 . e E + - the grammars of Python's float() and
+    # Java's Double.parseDouble (Spark's cast) accept exactly the same strings,
+    # so that case needs no regex.
+    plain = F.translate(s, PLAIN_NUMBER_CHARS, "") == F.lit("")
+    return (F.when(plain, s.try_cast("double"))
             .when(s.rlike(PYFLOAT_PATTERN),
-                  F.replace(s, F.lit("_"), F.lit("")).try_cast("double")))
+                  F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
+            .when(short & low.rlike(PYFLOAT_SPECIAL_NAN), F.lit(float("nan")))
+            .when(short & low.rlike(PYFLOAT_SPECIAL_INF),
+                  F.when(F.startswith(low, F.lit("-")), F.lit(float("-inf")))
+                  .otherwise(F.lit(float("inf")))))
+
+
+def check_parsed(extracted, extracted_num, gold_val, gold_num) -> Column:
+    """Answer check on already parsed sides (each number parsed once):
+    null extraction is wrong; both numeric -> float equality (NaN never
+    equal); otherwise the stripped strings must match."""
+    ext, ef, gf = _c(extracted), _c(extracted_num), _c(gold_num)
+    verdict = (F.when(ext.isNull(), F.lit(False))
+               .when(ef.isNotNull() & gf.isNotNull(), (ef == gf) & ~F.isnan(ef))
+               .otherwise(py_strip(ext) == py_strip(gold_val)))
+    return F.coalesce(verdict, F.lit(False))
 
 
 def check_answer(extracted, gold) -> Column:
     """Answer check: null extraction is wrong; the gold is re-extracted; both
-    sides numeric -> float equality (NaN never equal), else stripped strings."""
+    sides numeric -> float equality (NaN never equal), else stripped strings.
+    (Column form for one-off use; ``qamill.operators.scoring`` parses each
+    side once in its own projection.)"""
     ext = _c(extracted)
     gv = gold_value(gold)
-    ef, gf = py_float(ext), py_float(gv)
-    numeric = (ef == gf) & ~F.isnan(ef)
-    verdict = (F.when(ext.isNull(), F.lit(False))
-               .when(ef.isNotNull() & gf.isNotNull(), numeric)
-               .otherwise(py_strip(ext) == py_strip(gv)))
-    return F.coalesce(verdict, F.lit(False))
+    return check_parsed(ext, py_float(ext), gv, py_float(gv))
 
 
 def gold_select(answer_value, answer) -> Column:

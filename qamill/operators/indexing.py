@@ -5,24 +5,24 @@ single task. A run, or the whole table when there is no group, can hold a large
 share of all rows, so that window does not scale. ``dense_index`` computes the
 same 0-based position with the work spread over range partitions:
 
-1. project the key columns ``(g, o)``, range-partition them into ``n``
-   partitions and sort inside each; a group may now span several partitions,
-   each holding a contiguous slice of the global order;
+1. range-partition the rows on ``(g, o)`` into ``n`` partitions and sort inside
+   each; a group may now span several partitions, each holding a contiguous
+   slice of the global order;
 2. tag rows with the partition id and ``monotonically_increasing_id`` (which
    increases by one per row inside a partition), and cut lineage with a
    reliable checkpoint in the shared checkpoint folder. Range bounds are
    sampled per execution, so without the checkpoint two uses of the tagged
-   keys could disagree; after it they read the same files, also when an
+   rows could disagree; after it they read the same files, also when an
    executor is lost;
 3. a small table of per ``(g, partition)`` row counts and first ids gives each
    slice its offset (a running sum over earlier partitions of the group); it
    has at most ``groups + n`` rows, so it is broadcast when ``few_groups`` says
-   the group count is bounded (runs, or no group at all) and shuffle-joined on
+   the group count is bounded (runs, or no group at all) and joined on
    ``(g, partition)`` otherwise -- a key a hot group cannot skew;
-4. position = offset + id - first id, joined back to the rows on the unique
-   key ``(g, o)`` (a hash join on a unique key: no skew).
+4. position = offset + id - first id.
 
-The order must be total (unique within a group).
+One range shuffle of the rows, one checkpoint write, no second pass over the
+upstream plan. The order must be total (unique within a group).
 """
 
 from __future__ import annotations
@@ -44,9 +44,7 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = [F.col(g).asc() for g in group_cols] + \
         [F.col(c).desc() if c in descending else F.col(c).asc() for c in order_cols]
-    key_cols = [*group_cols, *order_cols]
-    keys = df.select(*key_cols)
-    ranged = (keys.repartitionByRange(n, *sort)
+    ranged = (df.repartitionByRange(n, *sort)
               .sortWithinPartitions(*sort)
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_MID, F.monotonically_increasing_id()))
@@ -63,13 +61,41 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out
     cond = F.col(_PID) == F.col("_ix_p")
     for i, g in enumerate(group_cols):
         cond = cond & ranged[g].eqNullSafe(F.col(f"_ix_g{i}"))
-    idx = ranged.join(offsets, cond, "inner").select(
-        *key_cols, (F.col(_OFF) + F.col(_MID) - F.col(_FIRST)).cast("bigint").alias(out_col))
-    if set(df.columns) == set(key_cols):
-        return idx.select(*df.columns, out_col)
-    renamed = idx.select(*[F.col(c).alias(f"_ix_k_{c}") for c in key_cols], out_col)
-    on = None
-    for c in key_cols:
-        part = df[c].eqNullSafe(F.col(f"_ix_k_{c}"))
-        on = part if on is None else on & part
-    return df.join(renamed, on, "inner").drop(*[f"_ix_k_{c}" for c in key_cols])
+    joined = ranged.join(offsets, cond, "inner")
+    out = (F.col(_OFF) + F.col(_MID) - F.col(_FIRST)).cast("bigint").alias(out_col)
+    return joined.select(*df.columns, out)
+
+
+# A group above this many rows is numbered with ``dense_index``; below it one
+# task holds the group comfortably.
+HOT_GROUP_ROWS = 2_000_000
+
+
+def group_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str,
+                hot_rows: int = HOT_GROUP_ROWS, descending: tuple[str, ...] = ()) -> DataFrame:
+    """0-based position inside each group for tables of many groups.
+
+    Groups up to ``hot_rows`` rows take a plain window (one shuffle on the
+    group key, each window partition bounded by ``hot_rows``). One aggregate
+    over the group key finds the larger groups; there are at most
+    ``total_rows / hot_rows`` of them, so their keys are a bounded list. Their
+    rows are numbered by ``dense_index``, spread over range partitions."""
+    spark = df.sparkSession
+    sort = [F.col(c).desc() if c in descending else F.col(c).asc() for c in order_cols]
+    w = Window.partitionBy(*group_cols).orderBy(*sort)
+    numbered = F.row_number().over(w) - F.lit(1)
+    big = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_ix_n"))
+           .where(F.col("_ix_n") > F.lit(hot_rows)).select(*group_cols))
+    hot_keys = big.collect()
+    if not hot_keys:
+        return df.withColumn(out_col, numbered.cast("bigint"))
+    hot = spark.createDataFrame(hot_keys, big.schema)
+    hot = F.broadcast(hot.select(*[F.col(g).alias(f"_ix_h{i}") for i, g in enumerate(group_cols)]))
+    cond = None
+    for i, g in enumerate(group_cols):
+        part = df[g].eqNullSafe(F.col(f"_ix_h{i}"))
+        cond = part if cond is None else cond & part
+    cold = df.join(hot, cond, "left_anti").withColumn(out_col, numbered.cast("bigint"))
+    heavy = dense_index(df.join(hot, cond, "left_semi"), group_cols, order_cols, out_col,
+                        few_groups=True, descending=descending)
+    return cold.unionByName(heavy)

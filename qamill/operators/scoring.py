@@ -39,11 +39,14 @@ def score(outputs: DataFrame, samples: DataFrame, task: TaskSpec = GSM8K,
     """Outputs joined to their gold answer, with ``extracted_answer`` and
     ``correct``. ``how='left'`` keeps outputs without a sample (gold null)."""
     gold = gold_table(samples, task)
-    scored = with_extracted(outputs, task).join(gold, "sample_id", how)
-    correct = task.check_prepared(F.col("extracted_answer"), F.col("_gold_val"),
-                                  F.col("_gold_num"))
+    ext = with_extracted(outputs, task)
+    # parsed once here; the check reads it three times
+    ext = ext.withColumn("_ext_num", task.to_number(F.col("extracted_answer")))
+    scored = ext.join(gold, "sample_id", how)
+    correct = task.check_parsed(F.col("extracted_answer"), F.col("_ext_num"),
+                                F.col("_gold_val"), F.col("_gold_num"))
     correct = F.when(F.col("gold").isNull(), F.lit(False)).otherwise(correct)
-    return scored.withColumn("correct", correct).drop("_gold_val", "_gold_num")
+    return scored.withColumn("correct", correct).drop("_ext_num", "_gold_val", "_gold_num")
 
 
 def reward(outputs: DataFrame, samples: DataFrame, task: TaskSpec = GSM8K) -> DataFrame:

@@ -27,8 +27,8 @@ class TaskSpec:
     extract: Callable[[Column], Column]
     # gold text -> value compared against (may equal the input)
     gold_value: Callable[[Column], Column]
-    # (extracted, gold value, gold value as float) -> boolean, never null
-    check_prepared: Callable[[Column, Column, Column], Column]
+    # (extracted, extracted as number, gold value, gold as number) -> boolean, never null
+    check_parsed: Callable[[Column, Column, Column, Column], Column]
     # text -> nullable double used by the numeric comparison
     to_number: Callable[[Column], Column]
 
@@ -44,15 +44,7 @@ class TaskSpec:
 
     def check(self, extracted: Column, gold: Column) -> Column:
         gv = self.gold_value(gold)
-        return self.check_prepared(extracted, gv, self.to_number(gv))
-
-
-def _check_numeric_or_text(extracted: Column, gold_val: Column, gold_num: Column) -> Column:
-    ef = T.py_float(extracted)
-    verdict = (F.when(extracted.isNull(), F.lit(False))
-               .when(ef.isNotNull() & gold_num.isNotNull(), (ef == gold_num) & ~F.isnan(ef))
-               .otherwise(T.py_strip(extracted) == T.py_strip(gold_val)))
-    return F.coalesce(verdict, F.lit(False))
+        return self.check_parsed(extracted, self.to_number(extracted), gv, self.to_number(gv))
 
 
 def _gsm_raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +57,7 @@ GSM8K = TaskSpec(
     raw_samples=_gsm_raw_samples,
     extract=T.extract_answer,
     gold_value=T.gold_value,
-    check_prepared=_check_numeric_or_text,
+    check_parsed=T.check_parsed,
     to_number=T.py_float,
 )
 

@@ -29,7 +29,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    builder = (builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    builder = (builder.config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
+               # checkpoint files of the position index are dropped with their plans
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.driver.memory", os.environ.get("QAMILL_DRIVER_MEMORY", "16g")))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from qamill.functions import text as T
-from qamill.operators.indexing import dense_index
+from qamill.operators.indexing import HOT_GROUP_ROWS, group_index
 from qamill.sources.tables import read_table
 
 # Fixed values of the derived tables.
@@ -69,9 +69,12 @@ def _model_output(case: Column, v: Column) -> Column:
             .otherwise(F.lit("#### \n")))
 
 
-def outs(spark: SparkSession, sf_dir: str, with_gen_no: bool = True) -> DataFrame:
+def outs(spark: SparkSession, sf_dir: str, with_gen_no: bool = True,
+         hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """Generated outputs, one per line item, keyed by ``(sample_id, gen_no)``
-    and tagged with the run that produced them."""
+    and tagged with the run that produced them. ``gen_no`` numbers the outputs
+    of a sample (``group_index``: a window per sample, range partitions for
+    a sample above ``hot_rows`` outputs)."""
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                      "l_returnflag", "l_linestatus", "l_extendedprice"])
@@ -97,9 +100,9 @@ def outs(spark: SparkSession, sf_dir: str, with_gen_no: bool = True) -> DataFram
         _model_output(case, v).alias("model_output"),
     )
     if with_gen_no:
-        df = dense_index(df, ["sample_id"],
+        df = group_index(df, ["sample_id"],
                          ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"],
-                         "gen_no", few_groups=False)
+                         "gen_no", hot_rows=hot_rows)
         df = df.withColumn("gen_no", F.col("gen_no") + 1)
     return df.drop("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
 
