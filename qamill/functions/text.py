@@ -107,16 +107,21 @@ def extract_answer(col) -> Column:
 def py_float(col) -> Column:
     """``float(x)`` as a nullable double: null where Python raises ValueError.
 
-    The plain-number pattern is tried first (the common case); the special
-    words are only looked at for short strings. Non-ASCII digits are the one
-    accepted deviation (Python parses them).
+    Non-ASCII digits are the one accepted deviation (Python parses them).
     """
-    s = py_strip(col)
+    return py_float_stripped(py_strip(col))
+
+
+def py_float_stripped(col) -> Column:
+    """``py_float`` for text known to have no surrounding whitespace.
+
+    The plain-number case is tried first and needs no regex: over the
+    characters 0-9 . e E + - the grammars of Python's float() and Java's
+    Double.parseDouble (Spark's cast) accept exactly the same strings. The
+    underscore form and the special words are looked at only otherwise."""
+    s = _c(col)
     low = F.lower(s)
     short = F.length(s) <= F.lit(len("+infinity"))
-    # Over the characters 0-9 . e E + - the grammars of Python's float() and
-    # Java's Double.parseDouble (Spark's cast) accept exactly the same strings,
-    # so that case needs no regex.
     plain = F.translate(s, PLAIN_NUMBER_CHARS, "") == F.lit("")
     return (F.when(plain, s.try_cast("double"))
             .when(s.rlike(PYFLOAT_PATTERN),
@@ -127,14 +132,16 @@ def py_float(col) -> Column:
                   .otherwise(F.lit(float("inf")))))
 
 
-def check_parsed(extracted, extracted_num, gold_val, gold_num) -> Column:
+def check_parsed(extracted, extracted_num, gold_val, gold_num, stripped: bool = False) -> Column:
     """Answer check on already parsed sides (each number parsed once):
     null extraction is wrong; both numeric -> float equality (NaN never
-    equal); otherwise the stripped strings must match."""
-    ext, ef, gf = _c(extracted), _c(extracted_num), _c(gold_num)
+    equal); otherwise the stripped strings must match. ``stripped`` says both
+    texts are known to carry no surrounding whitespace."""
+    ext, ef, gf, gv = _c(extracted), _c(extracted_num), _c(gold_num), _c(gold_val)
+    same_text = (ext == gv) if stripped else (py_strip(ext) == py_strip(gv))
     verdict = (F.when(ext.isNull(), F.lit(False))
                .when(ef.isNotNull() & gf.isNotNull(), (ef == gf) & ~F.isnan(ef))
-               .otherwise(py_strip(ext) == py_strip(gold_val)))
+               .otherwise(same_text))
     return F.coalesce(verdict, F.lit(False))
 
 

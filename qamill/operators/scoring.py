@@ -20,14 +20,15 @@ RUN_COLS = ["run_id", "experiment_name", "train_method", "train_chat_template",
             "train_mask_question", "eval_chat_template", "model_path", "task"]
 
 
-def gold_table(samples: DataFrame, task: TaskSpec = GSM8K) -> DataFrame:
+def gold_table(samples: DataFrame, task: TaskSpec = GSM8K,
+               carry: tuple[str, ...] = ()) -> DataFrame:
     """sample_id, gold (value if truthy else full answer) and its prepared
-    comparison forms."""
+    comparison forms, plus any ``carry`` sample columns."""
     gold = T.gold_select(F.col("answer_value"), F.col("answer"))
-    g = samples.select("sample_id", gold.alias("gold"))
+    g = samples.select("sample_id", *carry, gold.alias("gold"))
     gv = task.gold_value(F.col("gold"))
     g = g.withColumn("_gold_val", gv)
-    return g.withColumn("_gold_num", task.to_number(F.col("_gold_val")))
+    return g.withColumn("_gold_num", task.number_of_output(F.col("_gold_val")))
 
 
 def with_extracted(outputs: DataFrame, task: TaskSpec = GSM8K) -> DataFrame:
@@ -35,16 +36,17 @@ def with_extracted(outputs: DataFrame, task: TaskSpec = GSM8K) -> DataFrame:
 
 
 def score(outputs: DataFrame, samples: DataFrame, task: TaskSpec = GSM8K,
-          how: str = "inner") -> DataFrame:
+          how: str = "inner", carry: tuple[str, ...] = ()) -> DataFrame:
     """Outputs joined to their gold answer, with ``extracted_answer`` and
-    ``correct``. ``how='left'`` keeps outputs without a sample (gold null)."""
-    gold = gold_table(samples, task)
+    ``correct``. ``how='left'`` keeps outputs without a sample (gold null).
+    ``carry`` names sample columns to bring along in the same join."""
+    gold = gold_table(samples, task, carry)
     ext = with_extracted(outputs, task)
     # parsed once here; the check reads it three times
-    ext = ext.withColumn("_ext_num", task.to_number(F.col("extracted_answer")))
+    ext = ext.withColumn("_ext_num", task.number_of_output(F.col("extracted_answer")))
     scored = ext.join(gold, "sample_id", how)
-    correct = task.check_parsed(F.col("extracted_answer"), F.col("_ext_num"),
-                                F.col("_gold_val"), F.col("_gold_num"))
+    correct = task.check_outputs(F.col("extracted_answer"), F.col("_ext_num"),
+                                 F.col("_gold_val"), F.col("_gold_num"))
     correct = F.when(F.col("gold").isNull(), F.lit(False)).otherwise(correct)
     return scored.withColumn("correct", correct).drop("_ext_num", "_gold_val", "_gold_num")
 
@@ -82,12 +84,25 @@ def group_advantage(rewards: DataFrame, group_size: int = 4, eps: float = 1e-4,
                                              / (F.col("group_std") + F.lit(eps)), digits)))
 
 
-def details(scored: DataFrame, samples: DataFrame) -> DataFrame:
-    """Per-output detail rows with ``index``: the 0-based position inside the
-    run in ``(sample_id, gen_no)`` order, numbered without a per-run window."""
-    q = samples.select("sample_id", "question", F.col("answer").alias("gold_answer"),
-                       F.col("answer_value").alias("gold_value"))
-    rows = scored.join(q, "sample_id", "inner")
+DETAIL_CARRY = ("question", "gold_answer", "answer_value")
+
+
+def detail_samples(samples: DataFrame) -> DataFrame:
+    """Sample columns a detail row shows, in the shape ``score(carry=...)`` takes."""
+    return samples.select("sample_id", "question", "answer_value",
+                          F.col("answer").alias("gold_answer"), "answer")
+
+
+def details(outputs: DataFrame, samples: DataFrame, task: TaskSpec = GSM8K) -> DataFrame:
+    """Per-output detail rows; the question and gold texts come through the
+    scoring join itself."""
+    return details_from_scored(score(outputs, detail_samples(samples), task, carry=DETAIL_CARRY))
+
+
+def details_from_scored(scored: DataFrame) -> DataFrame:
+    """Detail rows with ``index``: the 0-based position inside the run in
+    ``(sample_id, gen_no)`` order, numbered without a per-run window."""
+    rows = scored.withColumnRenamed("answer_value", "gold_value")
     rows = dense_index(rows, ["run_id"], ["sample_id", "gen_no"], "index", few_groups=True)
     return rows.select("run_id", "index", "sample_id", "gen_no", "question", "gold_answer",
                        "gold_value", "model_output", "extracted_answer", "correct")

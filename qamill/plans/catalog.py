@@ -7,6 +7,7 @@ Column names match the oracle SQL in ``qamill.plans.oracle``.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,16 +35,43 @@ def query(fn: QueryFn) -> QueryFn:
     return fn
 
 
+_DEFS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def _defined(key: tuple, build):
+    """Lazy derived-input definitions shared by the queries of one session
+    (plan definitions only: each execution still computes everything)."""
+    defs = _DEFS.setdefault(key[0], {})
+    if key[1:] not in defs:
+        defs[key[1:]] = build()
+    return defs[key[1:]]
+
+
 def _qa(spark, d):
-    return GSM8K.samples(spark, d)
+    return _defined((spark, d, "qa"), lambda: GSM8K.samples(spark, d))
+
+
+def _raw_outs(spark, d):
+    """Outputs before generation numbering, ordering columns kept."""
+    return _defined((spark, d, "outs"),
+                    lambda: fixtures.outs(spark, d, with_gen_no=False, keep_order=True))
 
 
 def _outs(spark, d, gen_no=True):
-    return fixtures.outs(spark, d, with_gen_no=gen_no)
+    raw = _raw_outs(spark, d)
+    return fixtures.number_generations(raw) if gen_no else raw.drop(*fixtures.GEN_ORDER)
 
 
 def _scored(spark, d, gen_no=True):
-    return scoring.score(_outs(spark, d, gen_no), _qa(spark, d))
+    """Scored outputs; generation numbers are assigned after the row-local
+    scoring, so their shuffle carries no output text that is not needed."""
+    if not gen_no:
+        return scoring.score(_outs(spark, d, False), _qa(spark, d))
+    return fixtures.number_generations(scoring.score(_raw_outs(spark, d), _qa(spark, d)))
+
+
+def _rewards(spark, d):
+    return fixtures.number_generations(scoring.reward(_raw_outs(spark, d), _qa(spark, d)))
 
 
 # --- P1/P2 inputs: question/answer samples -------------------------------------------
@@ -128,7 +156,9 @@ def check_answer(spark, d):
 
 @query
 def score_details(spark, d):
-    return scoring.details(_scored(spark, d), _qa(spark, d))
+    scored = scoring.score(_raw_outs(spark, d), scoring.detail_samples(_qa(spark, d)),
+                           carry=scoring.DETAIL_CARRY)
+    return scoring.details_from_scored(fixtures.number_generations(scored))
 
 
 @query
@@ -139,8 +169,7 @@ def run_summary(spark, d):
 
 @query
 def reward(spark, d):
-    return scoring.reward(_outs(spark, d), _qa(spark, d)) \
-        .select("sample_id", "gen_no", "run_id", "reward")
+    return _rewards(spark, d).select("sample_id", "gen_no", "run_id", "reward")
 
 
 @query
@@ -150,7 +179,7 @@ def reward_by_prompt(spark, d):
 
 @query
 def group_advantage(spark, d):
-    adv = scoring.group_advantage(scoring.reward(_outs(spark, d), _qa(spark, d)))
+    adv = scoring.group_advantage(_rewards(spark, d).select("sample_id", "gen_no", "reward"))
     return adv.select("sample_id", "gen_no", "group_id", "reward", "group_mean", "advantage")
 
 
@@ -173,7 +202,7 @@ BATCH_SLICE = 3
 
 
 def _pairs(spark, d):
-    return fixtures.pairs(spark, d)
+    return _defined((spark, d, "pairs"), lambda: fixtures.pairs(spark, d))
 
 
 @query
@@ -314,8 +343,10 @@ EXPERIMENT_PICK = ["sft_no_chat_mask_q", "grpo_no_chat", "sft_chat"]
 
 
 def _runs(spark, d):
-    s = summary.run_summary(_scored(spark, d, gen_no=False))
-    return s.withColumn("eval_dir", F.concat(F.lit("eval/"), F.col("run_id")))
+    def build():
+        s = summary.run_summary(_scored(spark, d, gen_no=False))
+        return s.withColumn("eval_dir", F.concat(F.lit("eval/"), F.col("run_id")))
+    return _defined((spark, d, "runs"), build)
 
 
 REPORT_COLS = ["run_id", "eval_dir", *summary.SUMMARY_COLS]

@@ -55,15 +55,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     created and registered; on a cluster the configured shared folder is used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote session has no local context
+        sc = None
+    if sc is None:
+        if configured:
+            return configured
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        sc.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     local = tempfile.mkdtemp(prefix="qamill-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local
 
 

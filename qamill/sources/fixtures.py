@@ -69,12 +69,18 @@ def _model_output(case: Column, v: Column) -> Column:
             .otherwise(F.lit("#### \n")))
 
 
+GEN_ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
+
+
 def outs(spark: SparkSession, sf_dir: str, with_gen_no: bool = True,
-         hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+         hot_rows: int = HOT_GROUP_ROWS, keep_order: bool = False) -> DataFrame:
     """Generated outputs, one per line item, keyed by ``(sample_id, gen_no)``
-    and tagged with the run that produced them. ``gen_no`` numbers the outputs
-    of a sample (``group_index``: a window per sample, range partitions for
-    a sample above ``hot_rows`` outputs)."""
+    and tagged with the run that produced them.
+
+    ``gen_no`` numbers the outputs of a sample (see ``number_generations``).
+    With ``with_gen_no=False, keep_order=True`` the ordering columns are kept
+    so a caller can do its row-local work (extraction, checking) first and
+    number afterwards: the numbering shuffle then carries only what remains."""
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                      "l_returnflag", "l_linestatus", "l_extendedprice"])
@@ -88,7 +94,7 @@ def outs(spark: SparkSession, sf_dir: str, with_gen_no: bool = True,
               .when(F.col("l_returnflag") == "R", F.lit("grpo")).otherwise(F.lit("")))
     df = joined.select(
         F.col("l_partkey").alias("sample_id"),
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice",
+        *GEN_ORDER,
         run_id.alias("run_id"),
         run_id.alias("experiment_name"),
         F.concat(F.lit("models/"), run_id).alias("model_path"),
@@ -100,11 +106,15 @@ def outs(spark: SparkSession, sf_dir: str, with_gen_no: bool = True,
         _model_output(case, v).alias("model_output"),
     )
     if with_gen_no:
-        df = group_index(df, ["sample_id"],
-                         ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"],
-                         "gen_no", hot_rows=hot_rows)
-        df = df.withColumn("gen_no", F.col("gen_no") + 1)
-    return df.drop("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+        return number_generations(df, hot_rows)
+    return df if keep_order else df.drop(*GEN_ORDER)
+
+
+def number_generations(df: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """``gen_no`` (from 1) per sample in line-item order (``group_index``: a
+    window per sample; range partitions for a sample above ``hot_rows``)."""
+    df = group_index(df, ["sample_id"], GEN_ORDER, "gen_no", hot_rows=hot_rows)
+    return df.withColumn("gen_no", F.col("gen_no") + 1).drop(*GEN_ORDER)
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

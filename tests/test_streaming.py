@@ -1,5 +1,6 @@
 """Scoring a stream of outputs gives the batch answer."""
 import os
+import uuid
 
 from qamill.operators import scoring
 from qamill.operators.tasks import GSM8K
@@ -15,7 +16,7 @@ def test_stream_scoring_matches_batch(spark, scratch):
     outs.write.parquet(src)
     samples = GSM8K.samples(spark, SF_SMALL)
     q = start_scoring(spark, src, outs.schema, samples, os.path.join(scratch, "scored"),
-                      name=f"test_{os.path.basename(scratch)}")
+                      name=f"test_{uuid.uuid4().hex}")
     try:
         q.processAllAvailable()
     finally:
