@@ -58,7 +58,10 @@ def small_input_partitions(spark: SparkSession, path: str) -> int | None:
     size = input_bytes(spark, path)
     if size >= SMALL_INPUT_BYTES:
         return None
-    cores = spark.sparkContext.defaultParallelism
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - a remote session has no local context
+        cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(1, min(MAX_SMALL_PARTITIONS,
                       max(cores, math.ceil(size / BYTES_PER_SMALL_PARTITION))))
 
