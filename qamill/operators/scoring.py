@@ -67,6 +67,13 @@ def reward_by_prompt(rewards: DataFrame) -> DataFrame:
         F.avg("reward").alias("mean_reward"))
 
 
+def reward_by_run(rewards: DataFrame) -> DataFrame:
+    """Mean reward per run (partial aggregation before the shuffle)."""
+    return rewards.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_completions"),
+        F.avg("reward").alias("mean_reward"))
+
+
 def group_advantage(rewards: DataFrame, group_size: int = 4, eps: float = 1e-4,
                     digits: int = 9) -> DataFrame:
     """Group-relative advantage ``(r - mean) / (std + eps)`` over consecutive

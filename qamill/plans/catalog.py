@@ -177,6 +177,11 @@ def reward_by_prompt(spark, d):
     return scoring.reward_by_prompt(scoring.reward(_outs(spark, d, gen_no=False), _qa(spark, d)))
 
 
+@query
+def reward_by_run(spark, d):
+    return scoring.reward_by_run(scoring.reward(_outs(spark, d, gen_no=False), _qa(spark, d)))
+
+
 @query
 def group_advantage(spark, d):
     adv = scoring.group_advantage(_rewards(spark, d).select("sample_id", "gen_no", "reward"))

@@ -180,6 +180,8 @@ GROUP BY run_id, experiment_name, train_method, train_chat_template, train_mask_
 q("reward", f"WITH {REWARD} SELECT sample_id, gen_no, run_id, reward FROM rw")
 q("reward_by_prompt", f"""WITH {REWARD}
 SELECT sample_id, count(*) AS n_completions, avg(reward) AS mean_reward FROM rw GROUP BY sample_id""")
+q("reward_by_run", f"""WITH {REWARD}
+SELECT run_id, count(*) AS n_completions, avg(reward) AS mean_reward FROM rw GROUP BY run_id""")
 q("group_advantage", f"""WITH {REWARD},
 g AS (SELECT *, CAST(floor((gen_no - 1) / 4) AS BIGINT) AS group_id FROM rw)
 SELECT sample_id, gen_no, group_id, reward,

@@ -65,6 +65,17 @@ def _dir_of_file() -> F.Column:
     return F.regexp_replace(F.col("_metadata.file_path"), "/[^/]+$", "")
 
 
+def write_samples(samples: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """QA samples partitioned by split on disk, so loading one split lists and
+    reads only that split's folder."""
+    samples.write.mode(mode).partitionBy("split").parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """One split of a split-partitioned sample table (partition pruning)."""
+    return spark.read.parquet(path).where(F.col("split") == F.lit(split))
+
+
 def write_results(summaries: DataFrame, details: DataFrame, base: str,
                   fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Summary and detail tables under ``base/summary`` and ``base/details``,

@@ -97,3 +97,13 @@ def test_run_info_roundtrip(spark, scratch):
     back = files.read_run_info(spark, os.path.join(scratch, "info")).first()
     assert back.model_path == "models/N_O_0" and back.use_chat_template is True
     assert back.mask_question is None
+
+
+def test_split_partitioned_samples(spark, scratch):
+    qa = C.qa_scan(spark, SF_SMALL)
+    path = os.path.join(scratch, "samples")
+    files.write_samples(qa, path)
+    test = files.read_split(spark, path, "test")
+    assert test.count() == qa.where(F.col("split") == "test").count()
+    plan = test._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "(split#" in plan

@@ -36,3 +36,13 @@ def test_reward_without_gold(spark):
     samples = spark.createDataFrame([], "sample_id long, answer string, answer_value string")
     r = scoring.reward(outs, samples, GSM8K).first()
     assert r.reward == 0.0 and r.gold is None
+
+
+def test_experiment_selection(spark):
+    from qamill.operators import experiments
+    from qamill.sources import fixtures
+    exps = fixtures.experiments(spark)
+    picked = experiments.select_experiments(exps, ["grpo_no_chat", "nope"])
+    assert [r.name for r in picked.collect()] == ["grpo_no_chat"]
+    with pytest.raises(ValueError, match="No matching experiments. Available:"):
+        experiments.select_experiments(exps, ["nope"])
