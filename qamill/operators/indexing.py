@@ -69,6 +69,9 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out
 # A group above this many rows is numbered with ``dense_index``; below it one
 # task holds the group comfortably.
 HOT_GROUP_ROWS = 2_000_000
+# Up to this many hot group keys are collected and broadcast (a few MB);
+# beyond it the hot/cold split is done with joins instead.
+MAX_BROADCAST_HOT_KEYS = 50_000
 
 
 def group_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str,
@@ -77,25 +80,28 @@ def group_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out
 
     Groups up to ``hot_rows`` rows take a plain window (one shuffle on the
     group key, each window partition bounded by ``hot_rows``). One aggregate
-    over the group key finds the larger groups; there are at most
-    ``total_rows / hot_rows`` of them, so their keys are a bounded list. Their
-    rows are numbered by ``dense_index``, spread over range partitions."""
+    over the group key finds the larger groups; their rows are numbered by
+    ``dense_index``, spread over range partitions. The hot keys are broadcast
+    when there are at most ``MAX_BROADCAST_HOT_KEYS`` of them, otherwise the
+    split is a semi/anti join (sized and skew-split by AQE) -- every row is
+    numbered either way."""
     spark = df.sparkSession
     sort = [F.col(c).desc() if c in descending else F.col(c).asc() for c in order_cols]
     w = Window.partitionBy(*group_cols).orderBy(*sort)
     numbered = F.row_number().over(w) - F.lit(1)
     big = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_ix_n"))
-           .where(F.col("_ix_n") > F.lit(hot_rows)).select(*group_cols))
-    hot_keys = big.collect()
-    if not hot_keys:
+           .where(F.col("_ix_n") > F.lit(hot_rows))
+           .select(*[F.col(g).alias(f"_ix_h{i}") for i, g in enumerate(group_cols)]))
+    found = big.limit(MAX_BROADCAST_HOT_KEYS + 1).collect()
+    if not found:
         return df.withColumn(out_col, numbered.cast("bigint"))
-    hot = spark.createDataFrame(hot_keys, big.schema)
-    hot = F.broadcast(hot.select(*[F.col(g).alias(f"_ix_h{i}") for i, g in enumerate(group_cols)]))
+    few = len(found) <= MAX_BROADCAST_HOT_KEYS
+    hot = F.broadcast(spark.createDataFrame(found, big.schema)) if few else big
     cond = None
     for i, g in enumerate(group_cols):
         part = df[g].eqNullSafe(F.col(f"_ix_h{i}"))
         cond = part if cond is None else cond & part
     cold = df.join(hot, cond, "left_anti").withColumn(out_col, numbered.cast("bigint"))
     heavy = dense_index(df.join(hot, cond, "left_semi"), group_cols, order_cols, out_col,
-                        few_groups=True, descending=descending)
+                        few_groups=few, descending=descending)
     return cold.unionByName(heavy)

@@ -52,3 +52,13 @@ def test_group_index_hot_path(spark):
     hot = group_index(df, ["l_returnflag"], ORDER, "ix", hot_rows=1000)
     cold = group_index(df, ["l_returnflag"], ORDER, "ix")
     assert hot.exceptAll(exp).count() == 0 and cold.exceptAll(exp).count() == 0
+
+
+def test_group_index_many_hot_groups(spark, monkeypatch):
+    """More hot groups than may be broadcast: the split runs as joins."""
+    from qamill.operators import indexing
+    monkeypatch.setattr(indexing, "MAX_BROADCAST_HOT_KEYS", 2)
+    df = _lineitem(spark)
+    got = indexing.group_index(df, ["l_returnflag"], ORDER, "ix", hot_rows=1000)
+    assert got.exceptAll(_expected(df, ["l_returnflag"], ORDER)).count() == 0
+    assert got.count() == df.count()
