@@ -31,40 +31,50 @@ def comparison(runs: DataFrame) -> DataFrame:
     return with_labels(runs).orderBy("eval_dir")
 
 
+def _firsts(labelled: DataFrame) -> DataFrame:
+    """Per (train label, eval flag): the first row by ``eval_dir``."""
+    first = F.min_by(F.struct("eval_dir", "accuracy"), F.col("eval_dir"))
+    return labelled.groupBy("train_label", "eval_chat_template").agg(first.alias("_f")) \
+        .select("train_label", "eval_chat_template", F.col("_f.eval_dir").alias("eval_dir"),
+                F.col("_f.accuracy").alias("accuracy"))
+
+
 def first_per_format(labelled: DataFrame) -> DataFrame:
     """First row (by ``eval_dir``) of each (train label, eval format); later
     duplicates are ignored. Rows whose eval flag is null belong to neither
     format. ``min_by`` is a hash aggregate with partial aggregation."""
-    keep = labelled.where(F.col("eval_chat_template").isNotNull())
-    first = F.min_by(F.struct("eval_dir", "accuracy"), F.col("eval_dir"))
-    return keep.groupBy("train_label", "eval_chat_template").agg(first.alias("_f")) \
-        .select("train_label", "eval_chat_template", F.col("_f.eval_dir").alias("eval_dir"),
-                F.col("_f.accuracy").alias("accuracy"))
+    return _firsts(labelled).where(F.col("eval_chat_template").isNotNull())
 
 
-def label_order(labelled: DataFrame) -> DataFrame:
-    """Distinct training labels in first-appearance (``eval_dir``) order.
+def _label_rank(df: DataFrame) -> DataFrame:
+    # one row per training label: a table bounded by the number of runs
+    w = Window.orderBy("first_dir", "train_label")
+    return df.withColumn("label_order", F.row_number().over(w).cast("bigint"))
+
 
-    The ordering window runs over one row per label, a table bounded by the
-    number of runs, never over evaluated rows."""
+def label_order(labelled: DataFrame) -> DataFrame:
+    """Distinct training labels in first-appearance (``eval_dir``) order."""
     firsts = labelled.groupBy("train_label").agg(F.min("eval_dir").alias("first_dir"))
-    w = Window.orderBy("first_dir", "train_label")
-    return firsts.withColumn("label_order", F.row_number().over(w).cast("bigint"))
+    return _label_rank(firsts)
 
 
 def _sides(labelled: DataFrame) -> DataFrame:
-    f = first_per_format(labelled)
+    """Per training label: first chat and first raw accuracy (null when that
+    side is missing) and the label's first directory -- one pass over the
+    runs, two small aggregates."""
+    f = _firsts(labelled)
     return f.groupBy("train_label").agg(
         F.max(F.when(F.col("eval_chat_template"), F.col("accuracy"))).alias("chat_accuracy"),
-        F.max(F.when(~F.col("eval_chat_template"), F.col("accuracy"))).alias("raw_accuracy"))
+        F.max(F.when(~F.col("eval_chat_template"), F.col("accuracy"))).alias("raw_accuracy"),
+        F.min("eval_dir").alias("first_dir"))
 
 
 def grouped(labelled: DataFrame) -> DataFrame:
-    """Per training label: chat and raw accuracy, 0.0 when a side is missing."""
-    s = _sides(labelled)
+    """Per training label: chat and raw accuracy, 0.0 when a side is missing,
+    with the label's first-appearance order."""
+    s = _label_rank(_sides(labelled))
     return s.select("train_label", F.coalesce("chat_accuracy", F.lit(0.0)).alias("chat_accuracy"),
-                    F.coalesce("raw_accuracy", F.lit(0.0)).alias("raw_accuracy")) \
-        .join(label_order(labelled).select("train_label", "label_order"), "train_label")
+                    F.coalesce("raw_accuracy", F.lit(0.0)).alias("raw_accuracy"), "label_order")
 
 
 def chat_raw_pairs(labelled: DataFrame) -> DataFrame:
