@@ -16,8 +16,16 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 def summarise(plan: str) -> dict:
     count = lambda pat: len(re.findall(pat, plan))
-    scans = re.findall(r"FileScan (\w+) .*?\[(.*?)\].*?PushedFilters: \[(.*?)\].*?ReadSchema: struct<(.*?)>",
-                       plan)
+    scans = []
+    for line in plan.splitlines():
+        if "FileScan" not in line:
+            continue
+        table = re.search(r"/([\w.-]+?)(?:\.parquet)?[,\]]", line)
+        schema = re.search(r"ReadSchema: struct<(.*?)>$", line.strip())
+        pushed = re.search(r"PushedFilters: \[(.*?)\]", line)
+        scans.append(((table.group(1) if table else "?"),
+                      schema.group(1).count(":") if schema else 0,
+                      bool(pushed and pushed.group(1))))
     return {
         "hash_exchange": count(r"Exchange hashpartitioning"),
         "range_exchange": count(r"Exchange rangepartitioning"),
@@ -32,7 +40,7 @@ def summarise(plan: str) -> dict:
         "hash_agg": count(r"HashAggregate\("),
         "checkpoint_scan": count(r"Scan ExistingRDD|LogicalRDD|ExistingRDD"),
         "python": count(r"ArrowEvalPython|BatchEvalPython"),
-        "scans": [(fmt, schema.count(":")) for fmt, _cols, _pf, schema in scans],
+        "scans": scans,
     }
 
 
@@ -41,14 +49,15 @@ def main() -> None:
     from qamill.session import get_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     spark = get_session("local[8]", 8)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")  # untruncated ReadSchema
     print("| query | hash exch. | range exch. | single | broadcast | BHJ | SMJ | window | agg | "
-          "checkpoint reads | python | scans (format:cols read) |")
+          "checkpoint reads | python | scans (table:columns read) |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |")
     for name, fn in QUERIES.items():
         df = fn(spark, sf)
         plan = df._jdf.queryExecution().executedPlan().toString()
         s = summarise(plan)
-        scans = ", ".join(f"{f}:{n}" for f, n in s["scans"])
+        scans = ", ".join(f"{t}:{n}{'+filter' if f else ''}" for t, n, f in s["scans"])
         print(f"| {name} | {s['hash_exchange']} | {s['range_exchange']} | {s['single_exchange']} | "
               f"{s['broadcast']} | {s['bhj']} | {s['smj']} | {s['window']} | {s['hash_agg']} | "
               f"{s['checkpoint_scan']} | {s['python']} | {scans} |")
