@@ -75,7 +75,8 @@ MAX_BROADCAST_HOT_KEYS = 50_000
 
 
 def group_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str,
-                hot_rows: int = HOT_GROUP_ROWS, descending: tuple[str, ...] = ()) -> DataFrame:
+                hot_rows: int = HOT_GROUP_ROWS, descending: tuple[str, ...] = (),
+                detect_on: DataFrame | None = None) -> DataFrame:
     """0-based position inside each group for tables of many groups.
 
     Groups up to ``hot_rows`` rows take a plain window (one shuffle on the
@@ -84,12 +85,17 @@ def group_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out
     ``dense_index``, spread over range partitions. The hot keys are broadcast
     when there are at most ``MAX_BROADCAST_HOT_KEYS`` of them, otherwise the
     split is a semi/anti join (sized and skew-split by AQE) -- every row is
-    numbered either way."""
+    numbered either way.
+
+    ``detect_on`` may name a cheaper table holding at least the rows of each
+    group (e.g. the raw key column the rows were derived from): counting a
+    superset can only move a group to the range path, which is exact too."""
     spark = df.sparkSession
     sort = [F.col(c).desc() if c in descending else F.col(c).asc() for c in order_cols]
     w = Window.partitionBy(*group_cols).orderBy(*sort)
     numbered = F.row_number().over(w) - F.lit(1)
-    big = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_ix_n"))
+    source = df if detect_on is None else detect_on
+    big = (source.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_ix_n"))
            .where(F.col("_ix_n") > F.lit(hot_rows))
            .select(*[F.col(g).alias(f"_ix_h{i}") for i, g in enumerate(group_cols)]))
     found = big.limit(MAX_BROADCAST_HOT_KEYS + 1).collect()

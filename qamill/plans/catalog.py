@@ -60,7 +60,7 @@ def _raw_outs(spark, d):
 
 def _outs(spark, d, gen_no=True):
     raw = _raw_outs(spark, d)
-    return fixtures.number_generations(raw) if gen_no else raw.drop(*fixtures.GEN_ORDER)
+    return fixtures.number_generations(raw, sf_dir=d) if gen_no else raw.drop(*fixtures.GEN_ORDER)
 
 
 def _scored(spark, d, gen_no=True):
@@ -68,11 +68,11 @@ def _scored(spark, d, gen_no=True):
     scoring, so their shuffle carries no output text that is not needed."""
     if not gen_no:
         return scoring.score(_outs(spark, d, False), _qa(spark, d))
-    return fixtures.number_generations(scoring.score(_raw_outs(spark, d), _qa(spark, d)))
+    return fixtures.number_generations(scoring.score(_raw_outs(spark, d), _qa(spark, d)), sf_dir=d)
 
 
 def _rewards(spark, d):
-    return fixtures.number_generations(scoring.reward(_raw_outs(spark, d), _qa(spark, d)))
+    return fixtures.number_generations(scoring.reward(_raw_outs(spark, d), _qa(spark, d)), sf_dir=d)
 
 
 # --- P1/P2 inputs: question/answer samples -------------------------------------------
@@ -159,7 +159,7 @@ def check_answer(spark, d):
 def score_details(spark, d):
     scored = scoring.score(_raw_outs(spark, d), scoring.detail_samples(_qa(spark, d)),
                            carry=scoring.DETAIL_CARRY)
-    return scoring.details_from_scored(fixtures.number_generations(scored))
+    return scoring.details_from_scored(fixtures.number_generations(scored, sf_dir=d))
 
 
 @query

@@ -106,14 +106,21 @@ def outs(spark: SparkSession, sf_dir: str, with_gen_no: bool = True,
         _model_output(case, v).alias("model_output"),
     )
     if with_gen_no:
-        return number_generations(df, hot_rows)
+        return number_generations(df, hot_rows, sf_dir)
     return df if keep_order else df.drop(*GEN_ORDER)
 
 
-def number_generations(df: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def number_generations(df: DataFrame, hot_rows: int = HOT_GROUP_ROWS,
+                       sf_dir: str | None = None) -> DataFrame:
     """``gen_no`` (from 1) per sample in line-item order (``group_index``: a
-    window per sample; range partitions for a sample above ``hot_rows``)."""
-    df = group_index(df, ["sample_id"], GEN_ORDER, "gen_no", hot_rows=hot_rows)
+    window per sample; range partitions for a sample above ``hot_rows``).
+    With ``sf_dir`` the hot samples are found from the line items' part keys
+    alone (every output is one line item)."""
+    detect = None
+    if sf_dir is not None:
+        detect = read_table(df.sparkSession, sf_dir, "lineitem", ["l_partkey"]) \
+            .select(F.col("l_partkey").alias("sample_id"))
+    df = group_index(df, ["sample_id"], GEN_ORDER, "gen_no", hot_rows=hot_rows, detect_on=detect)
     return df.withColumn("gen_no", F.col("gen_no") + 1).drop(*GEN_ORDER)
 
 
