@@ -66,6 +66,11 @@ def assign_batches(df: DataFrame, key: str, batch_size: int, group_cols: list[st
         .drop("_pos")
 
 
+def batch_count(df: DataFrame, batch_size: int) -> DataFrame:
+    """Number of batches, ``ceil(rows / batch_size)`` (0 for no rows)."""
+    return df.agg(F.ceil(F.count(F.lit(1)) / F.lit(batch_size)).cast("bigint").alias("n_batches"))
+
+
 def pad_batches(batched: DataFrame, pad_id: int = tokens.PAD_ID, max_length: int | None = None,
                 batch_cols: tuple[str, ...] = ("batch_id",)) -> DataFrame:
     """Right-pad ids (pad id), labels (-100) and mask (0) to the batch's

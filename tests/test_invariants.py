@@ -72,3 +72,13 @@ def test_empty_input_accuracy_is_zero(spark):
     empty = spark.createDataFrame([], "correct boolean")
     r = summary.overall_summary(empty).first()
     assert (r.total_samples, r.correct, r.accuracy) == (0, 0, 0.0)
+
+
+def test_batch_count_is_ceiling(spark):
+    from qamill.operators import sft
+    b = C._batched(spark, SF_SMALL)
+    n_rows = b.count()
+    got = sft.batch_count(b, C.BATCH_SIZE).first().n_batches
+    assert got == -(-n_rows // C.BATCH_SIZE)
+    assert got == b.agg(F.max("batch_id")).first()[0] + 1
+    assert sft.batch_count(spark.createDataFrame([], "x int"), 16).first().n_batches == 0
