@@ -53,15 +53,24 @@ def input_bytes(spark: SparkSession, path: str) -> int:
     return _INPUT_BYTES[path]
 
 
-def small_input_partitions(spark: SparkSession, path: str) -> int | None:
-    """Partition count for an input small enough to rebalance, else None."""
+def _cores(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - a remote session has no local context
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_input_partitions(spark: SparkSession, path: str, scan: DataFrame | None = None) -> int | None:
+    """Partition count for an input small enough to rebalance, else None.
+
+    An input with at least one file per core already spreads over the cores
+    (that is every large table), so only inputs with fewer files are sized."""
+    cores = _cores(spark)
+    if scan is not None and len(scan.inputFiles()) >= cores:
+        return None
     size = input_bytes(spark, path)
     if size >= SMALL_INPUT_BYTES:
         return None
-    try:
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - a remote session has no local context
-        cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(1, min(MAX_SMALL_PARTITIONS,
                       max(cores, math.ceil(size / BYTES_PER_SMALL_PARTITION))))
 
@@ -78,7 +87,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     if columns:
         df = df.select(*columns)
     if rebalance:
-        n = small_input_partitions(spark, path)
+        n = small_input_partitions(spark, path, scans[path])
         if n is not None and n > 1:
             df = df.repartition(n, F.col(df.columns[0]))
     return df
