@@ -251,7 +251,11 @@ def _examples(spark, d):
 
 
 def _batched(spark, d):
-    return sft.assign_batches(_examples(spark, d), "sid", BATCH_SIZE)
+    """Batch ids depend only on the sample key: they are numbered on the key
+    table (cheap upstream, narrow checkpoint) and joined to the examples on
+    the unique key, instead of range-partitioning the token arrays."""
+    keys = sft.assign_batches(_pairs(spark, d).select("sid"), "sid", BATCH_SIZE)
+    return _examples(spark, d).join(keys, "sid", "inner")
 
 
 @query

@@ -62,3 +62,21 @@ def test_group_index_many_hot_groups(spark, monkeypatch):
     got = indexing.group_index(df, ["l_returnflag"], ORDER, "ix", hot_rows=1000)
     assert got.exceptAll(_expected(df, ["l_returnflag"], ORDER)).count() == 0
     assert got.count() == df.count()
+
+
+def test_dense_index_is_stable_across_executions(spark):
+    """Re-running the plan (as after a lost executor) gives the same numbers."""
+    df = _lineitem(spark)
+    got = dense_index(df, ["l_returnflag"], ORDER, "ix")
+    first = sorted(map(tuple, got.collect()))
+    second = sorted(map(tuple, got.collect()))
+    assert first == second
+
+
+def test_small_input_is_spread_over_cores(spark):
+    from qamill.sources.tables import read_table
+    from tests.conftest import SF_MID
+    df = read_table(spark, SF_MID, "lineitem", ["l_orderkey", "l_partkey"])
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    raw = read_table(spark, SF_MID, "lineitem", ["l_orderkey"], rebalance=False)
+    assert raw.rdd.getNumPartitions() <= 3
