@@ -2,8 +2,8 @@
 
 Runs each query to completion (a no-op sink: every row is computed, nothing is
 shipped to the driver) on ``local[$BENCH_CPUS]`` over ``$BENCH_SF_DIR`` and
-prints one JSON line. Each query runs ``$BENCH_REPEAT`` times (default 2) in one
-warm session; the fastest run is reported.
+prints one JSON line. Each query runs ``$BENCH_REPEAT`` times in one
+warm session; the fastest run is reported (default 3).
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     names = sys.argv[1:] or HEADLINE
     spark = get_session(f"local[{cpus}]", cpus)
     # warm the JVM and the parquet footers once
