@@ -2,9 +2,9 @@
 
 Python's ``f"{x:.2%}"`` rounds the exact binary value of ``x * 100``; Java's
 ``%.2f`` (``format_string``) rounds its shortest decimal form half-up, so the
-two disagree on values such as 5.125 or 0.0525 * 100. The report must show
-what the reference shows, so this one formatter runs in Python, vectorised
-through Arrow, on the run-summary table (one row per run).
+two disagree on values such as 5.125 or 0.0525 * 100. The report text is
+defined by Python's formatting, so this one formatter runs in Python,
+vectorised through Arrow, on the run-summary table (one row per run).
 """
 
 from __future__ import annotations
