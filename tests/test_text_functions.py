@@ -141,3 +141,17 @@ def test_prompts(spark):
 def test_infer_method(spark, path, expected):
     df = spark.createDataFrame([(path,)], "p string")
     assert df.select(T.infer_method("p")).first()[0] == expected
+
+
+def test_percent_text_rounds_like_python(spark):
+    from qamill.functions import fmt
+    values = [0.05125, 0.0525, 1 / 3, 2 / 3, 0.5, 0.0, 1.0, 0.123456, 7 / 4000]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = {r.i: (r.p2, r.p1) for r in df.select("i", fmt.percent("v", 2).alias("p2"),
+                                                 fmt.percent("v", 1).alias("p1")).collect()}
+    for i, v in enumerate(values):
+        assert got[i] == (f"{v:.2%}", f"{v:.1%}"), v
+    # Java's half-up formatting of the same value differs here, which is why
+    # this column is formatted in Python
+    java = df.select(F.format_string("%.2f%%", F.col("v") * 100).alias("j")).collect()
+    assert any(r.j != f"{v:.2%}" for r, v in zip(java, values))
