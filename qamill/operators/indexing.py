@@ -5,8 +5,8 @@ single task. A run, or the whole table when there is no group, can hold a large
 share of all rows, so that window does not scale. ``dense_index`` computes the
 same 0-based position with the work spread over range partitions:
 
-1. range-partition the rows on ``(g, o)`` into ``n`` partitions and sort inside
-   each; a group may now span several partitions, each holding a contiguous
+1. range-partition the rows on ``(g, o)`` (``spark.sql.shuffle.partitions``
+   ranges, coalesced by AQE) and sort inside each; a group may now span several partitions, each holding a contiguous
    slice of the global order;
 2. tag rows with the partition id and ``monotonically_increasing_id`` (which
    increases by one per row inside a partition), and cut lineage with a
@@ -16,7 +16,7 @@ same 0-based position with the work spread over range partitions:
    executor is lost;
 3. a small table of per ``(g, partition)`` row counts and first ids gives each
    slice its offset (a running sum over earlier partitions of the group); it
-   has at most ``groups + n`` rows, so it is broadcast when ``few_groups`` says
+   has at most ``groups + partitions`` rows, so it is broadcast when ``few_groups`` says
    the group count is bounded (runs, or no group at all) and joined on
    ``(g, partition)`` otherwise -- a key a hot group cannot skew;
 4. position = offset + id - first id.
@@ -40,11 +40,14 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out
                 num_partitions: int | None = None) -> DataFrame:
     """Add ``out_col`` = 0-based position of each row inside its group, in the
     total order ``order_cols`` (ascending, except names in ``descending``)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = [F.col(g).asc() for g in group_cols] + \
         [F.col(c).desc() if c in descending else F.col(c).asc() for c in order_cols]
-    ranged = (df.repartitionByRange(n, *sort)
+    # Without an explicit count AQE may coalesce adjacent range partitions to
+    # its advisory size; ids are assigned inside the one checkpointed run, so
+    # a coalesced partition is still one contiguous, ordered slice.
+    by_range = (df.repartitionByRange(num_partitions, *sort) if num_partitions
+                else df.repartitionByRange(*sort))
+    ranged = (by_range
               .sortWithinPartitions(*sort)
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_MID, F.monotonically_increasing_id()))
