@@ -65,3 +65,40 @@ def test_extract_and_check_agree_with_python(spark, pairs):
         assert g == py_gold(gold), (gold, g)
         if _ascii_digits_only(e, g):
             assert c == py_check(py_extract(out), gold), (out, gold, c)
+
+
+ints = st.lists(st.integers(min_value=0, max_value=5), max_size=12)
+
+
+def py_lcp(p, f):
+    n = 0
+    for a, b in zip(p, f):
+        if a != b:
+            break
+        n += 1
+    return n
+
+
+@settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(ints, ints, st.integers(min_value=0, max_value=14)),
+                min_size=300, max_size=300))
+def test_array_functions_agree_with_python_lists(spark, cases):
+    from qamill.functions import arrays as A
+    df = spark.createDataFrame([(i, p, f, w) for i, (p, f, w) in enumerate(cases)],
+                               "i int, p array<int>, f array<int>, w int")
+    out = df.select(
+        "i", A.common_prefix_len("p", "f").alias("lcp"),
+        A.masked_labels("f", A.common_prefix_len("p", "f")).alias("lab"),
+        A.pad_right("f", F.col("w"), 0).alias("right"),
+        A.pad_left("f", F.greatest(F.col("w"), F.size("f")), 0).alias("left"),
+        A.truncate("f", F.col("w")).alias("cut"),
+        A.completion_slice(F.concat("p", "f"), F.lit(0), F.size("p")).alias("comp"))
+    got = {r.i: r for r in out.collect()}
+    for i, (p, f, w) in enumerate(cases):
+        r, n = got[i], py_lcp(p, f)
+        assert r.lcp == n
+        assert r.lab == [-100] * n + f[n:]
+        assert r.right == (f + [0] * (w - len(f)) if len(f) < w else f[:w])
+        assert r.left == [0] * (max(w, len(f)) - len(f)) + f
+        assert r.cut == f[:w]
+        assert r.comp == f
