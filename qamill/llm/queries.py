@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from qamill.llm import (embedding_dedup, html_extraction, sharding, simhash_dedup, url_filters)
+from qamill.llm import (embedding_dedup, html_extraction, language_id, quality, sharding,
+                        simhash_dedup, toxicity, url_filters)
 
 QUERIES = {
     "op1_html_extraction": html_extraction.query,
+    "op2_toxicity": toxicity.query,
     "op4_url_filters": url_filters.query,
+    "op6_quality_classifier": quality.query,
+    "op7_language_id": language_id.query,
     "op8_sharding": sharding.query,
     "op9_embedding_dedup": embedding_dedup.query,
     "op10_simhash_dedup": simhash_dedup.query,
