@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from qamill.llm import (embedding_dedup, html_extraction, language_id, quality, sharding,
-                        simhash_dedup, toxicity, url_filters)
+from qamill.llm import (embedding_dedup, html_extraction, language_id, packing, quality,
+                        sharding, simhash_dedup, toxicity, url_filters)
 
 QUERIES = {
     "op1_html_extraction": html_extraction.query,
     "op2_toxicity": toxicity.query,
+    "op3_best_fit_packing": packing.query,
     "op4_url_filters": url_filters.query,
     "op6_quality_classifier": quality.query,
     "op7_language_id": language_id.query,
