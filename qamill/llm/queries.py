@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from qamill.llm import (embedding_dedup, html_extraction, language_id, packing, quality,
+from qamill.llm import (decontamination, embedding_dedup, html_extraction, language_id, packing, quality,
                         sharding, simhash_dedup, toxicity, url_filters)
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_toxicity": toxicity.query,
     "op3_best_fit_packing": packing.query,
     "op4_url_filters": url_filters.query,
+    "op5_benchmark_decontamination": decontamination.query,
     "op6_quality_classifier": quality.query,
     "op7_language_id": language_id.query,
     "op8_sharding": sharding.query,
