@@ -90,6 +90,14 @@ def codes(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES,
     return out
 
 
+def _rows(vectors: np.ndarray) -> np.ndarray:
+    """Vectors as rows; shorter ones end in zeros (a place holds one length only)."""
+    width = max(map(len, vectors))
+    if all(len(v) == width for v in vectors):
+        return np.stack(vectors)
+    return np.stack([np.pad(v, (0, width - len(v))) for v in vectors])
+
+
 def _first_shared(seen: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest bucket that rows a and b of ``seen`` (rows, tables, buckets) share."""
     best = np.full(len(a), np.iinfo(np.int64).max)
@@ -146,7 +154,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
             place = place_numbers(g, keys)
             starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
             counts = np.diff(np.append(starts, len(g)))
-            x = np.stack(g["vec"].to_numpy())
+            x = _rows(g["vec"].to_numpy())
             side, same = g["_side"].to_numpy(), (g["_i"] == g["_j"]).to_numpy()
             bucket = g["bucket"].to_numpy()
             found = []
