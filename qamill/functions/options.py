@@ -14,10 +14,18 @@ def _c(x) -> Column:
 
 
 def parse_options(json_text) -> Column:
-    """JSON object text -> map<string,string> (numbers keep their text)."""
+    """JSON object text -> map<string,string> (numbers keep their text). Of a repeated
+    key the last value counts (``spark.sql.mapKeyDedupPolicy``, set by the session
+    settings); malformed text gives null, which ``malformed`` tells apart."""
     return F.from_json(_c(json_text), OPTIONS_TYPE)
 
 
+def malformed(json_text) -> Column:
+    """True for text that is no JSON object: its options are unknown, not empty."""
+    c = _c(json_text)
+    return c.isNotNull() & parse_options(c).isNull()
+
+
 def literal_options(options: dict[str, str | None]) -> Column:
     """A fixed option map, e.g. a config section."""
     if not options:

@@ -13,6 +13,9 @@ differs on all three, so the patterns below spell the classes out.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,22 +107,31 @@ def extract_answer(col) -> Column:
     return F.coalesce(extract_marker(col), last_number(col))
 
 
-def py_float(col) -> Column:
-    """``float(x)`` as a nullable double: null where Python raises ValueError.
+def _script_digits() -> tuple[str, str]:
+    """Decimal digits outside ASCII and their values, from the Unicode database."""
+    found = [(chr(c), str(unicodedata.decimal(chr(c)))) for c in range(128, sys.maxunicode + 1)
+             if unicodedata.decimal(chr(c), None) is not None and c <= 0xFFFF]
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
 
-    Non-ASCII digits are the one accepted deviation (Python parses them).
-    """
-    return py_float_stripped(py_strip(col))
+
+_DIGITS = _script_digits()
 
 
-def py_float_stripped(col) -> Column:
-    """``py_float`` for text known to have no surrounding whitespace.
+def ascii_digits(col) -> Column:
+    """Decimal digits of any script (basic plane) as 0-9; other text is unchanged."""
+    s = _c(col)
+    return F.when(s.rlike(r"[^\x00-\x7F]"), F.translate(s, *_DIGITS)).otherwise(s)
 
-    The plain-number case is tried first and needs no regex: over the
+
+def py_float(col) -> Column:
+    """``float(x)`` as a nullable double: null where Python raises ValueError.
+
+    Surrounding white space goes and decimal digits of any script are read as
+    0-9. The plain-number case is tried first and needs no regex: over the
     characters 0-9 . e E + - the grammars of Python's float() and Java's
     Double.parseDouble (Spark's cast) accept exactly the same strings. The
     underscore form and the special words are looked at only otherwise."""
-    s = _c(col)
+    s = ascii_digits(py_strip(col))
     low = F.lower(s)
     short = F.length(s) <= F.lit(len("+infinity"))
     plain = F.translate(s, PLAIN_NUMBER_CHARS, "") == F.lit("")
@@ -132,13 +144,12 @@ def py_float_stripped(col) -> Column:
                   .otherwise(F.lit(float("inf")))))
 
 
-def check_parsed(extracted, extracted_num, gold_val, gold_num, stripped: bool = False) -> Column:
+def check_parsed(extracted, extracted_num, gold_val, gold_num) -> Column:
     """Answer check on already parsed sides (each number parsed once):
     null extraction is wrong; both numeric -> float equality (NaN never
-    equal); otherwise the stripped strings must match. ``stripped`` says both
-    texts are known to carry no surrounding whitespace."""
+    equal); otherwise the stripped strings must match."""
     ext, ef, gf, gv = _c(extracted), _c(extracted_num), _c(gold_num), _c(gold_val)
-    same_text = (ext == gv) if stripped else (py_strip(ext) == py_strip(gv))
+    same_text = py_strip(ext) == py_strip(gv)
     verdict = (F.when(ext.isNull(), F.lit(False))
                .when(ef.isNotNull() & gf.isNotNull(), (ef == gf) & ~F.isnan(ef))
                .otherwise(same_text))

@@ -11,10 +11,14 @@ RUN_STAMP_FORMAT = "yyyyMMdd_HHmmss"
 
 
 def local_stamp(ts_utc, zone: str = RUN_TIME_ZONE, fmt: str = RUN_STAMP_FORMAT) -> Column:
-    """A UTC wall-clock timestamp rendered in ``zone`` as ``fmt``.
-
-    Works for both ``timestamp_ntz`` (read as UTC wall clock) and ``timestamp``
-    columns, independent of the session time zone."""
+    """A UTC wall clock (``timestamp_ntz``) rendered in ``zone`` as ``fmt``."""
     col = F.col(ts_utc) if isinstance(ts_utc, str) else ts_utc
-    ntz = col.cast("timestamp_ntz")
-    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), ntz), fmt)
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), col.cast("timestamp_ntz")), fmt)
+
+
+def instant_stamp(ts, zone: str = RUN_TIME_ZONE, fmt: str = RUN_STAMP_FORMAT) -> Column:
+    """An instant (``timestamp``) rendered in ``zone`` as ``fmt``, the same in every
+    session time zone: its wall clock is read in the session's zone first."""
+    col = F.col(ts) if isinstance(ts, str) else ts
+    wall = col.cast("timestamp_ntz")
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit(zone), wall), fmt)

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from qamill.functions import text as T
 
+#: A sample's key: the question's place in its conversation.
+KEYS = ("conv_id", "turn")
+
 
 def render(conversations: DataFrame, generation_suffix: str = "") -> DataFrame:
     """One chat text per conversation: segments in turn order, plus the
@@ -16,8 +19,8 @@ def render(conversations: DataFrame, generation_suffix: str = "") -> DataFrame:
     A conversation is the output unit, so its turns meet in one group; the
     segments are built before the shuffle and partial aggregation is not
     possible for an ordered concatenation, but a group is one conversation,
-    not a share of the table."""
-    seg = T.chat_segment(F.col("role"), F.col("text"))
+    not a share of the table. A null text is an empty message."""
+    seg = T.chat_segment(F.col("role"), F.coalesce("text", F.lit("")))
     grouped = conversations.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("turn"), seg.alias("seg")))).alias("segs"),
         F.max_by(F.col("role"), F.col("turn")).alias("last_role"),
@@ -34,8 +37,11 @@ def with_prompts(pairs: DataFrame, use_chat: bool = False, generation_suffix: st
                                                     generation_suffix))
 
 
-def training_texts(pairs: DataFrame, use_chat, eos: str | None = T.DEFAULT_EOS) -> DataFrame:
-    """Prompt text and full training text for each sample (B10 switch)."""
+def training_texts(pairs: DataFrame, use_chat, eos: str | None = T.DEFAULT_EOS,
+                   generation_suffix: str = "", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Prompt text and full training text for each sample. ``generation_suffix`` is what a
+    chat template's options add to the generation prompt; the full text has no such part, so
+    prompt and full text then part ways before the prompt ends."""
     flag = F.lit(use_chat) if isinstance(use_chat, bool) else use_chat
-    return pairs.select("sid", T.prompt_text(F.col("question"), flag).alias("prompt_text"),
+    return pairs.select(*keys, T.prompt_text(F.col("question"), flag, generation_suffix).alias("prompt_text"),
                         T.full_text(F.col("question"), F.col("answer"), flag, eos).alias("full_text"))

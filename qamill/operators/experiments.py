@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from qamill.functions import text as T
 
-CELL_KEYS = ["method", "use_chat_template", "mask_question", "eval_chat_template"]
+CELL_KEYS = ["name", "eval_chat_template"]
 
 
 def select_experiments(experiments: DataFrame, names: list[str]) -> DataFrame:
@@ -18,7 +18,7 @@ def select_experiments(experiments: DataFrame, names: list[str]) -> DataFrame:
     chosen = experiments.where(F.col("name").isin(names))
     if chosen.isEmpty():
         available = [r.name for r in experiments.select("name").orderBy("ordinal").collect()]
-        raise ValueError(f"No matching experiments. Available: {available}")
+        raise ValueError(f"none of {names} is an experiment; there are {available}")
     return chosen
 
 
@@ -32,10 +32,8 @@ def grid(experiments: DataFrame) -> DataFrame:
 
 
 def _run_cells(runs: DataFrame) -> DataFrame:
-    return runs.select(F.col("train_method").alias("method"),
-                       F.col("train_chat_template").alias("use_chat_template"),
-                       F.col("train_mask_question").alias("mask_question"),
-                       "eval_chat_template", "run_id", "accuracy")
+    return runs.select(F.col("experiment_name").alias("name"), "eval_chat_template", "run_id",
+                       "accuracy")
 
 
 def with_results(cells: DataFrame, runs: DataFrame) -> DataFrame:

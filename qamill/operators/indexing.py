@@ -16,13 +16,14 @@ same 0-based position with the work spread over range partitions:
    executor is lost;
 3. a small table of per ``(g, partition)`` row counts and first ids gives each
    slice its offset (a running sum over earlier partitions of the group); it
-   has at most ``groups + partitions`` rows, so it is broadcast when ``few_groups`` says
-   the group count is bounded (runs, or no group at all) and joined on
-   ``(g, partition)`` otherwise -- a key a hot group cannot skew;
+   has at most ``groups + partitions`` rows and is joined on ``(g, partition)``, a
+   key a hot group cannot skew (Spark broadcasts it where it measures small);
 4. position = offset + id - first id.
 
 One range shuffle of the rows, one checkpoint write, no second pass over the
-upstream plan. The order must be total (unique within a group).
+upstream plan. The order must be total (unique within a group). Callers pass key
+columns only and join the positions back (``number_keys``), so texts are
+neither sorted nor checkpointed.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ _PID, _MID, _FIRST, _COUNT, _OFF = "_ix_pid", "_ix_mid", "_ix_first", "_ix_count
 
 
 def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str,
-                few_groups: bool = True, descending: tuple[str, ...] = (),
+                descending: tuple[str, ...] = (),
                 num_partitions: int | None = None) -> DataFrame:
     """Add ``out_col`` = 0-based position of each row inside its group, in the
     total order ``order_cols`` (ascending, except names in ``descending``)."""
@@ -59,8 +60,6 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out
     offsets = counts.select(*[F.col(g).alias(f"_ix_g{i}") for i, g in enumerate(group_cols)],
                             F.col(_PID).alias("_ix_p"), _FIRST,
                             F.coalesce(F.sum(_COUNT).over(earlier), F.lit(0)).alias(_OFF))
-    if few_groups:
-        offsets = F.broadcast(offsets)
     cond = F.col(_PID) == F.col("_ix_p")
     for i, g in enumerate(group_cols):
         cond = cond & ranged[g].eqNullSafe(F.col(f"_ix_g{i}"))
@@ -69,48 +68,17 @@ def dense_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out
     return joined.select(*df.columns, out)
 
 
-# A group above this many rows is numbered with ``dense_index``; below it one
-# task holds the group comfortably.
-HOT_GROUP_ROWS = 2_000_000
-# Up to this many hot group keys are collected and broadcast (a few MB);
-# beyond it the hot/cold split is done with joins instead.
-MAX_BROADCAST_HOT_KEYS = 50_000
-
-
-def group_index(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str,
-                hot_rows: int = HOT_GROUP_ROWS, descending: tuple[str, ...] = (),
-                detect_on: DataFrame | None = None) -> DataFrame:
-    """0-based position inside each group for tables of many groups.
-
-    Groups up to ``hot_rows`` rows take a plain window (one shuffle on the
-    group key, each window partition bounded by ``hot_rows``). One aggregate
-    over the group key finds the larger groups; their rows are numbered by
-    ``dense_index``, spread over range partitions. The hot keys are broadcast
-    when there are at most ``MAX_BROADCAST_HOT_KEYS`` of them, otherwise the
-    split is a semi/anti join (sized and skew-split by AQE) -- every row is
-    numbered either way.
-
-    ``detect_on`` may name a cheaper table holding at least the rows of each
-    group (e.g. the raw key column the rows were derived from): counting a
-    superset can only move a group to the range path, which is exact too."""
-    spark = df.sparkSession
-    sort = [F.col(c).desc() if c in descending else F.col(c).asc() for c in order_cols]
-    w = Window.partitionBy(*group_cols).orderBy(*sort)
-    numbered = F.row_number().over(w) - F.lit(1)
-    source = df if detect_on is None else detect_on
-    big = (source.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_ix_n"))
-           .where(F.col("_ix_n") > F.lit(hot_rows))
-           .select(*[F.col(g).alias(f"_ix_h{i}") for i, g in enumerate(group_cols)]))
-    found = big.limit(MAX_BROADCAST_HOT_KEYS + 1).collect()
-    if not found:
-        return df.withColumn(out_col, numbered.cast("bigint"))
-    few = len(found) <= MAX_BROADCAST_HOT_KEYS
-    hot = F.broadcast(spark.createDataFrame(found, big.schema)) if few else big
+def number_keys(df: DataFrame, keys: DataFrame, group_cols: list[str], order_cols: list[str],
+                out_col: str) -> DataFrame:
+    """``df`` with the position of each row among ``keys``: a narrow table that has one
+    row for each (group, order) value, of which ``df`` holds some or all. Group and
+    order columns together identify a row, so the join back has no hot key."""
+    cols = [*group_cols, *order_cols]
+    numbered = dense_index(keys.select(*cols), group_cols, order_cols, out_col)
+    names = [f"_nk{i}" for i in range(len(cols))]
+    right = numbered.select(*[F.col(c).alias(n) for c, n in zip(cols, names)], out_col)
     cond = None
-    for i, g in enumerate(group_cols):
-        part = df[g].eqNullSafe(F.col(f"_ix_h{i}"))
+    for c, n in zip(cols, names):
+        part = df[c].eqNullSafe(F.col(n))
         cond = part if cond is None else cond & part
-    cold = df.join(hot, cond, "left_anti").withColumn(out_col, numbered.cast("bigint"))
-    heavy = dense_index(df.join(hot, cond, "left_semi"), group_cols, order_cols, out_col,
-                        few_groups=few, descending=descending)
-    return cold.unionByName(heavy)
+    return df.join(right, cond, "inner").select(*df.columns, out_col)

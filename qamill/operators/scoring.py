@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qamill.functions import text as T
-from qamill.operators.indexing import dense_index
+from qamill.operators.indexing import number_keys
 from qamill.operators.tasks import GSM8K, TaskSpec
 
 RUN_COLS = ["run_id", "experiment_name", "train_method", "train_chat_template",
@@ -28,7 +28,7 @@ def gold_table(samples: DataFrame, task: TaskSpec = GSM8K,
     g = samples.select("sample_id", *carry, gold.alias("gold"))
     gv = task.gold_value(F.col("gold"))
     g = g.withColumn("_gold_val", gv)
-    return g.withColumn("_gold_num", task.number_of_output(F.col("_gold_val")))
+    return g.withColumn("_gold_num", task.to_number(F.col("_gold_val")))
 
 
 def with_extracted(outputs: DataFrame, task: TaskSpec = GSM8K) -> DataFrame:
@@ -43,14 +43,21 @@ def score(outputs: DataFrame, samples: DataFrame, task: TaskSpec = GSM8K,
     gold = gold_table(samples, task, carry)
     ext = with_extracted(outputs, task)
     # parsed once here; the check reads it three times
-    ext = ext.withColumn("_ext_num", task.number_of_output(F.col("extracted_answer")))
+    ext = ext.withColumn("_ext_num", task.to_number(F.col("extracted_answer")))
     scored = ext.join(gold, "sample_id", how)
-    correct = task.check_outputs(F.col("extracted_answer"), F.col("_ext_num"),
-                                 F.col("_gold_val"), F.col("_gold_num"))
+    correct = task.check_parsed(F.col("extracted_answer"), F.col("_ext_num"),
+                                F.col("_gold_val"), F.col("_gold_num"))
     correct = F.when(F.col("gold").isNull(), F.lit(False)).otherwise(correct)
     return scored.withColumn("correct", correct).drop("_ext_num", "_gold_val", "_gold_num")
 
 
+def first_outputs(outputs: DataFrame, order_cols: list[str]) -> DataFrame:
+    """The output that an evaluation counts: the first of each (run, sample). A hash
+    aggregate, pre-combined in every task."""
+    first = F.min_by(F.col("model_output"), F.struct(*order_cols))
+    return outputs.groupBy(*RUN_COLS, "sample_id").agg(first.alias("model_output"))
+
+
 def reward(outputs: DataFrame, samples: DataFrame, task: TaskSpec = GSM8K) -> DataFrame:
     """1.0 for a correct completion, else 0.0; a completion whose sample has no
     gold answer gets 0.0 (left join keeps it)."""
@@ -77,14 +84,15 @@ def reward_by_run(rewards: DataFrame) -> DataFrame:
 def group_advantage(rewards: DataFrame, group_size: int = 4, eps: float = 1e-4,
                     digits: int = 9) -> DataFrame:
     """Group-relative advantage ``(r - mean) / (std + eps)`` over consecutive
-    groups of ``group_size`` generations of the same prompt (sample std).
+    groups of ``group_size`` generations of the same prompt (sample std). A
+    group of one has no spread: its std is 0 and its advantage 0.
 
     The window key ``(sample_id, group_id)`` holds at most ``group_size`` rows,
     so no window partition grows with the data."""
     g = rewards.withColumn("group_id", F.floor((F.col("gen_no") - 1) / group_size).cast("bigint"))
     w = Window.partitionBy("sample_id", "group_id")
     mean = F.avg("reward").over(w)
-    std = F.stddev_samp("reward").over(w)
+    std = F.coalesce(F.stddev_samp("reward").over(w), F.lit(0.0))
     return (g.withColumn("group_mean", mean)
             .withColumn("group_std", std)
             .withColumn("advantage", F.round((F.col("reward") - F.col("group_mean"))
@@ -100,16 +108,10 @@ def detail_samples(samples: DataFrame) -> DataFrame:
                           F.col("answer").alias("gold_answer"), "answer")
 
 
-def details(outputs: DataFrame, samples: DataFrame, task: TaskSpec = GSM8K) -> DataFrame:
-    """Per-output detail rows; the question and gold texts come through the
-    scoring join itself."""
-    return details_from_scored(score(outputs, detail_samples(samples), task, carry=DETAIL_CARRY))
-
-
-def details_from_scored(scored: DataFrame) -> DataFrame:
-    """Detail rows with ``index``: the 0-based position inside the run in
-    ``(sample_id, gen_no)`` order, numbered without a per-run window."""
+def details_from_scored(scored: DataFrame, keys: DataFrame) -> DataFrame:
+    """Detail rows with ``index``: the 0-based position of a sample inside its run. ``keys``
+    has the (run_id, sample_id) pairs of the runs; only they are ranged and checkpointed."""
     rows = scored.withColumnRenamed("answer_value", "gold_value")
-    rows = dense_index(rows, ["run_id"], ["sample_id", "gen_no"], "index", few_groups=True)
-    return rows.select("run_id", "index", "sample_id", "gen_no", "question", "gold_answer",
+    rows = number_keys(rows, keys, ["run_id"], ["sample_id"], "index")
+    return rows.select("run_id", "index", "sample_id", "question", "gold_answer",
                        "gold_value", "model_output", "extracted_answer", "correct")

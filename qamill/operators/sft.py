@@ -16,18 +16,28 @@ from qamill.operators import conversations, tokens
 from qamill.operators.indexing import dense_index
 
 
+#: Tokens of an example at most, as in the training configuration.
+MAX_LEN = 1024
+
+
 def tokenized(pairs: DataFrame, use_chat: bool = False, eos: str | None = DEFAULT_EOS,
-              vocab: DataFrame | None = None) -> DataFrame:
-    """sid, prompt_ids, full_ids (untruncated) for each sample; the vocabulary
-    is built over the full texts when none is given."""
-    texts = conversations.training_texts(pairs, use_chat, eos)
+              generation_suffix: str = "", vocab: DataFrame | None = None) -> DataFrame:
+    """conv_id, turn, prompt_ids, full_ids (untruncated) for each sample; the vocabulary
+    is built over the texts when none is given."""
+    texts = conversations.training_texts(pairs, use_chat, eos, generation_suffix)
     if vocab is None:
-        vocab = tokens.build_vocab(texts, ["full_text"])
-    return tokens.token_ids(texts, "sid", {"prompt_text": "prompt_ids", "full_text": "full_ids"},
-                            vocab)
+        vocab = vocabulary(texts, generation_suffix)
+    return tokens.token_ids(texts, conversations.KEYS,
+                            {"prompt_text": "prompt_ids", "full_text": "full_ids"}, vocab)
+
+
+def vocabulary(texts: DataFrame, generation_suffix: str = "") -> DataFrame:
+    """Vocabulary of training texts; prompts add words only through a template suffix."""
+    return tokens.build_vocab(texts, ["full_text", "prompt_text"] if generation_suffix
+                              else ["full_text"])
 
 
-def examples(tok: DataFrame, mask_question: bool = True, max_len: int | None = 64) -> DataFrame:
+def examples(tok: DataFrame, mask_question: bool = True, max_len: int | None = MAX_LEN) -> DataFrame:
     """input_ids, attention_mask and labels, each truncated to ``max_len``.
 
     With ``mask_question`` the first ``prompt_len`` labels are -100, where
@@ -35,7 +45,7 @@ def examples(tok: DataFrame, mask_question: bool = True, max_len: int | None = 6
     the truncated input ids; otherwise labels copy the ids."""
     input_ids = A.truncate("full_ids", max_len)
     prompt_ids = A.truncate("prompt_ids", max_len)
-    df = tok.select("sid", "full_ids", "prompt_ids", input_ids.alias("input_ids"),
+    df = tok.select(*conversations.KEYS, "full_ids", "prompt_ids", input_ids.alias("input_ids"),
                     prompt_ids.alias("prompt_ids_trunc"))
     df = df.withColumn("attention_mask", A.ones_like("input_ids"))
     df = df.withColumn("prompt_len", A.common_prefix_len("prompt_ids_trunc", "input_ids"))
@@ -43,7 +53,7 @@ def examples(tok: DataFrame, mask_question: bool = True, max_len: int | None = 6
     return df.withColumn("labels", labels)
 
 
-def loss_token_stats(ex: DataFrame, max_len: int | None = 64) -> DataFrame:
+def loss_token_stats(ex: DataFrame, max_len: int | None = MAX_LEN) -> DataFrame:
     """Totals of masked and supervised label positions, rows with nothing to
     learn from, rows cut by truncation (one global row, partial aggregates)."""
     masked = A.count_value("labels", A.IGNORE_INDEX)
@@ -56,12 +66,12 @@ def loss_token_stats(ex: DataFrame, max_len: int | None = 64) -> DataFrame:
                   F.count_if(cut).alias("rows_truncated"))
 
 
-def assign_batches(df: DataFrame, key: str, batch_size: int, group_cols: list[str] | None = None) -> DataFrame:
-    """batch_id = position (in ``key`` order, within ``group_cols``) // size;
-    the last batch may be short. Positions come from ``dense_index``, so no
-    window holds a whole group."""
-    groups = group_cols or []
-    idx = dense_index(df, groups, [key], "_pos", few_groups=True)
+def assign_batches(keys: DataFrame, key_cols: list[str], batch_size: int,
+                   group_cols: list[str] | None = None) -> DataFrame:
+    """batch_id = position (in ``key_cols`` order, within ``group_cols``) // size;
+    the last batch may be short. Pass the key columns only: they are ranged and
+    checkpointed (``dense_index``), and no window holds a whole group."""
+    idx = dense_index(keys, group_cols or [], key_cols, "_pos")
     return idx.withColumn("batch_id", F.floor(F.col("_pos") / F.lit(batch_size)).cast("bigint")) \
         .drop("_pos")
 

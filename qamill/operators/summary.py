@@ -18,13 +18,21 @@ def accuracy(correct, total):
     return F.coalesce(F.try_divide(correct.cast("double"), total), F.lit(0.0))
 
 
-def run_summary(scored: DataFrame, run_cols: list[str] | None = None) -> DataFrame:
+def run_summary(scored: DataFrame, requested: DataFrame | None = None,
+                run_cols: list[str] | None = None) -> DataFrame:
     """One row per run. A hash aggregate: every task pre-aggregates its rows
     (partial count / count_if) before the shuffle, so a run holding most of the
-    rows costs one small row per task, not one big task."""
+    rows costs one small row per task, not one big task.
+
+    ``requested`` holds the samples that every run was asked for: their number is the
+    total, so samples without an output count as wrong. Without it (a stream) the total
+    is the number of scored rows. ``scored`` has one row for each run and sample."""
     cols = run_cols or RUN_COLS
     agg = scored.groupBy(*cols).agg(F.count(F.lit(1)).alias("total_samples"),
                                     F.count_if(F.col("correct")).alias("correct"))
+    if requested is not None:
+        total = requested.agg(F.count(F.lit(1))).scalar()
+        agg = agg.withColumn("total_samples", total)
     return agg.withColumn("accuracy", accuracy(F.col("correct"), F.col("total_samples")))
 
 
@@ -39,8 +47,12 @@ def overall_summary(scored: DataFrame) -> DataFrame:
 def enrich_runs(summaries: DataFrame, run_info: DataFrame) -> DataFrame:
     """Fill training metadata from the run-info dimension: an explicit value
     wins; an empty method is inferred from the config path; a false flag takes
-    the stored flag. Runs without metadata keep their values."""
-    info = run_info.select(F.col("model_path").alias("_ri_path"),
+    the stored flag, a stored null included. Runs without metadata keep their values. Of
+    several metadata rows for one model the greatest counts, so a run stays one row."""
+    fields = ["original_config_path", "use_chat_template", "mask_question"]
+    info = run_info.groupBy("model_path").agg(F.max(F.struct(*fields)).alias("_m")) \
+        .select("model_path", *[F.col(f"_m.{c}").alias(c) for c in fields])
+    info = info.select(F.col("model_path").alias("_ri_path"),
                            F.col("original_config_path").alias("_ri_cfg"),
                            F.col("use_chat_template").alias("_ri_chat"),
                            F.col("mask_question").alias("_ri_mask"),
@@ -52,10 +64,10 @@ def enrich_runs(summaries: DataFrame, run_info: DataFrame) -> DataFrame:
     method = F.when(found & (F.coalesce(F.col("train_method"), F.lit("")) == ""), inferred) \
         .otherwise(F.col("train_method"))
     chat = F.when(found & ~F.coalesce(F.col("train_chat_template"), F.lit(False)),
-                  F.coalesce(F.col("_ri_chat"), F.lit(False))) \
+                  F.col("_ri_chat")) \
         .otherwise(F.col("train_chat_template"))
     mask = F.when(found & ~F.coalesce(F.col("train_mask_question"), F.lit(False)),
-                  F.coalesce(F.col("_ri_mask"), F.lit(False))) \
+                  F.col("_ri_mask")) \
         .otherwise(F.col("train_mask_question"))
     return (j.withColumn("train_method", method)
             .withColumn("train_chat_template", chat)

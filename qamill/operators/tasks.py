@@ -31,10 +31,6 @@ class TaskSpec:
     check_parsed: Callable[[Column, Column, Column, Column], Column]
     # text -> nullable double used by the numeric comparison
     to_number: Callable[[Column], Column]
-    # the same for text without surrounding whitespace; ``extract`` and
-    # ``gold_value`` outputs are of that kind when ``outputs_stripped``
-    to_number_stripped: Callable[[Column], Column] | None = None
-    outputs_stripped: bool = False
 
     def samples(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """Load the samples: strip both fields, derive the gold value."""
@@ -51,19 +47,6 @@ class TaskSpec:
         gv = self.gold_value(gold)
         return self.check_parsed(extracted, self.to_number(extracted), gv, self.to_number(gv))
 
-    def number_of_output(self, value: Column) -> Column:
-        """Parse an ``extract``/``gold_value`` output (stripped fast path)."""
-        if self.outputs_stripped and self.to_number_stripped is not None:
-            return self.to_number_stripped(value)
-        return self.to_number(value)
-
-    def check_outputs(self, extracted: Column, extracted_num: Column, gold_val: Column,
-                      gold_num: Column) -> Column:
-        """Check where both texts are ``extract``/``gold_value`` outputs."""
-        if self.outputs_stripped:
-            return self.check_parsed(extracted, extracted_num, gold_val, gold_num, stripped=True)
-        return self.check_parsed(extracted, extracted_num, gold_val, gold_num)
-
 
 def _gsm_raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     from qamill.sources.fixtures import qa_raw
@@ -77,21 +60,26 @@ GSM8K = TaskSpec(
     gold_value=T.gold_value,
     check_parsed=T.check_parsed,
     to_number=T.py_float,
-    # the marker capture is stripped and a number match holds no whitespace;
-    # the gold value is stripped on both of its paths
-    to_number_stripped=T.py_float_stripped,
-    outputs_stripped=True,
 )
 
-TASK_REGISTRY: dict[str, TaskSpec] = {GSM8K.name: GSM8K}
+_tasks: dict[str, TaskSpec] = {}
 
 
 def register_task(spec: TaskSpec) -> None:
-    TASK_REGISTRY[spec.name] = spec
+    """Make ``spec`` known under its name; a later task of the same name replaces it."""
+    _tasks[spec.name] = spec
+
+
+def task_names() -> list[str]:
+    return sorted(_tasks)
 
 
 def get_task(name: str) -> TaskSpec:
-    if name not in TASK_REGISTRY:
-        available = ", ".join(TASK_REGISTRY.keys())
-        raise ValueError(f"Unknown task '{name}'. Available: {available}")
-    return TASK_REGISTRY[name]
+    """The task registered as ``name``; KeyError names the known ones."""
+    try:
+        return _tasks[name]
+    except KeyError:
+        raise KeyError(f"no task is registered as {name!r}; known: {task_names()}") from None
+
+
+register_task(GSM8K)

@@ -9,10 +9,10 @@ themselves are not a pretrained model's.
 Plan shape: tokens are exploded into (key, kind, position, token) rows with
 one explode for all text columns; counting is a hash aggregate with map-side
 combine (frequent tokens are pre-aggregated per task); the id lookup joins on
-the token -- a counted, bounded vocabulary is broadcast and the texts are
-pre-partitioned by key so the regroup per text needs no shuffle of the
-exploded rows; a larger vocabulary takes a sort-merge join with skew
-splitting. A regroup group is one text.
+the token, where Spark broadcasts the vocabulary if it measures small and
+splits frequent tokens otherwise. The texts are partitioned by key first, so with a
+broadcast vocabulary the regroup per text moves no exploded rows. A regroup group
+is one text.
 """
 
 from __future__ import annotations
@@ -47,11 +47,6 @@ def build_vocab(texts: DataFrame, text_cols: list[str]) -> DataFrame:
     return ranked.withColumn("token_id", F.col("token_id") + FIRST_ID)
 
 
-# A vocabulary up to this many tokens is broadcast (~50 MB as a hash
-# relation); its size is counted from the checkpoint it is read from.
-MAX_BROADCAST_VOCAB = 1_000_000
-
-
 def _is_kind(i: int):
     # a one-argument lambda: Spark reads a second parameter as the element index
     return lambda t: t["_kind"] == F.lit(i)
@@ -62,32 +57,20 @@ def _tagged(kind: int):
     return lambda t, pos: F.struct(F.lit(kind).alias("_kind"), pos.alias("_pos"), t.alias("token"))
 
 
-def token_ids(texts: DataFrame, key: str, text_cols: dict[str, str], vocab: DataFrame,
-              broadcast_vocab: bool | None = None) -> DataFrame:
+def token_ids(texts: DataFrame, keys: tuple[str, ...], text_cols: dict[str, str],
+              vocab: DataFrame) -> DataFrame:
     """For each text column ``c`` -> output array column ``text_cols[c]`` of
     vocabulary ids, in token order. All columns share one explode, one join
-    and one regroup. Texts without tokens get empty arrays; tokens missing
-    from the vocabulary get null ids.
-
-    With a vocabulary of at most ``MAX_BROADCAST_VOCAB`` tokens (counted; pass
-    ``broadcast_vocab`` to skip the count) the texts are hash-partitioned by
-    ``key`` and the vocabulary broadcast, so neither the id lookup nor the
-    regroup moves the exploded tokens. Otherwise the lookup is a sort-merge
-    join on the token (skewed tokens split by AQE)."""
+    and one regroup by ``keys``, which identify a text. Texts without tokens get
+    empty arrays; tokens missing from the vocabulary get null ids."""
     kinds = list(text_cols)
-    if broadcast_vocab is None:
-        broadcast_vocab = vocab.count() <= MAX_BROADCAST_VOCAB
-    src = texts.repartition(key) if broadcast_vocab else texts
     tagged = F.concat(*[F.transform(tokenize(c), _tagged(i)) for i, c in enumerate(kinds)])
-    exploded = src.select(key, F.explode_outer(tagged).alias("_t")) \
-        .select(key, "_t._kind", "_t._pos", "_t.token")
-    lookup = vocab.select("token", "token_id")
-    if broadcast_vocab:
-        lookup = F.broadcast(lookup)
-    ids = exploded.join(lookup, "token", "left")
+    exploded = texts.repartition(*keys).select(*keys, F.explode_outer(tagged).alias("_t")) \
+        .select(*keys, "_t._kind", "_t._pos", "_t.token")
+    ids = exploded.join(vocab.select("token", "token_id"), "token", "left")
     entry = F.when(F.col("_pos").isNotNull(), F.struct("_kind", "_pos", "token_id"))
-    grouped = ids.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_toks"))
-    out = [F.col(key)]
+    grouped = ids.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_toks"))
+    out = [F.col(k) for k in keys]
     for i, c in enumerate(kinds):
         out.append(F.transform(F.filter("_toks", _is_kind(i)),
                                lambda t: t["token_id"]).alias(text_cols[c]))

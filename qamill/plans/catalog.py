@@ -1,13 +1,14 @@
 """Registered queries: name -> (spark, sf_dir) -> DataFrame.
 
 Each query reads the provided tables (through the derived inputs in
-``qamill.sources.fixtures``) and returns a lazy DataFrame; nothing is collected.
-Column names match the oracle SQL in ``qamill.plans.oracle``.
+``qamill.sources.fixtures``) and returns a DataFrame; nothing is collected and
+nothing is kept between calls. Column names match the oracle SQL in
+``qamill.plans.oracle``.
 """
 
 from __future__ import annotations
 
-import weakref
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,8 @@ from qamill.functions import text as T
 from qamill.functions import times as TM
 from qamill.operators import conversations, experiments, report, scoring, sft, summary, tokens
 from qamill.operators.tasks import GSM8K
-from qamill.sources import fixtures
-from qamill.session import materialize
+from qamill.sources import files, fixtures
+from qamill.session import checkpoint_dir
 from qamill.sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -36,43 +37,28 @@ def query(fn: QueryFn) -> QueryFn:
     return fn
 
 
-_DEFS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
-
-
-def _defined(key: tuple, build):
-    """Lazy derived-input definitions shared by the queries of one session
-    (plan definitions only: each execution still computes everything)."""
-    defs = _DEFS.setdefault(key[0], {})
-    if key[1:] not in defs:
-        defs[key[1:]] = build()
-    return defs[key[1:]]
-
-
 def _qa(spark, d):
-    return _defined((spark, d, "qa"), lambda: GSM8K.samples(spark, d))
+    return GSM8K.samples(spark, d)
 
 
-def _raw_outs(spark, d):
-    """Outputs before generation numbering, ordering columns kept."""
-    return _defined((spark, d, "outs"),
-                    lambda: fixtures.outs(spark, d, with_gen_no=False, keep_order=True))
+def _numbered(df, d, *cols):
+    """Row-local results (narrow) with ``gen_no`` joined on last."""
+    return fixtures.number_generations(df.select("sample_id", *fixtures.GEN_ORDER, *cols), d)
 
 
-def _outs(spark, d, gen_no=True):
-    raw = _raw_outs(spark, d)
-    return fixtures.number_generations(raw, sf_dir=d) if gen_no else raw.drop(*fixtures.GEN_ORDER)
+def _test(spark, d):
+    return GSM8K.load_split(spark, d, "test")
 
 
-def _scored(spark, d, gen_no=True):
-    """Scored outputs; generation numbers are assigned after the row-local
-    scoring, so their shuffle carries no output text that is not needed."""
-    if not gen_no:
-        return scoring.score(_outs(spark, d, False), _qa(spark, d))
-    return fixtures.number_generations(scoring.score(_raw_outs(spark, d), _qa(spark, d)), sf_dir=d)
+def _evaluated(spark, d, samples=None, carry=()):
+    """The first output of every run and test sample, scored."""
+    outputs = scoring.first_outputs(fixtures.outs(spark, d, "test"), fixtures.GEN_ORDER)
+    return scoring.score(outputs, _test(spark, d) if samples is None else samples, carry=carry)
 
 
-def _rewards(spark, d):
-    return fixtures.number_generations(scoring.reward(_raw_outs(spark, d), _qa(spark, d)), sf_dir=d)
+def _rewarded(spark, d):
+    """Rewards of all outputs for training samples."""
+    return scoring.reward(fixtures.outs(spark, d, "train"), GSM8K.load_split(spark, d, "train"))
 
 
 # --- P1/P2 inputs: question/answer samples -------------------------------------------
@@ -133,14 +119,14 @@ def max_samples(spark, d):
 
 @query
 def extract_marker(spark, d):
-    return _outs(spark, d).select("sample_id", "gen_no",
-                                  T.extract_marker("model_output").alias("marker_value"))
+    found = fixtures.outs(spark, d).withColumn("marker_value", T.extract_marker("model_output"))
+    return _numbered(found, d, "marker_value").select("sample_id", "gen_no", "marker_value")
 
 
 @query
 def extract_answer(spark, d):
-    return _outs(spark, d).select("sample_id", "gen_no",
-                                  GSM8K.extract(F.col("model_output")).alias("extracted_answer"))
+    found = scoring.with_extracted(fixtures.outs(spark, d))
+    return _numbered(found, d, "extracted_answer").select("sample_id", "gen_no", "extracted_answer")
 
 
 @query
@@ -151,69 +137,80 @@ def extract_last_number(spark, d):
 
 @query
 def check_answer(spark, d):
-    return _scored(spark, d).select("sample_id", "gen_no", "run_id", "extracted_answer",
-                                    "gold", "correct")
+    """Every output for a test sample, checked."""
+    scored = scoring.score(fixtures.outs(spark, d, "test"), _test(spark, d))
+    cols = ["run_id", "extracted_answer", "gold", "correct"]
+    return _numbered(scored, d, *cols).select("sample_id", "gen_no", *cols)
 
 
 @query
 def score_details(spark, d):
-    scored = scoring.score(_raw_outs(spark, d), scoring.detail_samples(_qa(spark, d)),
-                           carry=scoring.DETAIL_CARRY)
-    return scoring.details_from_scored(fixtures.number_generations(scored, sf_dir=d))
+    scored = _evaluated(spark, d, scoring.detail_samples(_test(spark, d)), scoring.DETAIL_CARRY)
+    keys = fixtures.outs(spark, d, "test").select("run_id", "sample_id").distinct()
+    return scoring.details_from_scored(scored, keys)
 
 
 @query
 def run_summary(spark, d):
-    return summary.run_summary(_scored(spark, d, gen_no=False)) \
+    return summary.run_summary(_evaluated(spark, d), _test(spark, d)) \
+        .select("run_id", *summary.SUMMARY_COLS)
+
+
+@query
+def run_summary_limited(spark, d):
+    """The evaluation of the first ``MAX_SAMPLES`` test samples."""
+    asked = _test(spark, d).orderBy("sample_id").limit(MAX_SAMPLES)
+    return summary.run_summary(_evaluated(spark, d, asked), asked) \
         .select("run_id", *summary.SUMMARY_COLS)
 
 
 @query
 def reward(spark, d):
-    return _rewards(spark, d).select("sample_id", "gen_no", "run_id", "reward")
+    return _numbered(_rewarded(spark, d), d, "run_id", "reward") \
+        .select("sample_id", "gen_no", "run_id", "reward")
 
 
 @query
 def reward_by_prompt(spark, d):
-    return scoring.reward_by_prompt(scoring.reward(_outs(spark, d, gen_no=False), _qa(spark, d)))
+    return scoring.reward_by_prompt(_rewarded(spark, d))
 
 
 @query
 def reward_by_run(spark, d):
-    return scoring.reward_by_run(scoring.reward(_outs(spark, d, gen_no=False), _qa(spark, d)))
+    return scoring.reward_by_run(_rewarded(spark, d))
 
 
 @query
 def group_advantage(spark, d):
-    adv = scoring.group_advantage(_rewards(spark, d).select("sample_id", "gen_no", "reward"))
+    adv = scoring.group_advantage(_numbered(_rewarded(spark, d), d, "reward"))
     return adv.select("sample_id", "gen_no", "group_id", "reward", "group_mean", "advantage")
 
 
 @query
 def output_union(spark, d):
-    """Outputs arriving in two batches (chat-format and raw-format evaluations)
-    concatenated by name; keys, not order, carry identity."""
-    o = _outs(spark, d).select("run_id", "sample_id", "gen_no", "eval_chat_template",
-                               "model_output")
-    chat = o.where(F.col("eval_chat_template")).drop("eval_chat_template")
-    raw = o.where(~F.col("eval_chat_template")).drop("eval_chat_template")
-    return chat.unionByName(raw)
+    """Generated outputs and assistant messages, two tables concatenated by name."""
+    cols = ["run_id", "sample_id", "gen_no", "model_output"]
+    generated = _numbered(fixtures.outs(spark, d), d, "run_id", "model_output").select(*cols)
+    return generated.unionByName(fixtures.message_outputs(spark, d).select(*cols))
 
 
 # --- P1 conversations and training text -----------------------------------------------
 
-SFT_MAX_LEN = 64
+SFT_MAX_LEN = sft.MAX_LEN
+BATCH_CAP = 48
 BATCH_SIZE = 16
 BATCH_SLICE = 3
+THINK_SUFFIX = "<think>\n\n</think>\n\n"   # a chat template option: an empty thinking block
+KEYS = list(conversations.KEYS)
 
 
 def _pairs(spark, d):
-    return _defined((spark, d, "pairs"), lambda: fixtures.pairs(spark, d))
+    return fixtures.pairs(spark, d)
 
 
 @query
 def conv_pairs(spark, d):
-    return _pairs(spark, d).select("sid", "conv_id", "turn", "question", "answer")
+    return _pairs(spark, d).select(*KEYS, "question", "answer")
 
 
 @query
@@ -224,14 +221,14 @@ def chat_render(spark, d):
 
 @query
 def chat_prompt(spark, d):
-    return conversations.with_prompts(_pairs(spark, d), use_chat=True).select("sid", "prompt")
+    return conversations.with_prompts(_pairs(spark, d), use_chat=True).select(*KEYS, "prompt")
 
 
 @query
 def sft_text(spark, d):
     both = _pairs(spark, d).withColumn(
         "use_chat_template", F.explode(F.array(F.lit(True), F.lit(False))))
-    return both.select("sid", "use_chat_template",
+    return both.select(*KEYS, "use_chat_template",
                        T.full_text(F.col("question"), F.col("answer"),
                                    F.col("use_chat_template")).alias("text"))
 
@@ -246,48 +243,74 @@ def _tok(spark, d):
     return sft.tokenized(_pairs(spark, d), use_chat=False)
 
 
-def _examples(spark, d):
-    return sft.examples(_tok(spark, d), mask_question=True, max_len=SFT_MAX_LEN)
+def _examples(spark, d, use_chat=False, mask_question=True, suffix=""):
+    tok = sft.tokenized(_pairs(spark, d), use_chat=use_chat, generation_suffix=suffix)
+    return sft.examples(tok, mask_question=mask_question, max_len=SFT_MAX_LEN)
+
+
+def _batch_keys(spark, d):
+    """(conv_id, turn, batch_id): batches depend on the sample keys alone."""
+    return sft.assign_batches(_pairs(spark, d).select(*KEYS), KEYS, BATCH_SIZE)
 
 
 def _batched(spark, d):
-    """Batch ids depend only on the sample key: they are numbered on the key
-    table (cheap upstream, narrow checkpoint) and joined to the examples on
-    the unique key, instead of range-partitioning the token arrays."""
-    keys = sft.assign_batches(_pairs(spark, d).select("sid"), "sid", BATCH_SIZE)
-    return _examples(spark, d).join(keys, "sid", "inner")
+    return _examples(spark, d).join(_batch_keys(spark, d), KEYS, "inner")
 
 
 @query
 def token_ids(spark, d):
     t = _tok(spark, d)
-    return t.select("sid", F.size("full_ids").cast("bigint").alias("n_tokens"),
+    return t.select(*KEYS, F.size("full_ids").cast("bigint").alias("n_tokens"),
                     A.as_text("full_ids").alias("input_ids"),
                     A.as_text(A.ones_like("full_ids")).alias("attention_mask"))
 
 
 @query
 def truncate_tokens(spark, d):
-    t = _tok(spark, d).withColumn("ids", A.truncate("full_ids", SFT_MAX_LEN))
-    return t.select("sid", F.size("ids").cast("bigint").alias("n_tokens"),
+    t = _tok(spark, d).withColumn("ids", A.truncate("full_ids", BATCH_CAP))
+    return t.select(*KEYS, F.size("ids").cast("bigint").alias("n_tokens"),
                     A.as_text("ids").alias("input_ids"))
 
 
 @query
 def prompt_lcp(spark, d):
-    return _examples(spark, d).select("sid", F.col("prompt_len").cast("bigint").alias("prompt_len"))
+    return _examples(spark, d).select(*KEYS, F.col("prompt_len").cast("bigint").alias("prompt_len"))
 
 
 @query
 def mask_labels(spark, d):
-    return _examples(spark, d).select("sid", A.as_text("labels").alias("labels"))
+    return _examples(spark, d).select(*KEYS, A.as_text("labels").alias("labels"))
+
+
+def _example_text(ex):
+    return ex.select(*KEYS, A.as_text("input_ids").alias("input_ids"),
+                     A.as_text("attention_mask").alias("attention_mask"),
+                     A.as_text("labels").alias("labels"))
 
 
 @query
 def sft_examples(spark, d):
-    return _examples(spark, d).select("sid", A.as_text("input_ids").alias("input_ids"),
-                                      A.as_text("attention_mask").alias("attention_mask"),
-                                      A.as_text("labels").alias("labels"))
+    """Raw layout, loss on the answer only."""
+    return _example_text(_examples(spark, d))
+
+
+@query
+def sft_examples_full_loss(spark, d):
+    """Raw layout, loss on question and answer."""
+    return _example_text(_examples(spark, d, mask_question=False))
+
+
+@query
+def sft_examples_chat(spark, d):
+    """Chat layout, loss on all of it."""
+    return _example_text(_examples(spark, d, use_chat=True, mask_question=False))
+
+
+@query
+def sft_examples_chat_mask(spark, d):
+    """Chat layout with a template option in the prompt, loss after the common prefix: the
+    prompt leaves the full text at the thinking block, so masking stops there."""
+    return _example_text(_examples(spark, d, use_chat=True, suffix=THINK_SUFFIX))
 
 
 @query
@@ -297,30 +320,50 @@ def loss_token_stats(spark, d):
 
 @query
 def batch_assign(spark, d):
-    return _batched(spark, d).select("sid", "batch_id")
+    return _batch_keys(spark, d).select(*KEYS, "batch_id")
 
 
 @query
-def batch_slice(spark, d):
-    b = _batched(spark, d).where(F.col("batch_id") == BATCH_SLICE)
-    return b.select("sid", "batch_id", A.as_text("input_ids").alias("input_ids"))
+def batch_counts(spark, d):
+    return sft.batch_count(_pairs(spark, d), BATCH_SIZE)
 
 
 @query
-def batch_pad(spark, d):
-    p = sft.pad_batches(_batched(spark, d))
-    return p.select("sid", "batch_id", "width", A.as_text("input_ids").alias("input_ids"),
+def batch_slice(spark, d):
+    """One batch: its keys are chosen first, and only its texts are tokenized."""
+    pairs = _pairs(spark, d)
+    keys = _batch_keys(spark, d).where(F.col("batch_id") == BATCH_SLICE)
+    vocabulary = sft.vocabulary(conversations.training_texts(pairs, False))
+    tok = sft.tokenized(pairs.join(keys.select(*KEYS), KEYS, "left_semi"), vocab=vocabulary)
+    ex = sft.examples(tok, mask_question=True, max_len=SFT_MAX_LEN)
+    return ex.select(*KEYS, F.lit(BATCH_SLICE).cast("bigint").alias("batch_id"),
+                     A.as_text("input_ids").alias("input_ids"))
+
+
+def _padded(spark, d, cap=None):
+    p = sft.pad_batches(_batched(spark, d), max_length=cap)
+    return p.select(*KEYS, "batch_id", "width", A.as_text("input_ids").alias("input_ids"),
                     A.as_text("labels").alias("labels"),
                     A.as_text("attention_mask").alias("attention_mask"))
 
 
+@query
+def batch_pad(spark, d):
+    return _padded(spark, d)
+
+
+@query
+def batch_pad_capped(spark, d):
+    return _padded(spark, d, BATCH_CAP)
+
+
 def _left(spark, d):
     return sft.left_pad_prompts(_batched(spark, d))
 
 
 @query
 def left_pad(spark, d):
-    return _left(spark, d).select("sid", "batch_id", "width",
+    return _left(spark, d).select(*KEYS, "batch_id", "width",
                                   A.as_text("gen_input_ids").alias("input_ids"),
                                   A.as_text("gen_attention_mask").alias("attention_mask"))
 
@@ -328,7 +371,7 @@ def left_pad(spark, d):
 @query
 def mask_counts(spark, d):
     lp = _left(spark, d)
-    return lp.select("sid", A.array_sum("gen_attention_mask").alias("real_tokens"),
+    return lp.select(*KEYS, A.array_sum("gen_attention_mask").alias("real_tokens"),
                      A.count_value("gen_attention_mask", 0).cast("bigint").alias("pad_tokens"))
 
 
@@ -342,21 +385,18 @@ def completion_slice(spark, d):
     gen = F.concat("gen_input_ids", answer_ids)
     comp = A.completion_slice(gen, A.count_value("gen_attention_mask", 0),
                               A.array_sum("gen_attention_mask"))
-    return lp.select("sid", A.as_text(comp).alias("completion_ids"))
+    return lp.select(*KEYS, A.as_text(comp).alias("completion_ids"))
 
 
 # --- P3/P4 run summaries and the comparison report --------------------------------------
 
-DROPPED_RUN = "A_F_1"          # its summary is missing in the pairs / discovery queries
 DUPLICATED_RUN = "N_O_0"       # evaluated twice; the later directory must be ignored
 EXPERIMENT_PICK = ["sft_no_chat_mask_q", "grpo_no_chat", "sft_chat"]
 
 
 def _runs(spark, d):
-    def build():
-        s = summary.run_summary(_scored(spark, d, gen_no=False))
-        return s.withColumn("eval_dir", F.concat(F.lit("eval/"), F.col("run_id")))
-    return _defined((spark, d, "runs"), build)
+    s = summary.run_summary(_evaluated(spark, d), _test(spark, d))
+    return s.withColumn("eval_dir", F.concat(F.lit("eval/"), F.col("run_id")))
 
 
 REPORT_COLS = ["run_id", "eval_dir", *summary.SUMMARY_COLS]
@@ -391,8 +431,8 @@ def report_grouped(spark, d):
 
 @query
 def report_pairs(spark, d):
-    runs = _runs(spark, d).where(F.col("run_id") != DROPPED_RUN)
-    return report.chat_raw_pairs(report.with_labels(runs))
+    """Labels with both formats; a label whose raw evaluation never ran is left out."""
+    return report.chat_raw_pairs(report.with_labels(_runs(spark, d)))
 
 
 @query
@@ -415,8 +455,7 @@ def accuracy_pct(spark, d):
 def summary_union(spark, d):
     """Summaries written by two tool versions: the raw-format half lacks
     ``train_method`` and ``train_mask_question``; absent keys become null."""
-    # one row per run, used twice: checkpointed so the outputs are scored once
-    runs = materialize(_runs(spark, d))
+    runs = _runs(spark, d)
     full = runs.where(F.col("eval_chat_template"))
     ragged = runs.where(~F.col("eval_chat_template")).drop("train_method", "train_mask_question")
     both = full.unionByName(ragged, allowMissingColumns=True)
@@ -425,12 +464,13 @@ def summary_union(spark, d):
 
 @query
 def runs_with_summary(spark, d):
-    """Run directories that hold a summary: all runs seen in the outputs,
-    semi-joined to the summaries present (one is missing)."""
-    runs = materialize(_runs(spark, d))   # one row per run, read twice
-    listed = runs.select("eval_dir").distinct()
-    present = runs.where(F.col("run_id") != DROPPED_RUN).select("eval_dir")
-    return listed.join(present, "eval_dir", "left_semi")
+    """Run directories that hold a summary: every run of the grid's models and formats,
+    semi-joined to the summaries there are."""
+    li = read_table(spark, d, "lineitem", ["l_returnflag", "l_linestatus"]).distinct()
+    listed = li.select(F.explode(F.array(*[
+        F.concat_ws("_", F.concat(F.lit("eval/"), F.col("l_returnflag")),
+                    "l_linestatus", F.lit(v)) for v in ("0", "1")])).alias("eval_dir"))
+    return listed.join(_runs(spark, d).select("eval_dir"), "eval_dir", "left_semi")
 
 
 @query
@@ -440,6 +480,77 @@ def run_enrich(spark, d):
                            "train_mask_question")
 
 
+# --- files: what the sinks write, the scans read ------------------------------------------
+
+def _folder(spark, name):
+    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}/{name}"
+
+
+@query
+def results_roundtrip(spark, d):
+    """Result tables written by run and read back: detail rows with their run's accuracy."""
+    base = _folder(spark, "results")
+    files.write_results(run_summary(spark, d), score_details(spark, d), base)
+    runs, details = files.read_results(spark, base)
+    return details.join(runs.select("run_id", "accuracy"), "run_id") \
+        .select("run_id", "index", "sample_id", "extracted_answer", "correct", "accuracy")
+
+
+@query
+def summary_files(spark, d):
+    """Summaries written as one JSON document a run and found again by the scan."""
+    base = _folder(spark, "eval")
+    files.write_summaries_json(_runs(spark, d).drop("eval_dir"), base)
+    return files.read_summary_files(spark, base).select(
+        F.regexp_extract("eval_dir", "[^/]+$", 0).alias("run_dir"), *summary.SUMMARY_COLS)
+
+
+@query
+def discovered_runs(spark, d):
+    base = _folder(spark, "eval")
+    files.write_summaries_json(_runs(spark, d).drop("eval_dir"), base)
+    return files.discover_runs(spark, base).select(
+        F.regexp_extract("eval_dir", "[^/]+$", 0).alias("run_dir"))
+
+
+@query
+def comparison_csv(spark, d):
+    """The comparison table written as CSV and read back with its schema."""
+    path = _folder(spark, "comparison")
+    table = report_comparison(spark, d)
+    files.write_comparison_csv(table, path)
+    return files.read_comparison_csv(spark, path, table.schema)
+
+
+@query
+def detail_documents(spark, d):
+    """Detail rows written as JSON lines, a folder a run, and read back."""
+    base = _folder(spark, "details")
+    files.write_details_json(score_details(spark, d), base)
+    return files.read_detail_files(spark, base).select(
+        F.regexp_extract("eval_dir", "[^/]+$", 0).alias("run_dir"), "index", "question",
+        "gold_value", "model_output", "extracted_answer", "correct")
+
+
+@query
+def run_info_files(spark, d):
+    """Run metadata of every model in the outputs, written as JSON and read back flat."""
+    path = _folder(spark, "run_info")
+    models = fixtures.outs(spark, d).select("model_path", "train_chat_template",
+                                            "train_mask_question").distinct()
+    info = models.select(
+        "model_path", F.lit("configs/sft.yaml").alias("original_config_path"),
+        F.struct(F.lit(fixtures.TASK_NAME).alias("task"),
+                 F.col("train_chat_template").alias("use_chat_template"),
+                 F.when(F.col("train_mask_question"), F.lit(True)).alias("mask_question"),
+                 F.lit("out").alias("output_dir")).alias("cli_args"),
+        F.lit("2024-01-02T03:04:05").cast("timestamp").alias("timestamp"))
+    files.write_run_info(info, path)
+    return files.read_run_info(spark, path).select(
+        "model_path", "original_config_path", "use_chat_template", "mask_question",
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"))
+
+
 # --- experiment grid -------------------------------------------------------------------
 
 def _cells(spark, names=None):
@@ -486,7 +597,8 @@ def option_merge(spark, d):
     m = _merged(spark, d)
     return m.select("event_id", F.element_at("opts", F.lit("k")).alias("opt_k"),
                     F.element_at("opts", F.lit("src")).alias("opt_src"),
-                    F.size("opts").cast("bigint").alias("n_opts"))
+                    F.size("opts").cast("bigint").alias("n_opts"),
+                    O.malformed("props").alias("malformed"))
 
 
 @query

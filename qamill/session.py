@@ -21,6 +21,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a repeated key of a JSON object: the last one wins, as in Python
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 
@@ -43,16 +45,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Set what the session has not set itself."""
     for key, value in _DEFAULTS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) a fresh scratch folder is
-    created and registered; on a cluster the configured shared folder is used.
+    Only a local master may do without: a fresh scratch folder is then created
+    and registered. On a cluster a missing setting is an error, since executors
+    cannot see each other's local folders.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -69,6 +74,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
     local = tempfile.mkdtemp(prefix="qamill-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)

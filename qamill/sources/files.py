@@ -3,11 +3,14 @@
 * results: a summary table and a detail table, each partitioned by ``run_id``
   (the nested ``{"summary", "details"}`` document is never assembled on one
   task: a run's details can be any size);
-* summaries as JSON lines, comparison tables as CSV with a header;
-* reading summaries scattered over run directories (``<eval>/<run>/summary.json``),
-  tagging each row with its directory; directories without one are skipped and
+* summaries as one JSON document a run, details as JSON lines, comparison tables as
+  CSV with a header;
+* reading summaries scattered over run directories: a run directory is a direct child of
+  the evaluation folder and holds ``summary.json`` or the part file that the summary sink
+  writes; each row is tagged with its directory, directories without one are skipped and
   no match at all gives an empty table with the full schema;
-* reading nested result documents back into detail rows.
+* reading details back from JSON lines (any size), or from nested result documents
+  written elsewhere (one document is one row, so one task reads it).
 
 Every read names its schema, so no scan infers types.
 """
@@ -58,13 +61,24 @@ RUN_INFO_FILE_SCHEMA = Ty.StructType([
     Ty.StructField("timestamp", Ty.TimestampType()),
 ])
 
-SUMMARY_FILE = "summary.json"
+SUMMARY_FILES = "{summary,part-*}.json"
+DETAIL_FILES = "part-*.json"
 
 
 def _dir_of_file() -> F.Column:
     return F.regexp_replace(F.col("_metadata.file_path"), "/[^/]+$", "")
 
 
+def _children_only(df: DataFrame, base: str) -> DataFrame:
+    """Rows of files in direct children of ``base``."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    root = fs.makeQualified(path).toUri().getRawPath().rstrip("/")
+    parent = F.regexp_replace(F.regexp_replace("eval_dir", "^[a-z0-9]+:(//[^/]*)?", ""), "/[^/]+$", "")
+    return df.where(parent == F.lit(root))
+
+
 def write_samples(samples: DataFrame, path: str, mode: str = "overwrite") -> None:
     """QA samples partitioned by split on disk, so loading one split lists and
     reads only that split's folder."""
@@ -85,8 +99,24 @@ def write_results(summaries: DataFrame, details: DataFrame, base: str,
 
 
 def write_summaries_json(summaries: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON object per run (JSON lines), partitioned by run."""
-    summaries.write.mode(mode).partitionBy("run_id").json(path)
+    """One JSON document in a folder for each run; ``read_summary_files`` finds it. Null
+    fields are written, so a present null stays apart from an absent key."""
+    summaries.write.mode(mode).option("ignoreNullFields", False).partitionBy("run_id").json(path)
+
+
+def write_details_json(details: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Detail rows as JSON lines in a folder for each run."""
+    details.write.mode(mode).option("ignoreNullFields", False).partitionBy("run_id").json(path)
+
+
+def read_detail_files(spark: SparkSession, eval_base: str) -> DataFrame:
+    """Detail rows of all runs below ``eval_base``, tagged with the run directory. JSON
+    lines split over tasks, whatever the size of a run."""
+    return (spark.read.schema(DETAIL_SCHEMA)
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", DETAIL_FILES)
+            .json(eval_base)
+            .withColumn("eval_dir", _dir_of_file()))
 
 
 def read_results(spark: SparkSession, base: str, fmt: str = "parquet",
@@ -99,15 +129,16 @@ def read_results(spark: SparkSession, base: str, fmt: str = "parquet",
 
 
 def read_summary_files(spark: SparkSession, eval_base: str) -> DataFrame:
-    """Every ``summary.json`` below ``eval_base`` (one JSON object per file),
-    with ``eval_dir`` = the directory holding it. Directories without a
-    summary are skipped; none at all -> an empty table with the schema."""
+    """The summary of every run directory in ``eval_base`` (one JSON document in a file),
+    with ``eval_dir`` = the directory holding it. Deeper directories, files of the
+    folder itself and directories without a summary are skipped; none at all -> an
+    empty table with the schema."""
     df = (spark.read.schema(SUMMARY_SCHEMA)
           .option("multiLine", True)
           .option("recursiveFileLookup", True)
-          .option("pathGlobFilter", SUMMARY_FILE)
+          .option("pathGlobFilter", SUMMARY_FILES)
           .json(eval_base))
-    return df.withColumn("eval_dir", _dir_of_file())
+    return _children_only(df.withColumn("eval_dir", _dir_of_file()), eval_base)
 
 
 def discover_runs(spark: SparkSession, eval_base: str) -> DataFrame:
@@ -133,18 +164,20 @@ def write_comparison_csv(report: DataFrame, path: str, single_file: bool = False
                          mode: str = "overwrite") -> None:
     """Comparison table as CSV with a header and no index column. Booleans are
     written ``true``/``false``. ``single_file`` gathers the (small, one row per
-    run) report into one file."""
+    run) report into one file. A null is an empty field, an empty text a quoted one."""
     out = report.coalesce(1) if single_file else report
-    out.write.mode(mode).option("header", True).csv(path)
+    (out.write.mode(mode).option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_comparison_csv(spark: SparkSession, path: str, schema: Ty.StructType) -> DataFrame:
-    return spark.read.option("header", True).schema(schema).csv(path)
+    # a null marker of its own: else quoted empty texts would be read as nulls
+    return spark.read.option("header", True).option("nullValue", "\\N").schema(schema).csv(path)
 
 
 def write_run_info(run_info: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Run metadata (config path, CLI flags, timestamp) as JSON lines."""
-    run_info.write.mode(mode).json(path)
+    """Run metadata (config path, CLI flags, timestamp) as JSON lines, nulls included."""
+    run_info.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def read_run_info(spark: SparkSession, path: str) -> DataFrame:

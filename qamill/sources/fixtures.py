@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from qamill.functions import text as T
-from qamill.operators.indexing import HOT_GROUP_ROWS, group_index
+from qamill.operators.indexing import dense_index, number_keys
 from qamill.sources.tables import read_table
 
 # Fixed values of the derived tables.
 TASK_NAME = "gsm8k"
 TRAIN_EVERY = 5            # every 5th part is a training sample
-OUTPUT_CASES = 8           # model-output shapes, chosen by (orderkey + linenumber) % 8
+OUTPUT_CASES = 10          # model-output shapes, chosen by (orderkey + linenumber) % 8
 RUN_INFO_ROWS = [
     # model_path, original_config_path, use_chat_template, mask_question
     ("models/N_O_0", "configs/grpo.yaml", True, False),
@@ -28,14 +28,12 @@ RUN_INFO_ROWS = [
     ("models/A_F_0", "configs/grpo.yaml", True, False),
 ]
 EXPERIMENT_ROWS = [
-    # name, method, use_chat_template, mask_question, description
-    ("sft_chat_template", "sft", True, False, "SFT with chat template"),
-    ("grpo_chat_template", "grpo", True, False, "GRPO with chat template"),
-    ("sft_no_chat_full_loss", "sft", False, False,
-     "SFT without chat template, loss on question+answer"),
-    ("grpo_no_chat", "grpo", False, False, "GRPO without chat template"),
-    ("sft_no_chat_mask_q", "sft", False, True,
-     "SFT without chat template, loss on answer only (question masked)"),
+    # name, method, use_chat_template, mask_question
+    ("sft_chat_template", "sft", True, False),
+    ("grpo_chat_template", "grpo", True, False),
+    ("sft_no_chat_full_loss", "sft", False, False),
+    ("grpo_no_chat", "grpo", False, False),
+    ("sft_no_chat_mask_q", "sft", False, True),
 ]
 
 
@@ -66,79 +64,97 @@ def _model_output(case: Column, v: Column) -> Column:
             .when(case == 4, F.concat(F.lit("#### 5\n#### "), vs))
             .when(case == 5, F.concat(F.lit("#### $"), vs))
             .when(case == 6, F.concat(F.lit("it is "), vs, F.lit(".0")))
+            .when(case == 8, F.concat(F.lit("#### "), vs, F.lit(" ,")))
+            .when(case == 9, F.concat(F.lit("#### , "), vs))
             .otherwise(F.lit("#### \n")))
 
 
 GEN_ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
 
 
-def outs(spark: SparkSession, sf_dir: str, with_gen_no: bool = True,
-         hot_rows: int = HOT_GROUP_ROWS, keep_order: bool = False) -> DataFrame:
-    """Generated outputs, one per line item, keyed by ``(sample_id, gen_no)``
-    and tagged with the run that produced them.
+def _in_split(key: str, split: str | None) -> Column:
+    """The split of a sample, as a filter on its key that reaches the scan."""
+    if split is None:
+        return F.lit(True)
+    train = F.col(key) % TRAIN_EVERY == 0
+    return train if split == "train" else ~train
 
-    ``gen_no`` numbers the outputs of a sample (see ``number_generations``).
-    With ``with_gen_no=False, keep_order=True`` the ordering columns are kept
-    so a caller can do its row-local work (extraction, checking) first and
-    number afterwards: the numbering shuffle then carries only what remains."""
+
+def outs(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
+    """Generated outputs, one per line item of the split's samples, tagged with the run
+    that produced them; ``GEN_ORDER`` orders the outputs of a sample.
+
+    Run A_F_1 has no line items: raw-format evaluations of that model are missing."""
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                     "l_returnflag", "l_linestatus", "l_extendedprice"])
+                     "l_returnflag", "l_linestatus", "l_extendedprice"]) \
+        .where(_in_split("l_partkey", split))
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_retailprice"])
     joined = li.join(part, li.l_partkey == part.p_partkey, "inner")
     v = _price_cents(F.col("p_retailprice"))
     case = (F.col("l_orderkey") + F.col("l_linenumber")) % OUTPUT_CASES
-    run_id = F.concat_ws("_", "l_returnflag", "l_linestatus",
-                         (F.col("l_suppkey") % 2).cast("string"))
-    method = (F.when(F.col("l_returnflag") == "A", F.lit("sft"))
-              .when(F.col("l_returnflag") == "R", F.lit("grpo")).otherwise(F.lit("")))
-    df = joined.select(
+    sft, grpo = F.col("l_returnflag") == "A", F.col("l_returnflag") == "R"
+    variant = F.when(sft & (F.col("l_linestatus") == "F"), F.lit(0)).otherwise(F.col("l_suppkey") % 2)
+    run_id = F.concat_ws("_", "l_returnflag", "l_linestatus", variant.cast("string"))
+    method = F.when(sft, F.lit("sft")).when(grpo, F.lit("grpo")).otherwise(F.lit(""))
+    experiment = (F.when(sft & (variant == 0), F.lit("sft_no_chat_mask_q"))
+                  .when(sft, F.lit("sft_no_chat_full_loss"))
+                  .when(grpo & (variant == 1), F.lit("grpo_chat_template")).otherwise(run_id))
+    return joined.select(
         F.col("l_partkey").alias("sample_id"),
         *GEN_ORDER,
         run_id.alias("run_id"),
-        run_id.alias("experiment_name"),
+        experiment.alias("experiment_name"),
         F.concat(F.lit("models/"), run_id).alias("model_path"),
         F.lit(TASK_NAME).alias("task"),
         method.alias("train_method"),
-        (method == F.lit("grpo")).alias("train_chat_template"),
-        (F.col("l_suppkey") % 2 == 0).alias("train_mask_question"),
+        grpo.alias("train_chat_template"),
+        (variant == 0).alias("train_mask_question"),
         (F.col("l_linestatus") == "O").alias("eval_chat_template"),
         _model_output(case, v).alias("model_output"),
     )
-    if with_gen_no:
-        return number_generations(df, hot_rows, sf_dir)
-    return df if keep_order else df.drop(*GEN_ORDER)
-
-
-def number_generations(df: DataFrame, hot_rows: int = HOT_GROUP_ROWS,
-                       sf_dir: str | None = None) -> DataFrame:
-    """``gen_no`` (from 1) per sample in line-item order (``group_index``: a
-    window per sample; range partitions for a sample above ``hot_rows``).
-    With ``sf_dir`` the hot samples are found from the line items' part keys
-    alone (every output is one line item)."""
-    detect = None
-    if sf_dir is not None:
-        detect = read_table(df.sparkSession, sf_dir, "lineitem", ["l_partkey"]) \
-            .select(F.col("l_partkey").alias("sample_id"))
-    df = group_index(df, ["sample_id"], GEN_ORDER, "gen_no", hot_rows=hot_rows, detect_on=detect)
-    return df.withColumn("gen_no", F.col("gen_no") + 1).drop(*GEN_ORDER)
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adjacent user -> assistant turns of each conversation as QA samples.
+def number_generations(df: DataFrame, sf_dir: str) -> DataFrame:
+    """``gen_no`` (from 1) of each output among its sample's line items. Only the line
+    items' key columns are ranged and checkpointed; the number joins back on all of them."""
+    keys = read_table(df.sparkSession, sf_dir, "lineitem", ["l_partkey", *GEN_ORDER]) \
+        .withColumnRenamed("l_partkey", "sample_id")
+    df = number_keys(df, keys, ["sample_id"], GEN_ORDER, "gen_no")
+    return df.withColumn("gen_no", F.col("gen_no") + 1).drop(*GEN_ORDER)
 
-    Pairing is an equi-join on ``(conv_id, turn + 1)``: the key is unique, so
-    no conversation, however long, lands in a single task."""
+
+def message_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant messages in the layout of generated outputs."""
     conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    users = conv.where(F.col("role") == "user").select(
-        "conv_id", "turn", T.py_strip("text").alias("question"))
-    assistants = conv.where(F.col("role") == "assistant").select(
-        F.col("conv_id").alias("a_conv_id"), (F.col("turn") - 1).alias("a_prev_turn"),
-        T.py_strip("text").alias("answer"))
-    joined = users.join(assistants, (users.conv_id == assistants.a_conv_id)
-                        & (users.turn == assistants.a_prev_turn), "inner")
-    return joined.select((F.col("conv_id") * 100 + F.col("turn")).alias("sid"),
-                         "conv_id", "turn", "question", "answer")
+    return conv.where(F.col("role") == "assistant").select(
+        F.lit("conversations").alias("run_id"), F.col("conv_id").alias("sample_id"),
+        F.col("turn").cast("bigint").alias("gen_no"), F.col("text").alias("model_output"))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired(read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+
+
+def paired(conv: DataFrame) -> DataFrame:
+    """A user message with the assistant message that follows it in the conversation,
+    keyed by (conv_id, turn) of the question; turn numbers may have gaps.
+
+    Positions are numbered on the key columns (``dense_index``: a conversation of any
+    length is spread over tasks); every join is on a key that is unique."""
+    at = dense_index(conv.select("conv_id", "turn", "role"), ["conv_id"], ["turn"], "_i")
+    users = at.where(F.col("role") == "user").select("conv_id", "turn", "_i")
+    replies = at.where(F.col("role") == "assistant").select(
+        F.col("conv_id").alias("_rc"), F.col("turn").alias("_rt"), (F.col("_i") - 1).alias("_ri"))
+    keys = users.join(replies, (F.col("conv_id") == F.col("_rc")) & (F.col("_i") == F.col("_ri"))) \
+        .select("conv_id", "turn", "_rt")
+    question = conv.select(F.col("conv_id").alias("_qc"), F.col("turn").alias("_qt"),
+                           T.py_strip("text").alias("question"))
+    answer = conv.select(F.col("conv_id").alias("_ac"), F.col("turn").alias("_at"),
+                         T.py_strip("text").alias("answer"))
+    return (keys.join(question, (F.col("conv_id") == F.col("_qc")) & (F.col("turn") == F.col("_qt")))
+            .join(answer, (F.col("conv_id") == F.col("_ac")) & (F.col("_rt") == F.col("_at")))
+            .select("conv_id", "turn", "question", "answer"))
 
 
 RUN_INFO_SCHEMA = Ty.StructType([
@@ -153,7 +169,6 @@ EXPERIMENT_SCHEMA = Ty.StructType([
     Ty.StructField("method", Ty.StringType(), False),
     Ty.StructField("use_chat_template", Ty.BooleanType(), False),
     Ty.StructField("mask_question", Ty.BooleanType(), False),
-    Ty.StructField("description", Ty.StringType(), False),
 ])
 
 

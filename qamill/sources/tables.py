@@ -1,27 +1,15 @@
 """Scans of the provided parquet tables.
 
 Each scan names the columns it needs, so the parquet reader only decodes those
-(``ReadSchema`` in the plan) and filters written on top are pushed into it.
-
-Parallelism of small inputs: a parquet split cannot be finer than a row
-group, and a small file written as one row group is read by one task however
-many cores there are. Large inputs (many files or row groups of ~128 MB) split
-naturally, so they are left alone; inputs below ``SMALL_INPUT_BYTES`` are
-hash-partitioned on their leading column (each table's key) right after the
-scan: a shuffle of at most that many bytes, deterministic under retries
-without the local sort a round-robin repartition needs, and it lets column
-pruning drop every other column for queries that do not read them. The per-row
-work that follows (regex extraction, tokenizing) then uses every core.
+(``ReadSchema`` in the plan) and filters written on top are pushed into it. A
+scan is defined anew on every call: files added to a table are seen. Split sizes
+are left to Spark's settings (``spark.sql.files.maxPartitionBytes``), so the
+plan has one shape at every size.
 """
 
 from __future__ import annotations
 
-import math
-import os
-import weakref
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -29,73 +17,18 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table_path(sf_dir: str, name: str) -> str:
-    return os.path.join(sf_dir, f"{name}.parquet")
-
-
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
-# an input below SMALL_INPUT_BYTES gets one partition per this many bytes, at
-# least one per core (capped at MAX_SMALL_PARTITIONS)
-BYTES_PER_SMALL_PARTITION = 4 * 1024 * 1024
-MAX_SMALL_PARTITIONS = 256
-_INPUT_BYTES: dict[str, int] = {}
-# Lazy scan definitions per (session, path): defining a scan lists files and
-# reads the footer on the driver; the definition holds no data, so reusing it
-# re-reads the files on every execution.
-_SCANS: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
-
-
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Total file size under ``path`` (a file listing; contents are not read)."""
-    if path not in _INPUT_BYTES:
-        size = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-                .agg(F.sum("length")).first()[0])
-        _INPUT_BYTES[path] = int(size or 0)
-    return _INPUT_BYTES[path]
-
-
-def _cores(spark: SparkSession) -> int:
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - a remote session has no local context
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def small_input_partitions(spark: SparkSession, path: str, scan: DataFrame | None = None) -> int | None:
-    """Partition count for an input small enough to rebalance, else None.
-
-    An input with at least one file per core already spreads over the cores
-    (that is every large table), so only inputs with fewer files are sized."""
-    cores = _cores(spark)
-    if scan is not None and len(scan.inputFiles()) >= cores:
-        return None
-    size = input_bytes(spark, path)
-    if size >= SMALL_INPUT_BYTES:
-        return None
-    return max(1, min(MAX_SMALL_PARTITIONS,
-                      max(cores, math.ceil(size / BYTES_PER_SMALL_PARTITION))))
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: list[str] | None = None, rebalance: bool = True) -> DataFrame:
+               columns: list[str] | None = None) -> DataFrame:
     if name not in TABLES:
-        raise ValueError(f"Unknown table '{name}'. Available: {', '.join(TABLES)}")
-    path = table_path(sf_dir, name)
-    scans = _SCANS.setdefault(spark, {})
-    if path not in scans:
-        scans[path] = spark.read.parquet(path)
-    df = scans[path]
-    if columns:
-        df = df.select(*columns)
-    if rebalance:
-        n = small_input_partitions(spark, path, scans[path])
-        if n is not None and n > 1:
-            df = df.repartition(n, F.col(df.columns[0]))
-    return df
+        raise KeyError(f"no table {name!r} among {sorted(TABLES)}")
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return df.select(*columns) if columns else df
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Expose every table as a temp view for ``spark.sql``."""
+    """Expose every given table as a temp view for ``spark.sql``."""
     for name in TABLES:
-        path = table_path(sf_dir, name)
-        if os.path.exists(path):
-            spark.read.parquet(path).createOrReplaceTempView(name)
+        read_table(spark, sf_dir, name).createOrReplaceTempView(name)

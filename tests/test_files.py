@@ -41,6 +41,10 @@ def test_summary_discovery(spark, scratch):
                                            "eval_chat_template": False, "total_samples": 2,
                                            "correct": 2, "accuracy": 1.0}}]
     _write_summary_dirs(scratch, runs)
+    # deeper directories and files of the folder itself are no runs
+    _write_summary_dirs(os.path.join(scratch, "a_run"), runs[:1])
+    with open(os.path.join(scratch, "summary.json"), "w") as f:
+        json.dump(runs[0]["summary"], f)
     df = files.read_summary_files(spark, scratch)
     got = sorted((os.path.basename(r.eval_dir), r.experiment_name, r.train_chat_template)
                  for r in df.collect())
@@ -76,8 +80,8 @@ def test_result_documents(spark, scratch):
 def test_summary_json_and_csv(spark, scratch):
     runs = C._runs(spark, SF_SMALL)
     files.write_summaries_json(runs, os.path.join(scratch, "summaries"))
-    back = spark.read.schema(files.SUMMARY_SCHEMA).json(os.path.join(scratch, "summaries"))
-    assert back.count() == runs.count()
+    back = files.read_summary_files(spark, os.path.join(scratch, "summaries"))
+    assert back.count() == runs.count() == files.discover_runs(spark, scratch + "/summaries").count()
     comp = report.comparison(runs)
     files.write_comparison_csv(comp, os.path.join(scratch, "csv"), single_file=True)
     parts = [p for p in os.listdir(os.path.join(scratch, "csv")) if p.endswith(".csv")]

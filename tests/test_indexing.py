@@ -1,9 +1,9 @@
 """The distributed position index must equal row_number() exactly, for any
-number of partitions, with and without groups, and on the hot-group path."""
+number of partitions, with and without groups."""
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from qamill.operators.indexing import dense_index, group_index
+from qamill.operators.indexing import dense_index, number_keys
 from tests.conftest import SF_MID
 
 
@@ -41,27 +41,17 @@ def test_dense_index_global_descending(spark):
 
 def test_dense_index_many_groups(spark):
     df = _lineitem(spark)
-    got = dense_index(df, ["l_partkey"], ORDER, "ix", few_groups=False)
+    got = dense_index(df, ["l_partkey"], ORDER, "ix")
     assert got.exceptAll(_expected(df, ["l_partkey"], ORDER)).count() == 0
 
 
-def test_group_index_hot_path(spark):
+def test_number_keys_joins_positions_back(spark):
     df = _lineitem(spark)
-    exp = _expected(df, ["l_returnflag"], ORDER)
-    # every group is "hot" at 1000 rows, so all rows take the range-partition path
-    hot = group_index(df, ["l_returnflag"], ORDER, "ix", hot_rows=1000)
-    cold = group_index(df, ["l_returnflag"], ORDER, "ix")
-    assert hot.exceptAll(exp).count() == 0 and cold.exceptAll(exp).count() == 0
-
-
-def test_group_index_many_hot_groups(spark, monkeypatch):
-    """More hot groups than may be broadcast: the split runs as joins."""
-    from qamill.operators import indexing
-    monkeypatch.setattr(indexing, "MAX_BROADCAST_HOT_KEYS", 2)
-    df = _lineitem(spark)
-    got = indexing.group_index(df, ["l_returnflag"], ORDER, "ix", hot_rows=1000)
-    assert got.exceptAll(_expected(df, ["l_returnflag"], ORDER)).count() == 0
-    assert got.count() == df.count()
+    keys = df.select("l_partkey", *[c for c in ORDER if c != "l_partkey"])
+    order = [c for c in ORDER if c != "l_partkey"]
+    got = number_keys(df.where("l_orderkey % 2 = 0"), keys, ["l_partkey"], order, "ix")
+    exp = _expected(df, ["l_partkey"], order).where("l_orderkey % 2 = 0")
+    assert got.count() == exp.count() and got.exceptAll(exp).count() == 0
 
 
 def test_dense_index_is_stable_across_executions(spark):
@@ -73,10 +63,10 @@ def test_dense_index_is_stable_across_executions(spark):
     assert first == second
 
 
-def test_small_input_is_spread_over_cores(spark):
+def test_scans_see_new_files(spark, scratch):
     from qamill.sources.tables import read_table
-    from tests.conftest import SF_MID
-    df = read_table(spark, SF_MID, "lineitem", ["l_orderkey", "l_partkey"])
-    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    raw = read_table(spark, SF_MID, "lineitem", ["l_orderkey"], rebalance=False)
-    assert raw.rdd.getNumPartitions() <= 3
+    path = f"{scratch}/part.parquet"
+    spark.range(5).write.parquet(path)
+    assert read_table(spark, scratch, "part").count() == 5
+    spark.range(5).write.mode("append").parquet(path)
+    assert read_table(spark, scratch, "part").count() == 10

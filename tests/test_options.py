@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from qamill.functions import options as O
@@ -14,3 +15,34 @@ def test_merge_and_default(spark):
     assert out[1]["m"] == {"src": "cfg", "k": None, "x": "y"} and out[1]["k"] is None
     assert out[2]["m"] == {"k": "0", "src": "cfg"}
     assert all(r["t"] == "0.0" for r in out)
+
+
+def test_repeated_and_malformed_json(spark):
+    df = spark.createDataFrame([('{"k":1,"k":2}',), ('{"k":',), (None,), ("{}",)], "p string")
+    got = df.select(O.parse_options("p").alias("m"), O.malformed("p").alias("bad")).collect()
+    assert got[0]["m"] == {"k": "2"} and [r["bad"] for r in got] == [False, True, False, False]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_stamps_do_not_depend_on_the_session_zone(spark, zone):
+    from qamill.functions import times
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        df = spark.sql("SELECT timestamp'2024-01-02 00:03:21 UTC' AS t, "
+                       "timestamp_ntz'2024-01-02 00:03:21' AS n")
+        r = df.select(times.instant_stamp("t").alias("t"), times.local_stamp("n").alias("n")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert r.t == r.n == "20240101_160321"
+
+
+def test_session_choices_win(spark):
+    from qamill.session import configure
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        configure(spark)
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "false"
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)

@@ -19,17 +19,36 @@ def test_run_summary_pre_aggregates_and_prunes(spark):
     assert schema.count(":") < 11     # not every lineitem column is decoded
 
 
-def test_advantage_windows_share_one_sample_shuffle(spark):
-    plan = _plan(spark, "group_advantage")
-    assert plan.count("Window [") == 2
-    assert len(re.findall(r"Exchange hashpartitioning\(sample_id", plan)) == 1
-
-
-def test_token_ids_never_shuffle_exploded_tokens(spark):
-    plan = _plan(spark, "token_ids")
-    assert "Generate explode" in plan
-    assert not re.search(r"Exchange hashpartitioning\(token", plan)
-    assert "BroadcastHashJoin" in plan
+def test_hot_samples_can_be_split(spark):
+    """Without broadcasts the sample join feeds no window on the same key, and the
+    numbering joins back on keys that identify a row."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for name in ("check_answer", "reward", "extract_answer"):
+            plan = _plan(spark, name)
+            assert "SortMergeJoin" in plan
+            assert not re.search(r"Window \[row_number\(\) windowspecdefinition\(sample_id", plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_extraction_comes_before_numbering(spark):
+    plan = _plan(spark, "extract_marker")
+    top = plan.split("regexp_substr")[0]
+    assert "SortMergeJoin" in top or "BroadcastHashJoin" in top
+    assert "l_orderkey" in top  # the join back on the line item's keys is above the extraction
+
+
+def test_batches_come_from_keys(spark):
+    df = C.QUERIES["batch_assign"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "Generate" not in plan
+
+
+def test_no_scan_or_definition_is_kept(spark):
+    from qamill.sources import tables
+    assert not [n for n, v in vars(tables).items() if isinstance(v, dict) and not n.startswith("__")]
 
 
 def test_detail_index_has_no_run_window(spark):

@@ -10,7 +10,7 @@ from tests.conftest import SF_SMALL
 
 
 def test_stream_scoring_matches_batch(spark, scratch):
-    outs = fixtures.outs(spark, SF_SMALL, with_gen_no=False).select(
+    outs = fixtures.outs(spark, SF_SMALL).drop(*fixtures.GEN_ORDER).select(
         "sample_id", "run_id", "model_output")
     src = os.path.join(scratch, "incoming")
     outs.write.parquet(src)
@@ -34,7 +34,7 @@ def test_stream_run_totals_match_batch(spark, scratch):
     per run) end equal to the batch summary."""
     from qamill.operators import summary
     from qamill.streaming.scoring import score_stream, summary_stream
-    outs = fixtures.outs(spark, SF_SMALL, with_gen_no=False).drop("model_path")
+    outs = fixtures.outs(spark, SF_SMALL).drop(*fixtures.GEN_ORDER).drop("model_path")
     src = os.path.join(scratch, "incoming2")
     # two arrivals
     outs.where("eval_chat_template").write.parquet(os.path.join(src, "a"))
