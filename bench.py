@@ -3,13 +3,14 @@
 Runs each query to completion (a no-op sink: every row is computed, nothing is
 shipped to the driver) on ``local[$BENCH_CPUS]`` over ``$BENCH_SF_DIR`` and
 prints one JSON line. Each query runs ``$BENCH_REPEAT`` times in one
-warm session; the fastest run is reported (default 3).
+warm session; the median run is reported (default 3).
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -35,13 +36,12 @@ def main() -> None:
     QUERIES["run_summary"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
-        best = None
+        runs = []
         for _ in range(repeat):
             t0 = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            dt = time.perf_counter() - t0
-            best = dt if best is None else min(best, dt)
-        times[name] = round(best, 3)
+            runs.append(time.perf_counter() - t0)
+        times[name] = round(statistics.median(runs), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": sf, "cpus": cpus,
