@@ -29,6 +29,7 @@ columns named like the output are replaced.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,15 +45,15 @@ from qamill.llm.common import fold, labelled_sample
 
 #: Bounds of the training sample, for each class.
 PER_CLASS = 2_000
-MAX_CHARS = 3_000_000
+MAX_CHARS = 2_500_000
 CUE_RATIO = 20.0
 CUES_PER_DOC = 2
 FEATURE_BITS = 18
 STEPS = 40
 L2 = 0.02
 #: Words whose emission scores a worker keeps, and tokens of one chain.
-CACHE_WORDS = 800_000
-CHAIN_TOKENS = 1_000_000
+CACHE_WORDS = 300_000
+CHAIN_TOKENS = 250_000
 
 _TOKEN = re.compile(r"[^\W_]+")
 SPANS = "array<struct<start:int,end:int>>"
@@ -197,8 +198,14 @@ def train(texts: dict[int, list[str]]) -> Model:
     first[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = True
     is_cue = np.array([w in cues for w in number])
     tags = is_cue[ids] & np.repeat(labels == 1, sizes)
-    lists = [word_features(w) for w in number]
-    flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    held, widths = array("i"), []
+    for word in number:
+        found = word_features(word)
+        held.extend(found)
+        widths.append(len(found))
+    n_words = len(number)
+    flat, owner = np.frombuffer(held, dtype=np.intc), np.repeat(np.arange(n_words, dtype=np.intc), widths)
+    del docs, number
     w = np.zeros(1 << FEATURE_BITS)
     trans, start = np.zeros((2, 2)), np.zeros(2)
     inner = np.flatnonzero(~first)
@@ -209,11 +216,11 @@ def train(texts: dict[int, list[str]]) -> Model:
     pace = [np.zeros_like(w), np.zeros_like(trans), np.zeros_like(start)]
     rate = 0.5
     for step in range(1, STEPS + 1):
-        emit = np.bincount(owner, w[flat], len(lists))[ids]
+        emit = np.bincount(owner, w[flat], n_words)[ids]
         fwd, bwd = messages(emit, first, trans, start)
         one, none = fwd * bwd, (1 - fwd) * (1 - bwd)
         gamma = one / np.maximum(one + none, 1e-300)
-        by_word = np.bincount(ids, tags - gamma, len(lists))
+        by_word = np.bincount(ids, tags - gamma, n_words)
         g_w = np.bincount(flat, by_word[owner], len(w)) - L2 * w
         a, b, e = fwd[inner - 1], bwd[inner], np.clip(emit[inner], -30, 30)
         joint = np.stack([x * np.exp(trans[i, j] + (e if j else 0)) * z
@@ -227,7 +234,7 @@ def train(texts: dict[int, list[str]]) -> Model:
             pace[k] = 0.98 * pace[k] + 0.02 * g * g
             p += rate * (state[k] / (1 - 0.8 ** step)) / (np.sqrt(pace[k] / (1 - 0.98 ** step)) + 1e-3)
         rate *= 0.96
-    emit = np.bincount(owner, w[flat], len(lists))[ids]
+    emit = np.bincount(owner, w[flat], n_words)[ids]
     curve = _logistic(evidence(marginals(emit, first, trans, start), sizes), labels)
     return Model(w.astype(np.float32), trans, start, curve)
 
