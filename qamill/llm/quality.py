@@ -37,7 +37,7 @@ from qamill.llm.common import fetch_texts, fold, labelled_sample, smallest_hashe
 
 PER_CLASS = 3_000
 UNLABELLED = 6_000
-MAX_CHARS = 12_000_000
+MAX_CHARS = 6_000_000
 WINDOW = 64
 HIDDEN = 16
 MODELS = 2
