@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qamill.llm.common import table
 from qamill.llm.graphs import (BLOCK, blocked, candidate_pairs, components, forest, place_numbers,
                                places)
 from qamill.session import materialize
@@ -222,7 +223,6 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: links and component of every embedding."""
-    from qamill.llm.common import table
     return near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
@@ -230,8 +230,8 @@ ORACLE = f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e, label,
          label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-         AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-         AND len(list_filter(embedding, x -> x <> 0)) > 0 AS fine FROM embeddings),
+         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine FROM embeddings),
 link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND a.fine AND b.fine AND len(a.e) = len(b.e)

@@ -33,7 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qamill.llm.common import fold
+from qamill.llm.common import fold, table
+from qamill.session import materialize
 
 SHARE = 0.1
 #: Slots of the filter array and probes; at most GRAMS n-grams a language are inserted.
@@ -42,7 +43,7 @@ HASHES = 3
 GRAMS = 60_000
 MAX_LANGUAGES = 64
 #: Characters handled at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 UNDETERMINED = "und"
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9],
@@ -155,7 +156,6 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     counted = known.mapInPandas(count, "lang string, gram bigint, n bigint") \
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from qamill.session import materialize
     counted = materialize(counted)
     docs_by = {r[0]: r[1] for r in counted.where("gram = -1").select("lang", "n")
                .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
@@ -226,7 +226,6 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: predicted language of every document."""
-    from qamill.llm.common import table
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = fit(training_rows(docs))
     done = predict(docs.select("doc_id", "text"), model)

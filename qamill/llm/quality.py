@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qamill.llm.common import fetch_texts, fold, labelled_sample, smallest_hashes
+from qamill.llm.common import fetch_texts, fold, labelled_sample, smallest_hashes, table
 
 PER_CLASS = 3_000
 UNLABELLED = 6_000
@@ -215,7 +215,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: quality score of every document."""
-    from qamill.llm.common import table
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     return score(docs, model).select(

@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qamill.llm.common import fold, labelled_sample
+from qamill.llm.common import fold, labelled_sample, table
 
 #: Bounds of the training sample, for each class.
 PER_CLASS = 2_000
@@ -334,7 +334,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: toxicity score of every document."""
-    from qamill.llm.common import table
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     done = score(docs, model)

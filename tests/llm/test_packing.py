@@ -80,3 +80,17 @@ def test_sequences_round_trip(spark, own):
     packed = P.sequences(P.place(P.pieces(docs, P.tokenizer_path()))).collect()
     total = sum(len(own[1].encode("word " * i, add_special_tokens=False).ids) + 1 for i in range(40))
     assert sum(len(r["ids"]) // 4 for r in packed) == total
+
+
+@given(st.lists(st.text(max_size=30), max_size=4))
+@settings(max_examples=200, deadline=None)
+def test_ids_of_any_text(own, texts):
+    encoder, t = own
+    texts = [x.encode("utf-8", "ignore").decode() for x in texts]
+    got = [array("I", b).tolist() for b in encoder.batch(texts)]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_ranks_are_the_vocabulary(own):
+    ranks = P.vocabulary_ranks(P.tokenizer_path())
+    assert len(ranks) == own[1].get_vocab_size() - 1 and len(set(ranks.values())) == len(ranks)
