@@ -17,6 +17,8 @@ text, the tags seen in it and the elements around it. Then, per page:
 Boilerplate elements are those whose tag, role or class/id words say so (fixed
 values below): menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments. A header inside an article keeps its headings.
+A wrapper that is only named so (a page layout "with-sidebar", an advert never closed) does not
+hide the page's first article, and a page hidden altogether by names is read without them.
 
 Defined results: null, empty or tag-only html gives an empty text; a page
 without markup is one block; repeated rows are extracted each on their own;
@@ -56,6 +58,7 @@ header footer masthead cookie cookies consent gdpr notice notices alert alerts p
 newsletter subscribe subscription signup login share sharing social related recommended comment
 comments commentlist reply replies respond disqus widget toolbar pagination pager skip search
 copyright""".split())
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
 REGIONS = frozenset(("article", "main"))
 CONTAINERS = frozenset(("article", "main", "body", "div", "section", "center"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -67,10 +70,11 @@ _WORD = re.compile(r"[a-z]+")
 class _Lines(HTMLParser):
     """Turns parser events into lines: (text, tags, link chars, region, container)."""
 
-    def __init__(self) -> None:
+    def __init__(self, names: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.names = names
         self.lines: list[tuple[str, int, int, int, int]] = []
-        # tag, hides (0, 1, 2 = headings show), region, container
+        # tag, hides (0, 1, 2 = headings show, 3 = by name alone), region, container
         self.stack: list[tuple[str, int, int, int]] = []
         self.parents = [-1]  # of containers; 0 is the page
         self.text: list[str] = []
@@ -103,8 +107,9 @@ class _Lines(HTMLParser):
                 if name == "hidden":
                     return 1
             elif name in ("class", "id"):
-                if not BOILER_WORDS.isdisjoint(_WORD.findall(value.lower())):
-                    return 2 if tag in ("header", "hgroup") and self.region >= 0 else 1
+                words = _WORD.findall(value.lower()) if self.names else ()
+                if not BOILER_WORDS.isdisjoint(words):
+                    return 1 if not COMMENT_WORDS.isdisjoint(words) else 3
             elif name == "role":
                 if value.lower() in BOILER_ROLES:
                     return 1
@@ -117,7 +122,7 @@ class _Lines(HTMLParser):
     def pop_to(self, index: int) -> None:
         while len(self.stack) > index:
             tag, hides, _, _ = self.stack.pop()
-            self.hidden -= hides == 1
+            self.hidden -= hides in (1, 3)
             self.quiet -= hides == 2
             self.a -= tag == "a"
         self.region, self.container = self.stack[-1][2:] if self.stack else (-1, 0)
@@ -137,8 +142,12 @@ class _Lines(HTMLParser):
             if not self.hidden:
                 self.text.append(" ")
             return
+        if tag in REGIONS and self.hidden and not self.regions \
+                and not any(x[1] == 1 for x in self.stack):
+            self.stack = [(x[0], 0 if x[1] == 3 else x[1], *x[2:]) for x in self.stack]
+            self.hidden = 0
         hides = self.hides(tag, attrs)
-        self.hidden += hides == 1
+        self.hidden += hides in (1, 3)
         self.quiet += hides == 2
         self.a += tag == "a"
         if tag in REGIONS and not self.hidden and self.region < 0:
@@ -228,12 +237,14 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The main text of one page, blocks joined by a line feed."""
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
-    lines = parser.lines
-    if not lines:
+    for names in (True, False):
+        parser = _Lines(names)
+        parser.feed(html)
+        parser.close()
+        parser.end_line()
+        if lines := parser.lines:
+            break
+    else:
         return ""
     smoothed = smooth([max(0, len(x[0]) - x[2]) / x[1] for x in lines], sigma)
     cut = threshold(smoothed)

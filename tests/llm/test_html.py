@@ -20,6 +20,14 @@ def test_page_without_article():
     assert H.main_text(html).split("\n") == [("long text " * 30).strip(), "tiny"]
 
 
+def test_names_of_wrappers():
+    inner = "<article><p>the text</p><div class='comments'><article>first!</article></div></article>"
+    assert H.main_text(f"<body><div class='layout with-sidebar'>{inner}</div>") == "the text"
+    assert H.main_text(f"<body><div class='ad'>Buy<p>now{inner}") == "the text"
+    assert H.main_text("<body><div class='page no-header'><p>all there is</p></div>") == "all there is"
+    assert H.main_text("<body><nav>only a menu</nav></body>") == ""
+
+
 def test_defined_results():
     assert H.main_text(None) == H.main_text("") == H.main_text("<p></p>") == ""
     assert H.main_text("plain words only") == "plain words only"
