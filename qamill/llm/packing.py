@@ -19,10 +19,12 @@ piece lengths (at most ``capacity`` numbers, whatever the data):
 Only the histogram and the table of configurations pass through the driver; both are
 bounded by the capacity, not by the data.
 
-Token ids: a text is split at single spaces, where no pre-token of the byte-level
-BPE can cross (texts holding two white-space characters in a row are encoded whole), and a
-piece's ids are kept in a bounded dictionary, so repeated words are not encoded
-again. Ids equal the tokenizer's own.
+Token ids: a text is split at single spaces, which no pre-token of the byte-level
+BPE crosses (texts holding two white-space characters in a row are encoded whole). The ids of
+words and of their pre-tokens are kept in bounded dictionaries, so each is merged only
+once while it is kept. Pre-tokens of ASCII and Latin-1 letters are merged by ``tiktoken``
+over the tokenizer file's own vocabulary, all others by ``tokenizers``, whose ids the
+tests hold both to.
 
 Defined results: null and empty texts are the end id alone; special-token strings in
 a text are ordinary text; repeated rows are packed one by one; an empty table gives an empty
@@ -31,27 +33,35 @@ result; extra columns, clashing names included, are left behind except ``key``.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from qamill.llm.common import table
 from qamill.session import materialize
 
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Steps of the multiplicative weights and their rate.
 STEPS = 600
 RATE = 0.25
 
 _TWO_SPACES = re.compile(r"\s\s")
+# The tokenizer's pre-token pattern on ASCII and Latin-1 letters, where its
+# Unicode classes come down to these.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile(f"[\\n -~{_LATIN}]*\\Z")
+_PIECES = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LATIN}]+| ?[0-9]+| ?[^\\s0-9{_LATIN}]+|\\s+(?!\\S)|\\s+")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -60,15 +70,32 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def vocabulary_ranks(path: str) -> dict[bytes, int]:
+    """Byte sequences and ids of a byte-level BPE file. Its symbols for bytes are the printable
+    Latin-1 characters themselves and, for the other bytes in order, U+0100 and on."""
+    model = json.load(open(path, encoding="utf-8"))
+    special = {t["content"] for t in model["added_tokens"]}
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
+    return {bytes([byte[c] for c in token]): number
+            for token, number in model["model"]["vocab"].items() if token not in special}
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tiktoken import Encoding
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ids: dict[str, bytes] = {}
+        # merges the same vocabulary's words several times faster; pre-tokens come apart before
+        self.merge = Encoding("words", pat_str=r"(?s).+", mergeable_ranks=vocabulary_ranks(path),
+                              special_tokens={}).encode_ordinary
+        self.words: dict[str, bytes] = {}   # between two spaces
+        self.pieces: dict[str, bytes] = {}  # pre-tokens
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -77,26 +104,33 @@ class Encoder:
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
         whole = [bool(_TWO_SPACES.search(t)) for t in texts]
-        parts = []
-        fresh: dict[str, None] = {}
-        for t, w in zip(texts, whole):
-            if w or not t:
-                words = [t] if t else []
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.pieces) > 2 * CACHE_WORDS:
+            self.pieces.clear()
+        # words stand without the space before them; a text's first word has one instead
+        parts = [[] if w or not t else t.split(" ") for t, w in zip(texts, whole)]
+        for words in parts:
+            words[:1] = [" " + x for x in words[:1]]
+        known, pieces = self.words, self.pieces
+        fresh, odd = {}, []
+        for x in set(chain.from_iterable(parts)).difference(known):
+            y = x[1:] if x[:1] == " " else " " + x
+            if _PLAIN.match(y):
+                fresh[x] = _PIECES.findall(y)
             else:
-                words = t.split(" ")
-                words[1:] = [" " + x for x in words[1:]]
-            parts.append(words)
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-        known = self.ids
-        for words, w in zip(parts, whole):
-            if not w:
-                fresh.update((x, None) for x in words if x not in known)
-        missing = list(fresh)
-        known.update(zip(missing, self._encode(missing)))
-        long = iter(self._encode([p[0] for p, w in zip(parts, whole) if w]))
+                odd.append((x, y))
+        for p in set(chain.from_iterable(fresh.values())).difference(pieces):
+            pieces[p] = array("I", self.merge(p)).tobytes()
+        known.update((x, b"".join([pieces[p] for p in ps])) for x, ps in fresh.items())
+        known.update(zip([x for x, _ in odd], self._encode([y for _, y in odd])))
+        long = iter(self._encode([t for t, w in zip(texts, whole) if w]))
         get = known.__getitem__
-        return [next(long) if w else b"".join(map(get, words)) for words, w in zip(parts, whole)]
+        out = [next(long) if w else b"".join(map(get, words)) for words, w in zip(parts, whole)]
+        for x in fresh:
+            if "\n" in x:  # two words joined by a line break come once
+                del known[x]
+        return out
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
@@ -318,5 +352,4 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: every document packed into sequences of 2048 tokens."""
-    from qamill.llm.common import table
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
