@@ -61,7 +61,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def blocked(members: DataFrame, group: str, member: str, block: int = BLOCK) -> DataFrame:
     """``members`` (one row per group and member) with columns ``_i``, ``_j`` (the pair of
     blocks of a place) and ``_side`` (the member's block), sorted by place within
-    partitions. Groups of one member are left out where that costs nothing."""
+    partitions. The table of large groups is checkpointed, so the join that numbers their
+    blocks has an exchange on both sides and Spark may split a hot group there."""
     big = materialize(members.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
                       .where(F.col("_n") > block)
                       .select(F.col(group).alias("_g"),
