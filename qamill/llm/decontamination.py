@@ -33,6 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qamill.llm.common import table
 from qamill.session import materialize
 
 WORDS = 5
@@ -110,11 +111,11 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     anchors = materialize(met.groupBy("k", "n").agg(F.array_sort(F.collect_set("pos")).alias("pos")))
     sizes = materialize(anchors.groupBy("k").agg(
         F.collect_list(F.struct("n", "pos")).alias("anchors")))
-    # the shingles of anchored texts, one copy each
+    # the shingles of anchored texts, one copy each: copies are combined in the tasks first
     anchored = materialize(
         texts.select(_text_key(text).alias("_k"), text)
-        .join(sizes.select("k"), F.col("_k") == F.col("k"), "left_semi")
         .groupBy("_k").agg(F.first(text).alias("_t"))
+        .join(sizes.select("k"), F.col("_k") == F.col("k"), "left_semi")
         .select(F.col("_k").alias("k"), shingle_hashes("_t").alias("hashes")))
     # starts of windows with an anchor, each once: those that no earlier anchor gave
     starts = """flatten(transform(anchors, g -> transform(flatten(transform(g.pos, (p, i) ->
@@ -133,7 +134,8 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
               .select("item_id", "n", "item_fp", "_b", "_v")
               .withColumn("_m", F.explode(masks))
               .select("item_id", "n", "item_fp", "_b", F.col("_v").bitwiseXOR(F.col("_m")).alias("_v")))
-    candidates = (_blocks(prints, "fp").join(posted, ["n", "_b", "_v"])
+    # Spark's estimate of the posted items misses their expansion: never broadcast them
+    candidates = (_blocks(prints, "fp").join(posted.hint("merge"), ["n", "_b", "_v"])
                   .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
                   .select("k", "n", "s", "item_id").distinct())
     # exact verification: shared and total weight of the two bags of shingles
@@ -162,6 +164,5 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: benchmark items held by the documents."""
-    from qamill.llm.common import table
     return hits(table(spark, sf_dir, "documents", "doc_id", "text"),
                 table(spark, sf_dir, "benchmark", "item_id", "text"))
