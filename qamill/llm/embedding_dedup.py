@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qamill.llm.common import table
-from qamill.llm.graphs import (BLOCK, blocked, candidate_pairs, components, forest, place_numbers,
+from qamill.llm.graphs import (blocked, candidate_pairs, components, forest, place_numbers,
                                places)
 from qamill.session import materialize
 
@@ -41,6 +41,8 @@ HASHES = 2
 PROBES = 3
 #: Places of more classes than this are verified by one matrix product.
 DENSE = 48
+#: Classes of one block; vectors are wide, so blocks are smaller than those of fingerprints.
+PLACE = 512
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -112,7 +114,7 @@ def _first_shared(seen: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding",
                     label: str = "label", cosine: float = COSINE, tables: int = TABLES,
-                    probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+                    probes: int = PROBES, block: int = PLACE) -> DataFrame:
     """(key, n_links, component_id, kept), one row for each row of ``vectors``."""
     rows = vectors.select(F.col(key).alias("_key"), F.col(vec).cast("array<double>").alias("_vec"),
                           F.col(label).alias("_label"))
@@ -158,40 +160,41 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
             x = _rows(g["vec"].to_numpy())
             side, same = g["_side"].to_numpy(), (g["_i"] == g["_j"]).to_numpy()
             bucket = g["bucket"].to_numpy()
-            found = []
-            thin = np.flatnonzero(np.repeat(counts <= DENSE, counts))
+            seen = np.stack(g["seen"].to_numpy()).reshape(len(g), tables, -1)
+            links, size = np.zeros(len(g), dtype=np.int64), g["size"].to_numpy()
+            parent = np.arange(len(g))
+
+            def settle(a: np.ndarray, b: np.ndarray, base: int, n: int) -> None:
+                """Verify pairs of rows base..base+n-1, count those that this place owns, and
+                keep a spanning forest of them."""
+                kept = []
+                for k in range(0, len(a), 32768):  # bounded memory
+                    p, q = a[k:k + 32768], b[k:k + 32768]
+                    dot = np.einsum("ij,ij->i", x[p], x[q])
+                    exact = dot / np.sqrt(norm[p] * norm[q]) >= cosine
+                    p, q = p[exact], q[exact]
+                    mine = _first_shared(seen, p, q) == bucket[p]
+                    p, q = p[mine], q[mine]
+                    np.add.at(links, p, size[q])
+                    np.add.at(links, q, size[p])
+                    kept.append((p - base, q - base))
+                if kept:
+                    at, root = forest(n, *[np.concatenate(v) for v in zip(*kept)])
+                    parent[base + at] = base + root
+
+            norm = np.einsum("ij,ij->i", x, x)
+            thin, near_a, near_b = np.flatnonzero(np.repeat(counts <= DENSE, counts)), [], []
             for a, b in candidate_pairs(place[thin], side[thin], same[thin]):
                 a, b = thin[a], thin[b]
                 near = np.einsum("ij,ij->i", x[a], x[b]) >= cosine - 1e-9
-                found.append((a[near], b[near]))
-            for s, n in zip(starts, counts):
-                if n > DENSE:
-                    a, b = np.nonzero(np.triu(x[s:s + n] @ x[s:s + n].T >= cosine - 1e-9, 1))
-                    wanted = same[s] | (side[s + a] != side[s + b])
-                    found.append((s + a[wanted], s + b[wanted]))
-            a = np.concatenate([p[0] for p in found]) if found else np.array([], dtype=np.int64)
-            b = np.concatenate([p[1] for p in found]) if found else np.array([], dtype=np.int64)
-            seen = np.stack(g["seen"].to_numpy()).reshape(len(g), tables, -1)
-            links = np.zeros(len(g), dtype=np.int64)
-            size = g["size"].to_numpy()
-            kept_a, kept_b = [], []
-            for k in range(0, len(a), 65536):  # bounded memory
-                p, q = a[k:k + 65536], b[k:k + 65536]
-                dot = np.einsum("ij,ij->i", x[p], x[q])
-                exact = dot / np.sqrt(np.einsum("ij,ij->i", x[p], x[p])
-                                      * np.einsum("ij,ij->i", x[q], x[q])) >= cosine
-                p, q = p[exact], q[exact]
-                mine = _first_shared(seen, p, q) == bucket[p]
-                p, q = p[mine], q[mine]
-                np.add.at(links, p, size[q])
-                np.add.at(links, q, size[p])
-                kept_a.append(p)
-                kept_b.append(q)
-            if not kept_a:
-                continue
-            at, root = forest(len(g), np.concatenate(kept_a), np.concatenate(kept_b))
-            parent = np.arange(len(g))
-            parent[at] = root
+                near_a.append(a[near])
+                near_b.append(b[near])
+            if near_a:
+                settle(np.concatenate(near_a), np.concatenate(near_b), 0, len(g))
+            for s, n in zip(starts[counts > DENSE], counts[counts > DENSE]):
+                a, b = np.nonzero(np.triu(x[s:s + n] @ x[s:s + n].T >= cosine - 1e-9, 1))
+                wanted = same[s] | (side[s + a] != side[s + b])
+                settle(s + a[wanted], s + b[wanted], s, n)
             linked = np.flatnonzero(links)
             cid = g["cid"].to_numpy()
             yield pd.DataFrame({"cid": cid[linked], "links": links[linked],
