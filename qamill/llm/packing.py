@@ -6,18 +6,19 @@ piece lengths (at most ``capacity`` numbers, whatever the data):
 
 1. the configuration program asks for the fewest sequences such that the lengths that
    their contents (configurations) use cover the histogram. It is solved by multiplicative weights:
-   every length has a price, the best configuration at these prices comes from
-   knapsack dynamic programming over the capacity, it is used in proportion, and
-   prices of the lengths it covers fall;
-2. the fractional solution is rounded down; what the histogram still holds is filled in
-   by best fit: the largest piece left opens a configuration, the knapsack's
-   reachable sums fill it as far as the pieces left allow, and the configuration is repeated
-   as often as they allow;
+   every length has a price, knapsack dynamic programming over the capacity gives the best value
+   at these prices, configurations near it are used whole numbers of times, many lengths in a
+   step, and prices of the lengths they cover fall. It ends when all is covered or when no
+   configuration near the best one can be drawn from what is left;
+2. what the histogram still holds is filled in by best fit: the largest piece left opens a
+   configuration, the knapsack's reachable sums fill it as far as the pieces left allow, and the
+   configuration is repeated as often as they allow. Where the result is above the program's
+   dual bound, it is held against best fit alone, and the fewer sequences count;
 3. every piece takes the place of its rank among the pieces of its length: a running sum
    over (partition, length) counts numbers them without bringing a length together.
 
 Only the histogram and the table of configurations pass through the driver; both are
-bounded by the capacity, not by the data.
+bounded by the capacity and the steps, not by the data.
 
 Token ids: a text is split at single spaces, which no pre-token of the byte-level
 BPE crosses (texts holding two white-space characters in a row are encoded whole). The ids of
@@ -52,9 +53,18 @@ CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 300_000
-#: Steps of the multiplicative weights and their rate.
-STEPS = 600
-RATE = 0.25
+#: Steps of the multiplicative weights at most, their rate, the part of a length's demand that one
+#: step uses, and configurations drawn for a length in a step.
+STEPS = 100
+RATE = 0.5
+PARTS = 12
+TRIES = 3
+#: Shares that a used configuration may be below the best value; the next one holds after a step
+#: that placed less than LEAST of what was left, and after the last the program ends.
+SLACKS = (0.0005, 0.002, 0.01, 0.03)
+LEAST = 0.02
+#: Noise, in capacities, by which nearly best configurations are drawn.
+SPREAD = 0.0005
 
 _TWO_SPACES = re.compile(r"\s\s")
 # The tokenizer's pre-token pattern on ASCII and Latin-1 letters, where its
@@ -194,31 +204,72 @@ def _knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarr
     return out
 
 
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY,
-               steps: int = STEPS, rate: float = RATE) -> list[tuple[np.ndarray, float]]:
-    """Near-optimal fractional cover of ``demand``: (configuration, times used) pairs."""
-    covered = np.zeros(len(lengths))
-    used: dict[bytes, list] = {}
-    price = lengths / capacity  # start from the area bound's prices
-    penalty = np.zeros(len(lengths))
+def _values(lengths: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
+    """Largest value of a configuration within each size up to the capacity."""
+    best = np.zeros(capacity + 1)
+    short = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
+    for c in range(1, capacity + 1):
+        n = short[c]
+        if n:
+            best[c] = max(best[c - 1], (best[c - lengths[:n]] + value[:n]).max())
+    return best
+
+
+def program(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS,
+            parts: int = PARTS, rate: float = RATE) -> tuple[dict[tuple, int], np.ndarray, float]:
+    """(configurations and times used, demand left, lower bound of any packing).
+
+    One pricing serves a whole step: every length opens configurations of its own, drawn at
+    random among the nearly best ones, and a step uses at most one part in ``parts`` of a
+    length's demand, so many lengths are raised together. A configuration is used if its
+    value is within ``SLACKS`` of the best one's; the slack widens as steps place little.
+    The prices of each step give a dual bound; the largest is returned."""
+    rng = np.random.default_rng(1)
+    left, bound, level = demand.copy(), 0.0, 0
+    used: dict[tuple, int] = {}
     for _ in range(steps):
-        weight = price * np.exp(-penalty)
-        config = _knapsack(lengths, weight / weight.max(), capacity)
-        on = config > 0
-        if not on.any():
-            break
-        # as much as raises the best covered length by one rate step
-        amount = rate * float((demand[on] / config[on]).min())
-        entry = used.setdefault(config.tobytes(), [config, 0.0])
-        entry[1] += amount
-        gained = amount * config / demand
-        covered += gained
-        penalty += gained / rate * 0.25
-        if covered.min() >= 1:
+        on = np.flatnonzero(left)
+        if not len(on) or level == len(SLACKS):
             break
-    # scaled so that no length is used beyond its demand; rounding fills the rest
-    scale = max(1.0, covered.max())
-    return [(c, x / scale) for c, x in used.values()]
+        own, m = lengths[on], len(on)
+        covered = 1 - left[on] / demand[on]
+        value = own / capacity * np.exp(-rate * (covered - covered.min()))
+        best = _values(own, value, capacity)
+        bound = max(bound, float(demand[on] @ value) / best[capacity])
+        enough = (1 - SLACKS[level]) * best[capacity]
+        room = np.minimum(left[on], -(-demand[on] // parts))
+        noise = rng.random(4 * m) * SPREAD
+        short = np.searchsorted(own, np.arange(capacity + 1), side="right").tolist()
+        sizes, worth, before = own.tolist(), value.tolist(), int(left.sum())
+        for k in range(m - 1, -1, -1):
+            for _ in range(TRIES):
+                if not room[k]:
+                    break
+                free, held, total, c = room.copy(), {k: 1}, worth[k], capacity - sizes[k]
+                free[k] -= 1
+                while c > 0 and (n := short[c]):
+                    at = int(rng.random() * 3 * m)
+                    found = best[c - own[:n]] + value[:n] + noise[at:at + n]
+                    found[free[:n] <= 0] = -1
+                    j = int(found.argmax())
+                    if found[j] < 0:
+                        break
+                    free[j] -= 1
+                    held[j] = held.get(j, 0) + 1
+                    c -= sizes[j]
+                    total += worth[j]
+                if total < enough:
+                    continue
+                which = np.array(sorted(held))
+                count = np.array([held[j] for j in which.tolist()])
+                times = int((room[which] // count).min())
+                room[which] -= count * times
+                left[on[which]] -= count * times
+                key = tuple(zip(on[which].tolist(), count.tolist()))
+                used[key] = used.get(key, 0) + times
+        if before - int(left.sum()) < LEAST * before:
+            level += 1
+    return used, left, bound
 
 
 def _fill(lengths: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
@@ -262,33 +313,32 @@ def _fill(lengths: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(lengths, counts, repetitions) of configurations that hold the histogram exactly."""
+    """(lengths, counts, repetitions) of configurations that hold the histogram exactly: the
+    program's with best fit for its rest, or best fit alone where that takes fewer sequences."""
     full = histogram.get(capacity, 0)
     out = [(np.array([capacity]), np.array([1]), full)] if full else []
     lengths = np.array(sorted(x for x in histogram if x < capacity and histogram[x]), dtype=np.int64)
     if not len(lengths):
         return out
-    left = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    chosen: dict[bytes, list] = {}
-
-    def use(config: np.ndarray, times: int) -> None:
-        nonlocal left
-        left = left - config * times
-        chosen.setdefault(config.tobytes(), [config, 0])[1] += times
-
-    for config, x in sorted(fractional(lengths, left.astype(float), capacity),
-                            key=lambda e: (-int(e[0] @ lengths), -e[1])):
-        on = config > 0
-        times = min(int(x), int((left[on] // config[on]).min()))
-        if times > 0 and int(config @ lengths) >= 0.99 * capacity:
-            use(config, times)
-    while left.any():
-        config = _fill(lengths, left, capacity)
-        on = config > 0
-        use(config, int((left[on] // config[on]).min()))
-    for config, times in chosen.values():
-        on = config > 0
-        out.append((lengths[on], config[on], times))
+    demand = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
+
+    def filled(chosen: dict[tuple, int], left: np.ndarray) -> dict[tuple, int]:
+        while left.any():
+            config = _fill(lengths, left, capacity)
+            on = np.flatnonzero(config)
+            times = int((left[on] // config[on]).min())
+            left = left - config * times
+            key = tuple(zip(on.tolist(), config[on].tolist()))
+            chosen[key] = chosen.get(key, 0) + times
+        return chosen
+
+    used, left, bound = program(lengths, demand, capacity)
+    chosen = filled(used, left)
+    if sum(chosen.values()) > np.ceil(bound - 1e-6):  # not known to be the fewest
+        chosen = min(chosen, filled({}, demand), key=lambda x: sum(x.values()))
+    for config, times in chosen.items():
+        on, counts = np.array(config).T
+        out.append((lengths[on], counts, times))
     return out
 
 
@@ -317,7 +367,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = materialize(held.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n")))
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("_n")).collect()}
     rows = slots(plan(histogram, capacity))
-    # one row for each length of a configuration: bounded by the capacity, so broadcast
+    # one row for each length of a configuration: bounded by capacity and steps, so broadcast
     table = spark.createDataFrame(rows, "_l bigint, _first bigint, _end bigint, _each bigint, "
                                         "_seq bigint, _off bigint")
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -94,3 +94,23 @@ def test_ids_of_any_text(own, texts):
 def test_ranks_are_the_vocabulary(own):
     ranks = P.vocabulary_ranks(P.tokenizer_path())
     assert len(ranks) == own[1].get_vocab_size() - 1 and len(set(ranks.values())) == len(ranks)
+
+
+def test_skewed_histogram_stays_near_the_area_bound():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    histogram = Counter(np.clip(rng.gamma(1.2, 450, 6000), 10, 2047).astype(int).tolist())
+    histogram[700] += 3000  # a third of all pieces
+    lengths = np.array(sorted(histogram))
+    demand = np.array([histogram[x] for x in lengths.tolist()])
+    area = -(-int(lengths @ demand) // 2048)
+    used, left, bound = P.program(lengths, demand)
+    assert left.sum() < demand.sum() / 4 and area - 1 <= np.ceil(bound) <= area
+    configs = P.plan(histogram)
+    held = Counter()
+    for sizes, counts, times in configs:
+        assert sizes @ counts <= 2048
+        for x, n in zip(sizes.tolist(), counts.tolist()):
+            held[x] += n * times
+    assert held == histogram
+    assert sum(t for *_, t in configs) <= 1.06 * area
