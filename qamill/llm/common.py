@@ -38,25 +38,32 @@ def smallest_hashes(ids: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def fetch_texts(docs: DataFrame, ids: Sequence[int], max_chars: int) -> list[tuple]:
-    """(doc_id, text) of the named rows in the order of ``ids``, whole texts only,
-    as many leading rows as ``max_chars`` characters hold. ``ids`` is a sample of
-    bounded size, so it is broadcast; one row is taken for a repeated id."""
+    """(doc_id, text) of the named rows in the order of ``ids``, whole texts only and at most
+    ``max_chars`` characters: a text that does not fit any more is passed over, and those
+    after it that fit are taken. ``ids`` is a sample of bounded size, so it is broadcast; one
+    row is taken for a repeated id."""
     if not ids:
         return []
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(int(i), k) for k, i in enumerate(ids)],
                                    "doc_id bigint, _rank int")
     found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
-    sizes = sorted((r[0], r[1]) for r in found.groupBy("_rank").agg(
+    by_rank = found.groupBy("_rank")
+    sizes = sorted((r[0], r[1]) for r in by_rank.agg(
         F.max(F.coalesce(F.length("text"), F.lit(0)))).collect())
-    total, last = 0, -1
+    total, taken = 0, []
     for rank, chars in sizes:
-        if total + chars > max_chars and last >= 0:
-            break
-        total, last = total + chars, rank
+        if total + chars <= max_chars:
+            total += chars
+            taken.append((rank, chars))
     got: dict[int, tuple] = {}
-    rows = found.where(F.col("_rank") <= last).groupBy("_rank").agg(
-        F.first("doc_id"), F.max(F.coalesce("text", F.lit("")))).collect()
+    if not taken:
+        return []
+    # the longest text of a repeated id, whose length was counted
+    fits = spark.createDataFrame(taken, "_rank int, _chars int")
+    rows = found.join(F.broadcast(fits), "_rank") \
+        .where(F.coalesce(F.length("text"), F.lit(0)) == F.col("_chars")).groupBy("_rank") \
+        .agg(F.first("doc_id"), F.max(F.coalesce("text", F.lit("")))).collect()
     for rank, doc_id, text in rows:
         got[rank] = (doc_id, text)
     return [got[k] for k in sorted(got)]
@@ -68,8 +75,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     """Texts of a bounded sample of labelled rows, by class.
 
     Only label rows outside the held-out fold are read. Per class the
-    ``per_class`` ids of smallest hash are taken, and of those the leading ones
-    whose whole texts fit ``max_chars`` characters together. Rows that carry
+    ``per_class`` ids of smallest hash are taken, and of those, by rank, the ones whose
+    whole texts still fit ``max_chars`` characters together. Rows that carry
     contradicting labels for one id are left out."""
     lab = (labels.where(F.col(column).isin(*classes) & (fold("doc_id", folds) != held_out))
            .groupBy("doc_id").agg(F.min(column).alias("lo"), F.max(column).alias("hi"))

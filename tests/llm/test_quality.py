@@ -51,3 +51,20 @@ def test_bounds_leave_whole_texts(spark):
                                  "doc_id bigint, text string")
     assert fetch_texts(docs, [4, 0, 2], 20) == [(4, "x" * 10), (0, "x" * 10)]
     assert fetch_texts(docs, [], 20) == []
+
+
+def test_a_text_that_does_not_fit_is_passed_over(spark):
+    from qamill.llm.common import fetch_texts, labelled_sample, smallest_hashes
+    docs = spark.createDataFrame([(i, "y" * (1000 if i == 3 else 10)) for i in range(6)],
+                                 "doc_id bigint, text string")
+    assert fetch_texts(docs, [3, 0, 2], 25) == [(0, "y" * 10), (2, "y" * 10)]
+    assert fetch_texts(docs, [0, 3, 2], 25) == [(0, "y" * 10), (2, "y" * 10)]
+    assert fetch_texts(docs, [3], 25) == []
+    # one very long labelled text at rank 0
+    ids = spark.range(60).withColumnRenamed("id", "doc_id")
+    labels = ids.selectExpr("doc_id", "1 as quality")
+    first = smallest_hashes(labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 != 0"),
+                            "doc_id", 60, 11).first()[0]
+    docs = ids.selectExpr("doc_id", f"repeat('z', if(doc_id = {first}, 5000, 10)) as text")
+    got = labelled_sample(docs, labels, "quality", 20, 1000)
+    assert got == {0: [], 1: ["z" * 10] * 19}
