@@ -37,11 +37,11 @@ from qamill.llm.common import fold, table
 from qamill.session import materialize
 
 SHARE = 0.1
-#: Slots of the filter array and probes; at most GRAMS n-grams a language are inserted.
+#: Slots of the filter array at least (more where a language's n-grams would fill over FILL of
+#: them), and probes.
 SLOT_BITS = 20
+FILL = 0.18
 HASHES = 3
-GRAMS = 60_000
-MAX_LANGUAGES = 64
 #: Characters handled at once.
 CHUNK = 1_000_000
 UNDETERMINED = "und"
@@ -97,35 +97,60 @@ def _chunks(texts: list[str], *more: list) -> Iterator[tuple]:
         yield (texts[at:], *(m[at:] for m in more))
 
 
-def slots(key: np.ndarray) -> Iterator[np.ndarray]:
+def slots(key: np.ndarray, bits: int = SLOT_BITS) -> Iterator[np.ndarray]:
     for m in _MULTIPLIERS[:HASHES]:
-        yield ((key ^ (key >> np.uint64(29))) * m) >> np.uint64(64 - SLOT_BITS)
+        yield ((key ^ (key >> np.uint64(29))) * m) >> np.uint64(64 - bits)
+
+
+def slot_bits(most: int) -> int:
+    """Bits of a slot number for filters of at most ``most`` n-grams."""
+    bits = SLOT_BITS
+    while most * HASHES > FILL * (1 << bits):
+        bits += 1
+    return bits
 
 
 @dataclass
 class Model:
-    """Bit-sliced filters: ``masks[slot]`` has bit k for ``languages[k]``; ``wrong[k]`` is the
-    probability of a false yes of language k."""
+    """Bit-sliced filters: ``masks[slot]`` has bit k for ``languages[k]``, or, of more than 64
+    languages, a word for each 64; ``wrong[k]`` is the probability of a false yes of language k."""
     languages: list[str]
     masks: np.ndarray
     wrong: np.ndarray
 
 
+def _bit(masks: np.ndarray, k: int) -> np.ndarray:
+    """Bit k of slot masks."""
+    word = masks if masks.ndim == 1 else masks[:, k // 64]
+    return (word >> word.dtype.type(k % 64)) & word.dtype.type(1)
+
+
+def _order(docs: dict[str, int]) -> list[str]:
+    return sorted(docs, key=lambda x: (-docs[x], x))
+
+
+def _model(languages: list[str], masks: np.ndarray) -> Model:
+    """The model of (slot, word) masks of 64 bits."""
+    if masks.shape[1] == 1:
+        width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64)
+                     if len(languages) <= np.iinfo(t).bits)
+        masks = masks[:, 0].astype(width)
+    fill = np.array([np.count_nonzero(_bit(masks, k)) for k in range(len(languages))]) / len(masks)
+    return Model(languages, masks, fill ** HASHES)
+
+
 def build(counts: list[tuple[str, int, int]], docs: dict[str, int]) -> Model:
     """Filters from (language, n-gram, count) rows; ``docs``: documents by language."""
-    languages = sorted(docs, key=lambda x: (-docs[x], x))[:MAX_LANGUAGES]
-    number = {x: k for k, x in enumerate(languages)}
-    masks = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
-    wrong = np.zeros(len(languages))
-    for lang, k in number.items():
-        key = np.array([g for x, g, _ in counts if x == lang], dtype=np.int64).view(np.uint64)
-        for s in slots(key):
-            masks[s] |= np.uint64(1 << k)
-        fill = np.count_nonzero(masks & np.uint64(1 << k)) / len(masks)
-        wrong[k] = fill ** HASHES
-    width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64)
-                 if len(languages) <= np.iinfo(t).bits)
-    return Model(languages, masks.astype(width), wrong)
+    languages = _order(docs)
+    keys = {x: [] for x in languages}
+    for x, g, _ in counts:
+        keys[x].append(g)
+    bits = slot_bits(max(map(len, keys.values()), default=0))
+    masks = np.zeros((1 << bits, max(1, -(-len(languages) // 64))), dtype=np.uint64)
+    for k, x in enumerate(languages):
+        for s in slots(np.array(keys[x], dtype=np.int64).view(np.uint64), bits):
+            masks[s, k // 64] |= np.uint64(1 << k % 64)
+    return _model(languages, masks)
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
@@ -157,22 +182,36 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     counted = known.mapInPandas(count, "lang string, gram bigint, n bigint") \
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = materialize(counted)
-    docs_by = {r[0]: r[1] for r in counted.where("gram = -1").select("lang", "n")
-               .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not docs_by:
-        return build([], {})
-    langs = docs_by.keys()
-    real = counted.where((F.col("gram") != -1) & F.col("lang").isin(*langs))
+    docs_by = {r[0]: r[1] for r in counted.where("gram = -1").select("lang", "n").collect()}
+    languages = _order(docs_by)
+    real = counted.where("gram != -1")
     totals = {r[0]: r[1] for r in real.groupBy("lang").agg(F.sum("n")).collect()}
-    share = F.create_map(*[F.lit(x) for kv in totals.items() for x in kv])[F.col("lang")]
-    shared = real.withColumn("share", F.col("n") / share) if totals else real.withColumn("share", F.lit(0.0))
+    if not totals:
+        return build([], docs_by)
+    # one row for each language, so broadcast
+    numbers = docs.sparkSession.createDataFrame(
+        [(x, k, totals[x]) for k, x in enumerate(languages) if x in totals],
+        "lang string, k int, total bigint")
+    shared = real.join(F.broadcast(numbers), "lang").withColumn("share", F.col("n") / F.col("total"))
     top = shared.groupBy("gram").agg(F.max("share").alias("top"))
-    own = shared.join(top, "gram").where(F.col("share") >= F.lit(SHARE) * F.col("top"))
-    rows = []
-    for x in totals:  # at most GRAMS rows for each of at most 64 languages
-        rows += [tuple(r) for r in own.where(F.col("lang") == x).orderBy(F.desc("n"), "gram")
-                 .limit(GRAMS).select("lang", "gram", "n").collect()]
-    return build(rows, docs_by)
+    own = materialize(shared.join(top, "gram").where(F.col("share") >= F.lit(SHARE) * F.col("top"))
+                      .select("k", "gram"))
+    bits = slot_bits(max(r[1] for r in own.groupBy("k").count().collect()))
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            k = b["k"].to_numpy(dtype=np.uint64)
+            bit = (np.uint64(1) << (k & np.uint64(63))).view(np.int64)
+            word = (k >> np.uint64(6)).astype(np.int32)
+            for s in slots(b["gram"].to_numpy(dtype=np.int64).view(np.uint64), bits):
+                yield pd.DataFrame({"slot": s.view(np.int64), "word": word, "mask": bit})
+
+    found = own.mapInPandas(probe, "slot bigint, word int, mask bigint") \
+        .groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    masks = np.zeros((1 << bits, -(-len(languages) // 64)), dtype=np.uint64)
+    slot, word, mask = (found[c].to_numpy() for c in ("slot", "word", "mask"))
+    masks[slot, word] = mask.view(np.uint64)
+    return _model(languages, masks)
 
 
 def decide(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
@@ -183,12 +222,11 @@ def decide(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
     if not n_lang:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
     mask = None
-    for s in slots(key):
+    for s in slots(key, len(model.masks).bit_length() - 1):
         mask = model.masks[s] if mask is None else mask & model.masks[s]
     counts = np.empty((len(texts), n_lang))
     for k in range(n_lang):
-        bit = (mask >> mask.dtype.type(k)) & mask.dtype.type(1)
-        counts[:, k] = np.bincount(owner, bit, minlength=len(texts))
+        counts[:, k] = np.bincount(owner, _bit(mask, k), minlength=len(texts))
     counts = np.maximum(0, (counts - n[:, None] * model.wrong) / (1 - model.wrong))
     order = np.argsort(-counts, axis=1, kind="stable")
     best = np.take_along_axis(counts, order[:, :2], axis=1)
@@ -200,7 +238,7 @@ def decide(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 to 8 MB by language count
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB for each 8 languages, doubled where n-grams need it
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

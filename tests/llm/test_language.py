@@ -46,3 +46,28 @@ def test_ngrams_stay_inside_words_and_texts():
     key, owner = L.grams(["ab", "", "É!c"])
     text = ["".join(chr(int(k) >> s & 0x1FFFFF) for s in (42, 21, 0)) for k in key]
     assert text == [" ab", "ab ", " é ", " c "] and owner.tolist() == [0, 0, 2, 2]
+
+
+def test_more_than_64_languages(spark):
+    letters = [chr(0x4E00 + k) for k in range(70)]  # 70 languages, each of letters of its own
+    rows = [(i * 70 + k, " ".join(c * n for n in (3, 4, 5)), f"l{k:02d}")
+            for k, c in enumerate(letters) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = L.fit(docs)
+    assert len(model.languages) == 70
+    got = {r["doc_id"]: r["lang_pred"] for r in L.predict(docs.drop("lang"), model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
+def test_filters_hold_every_ngram_of_a_large_language(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, w)) for w in rng.integers(0x4E00, 0x9000, (30_000, 3))]
+    docs = spark.createDataFrame([(1, " ".join(words), "zh"), (2, "the river", "en")],
+                                 "doc_id bigint, text string, lang string")
+    model = L.fit(docs)
+    key = np.unique(L.grams([" ".join(words)])[0])
+    assert len(key) > 60_000
+    mask, k = None, model.languages.index("zh")
+    for s in L.slots(key, len(model.masks).bit_length() - 1):
+        mask = model.masks[s] if mask is None else mask & model.masks[s]
+    assert (mask >> k & 1).all()
