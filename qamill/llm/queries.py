@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from qamill.llm import (decontamination, embedding_dedup, html_extraction, language_id, packing, quality,
+from qamill.llm import (collocations, decontamination, embedding_dedup, html_extraction, language_id, packing, quality,
                         sharding, simhash_dedup, toxicity, url_filters)
 
 QUERIES = {
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_embedding_dedup": embedding_dedup.query,
     "op10_simhash_dedup": simhash_dedup.query,
+    "op11_collocations": collocations.query,
 }
 
 ORACLE = {
     "op4_url_filters": url_filters.ORACLE,
     "op8_sharding": sharding.ORACLE,
     "op9_embedding_dedup": embedding_dedup.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
