@@ -10,8 +10,8 @@ and tabs into words. Everything is counted for each language (null: ``und``):
    Safe positions add to an array of hashed counts that tasks saturate at the support; a
    phrase of a bucket below the support can't be frequent. The distinct phrases that are left at
    safe positions are the candidates;
-3. candidates are cut into shards of at most ``SHARD`` phrases. A shard's double-array trie is
-   broadcast, all positions of a block advance through it together, one word a level, accepting
+3. candidates are dealt by hash into shards of about ``SHARD`` phrases, whose double-array tries tasks
+   build. One shard's tries at a time are broadcast, all positions of a block advance through it together, one word a level, accepting
    states are counted by ``bincount``, and Spark sums the tasks' counts;
 4. scores, the removal of phrases inside longer ones and the ranking are joins and aggregates over
    the frequent phrases, in exact integers.
@@ -28,6 +28,7 @@ names, are left behind.
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -48,7 +49,7 @@ UNDETERMINED = "und"
 BLOCK = 2_000_000
 SLICE = 1 << 20
 #: Phrases in a trie.
-SHARD = 1_000_000
+SHARD = 250_000
 #: Hashed counts: one for every four words, within these powers of two.
 MIN_BITS, MAX_BITS = 16, 24
 CHUNK = 1 << 16
@@ -328,48 +329,56 @@ class DoubleArray:
         return np.bincount(self.accept[state], minlength=int((self.accept >= 0).sum()))
 
 
-def _tries(rows: list[tuple[str, str]]) -> dict[str, tuple[dict[bytes, int], DoubleArray, list[str]]]:
-    """For each language: numbers of its words, trie, phrases."""
-    by_lang = defaultdict(list)
-    for name, phrase in rows:
-        by_lang[name].append(phrase)
+def _tries(shard: pd.DataFrame) -> dict[str, tuple[list[bytes], np.ndarray, DoubleArray]]:
+    """For each language: words (number 0 is no word), phrases as rows of word numbers, their trie."""
     out = {}
-    for name, phrases in by_lang.items():
-        split = [p.encode().split(b" ") for p in phrases]
-        numbers = {w: k for k, w in enumerate(sorted({w for s in split for w in s}), 1)}
-        out[name] = numbers, DoubleArray(np.array([[numbers[w] for w in s] for s in split]), len(numbers)), phrases
+    for name, part in shard.groupby("lang"):
+        split = [p.encode().split(b" ") for p in part["phrase"].tolist()]
+        words = [b"", *sorted({w for s in split for w in s})]
+        numbers = {w: k for k, w in enumerate(words)}
+        phrases = np.array([[numbers[w] for w in s] for s in split], np.int32)
+        out[name] = words, phrases, DoubleArray(phrases, len(words) - 1)
     return out
 
 
+def tries(wanted: DataFrame, shards: int) -> DataFrame:
+    """(shard, trie): the phrases dealt out by hash, each shard built by a task of its own."""
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        made = pickle.dumps(_tries(part), protocol=5)
+        return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "trie": pd.Series([made], dtype=object)})
+
+    dealt = wanted.select("lang", "phrase", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int").alias("shard"))
+    return dealt.groupBy("shard").applyInPandas(build, "shard int, trie binary")
+
+
 def trie_counts(held: DataFrame, wanted: DataFrame, support: int, shard: int = SHARD) -> DataFrame:
     """(lang, phrase, f) of the phrases of ``wanted``, all of one length, that reach the support."""
-    spark = held.sparkSession
     shards = max(1, -(-wanted.count() // shard))
-    # hashes deal shards out evenly; twice the mean is never reached at this size
-    dealt = wanted.withColumn("_shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)))
+    built = materialize(tries(wanted, shards))
     out = None
     for k in range(shards):
-        shared = spark.sparkContext.broadcast(
-            _tries([tuple(r) for r in dealt.where(F.col("_shard") == k).select("lang", "phrase").collect()]))
+        one = [bytes(r[0]) for r in built.where(F.col("shard") == k).select("trie").collect()]
+        shared = held.sparkSession.sparkContext.broadcast(one)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            found = {name: x for made in shared.value for name, x in pickle.loads(made).items()}
+            known = {name: {w: j for j, w in enumerate(x[0]) if j} for name, x in found.items()}
             sums: dict[str, np.ndarray] = {}
             for name, words, ids in _opened(batches):
-                if name in shared.value:
-                    numbers, trie, _ = shared.value[name]
-                    own = np.fromiter((numbers.get(w, 0) for w in words), np.int32, len(words))
+                if name in found:
+                    own = np.fromiter((known[name].get(w, 0) for w in words), np.int32, len(words))
                     own[0] = 0
-                    sums[name] = sums.get(name, 0) + trie.count(own[ids])
+                    sums[name] = sums.get(name, 0) + found[name][2].count(own[ids])
             for name, n in sums.items():
+                words, phrases, _ = found[name]
                 on = np.flatnonzero(n)
-                phrases = shared.value[name][2]
-                yield _rows(name, [phrases[j] for j in on.tolist()], f=n[on])
+                yield _rows(name, [b" ".join([words[j] for j in row]).decode() for row in phrases[on].tolist()], f=n[on])
 
-        found = held.mapInPandas(run, "lang string, phrase string, f bigint") \
+        counted = held.mapInPandas(run, "lang string, phrase string, f bigint") \
             .groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= support)
-        found = materialize(found)
+        counted = materialize(counted)
         shared.unpersist()
-        out = found if out is None else out.unionByName(found)
+        out = counted if out is None else out.unionByName(counted)
     return out
 
 
