@@ -49,7 +49,7 @@ UNDETERMINED = "und"
 BLOCK = 2_000_000
 SLICE = 1 << 20
 #: Phrases in a trie.
-SHARD = 250_000
+SHARD = 100_000
 #: Hashed counts: one for every four words, within these powers of two.
 MIN_BITS, MAX_BITS = 16, 24
 CHUNK = 1 << 16
@@ -258,75 +258,79 @@ def candidates(held: DataFrame, maps: list[np.ndarray], bits: int, support: int)
 # --- the double-array trie -------------------------------------------------------------------
 
 class DoubleArray:
-    """Phrases of equal length as a double-array trie: from state s, word w leads to
-    t = base[s] + w if check[t] == s. State 0 is dead; ``accept[s]`` numbers the phrase of a
-    final state."""
+    """Phrases of equal length as a double-array trie. A word is two digits, so that a node's
+    children lie within one short window: from state s, digit d leads to t = base[s] + d
+    if check[t] == s. State 0 is dead; ``accept[s]`` numbers the phrase of a final state."""
 
     def __init__(self, phrases: np.ndarray, n_words: int) -> None:
         """``phrases``: distinct rows of word numbers from 1 to ``n_words``."""
         count, self.length = phrases.shape
-        # nodes of each level: distinct prefixes, as (parent number, word)
+        self.digits = int(np.sqrt(n_words)) + 1
         node, levels = np.zeros(count, np.int64), []
-        for d in range(self.length):
-            codes, node = np.unique(node * (n_words + 1) + phrases[:, d], return_inverse=True)
-            levels.append((codes // (n_words + 1), codes % (n_words + 1)))
-        size = 2 * sum(len(p) for p, _ in levels) + 4 * (n_words + 2)
+        for d in range(2 * self.length):  # nodes of each level: distinct prefixes
+            digit = phrases[:, d // 2] // self.digits if d % 2 == 0 else phrases[:, d // 2] % self.digits
+            codes, node = np.unique(node * self.digits + digit, return_inverse=True)
+            levels.append((codes // self.digits, codes % self.digits))
+        # slot 0 is the dead state, whose digits lead to slots that nothing owns; then the root
+        self.root, end = self.digits, self.digits + 1
+        room = 2 * end + 2 * sum(len(p) for p, _ in levels)
+        base, check, taken = np.zeros(room, np.int32), np.full(room, -1, np.int32), np.zeros(room, bool)
+        taken[:end] = True
         rng = np.random.default_rng(5)
-        while not self._placed(levels, n_words, size, rng):
-            size *= 2
-        self.accept = np.full(len(self.check), -1, np.int32)
-        self.accept[self.states[node]] = np.arange(count)
-        del self.states
-
-    def _placed(self, levels: list, n_words: int, size: int, rng: np.random.Generator) -> bool:
-        base = np.zeros(size + n_words + 2, np.int32)
-        check = np.full(size + n_words + 2, -1, np.int32)
-        taken = np.zeros(size + n_words + 2, bool)
-        taken[:n_words + 1] = True  # where the dead state's words lead
-        self.root = len(base) - 1
-        taken[self.root] = True
         owners = np.array([self.root])
-        for parent, word in levels:
+        for parent, digit in levels:
             starts = np.searchsorted(parent, np.arange(len(owners) + 1))
             many = np.diff(starts)
             states = np.zeros(len(parent), np.int64)
             order = np.argsort(-many, kind="stable")
             for k in order[:np.count_nonzero(many > 1)].tolist():  # the largest first
-                own = word[starts[k]:starts[k + 1]]
-                for b in rng.integers(1, size, 400).tolist():
-                    at = b + own
-                    if not taken[at].any():
-                        break
-                else:
-                    return False
+                own = digit[starts[k]:starts[k + 1]]
+                tried = rng.integers(1, end, 16)
+                fits = np.flatnonzero(~taken[tried[:, None] + own].any(axis=1))
+                at = (tried[fits[0]] if len(fits) else end - own[0]) + own  # in a gap or behind the end
+                end = max(end, int(at[-1]) + 1)
+                if end + self.digits >= room:
+                    base, check, taken = (np.concatenate([x, np.full(room, v, x.dtype)])
+                                          for x, v in ((base, 0), (check, -1), (taken, False)))
+                    room *= 2
                 taken[at] = True
-                base[owners[k]], check[at] = b, owners[k]
+                base[owners[k]], check[at] = at[0] - own[0], owners[k]
                 states[starts[k]:starts[k + 1]] = at
             single = np.flatnonzero(many == 1)
-            free = np.flatnonzero(~taken[:size])[:len(single)]
-            if len(free) < len(single):
-                return False
+            gaps = np.flatnonzero(~taken[:end])[:len(single)]
+            free = np.concatenate([gaps, np.arange(end, end + len(single) - len(gaps))])
+            if len(free) and free[-1] + 1 + self.digits >= room:
+                more = len(free)
+                base, check, taken = (np.concatenate([x, np.full(more, v, x.dtype)])
+                                      for x, v in ((base, 0), (check, -1), (taken, False)))
+                room += more
             own = starts[:-1][single]
-            base[owners[single]], check[free] = free - word[own], owners[single]
+            base[owners[single]], check[free] = free - digit[own], owners[single]
             taken[free] = True
+            end = max(end, int(free[-1]) + 1) if len(free) else end
             states[own] = free
             owners = states
-        self.base, self.check, self.states = base, check, owners
-        return True
+        # a base may lead a digit beyond the last slot
+        self.base, self.check = base[:end + self.digits], check[:end + self.digits]
+        self.accept = np.full(len(self.check), -1, np.int32)
+        self.accept[owners[node]] = np.arange(count)
+        self.count_of = count
 
     def count(self, words: np.ndarray) -> np.ndarray:
         """Occurrences of each phrase among word numbers (0: a word of no phrase), overlaps
-        included: the states of all positions advance together, one word a level."""
+        included: the states of all positions advance together, one level at a time."""
         n = len(words) - self.length + 1
-        if n <= 0:
-            return np.zeros(int((self.accept >= 0).sum()), np.int64)
-        at = np.flatnonzero(words[:n])
+        at = np.flatnonzero(words[:max(n, 0)])
         state = np.full(len(at), self.root, np.int32)
         for d in range(self.length):
-            then = self.base[state] + words[at + d]
+            word = words[at + d]
+            then = self.base[state] + word // self.digits
+            on = (self.check[then] == state) & (word > 0)
+            at, state, word = at[on], then[on], word[on]
+            then = self.base[state] + word % self.digits
             on = self.check[then] == state
             at, state = at[on], then[on]
-        return np.bincount(self.accept[state], minlength=int((self.accept >= 0).sum()))
+        return np.bincount(self.accept[state], minlength=self.count_of)
 
 
 def _tries(shard: pd.DataFrame) -> dict[str, tuple[list[bytes], np.ndarray, DoubleArray]]:
