@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from qamill.llm import (collocations, decontamination, embedding_dedup, html_extraction, language_id, packing, quality,
-                        sharding, simhash_dedup, toxicity, url_filters)
+from qamill.llm import (collocations, conversation_repair, decontamination, embedding_dedup, html_extraction, language_id, packing, quality,
+                        sharding, simhash_dedup, token_store, toxicity, url_filters)
 
 QUERIES = {
     "op1_html_extraction": html_extraction.query,
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_embedding_dedup": embedding_dedup.query,
     "op10_simhash_dedup": simhash_dedup.query,
     "op11_collocations": collocations.query,
+    "op12_token_store": token_store.query,
+    "op13_conversation_repair": conversation_repair.query,
 }
 
 ORACLE = {
