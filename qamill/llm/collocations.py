@@ -50,8 +50,8 @@ BLOCK = 2_000_000
 SLICE = 1 << 20
 #: Phrases in a trie.
 SHARD = 100_000
-#: Hashed counts: one for every four words, within these powers of two.
-MIN_BITS, MAX_BITS = 16, 24
+#: Hashed counts: one for every two words, within these powers of two.
+MIN_BITS, MAX_BITS = 16, 26
 CHUNK = 1 << 16
 
 # Bytes that end a piece become ".", a tab a space, A-Z a-z.
@@ -78,8 +78,7 @@ def blocks(docs: DataFrame, lang: str = "lang", text: str = "text", size: int =
     """(lang, words, ids): the words of many texts as numbers of the block's dictionary;
     number 0 ends a piece. ``words`` are joined by spaces, ``ids`` are compressed 32-bit numbers."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = _packers()[0]
         held: dict[str, tuple[defaultdict, list[np.ndarray]]] = {}
         total = 0
 
@@ -115,11 +114,10 @@ def blocks(docs: DataFrame, lang: str = "lang", text: str = "text", size: int =
 
 def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
     """(lang, words, ids) of each block."""
-    import zstandard
+    unpack = _packers()[1]
     for b in batches:
         for name, words, ids in zip(b["lang"].tolist(), b["words"].tolist(), b["ids"].tolist()):
-            yield name, bytes(words).split(b" "), \
-                np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(ids)), np.int32)
+            yield name, bytes(words).split(b" "), np.frombuffer(unpack(bytes(ids)), np.int32)
 
 
 def _rows(lang: str, phrases: list[str], **more: np.ndarray) -> pd.DataFrame:
@@ -156,26 +154,29 @@ def _buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _merged(parts: DataFrame, support: int) -> dict[int, np.ndarray]:
+def _bitmap(parts: DataFrame, support: int) -> dict[int, bytes]:
     """Bits of the buckets that reach the support: chunks of saturated counts (``chunk``, ``n``)
     are added up as they stream by, and one bit a bucket comes to the driver."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack, unpack = _packers()
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for chunk, n in zip(b["chunk"].tolist(), b["n"].tolist()):
-                n = np.frombuffer(bytes(n), np.uint8).astype(np.uint16)
+                n = np.frombuffer(unpack(bytes(n)), np.uint8).astype(np.uint16)
                 sums[chunk] = np.minimum(sums[chunk] + n, support) if chunk in sums else n
-        rows = [(c, np.packbits(n >= support).tobytes()) for c, n in sums.items()]
+        rows = [(c, pack(np.packbits(n >= support).tobytes())) for c, n in sums.items() if n.max() >= support]
         yield pd.DataFrame(rows, columns=["chunk", "n"])
 
     rows = parts.repartition("chunk").mapInPandas(run, "chunk int, n binary").collect()
-    return {r[0]: np.frombuffer(bytes(r[1]), np.uint8) for r in rows}
+    return {r[0]: bytes(r[1]) for r in rows}
 
 
-def _bitmap(parts: DataFrame, bits: int, support: int) -> np.ndarray:
+def opened_bitmap(packed: dict[int, bytes], bits: int) -> np.ndarray:
+    """One bit a bucket from its compressed chunks, which is how a bitmap is kept and sent."""
+    unpack, size = _packers()[1], CHUNK // 8
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for chunk, packed in _merged(parts, support).items():
-        out[chunk * (CHUNK // 8):chunk * (CHUNK // 8) + len(packed)] = packed
+    for chunk, part in packed.items():
+        out[chunk * size:(chunk + 1) * size] = np.frombuffer(unpack(part), np.uint8)
     return out
 
 
@@ -183,13 +184,19 @@ def _test(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
+def _packers():
+    import zstandard
+    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
 def _chunks(counts: np.ndarray) -> pd.DataFrame:
     """Non-zero chunks of a task's array."""
-    rows = [(k, part.tobytes()) for k, part in enumerate(counts.reshape(-1, CHUNK)) if part.any()]
+    pack = _packers()[0]
+    rows = [(k, pack(part.tobytes())) for k, part in enumerate(counts.reshape(-1, CHUNK)) if part.any()]
     return pd.DataFrame(rows, columns=["chunk", "n"])
 
 
-def frequent_bitmap(frequent: DataFrame, bits: int, support: int) -> np.ndarray:
+def frequent_bitmap(frequent: DataFrame, bits: int, support: int) -> dict[int, bytes]:
     """Bits of the hashed phrases of ``frequent`` (lang, phrase)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << bits, np.uint8)
@@ -203,7 +210,7 @@ def frequent_bitmap(frequent: DataFrame, bits: int, support: int) -> np.ndarray:
                 counts[_buckets(h, bits)] = support
         yield _chunks(counts)
 
-    return _bitmap(frequent.select("lang", "phrase").mapInPandas(run, "chunk int, n binary"), bits, support)
+    return _bitmap(frequent.select("lang", "phrase").mapInPandas(run, "chunk int, n binary"), support)
 
 
 def _safe(name: str, words: list[bytes], ids: np.ndarray, maps: list[np.ndarray], bits: int) \
@@ -222,26 +229,27 @@ def _safe(name: str, words: list[bytes], ids: np.ndarray, maps: list[np.ndarray]
     return at, _joined(h[at], own[at + len(maps)])
 
 
-def candidates(held: DataFrame, maps: list[np.ndarray], bits: int, support: int) -> DataFrame:
+def candidates(held: DataFrame, maps: list[dict[int, bytes]], bits: int, support: int) -> DataFrame:
     """(lang, phrase): distinct phrases of len(maps) + 1 words at safe positions, without those of
     a bucket below the support."""
     sc = held.sparkSession.sparkContext
     m, shared = len(maps) + 1, sc.broadcast(maps)
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << bits, np.uint8)
+        counts, known = np.zeros(1 << bits, np.uint8), [opened_bitmap(x, bits) for x in shared.value]
         for name, words, ids in _opened(batches):
-            _, h = _safe(name, words, ids, shared.value, bits)
+            _, h = _safe(name, words, ids, known, bits)
             at, n = np.unique(_buckets(h, bits), return_counts=True)
             counts[at] = np.minimum(counts[at] + n, support)
         yield _chunks(counts)
 
-    enough = sc.broadcast(_bitmap(held.mapInPandas(tally, "chunk int, n binary"), bits, support))
+    enough = sc.broadcast(_bitmap(held.mapInPandas(tally, "chunk int, n binary"), support))
 
     def list_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, reached = [opened_bitmap(x, bits) for x in shared.value], opened_bitmap(enough.value, bits)
         for name, words, ids in _opened(batches):
-            at, h = _safe(name, words, ids, shared.value, bits)
-            at = at[_test(enough.value, _buckets(h, bits))]
+            at, h = _safe(name, words, ids, known, bits)
+            at = at[_test(reached, _buckets(h, bits))]
             code = ids[at].astype(np.int64)
             for k in range(1, m):  # numbers of the phrases so far, then one word more
                 code = np.unique(code, return_inverse=True)[1] * len(words) + ids[at + k]
@@ -391,9 +399,9 @@ def trie_counts(held: DataFrame, wanted: DataFrame, support: int, shard: int = S
 def frequent_phrases(held: DataFrame, words: DataFrame, n_words: int, longest: int = LONGEST,
                      support: int = SUPPORT, shard: int = SHARD) -> list[DataFrame]:
     """(lang, phrase, f) of the frequent phrases of 1, 2, ... ``longest`` words."""
-    bits = min(MAX_BITS, max(MIN_BITS, (n_words // 4).bit_length()))
+    bits = min(MAX_BITS, max(MIN_BITS, (n_words // 2).bit_length()))
     found = [words.where(F.col("f") >= support)]
-    maps: list[np.ndarray] = []
+    maps: list[dict[int, bytes]] = []
     for _ in range(1, longest):
         maps.append(frequent_bitmap(found[-1], bits, support))
         found.append(trie_counts(held, candidates(held, maps, bits, support), support, shard))

@@ -101,7 +101,7 @@ def test_saturated_counts_over_tasks(spark):
     counts[[5, 9]] = 20, 29
     part = C._chunks(counts)
     parts = spark.createDataFrame(part.values.tolist() * 2, "chunk int, n binary").repartition(2)
-    bitmap = C._bitmap(parts, 16, 30)
+    bitmap = C.opened_bitmap(C._bitmap(parts, 30), 16)
     assert C._test(bitmap, np.array([5, 9, 10])).tolist() == [True, True, False]
 
 
