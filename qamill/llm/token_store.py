@@ -50,8 +50,9 @@ from qamill.session import checkpoint_dir
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: Words whose ids a worker keeps between tasks.
-CACHE_WORDS = 600_000
+#: Words of each of the two generations whose ids a worker keeps between tasks, and words encoded at once.
+CACHE_WORDS = 400_000
+ENCODED_WORDS = 20_000
 #: Ids and documents of a shard, keys of an index bucket (buckets are at least LEAST_BUCKETS).
 SHARD_IDS = 32_000_000
 SHARD_DOCS = 1_000_000
@@ -103,7 +104,8 @@ def shard_name(shard: int) -> str:
 
 class Encoder:
     """Ids of whole texts by ``tokenizers``. The tokenizer drops white space and no pre-token or special
-    token crosses a space or a line break, so words are encoded one by one and kept."""
+    token crosses a space or a line break, so words are encoded one by one and kept. When the words
+    in use outgrow the bound they become the old generation, from which words that occur again return."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -111,15 +113,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def batch(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+            self.words, self.old = {}, self.words
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set(chain.from_iterable(parts)).difference(self.words))
-        kind = "H" if self.width == 2 else "I"
-        done = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-        self.words.update(zip(fresh, [array(kind, x.ids).tobytes() for x in done]))
+        missing = set(chain.from_iterable(parts)).difference(self.words)
+        again = self.old.keys() & missing
+        self.words.update((w, self.old[w]) for w in again)
+        fresh, kind = list(missing - again), "H" if self.width == 2 else "I"
+        for k in range(0, len(fresh), ENCODED_WORDS):
+            some = fresh[k:k + ENCODED_WORDS]
+            done = self.tokenizer.encode_batch(some, add_special_tokens=False)
+            self.words.update(zip(some, [array(kind, x.ids).tobytes() for x in done]))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in parts]
 
