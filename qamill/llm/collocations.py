@@ -46,8 +46,10 @@ COVER = 80     # percent of a phrase's occurrences inside one longer phrase that
 TOP = 2000
 UNDETERMINED = "und"
 #: Tokens of a block, bytes of a slice of text.
-BLOCK = 2_000_000
+BLOCK = 5_000_000
 SLICE = 1 << 20
+#: Words for each part that lists of candidates are dealt to.
+PART_WORDS = 2_000_000
 #: Phrases in a trie.
 SHARD = 100_000
 #: Hashed counts: one for every two words, within these powers of two.
@@ -229,7 +231,7 @@ def _safe(name: str, words: list[bytes], ids: np.ndarray, maps: list[np.ndarray]
     return at, _joined(h[at], own[at + len(maps)])
 
 
-def candidates(held: DataFrame, maps: list[dict[int, bytes]], bits: int, support: int) -> DataFrame:
+def candidates(held: DataFrame, maps: list[dict[int, bytes]], bits: int, support: int, parts: int) -> DataFrame:
     """(lang, phrase): distinct phrases of len(maps) + 1 words at safe positions, without those of
     a bucket below the support."""
     sc = held.sparkSession.sparkContext
@@ -246,6 +248,8 @@ def candidates(held: DataFrame, maps: list[dict[int, bytes]], bits: int, support
     enough = sc.broadcast(_bitmap(held.mapInPandas(tally, "chunk int, n binary"), support))
 
     def list_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh32_intdigest
+        pack = _packers()[0]
         known, reached = [opened_bitmap(x, bits) for x in shared.value], opened_bitmap(enough.value, bits)
         for name, words, ids in _opened(batches):
             at, h = _safe(name, words, ids, known, bits)
@@ -255,9 +259,24 @@ def candidates(held: DataFrame, maps: list[dict[int, bytes]], bits: int, support
                 code = np.unique(code, return_inverse=True)[1] * len(words) + ids[at + k]
             first = at[np.unique(code, return_index=True)[1]]
             columns = [ids[first + k].tolist() for k in range(m)]
-            yield _rows(name, [b" ".join([words[j] for j in row]).decode() for row in zip(*columns)])
-
-    found = materialize(held.mapInPandas(list_up, "lang string, phrase string").distinct())
+            lists: dict[int, list[bytes]] = defaultdict(list)
+            for row in zip(*columns):
+                phrase = b" ".join([words[j] for j in row])
+                lists[xxh32_intdigest(phrase) % parts].append(phrase)
+            rows = [(name, part, pack(b"\n".join(sorted(found)))) for part, found in lists.items()]
+            yield pd.DataFrame(rows, columns=["lang", "part", "phrases"])
+
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack, found = _packers()[1], defaultdict(set)
+        for b in batches:
+            for name, phrases in zip(b["lang"].tolist(), b["phrases"].tolist()):
+                found[name].update(unpack(bytes(phrases)).split(b"\n"))
+        for name, phrases in found.items():
+            yield _rows(name, [p.decode() for p in phrases])
+
+    # a block's phrases travel as sorted lists, one a part: no phrase holds a line break
+    listed = held.mapInPandas(list_up, "lang string, part int, phrases binary")
+    found = materialize(listed.repartition(parts, "part").mapInPandas(distinct, "lang string, phrase string"))
     shared.unpersist()
     enough.unpersist()
     return found
@@ -400,11 +419,12 @@ def frequent_phrases(held: DataFrame, words: DataFrame, n_words: int, longest: i
                      support: int = SUPPORT, shard: int = SHARD) -> list[DataFrame]:
     """(lang, phrase, f) of the frequent phrases of 1, 2, ... ``longest`` words."""
     bits = min(MAX_BITS, max(MIN_BITS, (n_words // 2).bit_length()))
+    parts = max(8, n_words // PART_WORDS)
     found = [words.where(F.col("f") >= support)]
     maps: list[dict[int, bytes]] = []
     for _ in range(1, longest):
         maps.append(frequent_bitmap(found[-1], bits, support))
-        found.append(trie_counts(held, candidates(held, maps, bits, support), support, shard))
+        found.append(trie_counts(held, candidates(held, maps, bits, support, parts), support, shard))
     return found
 
 
