@@ -123,15 +123,26 @@ def ascii_digits(col) -> Column:
     return F.when(s.rlike(r"[^\x00-\x7F]"), F.translate(s, *_DIGITS)).otherwise(s)
 
 
+def number_text(col) -> Column:
+    """The text that ``parsed_number`` reads: stripped, digits of any script as 0-9."""
+    return ascii_digits(py_strip(col))
+
+
 def py_float(col) -> Column:
-    """``float(x)`` as a nullable double: null where Python raises ValueError.
+    """``float(x)`` as a nullable double: null where Python raises ValueError."""
+    return parsed_number(number_text(col))
+
+
+def parsed_number(text) -> Column:
+    """``py_float`` of a text that ``number_text`` has made. It reads the text several times, so callers
+    that parse many rows give it a column of a projection of its own.
 
     Surrounding white space goes and decimal digits of any script are read as
     0-9. The plain-number case is tried first and needs no regex: over the
     characters 0-9 . e E + - the grammars of Python's float() and Java's
     Double.parseDouble (Spark's cast) accept exactly the same strings. The
     underscore form and the special words are looked at only otherwise."""
-    s = ascii_digits(py_strip(col))
+    s = _c(text)
     low = F.lower(s)
     short = F.length(s) <= F.lit(len("+infinity"))
     plain = F.translate(s, PLAIN_NUMBER_CHARS, "") == F.lit("")

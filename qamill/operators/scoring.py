@@ -28,7 +28,14 @@ def gold_table(samples: DataFrame, task: TaskSpec = GSM8K,
     g = samples.select("sample_id", *carry, gold.alias("gold"))
     gv = task.gold_value(F.col("gold"))
     g = g.withColumn("_gold_val", gv)
-    return g.withColumn("_gold_num", task.to_number(F.col("_gold_val")))
+    return _parsed(g, "_gold_val", "_gold_num", task)
+
+
+def _parsed(df: DataFrame, text: str, out: str, task: TaskSpec) -> DataFrame:
+    """``df`` with the number ``out`` of a text: the text's cleaned form, read several times by the parser,
+    is a projection of its own (Catalyst keeps it apart for that), so it is made once a row."""
+    clean = df.withColumn("_clean", task.number_text(F.col(text)))
+    return clean.withColumn(out, task.to_number(F.col("_clean"))).drop("_clean")
 
 
 def with_extracted(outputs: DataFrame, task: TaskSpec = GSM8K) -> DataFrame:
@@ -43,7 +50,7 @@ def score(outputs: DataFrame, samples: DataFrame, task: TaskSpec = GSM8K,
     gold = gold_table(samples, task, carry)
     ext = with_extracted(outputs, task)
     # parsed once here; the check reads it three times
-    ext = ext.withColumn("_ext_num", task.to_number(F.col("extracted_answer")))
+    ext = _parsed(ext, "extracted_answer", "_ext_num", task)
     scored = ext.join(gold, "sample_id", how)
     correct = task.check_parsed(F.col("extracted_answer"), F.col("_ext_num"),
                                 F.col("_gold_val"), F.col("_gold_num"))

@@ -31,6 +31,8 @@ class TaskSpec:
     check_parsed: Callable[[Column, Column, Column, Column], Column]
     # text -> nullable double used by the numeric comparison
     to_number: Callable[[Column], Column]
+    # text -> the form that ``to_number`` reads; a projection of its own, so it is made once a row
+    number_text: Callable[[Column], Column] = lambda text: text
 
     def samples(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """Load the samples: strip both fields, derive the gold value."""
@@ -45,7 +47,8 @@ class TaskSpec:
     def check(self, extracted: Column, gold: Column) -> Column:
         """Check any extracted text against a gold answer."""
         gv = self.gold_value(gold)
-        return self.check_parsed(extracted, self.to_number(extracted), gv, self.to_number(gv))
+        return self.check_parsed(extracted, self.to_number(self.number_text(extracted)),
+                                 gv, self.to_number(self.number_text(gv)))
 
 
 def _gsm_raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +62,8 @@ GSM8K = TaskSpec(
     extract=T.extract_answer,
     gold_value=T.gold_value,
     check_parsed=T.check_parsed,
-    to_number=T.py_float,
+    to_number=T.parsed_number,
+    number_text=T.number_text,
 )
 
 _tasks: dict[str, TaskSpec] = {}

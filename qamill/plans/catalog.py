@@ -21,8 +21,8 @@ from qamill.functions import text as T
 from qamill.functions import times as TM
 from qamill.operators import conversations, experiments, report, scoring, sft, summary, tokens
 from qamill.operators.tasks import GSM8K
-from qamill.sources import files, fixtures
-from qamill.session import checkpoint_dir
+from qamill.sources import documents, files, fixtures
+from qamill.session import checkpoint_dir, materialize
 from qamill.sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -41,9 +41,9 @@ def _qa(spark, d):
     return GSM8K.samples(spark, d)
 
 
-def _numbered(df, d, *cols):
+def _numbered(df, d, *cols, split=None):
     """Row-local results (narrow) with ``gen_no`` joined on last."""
-    return fixtures.number_generations(df.select("sample_id", *fixtures.GEN_ORDER, *cols), d)
+    return fixtures.number_generations(df.select("sample_id", *fixtures.GEN_ORDER, *cols), d, split)
 
 
 def _test(spark, d):
@@ -140,7 +140,7 @@ def check_answer(spark, d):
     """Every output for a test sample, checked."""
     scored = scoring.score(fixtures.outs(spark, d, "test"), _test(spark, d))
     cols = ["run_id", "extracted_answer", "gold", "correct"]
-    return _numbered(scored, d, *cols).select("sample_id", "gen_no", *cols)
+    return _numbered(scored, d, *cols, split="test").select("sample_id", "gen_no", *cols)
 
 
 @query
@@ -166,7 +166,7 @@ def run_summary_limited(spark, d):
 
 @query
 def reward(spark, d):
-    return _numbered(_rewarded(spark, d), d, "run_id", "reward") \
+    return _numbered(_rewarded(spark, d), d, "run_id", "reward", split="train") \
         .select("sample_id", "gen_no", "run_id", "reward")
 
 
@@ -182,7 +182,7 @@ def reward_by_run(spark, d):
 
 @query
 def group_advantage(spark, d):
-    adv = scoring.group_advantage(_numbered(_rewarded(spark, d), d, "reward"))
+    adv = scoring.group_advantage(_numbered(_rewarded(spark, d), d, "reward", split="train"))
     return adv.select("sample_id", "gen_no", "group_id", "reward", "group_mean", "advantage")
 
 
@@ -486,11 +486,20 @@ def _folder(spark, name):
     return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}/{name}"
 
 
+def _in_turn(key):
+    """Filters for three writes into one folder: some runs, the others, and the first ones again."""
+    first = F.pmod(F.xxhash64(key), F.lit(2)) == 0
+    return [first, ~first, first]
+
+
 @query
 def results_roundtrip(spark, d):
-    """Result tables written by run and read back: detail rows with their run's accuracy."""
+    """Result tables written by run, in several writes, and read back: detail rows with their
+    run's accuracy."""
     base = _folder(spark, "results")
-    files.write_results(run_summary(spark, d), score_details(spark, d), base)
+    runs, details = materialize(run_summary(spark, d)), materialize(score_details(spark, d))
+    for part in _in_turn("run_id"):
+        files.write_results(runs.where(part), details.where(part), base)
     runs, details = files.read_results(spark, base)
     return details.join(runs.select("run_id", "accuracy"), "run_id") \
         .select("run_id", "index", "sample_id", "extracted_answer", "correct", "accuracy")
@@ -498,13 +507,32 @@ def results_roundtrip(spark, d):
 
 @query
 def summary_files(spark, d):
-    """Summaries written as one JSON document a run and found again by the scan."""
+    """Summaries written as one JSON document a run, in several writes, and found again by the scan."""
     base = _folder(spark, "eval")
-    files.write_summaries_json(_runs(spark, d).drop("eval_dir"), base)
+    runs = materialize(_runs(spark, d).drop("eval_dir"))
+    for part in _in_turn("run_id"):
+        files.write_summaries_json(runs.where(part), base)
     return files.read_summary_files(spark, base).select(
         F.regexp_extract("eval_dir", "[^/]+$", 0).alias("run_dir"), *summary.SUMMARY_COLS)
 
 
+@query
+def summary_key_union(spark, d):
+    """Summaries of two tool versions in one folder: chat runs have a seed, a temperature and a nested object
+    that no schema names; raw runs have another key and lack two of the schema's."""
+    base = _folder(spark, "eval")
+    runs = materialize(_runs(spark, d).drop("eval_dir"))
+    chat = runs.where("eval_chat_template").withColumn("seed", F.length("run_id").cast("bigint")) \
+        .withColumn("temperature", F.when(F.col("train_mask_question"), F.lit(0.7))) \
+        .withColumn("sampling", F.struct(F.col("correct").alias("top_k"), F.lit(True).alias("on")))
+    raw = runs.where("not eval_chat_template").drop("train_method", "train_mask_question") \
+        .withColumn("note", F.concat(F.lit("raw "), "run_id"))
+    files.write_summaries_json(chat, base)
+    files.write_summaries_json(raw, base)
+    return files.read_summary_union(spark, base).withColumn(
+        "eval_dir", F.regexp_extract("eval_dir", "[^/]+$", 0))
+
+
 @query
 def discovered_runs(spark, d):
     base = _folder(spark, "eval")
@@ -532,6 +560,18 @@ def detail_documents(spark, d):
         "gold_value", "model_output", "extracted_answer", "correct")
 
 
+@query
+def result_documents(spark, d):
+    """One nested document a run, in two writes, and its details opened again."""
+    base = _folder(spark, "documents")
+    runs, details = materialize(run_summary(spark, d)), materialize(score_details(spark, d))
+    for part in _in_turn("run_id")[:2]:
+        documents.write_result_documents(runs.where(part), details.where(part), base)
+    return files.read_result_documents(spark, base).select(
+        F.regexp_extract("eval_dir", "[^/]+$", 0).alias("run_dir"), "experiment_name", "index", "question",
+        "gold_value", "model_output", "extracted_answer", "correct")
+
+
 @query
 def run_info_files(spark, d):
     """Run metadata of every model in the outputs, written as JSON and read back flat."""
@@ -545,7 +585,9 @@ def run_info_files(spark, d):
                  F.when(F.col("train_mask_question"), F.lit(True)).alias("mask_question"),
                  F.lit("out").alias("output_dir")).alias("cli_args"),
         F.lit("2024-01-02T03:04:05").cast("timestamp").alias("timestamp"))
-    files.write_run_info(info, path)
+    info = materialize(info)
+    for part in _in_turn("model_path"):
+        files.write_run_info(info.where(part), path)
     return files.read_run_info(spark, path).select(
         "model_path", "original_config_path", "use_chat_template", "mask_question",
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"))
@@ -609,6 +651,30 @@ def option_default(spark, d):
                     O.get_option("opts", "do_sample", "false").alias("opt_do_sample"))
 
 
+TYPED_CONFIG = {"k": 0, "temperature": 0.7, "do_sample": None, "chat": {"thinking": False, "turns": 3},
+                "stop": ["a", "b"]}
+
+
+@query
+def option_typed(spark, d):
+    """Options of a config, overridden by each event's, with their JSON types: an event's nested object
+    replaces the config's, and the config's null stays a null."""
+    ev = read_table(spark, d, "events", ["event_id", "event_type", "props"])
+    chat = F.when(F.col("event_type") == "click",
+                  F.concat(F.lit('{"chat": {"thinking": true}, "k": '), F.col("event_id").cast("string"), F.lit(', "x": null}')))
+    merged = O.merge_typed(O.merge_typed(O.literal_typed(TYPED_CONFIG), O.parse_typed("props")), O.parse_typed(chat))
+    m = ev.select("event_id", merged.alias("opts"), O.malformed_typed("props").alias("malformed"))
+    return m.select(
+        "event_id", "malformed", O.get_typed("opts", "k", "bigint", -1).alias("opt_k"),
+        O.get_typed("opts", "temperature", "double", 0.0).alias("opt_temperature"),
+        O.get_typed("opts", "do_sample", "boolean", True).alias("opt_do_sample"),
+        O.get_typed("opts", "max_tokens", "bigint", 512).alias("opt_max_tokens"),
+        O.get_typed("opts", "chat", "boolean", path="$.thinking").alias("opt_thinking"),
+        O.get_typed("opts", "chat", "bigint", path="$.turns").alias("opt_turns"),
+        O.get_typed("opts", "stop", "string", path="$[1]").alias("opt_stop"),
+        O.has_option("opts", "x").alias("has_x"), F.size("opts").cast("bigint").alias("n_opts"))
+
+
 @query
 def run_names(spark, d):
     ev = read_table(spark, d, "events", ["event_id", "ts", "event_type"])

@@ -453,11 +453,23 @@ runs AS (SELECT {summary_select(ASKED)} FROM evaluated GROUP BY {RUN_KEYS})
 SELECT run_id, index, sample_id, extracted_answer, details.correct, accuracy
 FROM details JOIN runs USING (run_id)""")
 q("summary_files", f"WITH {RUNS} SELECT 'run_id=' || run_id AS run_dir, * EXCLUDE (run_id, eval_dir) FROM runs")
+q("summary_key_union", f"""WITH {RUNS}
+SELECT experiment_name, CASE WHEN eval_chat_template THEN train_method END AS train_method, train_chat_template,
+       CASE WHEN eval_chat_template THEN train_mask_question END AS train_mask_question, eval_chat_template,
+       model_path, task, total_samples, correct, accuracy,
+       CASE WHEN NOT eval_chat_template THEN 'raw ' || run_id END AS note,
+       CASE WHEN eval_chat_template THEN '{{"on":true,"top_k":' || correct || '}}' END AS sampling,
+       CASE WHEN eval_chat_template THEN CAST(length(run_id) AS BIGINT) END AS seed,
+       CASE WHEN eval_chat_template AND train_mask_question THEN CAST(0.7 AS DOUBLE) END AS temperature,
+       'run_id=' || run_id AS eval_dir FROM runs""")
 q("discovered_runs", f"WITH {RUNS} SELECT 'run_id=' || run_id AS run_dir FROM runs")
 q("comparison_csv", ORACLE["report_comparison"])
 q("detail_documents", f"""WITH {DETAILS}
 SELECT 'run_id=' || run_id AS run_dir, index, question, gold_value, model_output, extracted_answer, correct
 FROM details""")
+q("result_documents", f"""WITH {DETAILS}
+SELECT run_id AS run_dir, experiment_name, index, question, gold_value, model_output, extracted_answer, correct
+FROM details JOIN (SELECT DISTINCT run_id, experiment_name FROM outs) USING (run_id)""")
 q("run_info_files", f"""WITH {OUTS}
 SELECT DISTINCT model_path, 'configs/sft.yaml' AS original_config_path,
        train_chat_template AS use_chat_template, nullif(train_mask_question, false) AS mask_question,
@@ -488,6 +500,16 @@ SELECT event_id, opts['k'] AS opt_k, opts['src'] AS opt_src, CAST(cardinality(op
 q("option_default", f"""WITH {MERGED}
 SELECT event_id, {opt_get('k', 'none')} AS opt_k, {opt_get('temperature', '0.0')} AS opt_temperature,
        {opt_get('do_sample', 'false')} AS opt_do_sample FROM m""")
+q("option_typed", """WITH e AS (
+  SELECT event_id, event_type = 'click' AS click, CASE WHEN json_valid(props) THEN props END AS good, props FROM events)
+SELECT event_id, coalesce(props IS NOT NULL AND json_type(good) IS DISTINCT FROM 'OBJECT', false) AS malformed,
+       CASE WHEN click THEN event_id ELSE coalesce(CAST(json_extract(good, '$.k') AS BIGINT), 0) END AS opt_k,
+       CAST(0.7 AS DOUBLE) AS opt_temperature, CAST(NULL AS BOOLEAN) AS opt_do_sample,
+       CAST(512 AS BIGINT) AS opt_max_tokens, coalesce(click, false) AS opt_thinking,
+       CASE WHEN click THEN NULL ELSE CAST(3 AS BIGINT) END AS opt_turns, 'b' AS opt_stop, coalesce(click, false) AS has_x,
+       CAST(CASE WHEN click THEN 6 ELSE 5 END + len(list_filter(coalesce(json_keys(good), []),
+            lambda x: x NOT IN ('k', 'temperature', 'do_sample', 'chat', 'stop'))) AS BIGINT) AS n_opts
+FROM e""")
 q("run_names", """WITH e AS (
   SELECT event_id, strftime(timezone('America/Los_Angeles', timezone('UTC', ts)), '%Y%m%d_%H%M%S') AS stamp,
          CASE WHEN event_type IN ('purchase', 'signup') THEN 'grpo' ELSE 'sft' END AS method

@@ -1,18 +1,19 @@
 """File sources and sinks for evaluation results and run metadata.
 
-* results: a summary table and a detail table, each partitioned by ``run_id``
-  (the nested ``{"summary", "details"}`` document is never assembled on one
-  task: a run's details can be any size);
+* results: a summary table and a detail table, each partitioned by ``run_id``, or one nested
+  ``{"summary", "details"}`` document a run (``qamill.sources.documents``);
+* every sink replaces the runs (models) it is given and leaves all others as they are;
 * summaries as one JSON document a run, details as JSON lines, comparison tables as
   CSV with a header;
 * reading summaries scattered over run directories: a run directory is a direct child of
   the evaluation folder and holds ``summary.json`` or the part file that the summary sink
   writes; each row is tagged with its directory, directories without one are skipped and
   no match at all gives an empty table with the full schema;
+* summaries with keys of any name (``read_summary_union``), found in the files as VARIANT;
 * reading details back from JSON lines (any size), or from nested result documents
   written elsewhere (one document is one row, so one task reads it).
 
-Every read names its schema, so no scan infers types.
+Every other read names its schema, so no scan infers types.
 """
 
 from __future__ import annotations
@@ -61,6 +62,10 @@ RUN_INFO_FILE_SCHEMA = Ty.StructType([
     Ty.StructField("timestamp", Ty.TimestampType()),
 ])
 
+#: Column types of JSON values under keys that no schema names; all others are read as JSON text.
+VALUE_TYPES = {"BIGINT": "bigint", "BOOLEAN": "boolean", "DOUBLE": "double", "FLOAT": "double", "STRING": "string",
+               "VOID": "string"}
+
 SUMMARY_FILES = "{summary,part-*}.json"
 DETAIL_FILES = "part-*.json"
 
@@ -90,23 +95,29 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == F.lit(split))
 
 
+def _by_folder(df: DataFrame, column: str, mode: str):
+    """A writer that keeps a folder for each value of ``column``. Overwriting replaces the folders of
+    the values that ``df`` has and no others."""
+    return df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(column)
+
+
 def write_results(summaries: DataFrame, details: DataFrame, base: str,
                   fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Summary and detail tables under ``base/summary`` and ``base/details``,
-    both partitioned by ``run_id`` so a reader of one run prunes the rest."""
-    summaries.write.mode(mode).partitionBy("run_id").format(fmt).save(f"{base}/summary")
-    details.write.mode(mode).partitionBy("run_id").format(fmt).save(f"{base}/details")
+    """Summary and detail tables under ``base/summary`` and ``base/details``, both partitioned by
+    ``run_id`` so a reader of one run prunes the rest. Other runs in the folder stay."""
+    _by_folder(summaries, "run_id", mode).format(fmt).save(f"{base}/summary")
+    _by_folder(details, "run_id", mode).format(fmt).save(f"{base}/details")
 
 
 def write_summaries_json(summaries: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON document in a folder for each run; ``read_summary_files`` finds it. Null
-    fields are written, so a present null stays apart from an absent key."""
-    summaries.write.mode(mode).option("ignoreNullFields", False).partitionBy("run_id").json(path)
+    """One JSON document in a folder for each run; ``read_summary_files`` finds it. Null fields are
+    written, so a present null stays apart from an absent key. Other runs in the folder stay."""
+    _by_folder(summaries, "run_id", mode).option("ignoreNullFields", False).json(path)
 
 
 def write_details_json(details: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Detail rows as JSON lines in a folder for each run."""
-    details.write.mode(mode).option("ignoreNullFields", False).partitionBy("run_id").json(path)
+    """Detail rows as JSON lines in a folder for each run. Other runs in the folder stay."""
+    _by_folder(details, "run_id", mode).option("ignoreNullFields", False).json(path)
 
 
 def read_detail_files(spark: SparkSession, eval_base: str) -> DataFrame:
@@ -141,6 +152,51 @@ def read_summary_files(spark: SparkSession, eval_base: str) -> DataFrame:
     return _children_only(df.withColumn("eval_dir", _dir_of_file()), eval_base)
 
 
+def _scalar(value: F.Column, kind: str) -> F.Column:
+    """A JSON value as a column of ``kind``, null for a JSON null or where it has no such value."""
+    return F.when(~F.is_variant_null(value), F.try_variant_get(value, "$", kind))
+
+
+def _json_text(value: F.Column) -> F.Column:
+    """Texts as they are, any other JSON value as JSON text."""
+    plain = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(~F.is_variant_null(value), F.coalesce(plain, F.to_json(value)))
+
+
+def read_summary_union(spark: SparkSession, eval_base: str) -> DataFrame:
+    """``read_summary_files`` with every key that any summary has: the schema's columns first, then
+    the others by name. A key that a summary lacks is null in its row.
+
+    The files are read as VARIANT. One pass aggregates the keys and their types (as many rows as there are
+    keys come to the driver), one projection makes the columns. Whole numbers are bigint, other numbers
+    double; objects, arrays and keys of mixed types are JSON text. Of keys that differ in case alone from an
+    earlier one, the column gets a number: ``Seed`` after ``seed`` is ``Seed_2``. No summary at all gives an
+    empty table with the schema's columns; a file that holds no object is a row of nulls."""
+    files = (spark.read.option("singleVariantColumn", "_doc")
+             .option("multiLine", True)
+             .option("recursiveFileLookup", True)
+             .option("pathGlobFilter", SUMMARY_FILES)
+             .json(eval_base)
+             .withColumn("eval_dir", _dir_of_file()))
+    found = _children_only(files, eval_base) \
+        .select(F.expr("try_cast(_doc as map<string,variant>)").alias("_keys"), "eval_dir")
+    known = {f.name: f.dataType.simpleString() for f in SUMMARY_SCHEMA.fields}
+    others = found.select(F.explode("_keys").alias("key", "value")).where(~F.col("key").isin(*known)) \
+        .groupBy("key").agg(F.schema_of_variant_agg("value").alias("kind")).orderBy("key").collect()
+    columns = [_scalar(F.element_at("_keys", F.lit(k)), kind).alias(k) for k, kind in known.items()]
+    taken = {k.lower() for k in known} | {"eval_dir"}
+    for key, kind in others:
+        name, n = key, 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{key}_{n}"
+        taken.add(name.lower())
+        value = F.element_at("_keys", F.lit(key))
+        kind = "double" if kind.startswith("DECIMAL") else VALUE_TYPES.get(kind)
+        columns.append((_scalar(value, kind) if kind else _json_text(value)).alias(name))
+    return found.select(*columns, "eval_dir")
+
+
 def discover_runs(spark: SparkSession, eval_base: str) -> DataFrame:
     """Run directories that hold a summary, in ascending order."""
     return read_summary_files(spark, eval_base).select("eval_dir").distinct().orderBy("eval_dir")
@@ -176,14 +232,23 @@ def read_comparison_csv(spark: SparkSession, path: str, schema: Ty.StructType) -
 
 
 def write_run_info(run_info: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Run metadata (config path, CLI flags, timestamp) as JSON lines, nulls included."""
-    run_info.write.mode(mode).option("ignoreNullFields", False).json(path)
+    """Run metadata (config path, CLI flags, timestamp) as JSON lines in a folder for each
+    ``model_path``, nulls included. Other models in the folder stay."""
+    rows = run_info.withColumn("model", F.col("model_path"))
+    _by_folder(rows, "model", mode).option("ignoreNullFields", False).json(path)
 
 
 def read_run_info(spark: SparkSession, path: str) -> DataFrame:
-    """Run metadata flattened to the run-info dimension used by enrichment."""
-    df = spark.read.schema(RUN_INFO_FILE_SCHEMA).json(path)
-    return df.select("model_path", "original_config_path",
-                     F.col("cli_args.use_chat_template").alias("use_chat_template"),
-                     F.col("cli_args.mask_question").alias("mask_question"),
-                     "timestamp")
+    """Run metadata flattened to the run-info dimension used by enrichment. A flag that is absent
+    from ``cli_args`` is false, a present null stays null."""
+    docs = spark.read.option("singleVariantColumn", "_doc").option("recursiveFileLookup", True) \
+        .option("pathGlobFilter", DETAIL_FILES).json(path)
+    whole = docs.select(F.expr("try_cast(_doc as map<string,variant>)").alias("_keys"))
+    args = F.expr("coalesce(try_cast(element_at(_keys, 'cli_args') as map<string,variant>), "
+                  "map_filter(_keys, (k, v) -> false))")
+    df = whole.select("_keys", args.alias("_args"))
+    kinds = {f.name: f.dataType.simpleString() for f in RUN_INFO_FILE_SCHEMA.fields if f.name != "cli_args"}
+    top = {c: _scalar(F.element_at("_keys", F.lit(c)), kind).alias(c) for c, kind in kinds.items()}
+    flags = [F.when(F.map_contains_key("_args", F.lit(c)), _scalar(F.element_at("_args", F.lit(c)), "boolean"))
+             .otherwise(F.lit(False)).alias(c) for c in ("use_chat_template", "mask_question")]
+    return df.select(top["model_path"], top["original_config_path"], *flags, top["timestamp"])

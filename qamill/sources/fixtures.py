@@ -19,7 +19,7 @@ from qamill.sources.tables import read_table
 # Fixed values of the derived tables.
 TASK_NAME = "gsm8k"
 TRAIN_EVERY = 5            # every 5th part is a training sample
-OUTPUT_CASES = 10          # model-output shapes, chosen by (orderkey + linenumber) % 8
+OUTPUT_CASES = 10          # model-output shapes, chosen by (orderkey + linenumber) % OUTPUT_CASES
 RUN_INFO_ROWS = [
     # model_path, original_config_path, use_chat_template, mask_question
     ("models/N_O_0", "configs/grpo.yaml", True, False),
@@ -115,10 +115,12 @@ def outs(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFram
     )
 
 
-def number_generations(df: DataFrame, sf_dir: str) -> DataFrame:
+def number_generations(df: DataFrame, sf_dir: str, split: str | None = None) -> DataFrame:
     """``gen_no`` (from 1) of each output among its sample's line items. Only the line
-    items' key columns are ranged and checkpointed; the number joins back on all of them."""
+    items' key columns, of the split's samples where ``df`` has one split alone, are ranged and
+    checkpointed; the number joins back on all of them."""
     keys = read_table(df.sparkSession, sf_dir, "lineitem", ["l_partkey", *GEN_ORDER]) \
+        .where(_in_split("l_partkey", split)) \
         .withColumnRenamed("l_partkey", "sample_id")
     df = number_keys(df, keys, ["sample_id"], GEN_ORDER, "gen_no")
     return df.withColumn("gen_no", F.col("gen_no") + 1).drop(*GEN_ORDER)

@@ -3,11 +3,12 @@ nested result documents, comparison CSV, run metadata."""
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from qamill.operators import report
 from qamill.plans import catalog as C
-from qamill.sources import files
+from qamill.sources import documents, files
 from tests.conftest import SF_SMALL
 
 
@@ -111,3 +112,114 @@ def test_split_partitioned_samples(spark, scratch):
     assert test.count() == qa.where(F.col("split") == "test").count()
     plan = test._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan and "(split#" in plan
+
+
+# --- sinks keep other runs ------------------------------------------------------------------
+
+SUMMARY = "run_id string, experiment_name string, train_method string, train_chat_template boolean, " \
+          "train_mask_question boolean, eval_chat_template boolean, model_path string, task string, " \
+          "total_samples bigint, correct bigint, accuracy double"
+DETAIL = "run_id string, index bigint, question string, gold_answer string, gold_value string, " \
+         "model_output string, extracted_answer string, correct boolean"
+
+
+def _summary(spark, *runs, correct=1):
+    return spark.createDataFrame([(r, r.lower(), "sft", True, None, False, f"m/{r}", "t", 2, correct, correct / 2)
+                                  for r in runs], SUMMARY)
+
+
+def _details(spark, run, n, output="é \"x\"\n"):
+    return spark.createDataFrame([(run, k, f"q{k}", "a", "", output, None, k % 2 == 0) for k in range(n)], DETAIL)
+
+
+def test_second_run_keeps_the_first_and_replaces_itself(spark, scratch):
+    for run, n in (("A", 3), ("B", 4), ("B", 5)):
+        files.write_results(_summary(spark, run, correct=n), _details(spark, run, n), f"{scratch}/r")
+        files.write_summaries_json(_summary(spark, run, correct=n), f"{scratch}/s")
+        files.write_details_json(_details(spark, run, n), f"{scratch}/d")
+        info = spark.createDataFrame([(f"m/{run}", f"{n}", None, None)],
+                                     "model_path string, original_config_path string, cli_args struct<task:string>, "
+                                     "timestamp timestamp")
+        files.write_run_info(info, f"{scratch}/i")
+    s, d = files.read_results(spark, f"{scratch}/r")
+    assert sorted((r.run_id, r.correct) for r in s.collect()) == [("A", 3), ("B", 5)]
+    assert {r.run_id: r["count"] for r in d.groupBy("run_id").count().collect()} == {"A": 3, "B": 5}
+    assert sorted((r.experiment_name, r.correct) for r in files.read_summary_files(spark, f"{scratch}/s").collect()) \
+        == [("a", 3), ("b", 5)]
+    assert files.read_detail_files(spark, f"{scratch}/d").count() == 8
+    assert sorted((r.model_path, r.original_config_path) for r in files.read_run_info(spark, f"{scratch}/i").collect()) \
+        == [("m/A", "3"), ("m/B", "5")]
+
+
+def test_run_info_tells_absent_flags_from_nulls(spark, scratch):
+    os.makedirs(f"{scratch}/x")
+    with open(f"{scratch}/x/part-0.json", "w") as f:
+        for doc in ({"model_path": "a", "cli_args": {"use_chat_template": None}, "timestamp": "2024-01-02T03:04:05"},
+                    {"model_path": "b", "cli_args": {"mask_question": True}}, {"model_path": "c"}):
+            f.write(json.dumps(doc) + "\n")
+    got = {r.model_path: (r.use_chat_template, r.mask_question, r.timestamp is not None)
+           for r in files.read_run_info(spark, scratch).collect()}
+    assert got == {"a": (None, False, True), "b": (False, True, False), "c": (False, False, False)}
+
+
+# --- summaries of any keys --------------------------------------------------------------------
+
+def test_summary_union_keeps_unknown_keys(spark, scratch):
+    _write_summary_dirs(scratch, [
+        {"name": "a", "summary": {"accuracy": 0.5, "total_samples": 4, "temperature": 0.7, "Seed": 1}},
+        {"name": "b", "summary": {"accuracy": 1, "task": "t", "nested": {"x": [1, None]}, "mixed": 1, "seed": 2}},
+        {"name": "c", "summary": {"mixed": "one", "a.b 'c\"": True, "accuracy": None, "Accuracy": 0.25}}])
+    got = files.read_summary_union(spark, scratch)
+    assert got.columns == files.SUMMARY_SCHEMA.fieldNames() + \
+        ["Accuracy_2", "Seed", "a.b 'c\"", "mixed", "nested", "seed_2", "temperature", "eval_dir"]
+    assert dict(got.dtypes)["temperature"] == "double" and dict(got.dtypes)["Seed"] == "bigint"
+    rows = {r.eval_dir[-1]: r for r in got.collect()}
+    assert [rows[k].accuracy for k in "abc"] == [0.5, 1.0, None] and rows["c"].Accuracy_2 == 0.25
+    assert [rows[k].temperature for k in "abc"] == [0.7, None, None]
+    assert [rows[k].mixed for k in "abc"] == [None, "1", "one"]
+    assert rows["b"].nested == '{"x":[1,null]}' and rows["c"]["a.b 'c\""] is True
+    assert (rows["a"].Seed, rows["b"].seed_2, rows["a"].total_samples) == (1, 2, 4)
+
+
+def test_summary_union_without_files_or_objects(spark, scratch):
+    got = files.read_summary_union(spark, scratch)
+    assert got.columns == [*files.SUMMARY_SCHEMA.fieldNames(), "eval_dir"] and got.count() == 0
+    assert [f.dataType for f in got.schema.fields[:-1]] == [f.dataType for f in files.SUMMARY_SCHEMA.fields]
+    os.makedirs(f"{scratch}/x")
+    with open(f"{scratch}/x/summary.json", "w") as f:
+        f.write("[1, 2]")
+    assert files.read_summary_union(spark, scratch).drop("eval_dir").collect()[0] == (None,) * 10
+
+
+# --- nested documents ---------------------------------------------------------------------------
+
+def _document(folder):
+    with open(f"{folder}/results.json") as f:
+        return json.load(f)
+
+
+def test_documents_hold_all_details_in_order(spark, scratch):
+    both = _details(spark, "A", 500).unionByName(_details(spark, "B/1 ü", 3)).unionByName(_details(spark, "gone", 2))
+    documents.write_result_documents(_summary(spark, "A", "B/1 ü", "empty"), both.repartition(7), scratch)
+    doc = _document(documents.document_folder(scratch, "A"))
+    assert [x["index"] for x in doc["details"]] == list(range(500))
+    assert doc["summary"]["experiment_name"] == "a" and doc["summary"]["train_mask_question"] is None
+    assert doc["details"][1] == {"index": 1, "question": "q1", "gold_answer": "a", "gold_value": "",
+                                 "model_output": "é \"x\"\n", "extracted_answer": None, "correct": False}
+    assert _document(documents.document_folder(scratch, "empty"))["details"] == []
+    assert sorted(os.listdir(scratch)) == ["A", "B%2F1%20%C3%BC", "empty"]
+    back = files.read_result_documents(spark, scratch)
+    assert sorted(map(tuple, back.select(*files.DETAIL_SCHEMA.fieldNames()).collect()), key=str) == \
+        sorted(map(tuple, both.where("run_id != 'gone'").select(*files.DETAIL_SCHEMA.fieldNames()).collect()), key=str)
+    # one run again: its document is replaced, the others stay
+    documents.write_result_documents(_summary(spark, "A"), _details(spark, "A", 2), scratch)
+    assert len(_document(documents.document_folder(scratch, "A"))["details"]) == 2
+    assert len(_document(documents.document_folder(scratch, "B/1 ü"))["details"]) == 3
+
+
+def test_a_failed_document_write_leaves_nothing(spark, scratch):
+    bad = _details(spark, "A", 50).withColumn(
+        "question", F.when(F.col("index") == 40, F.raise_error(F.lit("broken"))).otherwise(F.col("question")))
+    with pytest.raises(Exception, match="broken"):
+        documents.write_result_documents(_summary(spark, "A"), bad, scratch)
+    assert os.listdir(scratch) == []

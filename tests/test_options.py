@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +48,28 @@ def test_session_choices_win(spark):
         assert spark.conf.get("spark.sql.adaptive.enabled") == "false"
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_typed_options_keep_their_types(spark):
+    rows = [(1, '{"a":1,"b":{"c":true},"d":null}', '{"b":{"e":"x"},"f":[1,2.5]}'), (2, None, '{"a":2,"a":3}'),
+            (3, "[1]", "{bad"), (4, "{}", '{"a":"1","d":0}')]
+    df = spark.createDataFrame(rows, "id int, base string, over string")
+    m = df.select("id", O.merge_typed(O.parse_typed("base"), O.parse_typed("over")).alias("m"),
+                  O.malformed_typed("base").alias("bad_base"), O.malformed_typed("over").alias("bad_over"))
+    got = {r.id: r for r in m.select(
+        "id", "bad_base", "bad_over", O.typed_json("m").alias("json"), O.get_typed("m", "a", "bigint", 7).alias("a"),
+        O.get_typed("m", "b", "boolean", path="$.c").alias("c"), O.get_typed("m", "b", "string", path="$.e").alias("e"),
+        O.get_typed("m", "d", "bigint", 9).alias("d"), O.has_option("m", "d").alias("has_d"),
+        O.get_typed("m", "f", "double", path="$[1]").alias("f")).collect()}
+    assert json.loads(got[1].json) == {"a": 1, "b": {"e": "x"}, "d": None, "f": [1, 2.5]}
+    assert (got[1].a, got[1].c, got[1].e, got[1].d, got[1].has_d, got[1].f) == (1, None, "x", None, True, 2.5)
+    assert (got[2].a, got[2].d, got[2].has_d) == (3, 9, False)   # the last of a repeated key; a default
+    assert (got[3].bad_base, got[3].bad_over, got[3].json, got[3].a) == (True, True, "{}", 7)
+    assert (got[4].a, got[4].d, got[4].bad_base) == (1, 0, False)
+
+
+def test_typed_survive_alone(spark):
+    one = spark.range(1).select(O.literal_typed({"a": 1, "b": {"c": True}, "d": None}).alias("m"))
+    r = one.select(O.typed_json("m").alias("j"), O.get_typed("m", "b", "boolean", path="$.c").alias("c"),
+                   O.get_typed("m", "a", "string").alias("s")).first()
+    assert json.loads(r.j) == {"a": 1, "b": {"c": True}, "d": None} and r.c is True and r.s == "1"

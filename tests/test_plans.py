@@ -60,3 +60,9 @@ def test_detail_index_has_no_run_window(spark):
 def test_eval_prompts_use_no_cross_join(spark):
     plan = _plan(spark, "eval_prompts")
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_number_texts_are_cleaned_once(spark):
+    """The digit table stands in the plan once a side, not once for every branch of the parser."""
+    plan = C.QUERIES["check_answer"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("٠") == 2
