@@ -49,15 +49,21 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"),
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; empty where there is none."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lowered."""
-    host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    host = F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0)
     return F.coalesce(F.translate(host, _AZ, _az), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    """After the host up to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    """After the host up to ``?``, ``#`` or the end; a query that holds ``://`` has no say."""
+    return F.coalesce(F.regexp_extract(_after_scheme(url), r"^[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def rule_table(spark, rules: Iterable[tuple[str, str, str]]) -> DataFrame:

@@ -5,7 +5,9 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 URLS = ["http://A.Example.NET/en/1?q#f", "https://example.net/fr/", "http://notexample.net/en/",
         "http://www.example.com/de/xyz", "http://example.com/de/", "http://x.net", "http://x.net?a/",
         "nothing", "", None, "ftp://tie.org/a", "http://a..net/", "http://example.com.net/en/",
-        "http://" + "a." * 300 + "net/" + "p" * 5000]
+        "http://" + "a." * 300 + "net/" + "p" * 5000, "http://example.net?next=https://x.org/en/",
+        "http://a.com?u=http://example.net/en/x", "http://x.org#go=http://y/fr/", "://net/a", "a://b://net/", "x:/net/",
+        "http:///net/", "http://example.net/en/?u=http://b.com/de/x"]
 
 
 def brute(url):
@@ -31,6 +33,16 @@ def test_against_brute_force(spark):
     assert judged(spark) == {i: brute(u) for i, u in enumerate(URLS + URLS[:3])}
 
 
+def test_parts_against_the_sql(spark):
+    import duckdb
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(URLS)))
+    df = spark.createDataFrame(list(enumerate(URLS)), "page_id bigint, url string")
+    got = U.judge(df, U.rule_table(spark, U.RULES)).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(U.ORACLE).fetchall())
+
+
 def test_large_rule_sets_take_the_salted_join(spark, monkeypatch):
     monkeypatch.setattr(U, "BROADCAST_RULES", 1)
     assert judged(spark) == {i: brute(u) for i, u in enumerate(URLS + URLS[:3])}
