@@ -22,13 +22,13 @@ bounded by the capacity and the steps, not by the data.
 
 Token ids: a text is split at single spaces, which no pre-token of the byte-level
 BPE crosses (texts holding two white-space characters in a row are encoded whole). The ids of
-words and of their pre-tokens are kept in bounded dictionaries, so each is merged only
-once while it is kept. Pre-tokens of ASCII and Latin-1 letters are merged by ``tiktoken``
+words and of their pre-tokens are kept in bounded dictionaries, from task to task, so each is merged
+only once while it is kept. Pre-tokens of ASCII and Latin-1 letters are merged by ``tiktoken``
 over the tokenizer file's own vocabulary, all others by ``tokenizers``, whose ids the
 tests hold both to.
 
 Defined results: null and empty texts are the end id alone; special-token strings in
-a text are ordinary text; repeated rows are packed one by one; an empty table gives an empty
+a text become their ids, as ``tokenizers`` does by default; repeated rows are packed one by one; an empty table gives an empty
 result; extra columns, clashing names included, are left behind except ``key``.
 """
 
@@ -39,7 +39,9 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -51,6 +53,8 @@ from qamill.session import materialize
 
 CAPACITY = 2048
 END_ID = 0
+#: Rows of the table of configurations (48 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_SLOTS = 500_000
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 300_000
 #: Steps of the multiplicative weights at most, their rate, the part of a length's demand that one
@@ -100,7 +104,8 @@ class Encoder:
         from tokenizers import Tokenizer
         from tiktoken import Encoding
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # a text that holds one is encoded whole
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # merges the same vocabulary's words several times faster; pre-tokens come apart before
         self.merge = Encoding("words", pat_str=r"(?s).+", mergeable_ranks=vocabulary_ranks(path),
                               special_tokens={}).encode_ordinary
@@ -113,7 +118,7 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        whole = [bool(_TWO_SPACES.search(t)) for t in texts]
+        whole = [bool(_TWO_SPACES.search(t)) or any(x in t for x in self.special) for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         if len(self.pieces) > 2 * CACHE_WORDS:
@@ -143,14 +148,21 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, with the words it has met."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
-           capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+           capacity: int = CAPACITY, end_id: int = END_ID, digest: bool = False) -> DataFrame:
     """(key, piece, start, length, ids): the pieces of every document; ids are binary,
-    four little-endian bytes an id."""
+    four little-endian bytes an id. With ``digest`` only their crc32 (``ids_crc32``) leaves the worker."""
+    last = "ids_crc32" if digest else "ids"
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        codec = encoder(path)
         end = array("I", [end_id]).tobytes()
         for b in batches:
             keys, texts = b["_key"].tolist(), [x or "" for x in b["_text"]]
@@ -161,22 +173,24 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                     size += len(texts[stop])
                     stop += 1
                 rows = []
-                for k, ids in zip(keys[at:stop], encoder.batch(texts[at:stop])):
+                for k, ids in zip(keys[at:stop], codec.batch(texts[at:stop])):
                     ids += end
                     n = len(ids) // 4
                     cut = n % capacity or capacity
                     start, piece = 0, 0
                     while start < n:
-                        rows.append((k, piece, start, cut - start, ids[4 * start:4 * cut]))
+                        part = ids[4 * start:4 * cut]
+                        rows.append((k, piece, start, cut - start, crc32(part) if digest else part))
                         start, piece, cut = cut, piece + 1, cut + capacity
-                yield pd.DataFrame(rows, columns=["key", "piece", "start", "length", "ids"]) \
+                yield pd.DataFrame(rows, columns=["key", "piece", "start", "length", last]) \
                     .astype({"key": b["_key"].dtype})
                 at = stop
 
     # ids may be null: they travel as text and are cast back
     sent = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))
-    out = sent.mapInPandas(run, "key string, piece int, start bigint, length bigint, ids binary")
-    return out.select(F.col("key").cast(kind).alias(key), "piece", "start", "length", "ids")
+    out = sent.mapInPandas(run, "key string, piece int, start bigint, length bigint, "
+                                + ("ids_crc32 bigint" if digest else "ids binary"))
+    return out.select(F.col("key").cast(kind).alias(key), "piece", "start", "length", last)
 
 
 def _knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
@@ -367,7 +381,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = materialize(held.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n")))
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("_n")).collect()}
     rows = slots(plan(histogram, capacity))
-    # one row for each length of a configuration: bounded by capacity and steps, so broadcast
+    # one row for each length of a configuration: bounded by capacity and steps, and counted
     table = spark.createDataFrame(rows, "_l bigint, _first bigint, _end bigint, _each bigint, "
                                         "_seq bigint, _off bigint")
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -377,7 +391,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = (held.withColumn("_own", F.row_number().over(own) - 1)
               .join(base, (F.col("_part") == F.col("_p")) & (F.col("length") == F.col("_pl")))
               .withColumn("_rank", F.col("_base") + F.col("_own")))
-    met = ranked.join(F.broadcast(table), (F.col("length") == F.col("_l"))
+    table = F.broadcast(table) if len(rows) <= BROADCAST_SLOTS else table
+    met = ranked.join(table, (F.col("length") == F.col("_l"))
                       & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
     within = F.col("_rank") - F.col("_first")
     return met.select(*keep, (F.col("_seq") + F.floor(within / F.col("_each"))).alias("sequence_id"),
@@ -395,9 +410,7 @@ def sequences(placed: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, path: str) -> DataFrame:
     """Digest form: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = pieces(docs, path).select("doc_id", "piece", "start", "length",
-                                    F.crc32("ids").alias("ids_crc32"))
-    return place(cut)
+    return place(pieces(docs, path, digest=True))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

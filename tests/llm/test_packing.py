@@ -13,9 +13,7 @@ from tests.llm.helpers import awkward_docs, no_docs
 @pytest.fixture(scope="module")
 def own():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(P.tokenizer_path())
-    t.encode_special_tokens = True
-    return P.Encoder(P.tokenizer_path()), t
+    return P.Encoder(P.tokenizer_path()), Tokenizer.from_file(P.tokenizer_path())
 
 
 @given(st.lists(st.text(alphabet=" \n\t\x1c abcé's'd1,.!<|endoftext|>", max_size=40), max_size=5))
@@ -82,6 +80,20 @@ def test_sequences_round_trip(spark, own):
     assert sum(len(r["ids"]) // 4 for r in packed) == total
 
 
+def test_special_tokens_are_read_as_by_default(own):
+    got = own[0].batch(["end <|endoftext|> here", "a<|endoftext|>", "plain <|endof"])
+    assert array("I", got[0]).tolist() == [437, 220, 50256, 994]
+    assert [array("I", b).tolist() for b in got[1:]] == \
+        [own[1].encode(x, add_special_tokens=False).ids for x in ("a<|endoftext|>", "plain <|endof")]
+
+
+def test_large_tables_of_configurations_are_not_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * i) for i in range(40)], "doc_id bigint, text string")
+    want = sorted(map(tuple, P.pack(docs, P.tokenizer_path()).collect()))
+    monkeypatch.setattr(P, "BROADCAST_SLOTS", 0)
+    assert sorted(map(tuple, P.pack(docs, P.tokenizer_path()).collect())) == want
+
+
 @given(st.lists(st.text(max_size=30), max_size=4))
 @settings(max_examples=200, deadline=None)
 def test_ids_of_any_text(own, texts):
