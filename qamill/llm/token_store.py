@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -102,19 +103,49 @@ def shard_name(shard: int) -> str:
 
 # --- encoding ------------------------------------------------------------------------------
 
+# The tokenizer's pre-token pattern on lower-case ASCII and Latin-1 letters, where its Unicode
+# classes come down to these, and words that its normaliser changes in case alone; a special token
+# begins with "<".
+_LOWER = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LOWER}]+|[0-9]|[^\\s0-9{_LOWER}]+")
+_PLAIN = re.compile("[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+\\Z")
+#: The symbols of byte-level models: printable Latin-1 characters themselves, the other bytes from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SYMBOLS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class Encoder:
     """Ids of whole texts by ``tokenizers``. The tokenizer drops white space and no pre-token or special
     token crosses a space or a line break, so words are encoded one by one and kept. When the words
-    in use outgrow the bound they become the old generation, from which words that occur again return."""
+    in use outgrow the bound they become the old generation, from which words that occur again return.
+    New words of ASCII and Latin-1 letters go to the tokenizer's model pre-token by pre-token, each once;
+    all others through the whole tokenizer."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.plain = all(t.content[0] == "<" for t in self.tokenizer.get_added_tokens_decoder().values())
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
+        kind = "H" if self.width == 2 else "I"
+        return [array(kind, x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, words: list[str]) -> None:
+        plain = list(filter(_PLAIN.match, words)) if self.plain else []
+        odd = list(set(words).difference(plain))
+        parts = list(map(_PIECES.findall, " ".join(plain).lower().split(" "))) if plain else []
+        pieces = list(set(chain.from_iterable(parts)))
+        symbols = [p if p.isascii() else p.encode().decode("latin-1").translate(_SYMBOLS) for p in pieces]
+        known = dict(zip(pieces, self._ids(self.model, symbols)))
+        get = known.__getitem__
+        self.words.update(zip(plain, [get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in parts]))
+        self.words.update(zip(odd, self._ids(self.tokenizer, odd)))
+
     def batch(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > CACHE_WORDS:
             self.words, self.old = {}, self.words
@@ -122,11 +153,9 @@ class Encoder:
         missing = set(chain.from_iterable(parts)).difference(self.words)
         again = self.old.keys() & missing
         self.words.update((w, self.old[w]) for w in again)
-        fresh, kind = list(missing - again), "H" if self.width == 2 else "I"
+        fresh = list(missing - again)
         for k in range(0, len(fresh), ENCODED_WORDS):
-            some = fresh[k:k + ENCODED_WORDS]
-            done = self.tokenizer.encode_batch(some, add_special_tokens=False)
-            self.words.update(zip(some, [array(kind, x.ids).tobytes() for x in done]))
+            self._new(fresh[k:k + ENCODED_WORDS])
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in parts]
 

@@ -35,6 +35,19 @@ def test_query_equals_tokenizers(spark, plain):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_ids_of_any_words(plain):
+    import random
+    rng, codec = random.Random(9), S.Encoder(tokenizer_path(S.TOKENIZER))
+    letters = "abcdeABC'ÀÉÖØßàéöøÿ×÷ª²½ıİΣσ́0123.,!?-_<|>\"\t\x1c\u3000 \n"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["it's WE'LL they're I'd 've '' 's' can't", "<|endoftext|>x <|startoftext|>", "x" * 5000, "É" * 700]
+    for k in range(0, len(texts), 500):
+        S.CACHE_WORDS, keep = 300, S.CACHE_WORDS
+        got = codec.batch(texts[k:k + 500])
+        S.CACHE_WORDS = keep
+        assert [array("H", b).tolist() + [2] for b in got] == [plain(t) for t in texts[k:k + 500]]
+
+
 def test_awkward_rows_and_keyed_access(spark, scratch, plain):
     docs = awkward_docs(spark).withColumn("key", F.lit("x")).withColumn("_row", F.lit(1))
     odd = ["end <|endoftext|> here", "a<|startoftext|>b", "Ä́ ÉCOLE it's we'LL 12 34²", "tab\there now　x",
