@@ -55,7 +55,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Rows of the table of configurations (48 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_SLOTS = 500_000
-#: Words whose ids a worker keeps.
+#: Words of each of the two generations whose ids a worker keeps.
 CACHE_WORDS = 300_000
 #: Steps of the multiplicative weights at most, their rate, the part of a length's demand that one
 #: step uses, and configurations drawn for a length in a step.
@@ -110,6 +110,7 @@ class Encoder:
         self.merge = Encoding("words", pat_str=r"(?s).+", mergeable_ranks=vocabulary_ranks(path),
                               special_tokens={}).encode_ordinary
         self.words: dict[str, bytes] = {}   # between two spaces
+        self.old: dict[str, bytes] = {}     # words in use before, which return when they occur again
         self.pieces: dict[str, bytes] = {}  # pre-tokens
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -120,7 +121,7 @@ class Encoder:
         """Ids of each text."""
         whole = [bool(_TWO_SPACES.search(t)) or any(x in t for x in self.special) for t in texts]
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+            self.words, self.old = {}, self.words
         if len(self.pieces) > 2 * CACHE_WORDS:
             self.pieces.clear()
         # words stand without the space before them; a text's first word has one instead
@@ -129,7 +130,10 @@ class Encoder:
             words[:1] = [" " + x for x in words[:1]]
         known, pieces = self.words, self.pieces
         fresh, odd = {}, []
-        for x in set(chain.from_iterable(parts)).difference(known):
+        missing = set(chain.from_iterable(parts)).difference(known)
+        again = self.old.keys() & missing
+        known.update((x, self.old[x]) for x in again)
+        for x in missing - again:
             y = x[1:] if x[:1] == " " else " " + x
             if _PLAIN.match(y):
                 fresh[x] = _PIECES.findall(y)
