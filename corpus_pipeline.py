@@ -67,7 +67,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No SQL can express the trained stages; the tests hold run() against brute force.
+#: No SQL can express the trained stages; the tests hold each stage to its expected rows.
 ORACLE_SQL = None
 
 
