@@ -1,8 +1,8 @@
 """Scoring generated outputs against gold answers (extraction, checking,
 rewards, group-relative advantages, detail rows).
 
-Plan shape: the gold side is reduced to one row per sample and its gold value
-is extracted there, once per sample, before the join; the output side is
+Plan shape: gold values are extracted on the sample side, once per sample row,
+before the join; the output side is
 joined on ``sample_id`` (AQE picks broadcast when the sample table measures
 small, otherwise a sort-merge join whose skewed partitions it splits).
 """
@@ -59,8 +59,8 @@ def score(outputs: DataFrame, samples: DataFrame, task: TaskSpec = GSM8K,
 
 
 def first_outputs(outputs: DataFrame, order_cols: list[str]) -> DataFrame:
-    """The output that an evaluation counts: the first of each (run, sample). A hash
-    aggregate, pre-combined in every task."""
+    """The output that an evaluation counts: the first of each (run, sample). A sort
+    aggregate (its buffer holds a text), pre-combined in every task."""
     first = F.min_by(F.col("model_output"), F.struct(*order_cols))
     return outputs.groupBy(*RUN_COLS, "sample_id").agg(first.alias("model_output"))
 
