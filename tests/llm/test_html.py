@@ -46,3 +46,37 @@ def test_table(spark):
     got = H.extract(df).collect()
     assert len(got) == 4 and sorted(len(r["text"]) for r in got)[:2] == [0, 0]
     assert H.extract(df.limit(0)).count() == 0
+
+
+LONG = "some good long text here " * 10
+
+
+def test_elements_left_open():
+    for head in ("<head><title>x</title><meta name=a>", "<head><title>x</title><style>p{}</style>"):
+        assert H.main_text(f"<html>{head}<body><p>hello world</p></body></html>") == "hello world"
+        assert H.main_text(f"<html>{head}<p>hello world") == "hello world"
+        assert H.main_text(f"<html>{head}hello world") == "hello world"
+    for form in ("<form><select><option>a<option>b</form>", "<select><option>a<option>b"):
+        assert H.main_text(f"<body>{form}<p>{LONG}</p></body>") == LONG.strip()
+
+
+def test_names_that_are_topics():
+    page = (f"<article><h1>T</h1><p>{LONG}</p><section id='related-work'><p>{LONG}</p></section>"
+            f"<h2 id='search-algorithms'>How to search</h2><div class='share-price'>{LONG}</div>"
+            f"<aside class='pullquote'>{LONG}</aside><div class='share-price'>x</div>"
+            f"<div class='search-box'>{LONG}</div><div class='related-posts'>{LONG}</div>"
+            f"<div class='ad-slot-9'>{LONG}</div><div class='comment-price'>{LONG}</div><aside>{LONG}</aside>"
+            f"</article>")
+    text = LONG.strip()
+    assert H.main_text(page).split("\n") == ["T", text, text, "How to search", text, text]
+    assert H.main_text(f"<div class='search-results'><article><p>{LONG}</p><p>x</p></article></div>") \
+        == text + "\nx"
+
+
+def test_sibling_articles():
+    other = LONG.replace("good", "more")
+    page = f"<body><article><p>{LONG}</p></article><article><p>{other}</p></article>" \
+           "<article><p>a teaser</p></article></body>"
+    assert H.main_text(page).split("\n") == [LONG.strip(), other.strip()]
+    beside = f"<body><article><p>a teaser of something else</p></article><div><p>{LONG}</p><p>{other}</p></div>"
+    assert H.main_text(beside).split("\n") == [LONG.strip(), other.strip()]
