@@ -49,10 +49,12 @@ UNDETERMINED = "und"
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9],
                         dtype=np.uint64)  # fixed odd values
 _LETTERS: list[np.ndarray] = []
+_MARKS: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
-    """Code point -> code point of its lower-case letter, or a space for all else."""
+    """Code point -> code point of its lower-case letter, or a space for all else. Combining marks
+    stay, as parts of the words they stand in."""
     if not _LETTERS:
         out = np.full(sys.maxunicode + 1, 32, dtype=np.uint32)
         for c in range(sys.maxunicode + 1):
@@ -60,12 +62,22 @@ def letter_table() -> np.ndarray:
             if ch.isalpha():
                 low = ch.lower()
                 out[c] = ord(low[0])
-            elif unicodedata.category(ch) == "Mn":
+            elif unicodedata.category(ch) in ("Mn", "Mc"):
                 out[c] = c
         _LETTERS.append(out)
     return _LETTERS[0]
 
 
+def mark_table() -> np.ndarray:
+    """Whether a code point is a combining mark that ``letter_table`` keeps."""
+    if not _MARKS:
+        kept = np.flatnonzero(letter_table() != 32)
+        out = np.zeros(sys.maxunicode + 1, dtype=bool)
+        out[[c for c in kept.tolist() if not chr(c).isalpha()]] = True
+        _MARKS.append(out)
+    return _MARKS[0]
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram, text number) of all texts, joined by a space that no n-gram crosses."""
     joined = "\n".join(texts)
@@ -231,8 +243,11 @@ def decide(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
     order = np.argsort(-counts, axis=1, kind="stable")
     best = np.take_along_axis(counts, order[:, :2], axis=1)
     second = best[:, 1] if n_lang > 1 else np.zeros(len(texts))
-    score = np.where(n > 0, (best[:, 0] + 0.5) / (best[:, 0] + second + 1), 0.0)
-    names = [model.languages[o] if has else UNDETERMINED for o, has in zip(order[:, 0], n > 0)]
+    # a text of marks alone has n-grams but no letter
+    middle = (key >> np.uint64(21)) & np.uint64((1 << 21) - 1)
+    letters = np.bincount(owner, ~mark_table()[middle], minlength=len(texts)) > 0
+    score = np.where(letters, (best[:, 0] + 0.5) / (best[:, 0] + second + 1), 0.0)
+    names = [model.languages[o] if has else UNDETERMINED for o, has in zip(order[:, 0], letters)]
     return names, score
 
 

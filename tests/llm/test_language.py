@@ -71,3 +71,14 @@ def test_filters_hold_every_ngram_of_a_large_language(spark):
     for s in L.slots(key, len(model.masks).bit_length() - 1):
         mask = model.masks[s] if mask is None else mask & model.masks[s]
     assert (mask >> k & 1).all()
+
+
+def test_marks_are_no_letters():
+    key = np.unique(L.grams(["hello wórld"])[0])
+    model = L.build([("en", int(g), 1) for g in key], {"en": 1})
+    names, score = L.decide(["́", "́ ́", "ा", "hello", "", "ó"], model)
+    assert names == ["und", "und", "und", "en", "und", "en"]
+    assert score[:3].tolist() == [0, 0, 0] and score[3] > 0.5
+    # a spacing mark does not split a word
+    key, _ = L.grams(["काम"])
+    assert len(key) == 3
