@@ -7,7 +7,7 @@ size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def aside(df: DataFrame, *inputs: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """Columns with a leading underscore, which operators name their working columns with, out of the way.
+
+    ``df`` with such columns renamed, the new names of ``inputs``, and a function that gives a result's columns
+    their old names back."""
+    names = {c: f"_{k}_{c}" for k, c in enumerate(df.columns) if c.startswith("_")}
+    back = {v: k for k, v in names.items()}
+    return (df.withColumnsRenamed(names), [names.get(c, c) for c in inputs],
+            lambda out: out.withColumnsRenamed(back))
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds`` (null for a null id)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qamill.llm.common import table
+from qamill.llm.common import aside, table
 from qamill.session import materialize
 
 WORDS = 5
@@ -158,8 +158,9 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
+    docs, _, back = aside(docs)
     found = materialize(hits(docs, items, "doc_id").select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    return back(docs.join(found, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qamill.llm.common import fold, table
+from qamill.llm.common import aside, fold, table
 from qamill.session import materialize
 
 SHARE = 0.1
@@ -266,9 +266,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 scores.append(b)
             yield pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores)})
 
+    docs, (text,), back = aside(docs, text)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return (docs.select(*keep, run(F.col(text)).alias("_lang"))
-            .select(*keep, "_lang.lang_pred", "_lang.score"))
+    return back(docs.select(*keep, run(F.col(text)).alias("_lang"))
+                .select(*keep, "_lang.lang_pred", "_lang.score"))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qamill.llm.common import table
+from qamill.llm.common import aside, table
 from qamill.session import materialize
 
 #: Leading bits of md5 that are used, as a 60-bit integer.
@@ -93,8 +93,13 @@ def _rounds(rows: DataFrame, limit: int, hash_col: str, first_bits: int, max_bit
 def shard(df: DataFrame, key: str, size: Column, limit: int = LIMIT) -> DataFrame:
     """``df`` with shard (bits of its hash prefix), shard_bytes, shard_rows, oversized."""
     out = ("shard", "shard_bytes", "shard_rows", "oversized")
-    keep = [c for c in df.columns if c not in out]
-    rows = df.select(*keep).withColumn("_size", F.coalesce(size.cast("bigint"), F.lit(0))) \
+    sized = "size"
+    while sized.lower() in {c.lower() for c in df.columns}:
+        sized += "_"
+    df = df.select("*", F.coalesce(size.cast("bigint"), F.lit(0)).alias(sized))
+    df, (key,), back = aside(df, key)
+    keep = [c for c in df.columns if c not in (*out, sized)]
+    rows = df.select(*keep, F.col(sized).alias("_size")) \
         .withColumn("_hash", _bits60(F.coalesce(F.col(key).cast("string"), F.lit("")))) \
         .withColumn("_bucket", F.lit(""))
     total = rows.agg(F.sum("_size")).first()[0] or 0
@@ -125,7 +130,7 @@ def shard(df: DataFrame, key: str, size: Column, limit: int = LIMIT) -> DataFram
         p = p.select(*keep, "shard", "shard_bytes", "shard_rows",
                      (F.col("shard_bytes") > limit).alias("oversized"))
         result = p if result is None else result.unionByName(p)
-    return result
+    return back(result)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

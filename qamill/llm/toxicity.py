@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qamill.llm.common import fold, labelled_sample, table
+from qamill.llm.common import aside, fold, labelled_sample, table
 
 #: Bounds of the training sample, for each class.
 PER_CLASS = 2_000
@@ -327,15 +327,18 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pd.DataFrame({"score": np.concatenate(scores) if scores else [],
                                 "spans": [[{"start": p, "end": q} for p, q in x] for x in spans]})
 
+    docs, (text,), back = aside(docs, text)
     keep = [c for c in docs.columns if c not in ("score", "spans")]
-    return (docs.select(*keep, run(F.col(text)).alias("_toxic"))
-            .select(*keep, "_toxic.score", "_toxic.spans"))
+    return back(docs.select(*keep, run(F.col(text)).alias("_toxic"))
+                .select(*keep, "_toxic.score", "_toxic.spans"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op2: toxicity score of every document."""
+    """op2: toxicity score of every document and the places of its toxic spans (start-end, in characters)."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     done = score(docs, model)
+    places = F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
     return done.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
-                       "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+                       "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                       F.concat_ws(" ", places).alias("spans"))

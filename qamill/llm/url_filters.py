@@ -32,7 +32,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qamill.llm.common import table
+from qamill.llm.common import aside, table
 from qamill.session import materialize
 
 #: Hex digits of the short hash (32 bits).
@@ -80,6 +80,7 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url",
           default: str = "allow") -> DataFrame:
     """``urls`` with columns host, path, rule (null if none fits) and verdict."""
     out = ("host", "path", "rule", "verdict")
+    urls, (url,), back = aside(urls, url)
     keep = [c for c in urls.columns if c not in out]
     source = urls.select(*keep, host_of(F.col(url)).alias("_h"), path_of(F.col(url)).alias("_p"))
     ruled = (rules.where("host is not null and path is not null and verdict is not null")
@@ -111,8 +112,8 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url",
                                  F.col("_w.rule").alias("rule"),
                                  F.col("_w.verdict").alias("verdict")))
     joined = source.join(won, (F.col("_h") == F.col("_wh")) & (F.col("_p") == F.col("_wp")), "left")
-    return joined.select(*keep, F.col("_h").alias("host"), F.col("_p").alias("path"), "rule",
-                         F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return back(joined.select(*keep, F.col("_h").alias("host"), F.col("_p").alias("path"), "rule",
+                              F.coalesce("verdict", F.lit(default)).alias("verdict")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
