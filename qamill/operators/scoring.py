@@ -47,7 +47,12 @@ def score(outputs: DataFrame, samples: DataFrame, task: TaskSpec = GSM8K,
     """Outputs joined to their gold answer, with ``extracted_answer`` and
     ``correct``. ``how='left'`` keeps outputs without a sample (gold null).
     ``carry`` names sample columns to bring along in the same join."""
-    gold = gold_table(samples, task, carry)
+    return score_prepared(outputs, gold_table(samples, task, carry), task, how)
+
+
+def score_prepared(outputs: DataFrame, gold: DataFrame, task: TaskSpec = GSM8K,
+                   how: str = "inner") -> DataFrame:
+    """``score`` against a gold side that ``gold_table`` has made."""
     ext = with_extracted(outputs, task)
     # parsed once here; the check reads it three times
     ext = _parsed(ext, "extracted_answer", "_ext_num", task)
@@ -68,7 +73,12 @@ def first_outputs(outputs: DataFrame, order_cols: list[str]) -> DataFrame:
 def reward(outputs: DataFrame, samples: DataFrame, task: TaskSpec = GSM8K) -> DataFrame:
     """1.0 for a correct completion, else 0.0; a completion whose sample has no
     gold answer gets 0.0 (left join keeps it)."""
-    scored = score(outputs, samples, task, how="left")
+    return reward_prepared(outputs, gold_table(samples, task), task)
+
+
+def reward_prepared(outputs: DataFrame, gold: DataFrame, task: TaskSpec = GSM8K) -> DataFrame:
+    """``reward`` against a gold side that ``gold_table`` has made."""
+    scored = score_prepared(outputs, gold, task, how="left")
     return scored.withColumn(
         "reward", F.when(F.col("gold").isNotNull() & F.col("correct"), F.lit(1.0))
         .otherwise(F.lit(0.0)))

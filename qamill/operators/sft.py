@@ -21,10 +21,14 @@ MAX_LEN = 1024
 
 
 def tokenized(pairs: DataFrame, use_chat: bool = False, eos: str | None = DEFAULT_EOS,
-              generation_suffix: str = "", vocab: DataFrame | None = None) -> DataFrame:
-    """conv_id, turn, prompt_ids, full_ids (untruncated) for each sample; the vocabulary
-    is built over the texts when none is given."""
+              generation_suffix: str = "", vocab: DataFrame | None = None,
+              tokenizer: str | None = None) -> DataFrame:
+    """conv_id, turn, prompt_ids, full_ids (untruncated) for each sample: ids of the model whose
+    ``tokenizer`` file is named, else of ``vocab``, which is built over the texts when not given."""
     texts = conversations.training_texts(pairs, use_chat, eos, generation_suffix)
+    if tokenizer is not None:
+        return tokens.model_token_ids(texts, conversations.KEYS,
+                                      {"prompt_text": "prompt_ids", "full_text": "full_ids"}, tokenizer)
     if vocab is None:
         vocab = vocabulary(texts, generation_suffix)
     return tokens.token_ids(texts, conversations.KEYS,

@@ -1,10 +1,10 @@
-"""Word/punctuation tokenizer, corpus vocabulary and token ids.
+"""Token ids: of a model's tokenizer, or of a vocabulary built over the corpus.
 
-The pretrained subword tokenizer is not available offline; this tokenizer
-splits text into runs of letters/marks/digits/underscore and single other
-non-space characters, and ids come from a vocabulary built over the corpus.
-Masks, padding and prompt lengths computed from these ids are exact; the ids
-themselves are not a pretrained model's.
+``model_token_ids`` encodes texts with a tokenizer file as a model ships it: row-local, in
+Arrow batches, without a shuffle. The other functions split text into runs of
+letters/marks/digits/underscore and single other non-space characters, with ids from a corpus
+vocabulary: masks, padding and prompt lengths computed from them are exact, the ids
+are no model's.
 
 Plan shape: tokens are exploded into (key, kind, position, token) rows with
 one explode for all text columns; counting is a hash aggregate with map-side
@@ -17,7 +17,11 @@ is one text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qamill.functions.text import WS_CLASS
@@ -27,6 +31,8 @@ from qamill.operators.indexing import dense_index
 _WORD = r"\p{L}\p{M}\p{N}_"
 _SPACE = WS_CLASS[1:-1]
 TOKEN_PATTERN = "[" + _WORD + "]+|[^" + _WORD + _SPACE + "]"
+#: Characters of a tokenizer file at most: it is sent to every executor.
+MAX_TOKENIZER = 64_000_000
 FIRST_ID = 1   # ids start at 1; 0 is the pad id
 PAD_ID = 0
 
@@ -75,3 +81,48 @@ def token_ids(texts: DataFrame, keys: tuple[str, ...], text_cols: dict[str, str]
         out.append(F.transform(F.filter("_toks", _is_kind(i)),
                                lambda t: t["token_id"]).alias(text_cols[c]))
     return grouped.select(*out)
+
+
+def _with_tokenizer(spark, path: str, kind: str, work) -> object:
+    """A pandas UDF that applies ``work(tokenizer, values)`` to batches. The tokenizer file is read once on the
+    driver and broadcast, so executors need no copy of it; a worker builds it once a task."""
+    text = Path(path).read_text(encoding="utf-8")
+    if len(text) > MAX_TOKENIZER:
+        raise ValueError(f"tokenizer file {path!r} is larger than {MAX_TOKENIZER} characters")
+    shared = spark.sparkContext.broadcast(text)
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+        tokenizer = Tokenizer.from_str(shared.value)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        for s in batches:
+            yield pd.Series(work(tokenizer, s), index=s.index, dtype=object)
+
+    return run
+
+
+def model_token_ids(texts: DataFrame, keys: tuple[str, ...], text_cols: dict[str, str],
+                    tokenizer: str) -> DataFrame:
+    """For each text column ``c`` -> output array column ``text_cols[c]`` of the ids of the ``tokenizers`` file
+    ``tokenizer``, without the special tokens a model adds around a text. Null and empty texts get empty
+    arrays; whole texts are encoded, whatever their length. Rows stay where they are."""
+    def encode(tok, rows):
+        done = iter(tok.encode_batch_fast([v or "" for row in rows for v in row], add_special_tokens=False))
+        return [[next(done).ids for _ in row] for row in rows]
+
+    # the columns of a row go to Python together, so there is one pass
+    ids = _with_tokenizer(texts.sparkSession, tokenizer, "array<array<int>>", encode)
+    done = texts.select(*keys, ids(F.array(*text_cols)).alias("_ids"))
+    return done.select(*keys, *[F.col("_ids")[i].alias(out) for i, out in enumerate(text_cols.values())])
+
+
+def model_text(df: DataFrame, ids: Column | str, tokenizer: str) -> Column:
+    """The text that an array of ids stands for (null for a null array), special tokens included."""
+    def decode(tok, values):
+        some = [v for v in values if v is not None]
+        done = iter(tok.decode_batch([[int(i) for i in v] for v in some], skip_special_tokens=False))
+        return [None if v is None else next(done) for v in values]
+
+    return _with_tokenizer(df.sparkSession, tokenizer, "string", decode)(ids)

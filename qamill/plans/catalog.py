@@ -20,8 +20,8 @@ from qamill.functions import options as O
 from qamill.functions import text as T
 from qamill.functions import times as TM
 from qamill.operators import conversations, experiments, report, scoring, sft, summary, tokens
-from qamill.operators.tasks import GSM8K
-from qamill.sources import documents, files, fixtures
+from qamill.operators.tasks import GSM8K, get_task
+from qamill.sources import bucketed, documents, files, fixtures
 from qamill.session import checkpoint_dir, materialize
 from qamill.sources.tables import read_table
 
@@ -30,6 +30,7 @@ QUERIES: dict[str, QueryFn] = {}
 
 # Query parameters (fixed so the oracle can use the same values).
 MAX_SAMPLES = 100
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def query(fn: QueryFn) -> QueryFn:
@@ -74,6 +75,16 @@ def split_filter(spark, d):
                                                      "answer_value")
 
 
+@query
+def split_requested(spark, d):
+    """Samples written by split, and the splits that the SFT runs ask for read back (pruned at run time)."""
+    path = _folder(spark, "samples")
+    files.write_samples(_qa(spark, d), path)
+    asked = fixtures.requested_splits(spark, d).where(F.col("train_method") == "sft")
+    return files.read_requested(spark, path, asked) \
+        .select("sample_id", "split", "question", "answer", "answer_value")
+
+
 @query
 def gold_extract(spark, d):
     raw = GSM8K.raw_samples(spark, d)
@@ -143,6 +154,15 @@ def check_answer(spark, d):
     return _numbered(scored, d, *cols, split="test").select("sample_id", "gen_no", *cols)
 
 
+@query
+def check_fractions(spark, d):
+    """A task whose check is Python: exact fractions."""
+    task = get_task("fractions")
+    scored = scoring.score(fixtures.fraction_outs(spark, d), task.load_split(spark, d, "test"), task)
+    return _numbered(scored, d, "extracted_answer", "gold", "correct", split="test") \
+        .select("sample_id", "gen_no", "extracted_answer", "gold", "correct")
+
+
 @query
 def score_details(spark, d):
     scored = _evaluated(spark, d, scoring.detail_samples(_test(spark, d)), scoring.DETAIL_CARRY)
@@ -175,6 +195,18 @@ def reward_by_prompt(spark, d):
     return scoring.reward_by_prompt(_rewarded(spark, d))
 
 
+@query
+def reward_by_prompt_bucketed(spark, d):
+    """Mean rewards from tables bucketed by sample: neither the join nor the aggregate shuffles."""
+    name = f"qamill_{uuid.uuid4().hex}"
+    outputs = fixtures.outs(spark, d, "train").select("sample_id", "run_id", "model_output")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucketed.write_outputs(outputs, f"{name}_outputs", _folder(spark, "outputs"), buckets)
+    bucketed.write_gold(GSM8K.load_split(spark, d, "train"), f"{name}_gold", _folder(spark, "gold"),
+                        buckets=buckets)
+    return scoring.reward_by_prompt(bucketed.reward_tables(spark, f"{name}_outputs", f"{name}_gold"))
+
+
 @query
 def reward_by_run(spark, d):
     return scoring.reward_by_run(_rewarded(spark, d))
@@ -313,6 +345,17 @@ def sft_examples_chat_mask(spark, d):
     return _example_text(_examples(spark, d, use_chat=True, suffix=THINK_SUFFIX))
 
 
+@query
+def sft_examples_model(spark, d):
+    """Raw layout, loss on the answer only, with a model's token ids: the texts that the ids of an example and its
+    supervised labels stand for."""
+    tok = sft.tokenized(_pairs(spark, d), tokenizer=TOKENIZER)
+    ex = sft.examples(tok, max_len=None)
+    learnt = F.filter("labels", lambda i: i != A.IGNORE_INDEX)
+    return ex.select(*KEYS, tokens.model_text(ex, "input_ids", TOKENIZER).alias("input_text"),
+                     tokens.model_text(ex, learnt, TOKENIZER).alias("supervised_text"))
+
+
 @query
 def loss_token_stats(spark, d):
     return sft.loss_token_stats(_examples(spark, d), SFT_MAX_LEN)

@@ -174,6 +174,10 @@ def q(name: str, sql: str) -> None:
 q("qa_scan", f"WITH {QA} SELECT sample_id, split, question, answer, answer_value FROM qa")
 q("split_filter", f"WITH {QA} SELECT sample_id, question, answer, answer_value FROM qa "
                   f"WHERE split = 'test'")
+q("split_requested", f"""WITH {QA}, {OUTS},
+asked AS (SELECT DISTINCT CASE WHEN train_method = 'grpo' THEN 'train' ELSE 'test' END AS split
+          FROM outs WHERE train_method = 'sft')
+SELECT sample_id, split, question, answer, answer_value FROM qa WHERE split IN (SELECT split FROM asked)""")
 q("gold_extract", f"WITH {QA_RAW} SELECT sample_id, {gold('answer')} AS gold_value FROM qa_raw")
 q("gold_select", f"WITH {QA} SELECT sample_id, coalesce(nullif(answer_value, ''), answer) AS gold FROM qa")
 q("raw_prompt", f"WITH {QA} SELECT sample_id, {raw_prompt('question')} AS prompt FROM qa")
@@ -192,6 +196,22 @@ q("extract_marker", f"WITH {OUTS} SELECT sample_id, gen_no, {marker('model_outpu
 q("extract_answer", f"WITH {OUTS} SELECT sample_id, gen_no, {extract('model_output')} AS extracted_answer FROM outs")
 q("extract_last_number", f"SELECT doc_id, {last_num('text')} AS last_number FROM documents")
 q("check_answer", f"WITH {SCORED} SELECT sample_id, gen_no, run_id, extracted_answer, gold, correct FROM scored")
+q("check_fractions", """WITH fr AS (
+  SELECT l_partkey AS sample_id, p_size,
+         row_number() OVER (PARTITION BY l_partkey
+                            ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS gen_no,
+         CASE l_orderkey % 4
+           WHEN 0 THEN CAST(p_size * l_linenumber AS VARCHAR) || '/' || CAST(8 * l_linenumber AS VARCHAR)
+           WHEN 1 THEN CAST(CAST(p_size AS DECIMAL(18, 3)) / 8 AS DECIMAL(18, 3))::VARCHAR
+           WHEN 2 THEN CAST(p_size + 1 AS VARCHAR) || '/8' ELSE 'unknown' END AS extracted_answer
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 5 <> 0)
+SELECT sample_id, gen_no, extracted_answer, CAST(p_size AS VARCHAR) || '/8' AS gold,
+       CASE WHEN contains(extracted_answer, '/')
+              THEN CAST(split_part(extracted_answer, '/', 1) AS BIGINT) * 8
+                   = p_size * CAST(split_part(extracted_answer, '/', 2) AS BIGINT)
+            WHEN contains(extracted_answer, '.') THEN CAST(extracted_answer AS DECIMAL(18, 3)) * 8 = p_size
+            ELSE false END AS correct
+FROM fr""")
 DETAILS = f"""{EVALUATED},
 details AS (
   SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY sample_id) - 1 AS index,
@@ -205,6 +225,7 @@ SELECT {summary_select(FEWER)} FROM evaluated WHERE sample_id IN ({FEWER}) GROUP
 q("reward", f"WITH {REWARD} SELECT sample_id, gen_no, run_id, reward FROM rw")
 q("reward_by_prompt", f"""WITH {REWARD}
 SELECT sample_id, count(*) AS n_completions, avg(reward) AS mean_reward FROM rw GROUP BY sample_id""")
+q("reward_by_prompt_bucketed", ORACLE["reward_by_prompt"])
 q("reward_by_run", f"""WITH {REWARD}
 SELECT run_id, count(*) AS n_completions, avg(reward) AS mean_reward FROM rw GROUP BY run_id""")
 q("group_advantage", f"""WITH {REWARD},
@@ -310,6 +331,9 @@ q("mask_labels", f"WITH {TOK} SELECT {KEY}, {txt('labels')} AS labels FROM ex")
 
 EXAMPLE = f"{KEY}, {txt('input_ids')} AS input_ids, {txt('attention_mask')} AS attention_mask"
 q("sft_examples", f"WITH {TOK} SELECT {EXAMPLE}, {txt('labels')} AS labels FROM ex")
+# byte-level ids stand for the text itself; the space before an answer is part of its first word's token
+q("sft_examples_model", f"""WITH {PAIRS}
+SELECT conv_id, turn, {RAW_FULL} AS input_text, ' ' || answer || '<|im_end|>' AS supervised_text FROM pairs""")
 q("sft_examples_full_loss", f"WITH {TOK} SELECT {EXAMPLE}, {txt('input_ids')} AS labels FROM ex")
 q("sft_examples_chat", f"WITH {CHAT} SELECT {EXAMPLE}, {txt('input_ids')} AS labels FROM ex")
 q("sft_examples_chat_mask", f"WITH {CHAT_THINK} SELECT {EXAMPLE}, {txt('labels')} AS labels FROM ex")

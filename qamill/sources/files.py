@@ -18,10 +18,15 @@ Every other read names its schema, so no scan infers types.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from qamill.session import materialize
+
 SUMMARY_SCHEMA = Ty.StructType([
     Ty.StructField("experiment_name", Ty.StringType()),
     Ty.StructField("train_method", Ty.StringType()),
@@ -66,6 +71,9 @@ RUN_INFO_FILE_SCHEMA = Ty.StructType([
 VALUE_TYPES = {"BIGINT": "bigint", "BOOLEAN": "boolean", "DOUBLE": "double", "FLOAT": "double", "STRING": "string",
                "VOID": "string"}
 
+#: Distinct splits that a run list is broadcast with at most.
+MAX_SPLITS = 10_000
+FILE_PATH = Ty.StructType([Ty.StructField("file_path", Ty.StringType())])
 SUMMARY_FILES = "{summary,part-*}.json"
 DETAIL_FILES = "part-*.json"
 
@@ -74,14 +82,16 @@ def _dir_of_file() -> F.Column:
     return F.regexp_replace(F.col("_metadata.file_path"), "/[^/]+$", "")
 
 
-def _children_only(df: DataFrame, base: str) -> DataFrame:
-    """Rows of files in direct children of ``base``."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    root = fs.makeQualified(path).toUri().getRawPath().rstrip("/")
-    parent = F.regexp_replace(F.regexp_replace("eval_dir", "^[a-z0-9]+:(//[^/]*)?", ""), "/[^/]+$", "")
-    return df.where(parent == F.lit(root))
+def _in_children(reader: DataFrameReader, base: str, names: str, empty: DataFrame) -> DataFrame:
+    """JSON documents called ``names`` in direct children of ``base``: one level is listed, so neither deeper
+    folders nor files of other names (details) are. ``empty`` where there is none."""
+    escaped = re.sub(r"([][{}*?\\])", r"\\\1", base.rstrip("/"))
+    try:
+        return reader.option("multiLine", True).json(f"{escaped}/*/{names}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty
 
 
 def write_samples(samples: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -95,6 +105,17 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == F.lit(split))
 
 
+def read_requested(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
+    """The splits that some of ``requests`` (a ``split`` column) ask for. The samples' partitions are
+    pruned while the query runs, by the splits found in the requests: their distinct splits are counted, and
+    broadcast up to ``MAX_SPLITS``; beyond it the join is a plain one and prunes nothing. An empty split is
+    on disk as the null one, which equals none."""
+    asked = materialize(requests.select("split").distinct()).where(F.col("split") > "")
+    if asked.limit(MAX_SPLITS + 1).count() <= MAX_SPLITS:
+        asked = F.broadcast(asked)
+    return spark.read.parquet(path).join(asked, "split", "left_semi")
+
+
 def _by_folder(df: DataFrame, column: str, mode: str):
     """A writer that keeps a folder for each value of ``column``. Overwriting replaces the folders of
     the values that ``df`` has and no others."""
@@ -144,12 +165,10 @@ def read_summary_files(spark: SparkSession, eval_base: str) -> DataFrame:
     with ``eval_dir`` = the directory holding it. Deeper directories, files of the
     folder itself and directories without a summary are skipped; none at all -> an
     empty table with the schema."""
-    df = (spark.read.schema(SUMMARY_SCHEMA)
-          .option("multiLine", True)
-          .option("recursiveFileLookup", True)
-          .option("pathGlobFilter", SUMMARY_FILES)
-          .json(eval_base))
-    return _children_only(df.withColumn("eval_dir", _dir_of_file()), eval_base)
+    none = spark.createDataFrame([], Ty.StructType([*SUMMARY_SCHEMA.fields,
+                                                    Ty.StructField("_metadata", FILE_PATH)]))
+    df = _in_children(spark.read.schema(SUMMARY_SCHEMA), eval_base, SUMMARY_FILES, none)
+    return df.select(*SUMMARY_SCHEMA.names, _dir_of_file().alias("eval_dir"))
 
 
 def _scalar(value: F.Column, kind: str) -> F.Column:
@@ -172,14 +191,11 @@ def read_summary_union(spark: SparkSession, eval_base: str) -> DataFrame:
     double; objects, arrays and keys of mixed types are JSON text. Of keys that differ in case alone from an
     earlier one, the column gets a number: ``Seed`` after ``seed`` is ``Seed_2``. No summary at all gives an
     empty table with the schema's columns; a file that holds no object is a row of nulls."""
-    files = (spark.read.option("singleVariantColumn", "_doc")
-             .option("multiLine", True)
-             .option("recursiveFileLookup", True)
-             .option("pathGlobFilter", SUMMARY_FILES)
-             .json(eval_base)
-             .withColumn("eval_dir", _dir_of_file()))
-    found = _children_only(files, eval_base) \
-        .select(F.expr("try_cast(_doc as map<string,variant>)").alias("_keys"), "eval_dir")
+    none = spark.createDataFrame([], Ty.StructType([Ty.StructField("_doc", Ty.VariantType()),
+                                                    Ty.StructField("_metadata", FILE_PATH)]))
+    files = _in_children(spark.read.option("singleVariantColumn", "_doc"), eval_base, SUMMARY_FILES, none)
+    found = files.select(F.expr("try_cast(_doc as map<string,variant>)").alias("_keys"),
+                         _dir_of_file().alias("eval_dir"))
     known = {f.name: f.dataType.simpleString() for f in SUMMARY_SCHEMA.fields}
     others = found.select(F.explode("_keys").alias("key", "value")).where(~F.col("key").isin(*known)) \
         .groupBy("key").agg(F.schema_of_variant_agg("value").alias("kind")).orderBy("key").collect()

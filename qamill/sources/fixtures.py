@@ -54,6 +54,42 @@ def qa_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fraction_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One unstripped QA sample per part whose answer is its size in eighths."""
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_size"])
+    return part.select(
+        F.col("p_partkey").alias("sample_id"),
+        F.when(F.col("p_partkey") % TRAIN_EVERY == 0, F.lit("train"))
+        .otherwise(F.lit("test")).alias("split"),
+        F.concat(F.lit(" Size of "), F.col("p_name"), F.lit("? ")).alias("question"),
+        F.concat(F.lit("In eighths.\n#### "), F.col("p_size").cast("string"), F.lit("/8 ")).alias("answer"),
+    )
+
+
+def fraction_outs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One output per line item for the fraction task: the answer over a multiple of eight, as a
+    decimal, a wrong fraction, or none."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", *GEN_ORDER[1:]])
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_size"])
+    size, times = F.col("p_size").cast("bigint"), F.col("l_linenumber").cast("bigint")
+    case = F.col("l_orderkey") % 4
+    mills = size * 125
+    text = (F.when(case == 0, F.concat_ws("/", size * times, times * 8))
+            .when(case == 1, F.concat(F.floor(mills / 1000).cast("string"), F.lit("."),
+                                      F.lpad((mills % 1000).cast("string"), 3, "0")))
+            .when(case == 2, F.concat_ws("/", size + 1, F.lit(8)))
+            .otherwise(F.lit("unknown")))
+    return li.join(part, li.l_partkey == part.p_partkey).select(
+        F.col("l_partkey").alias("sample_id"), *GEN_ORDER, F.concat(F.lit("#### "), text).alias("model_output"))
+
+
+def requested_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, train_method, split): the split that each run in the line items asks for."""
+    runs = outs(spark, sf_dir).select("run_id", "train_method").distinct()
+    return runs.withColumn("split", F.when(F.col("train_method") == "grpo", F.lit("train"))
+                           .otherwise(F.lit("test")))
+
+
 def _model_output(case: Column, v: Column) -> Column:
     vs = v.cast("string")
     vf = F.format_number(v, 0)

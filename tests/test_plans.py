@@ -66,3 +66,8 @@ def test_number_texts_are_cleaned_once(spark):
     """The digit table stands in the plan once a side, not once for every branch of the parser."""
     plan = C.QUERIES["check_answer"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("٠") == 2
+
+
+def test_requested_splits_prune_at_run_time(spark):
+    plan = _plan(spark, "split_requested")
+    assert re.search(r"PartitionFilters: \[[^\]]*dynamicpruning", plan)

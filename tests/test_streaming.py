@@ -56,3 +56,21 @@ def test_stream_run_totals_match_batch(spark, scratch):
                                               samples))
     expected = {r.run_id: (r.total_samples, r.correct) for r in batch.collect()}
     assert got == expected
+
+
+def test_python_task_scores_a_stream(spark, scratch):
+    from qamill.operators.tasks import get_task
+    task = get_task("fractions")
+    outs = fixtures.fraction_outs(spark, SF_SMALL).select("sample_id", "model_output")
+    src = os.path.join(scratch, "fractions")
+    outs.write.parquet(src)
+    samples = task.samples(spark, SF_SMALL)
+    q = start_scoring(spark, src, outs.schema, samples, os.path.join(scratch, "scored_fractions"),
+                      name=f"test_{uuid.uuid4().hex}", task=task)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    streamed = spark.read.parquet(os.path.join(scratch, "scored_fractions")).groupBy("correct").count().collect()
+    batch = scoring.score(outs, samples, task).groupBy("correct").count().collect()
+    assert sorted(map(tuple, streamed)) == sorted(map(tuple, batch)) and len(batch) == 2

@@ -100,3 +100,21 @@ def test_one_metadata_row_a_model(spark):
                                  "use_chat_template boolean, mask_question boolean")
     got = summary.enrich_runs(runs, info).collect()
     assert [tuple(r) for r in got] == [("m", "sft", None, True)]  # a stored null stays null
+
+
+def test_fractions_by_value(spark):
+    """The Python task: equal values in any form, texts otherwise; one Python pass a side."""
+    task = get_task("fractions")
+    outs = [(1, "#### 6/16"), (2, "#### 0.375"), (3, "#### 0.37"), (4, "#### 3/0"), (5, "3"), (6, "no"),
+            (7, "#### 1e9"), (8, "#### " + "9" * 6000), (9, None), (10, "#### -.5"), (11, "#### abc")]
+    gold = {1: "3/8", 2: "3/8", 3: "3/8", 4: "3/0", 5: "3.0", 6: "3", 7: "1000000000", 8: "9" * 6000, 9: "1",
+            10: "-1/2", 11: "abc"}
+    o = spark.createDataFrame(outs, "sample_id long, model_output string")
+    s = spark.createDataFrame([(k, f"#### {v}", v) for k, v in gold.items()],
+                              "sample_id long, answer string, answer_value string")
+    scored = scoring.score(o, s, task)
+    got = {r.sample_id: r.correct for r in scored.collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: False, 7: False, 8: True, 9: False,
+                   10: True, 11: True}
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
