@@ -5,7 +5,11 @@ of the whole table. With class prior p the unbiased risk of the negatives in the
 unlabelled set is R_u(-) - p R_p(-), which a flexible model can drive below
 zero; the non-negative estimator p R_p(+) + max(0, R_u(-) - p R_p(-)) is
 minimised: where the bracket is negative only the positive part moves the
-model. The prior is the share of good ones among labelled training documents, smoothed.
+model. The prior is estimated from the positives and the unlabelled rows alone; labels of bad
+documents are not read. A network that tells the two samples apart ranks the other half of both:
+among the rows above a cut, the share of all unlabelled rows over the share of all positives is
+at least the prior, and close to it where the cut leaves few bad rows. The cut taken has the
+least upper confidence bound of that ratio; the two halves' estimates are averaged.
 
 Features describe a whole text at any length: shares of character classes,
 word shapes, repetition of neighbouring words, lines and distinct words, and, over windows of
@@ -15,8 +19,7 @@ features; an ensemble of ``MODELS`` seeds is averaged. The logistic loss makes i
 output the probability of being good.
 
 The training bounds are parameters: ``PER_CLASS`` positives, ``UNLABELLED`` unlabelled rows
-and ``MAX_CHARS`` characters each; counts behind the prior cover all labelled rows outside
-the held-out fold.
+and ``MAX_CHARS`` characters each; the prior is estimated from the same rows.
 
 Defined results: null and empty texts have all-zero features and are scored like any
 other; without positives every score is 0; repeated rows score alike; other columns
@@ -44,6 +47,10 @@ MODELS = 2
 STEPS = 300
 BATCH = 800
 CUTOFF = 0.3
+#: Failure probability and margin of the prior's confidence bound, and the range it is kept in.
+DELTA = 0.1
+MARGIN = 0.01
+PRIORS = (0.02, 0.98)
 
 # Classes of bytes.
 _UPPER, _LOWER, _DIGIT, _SPACE, _LINE, _COMMON, _SYMBOL, _HIGH = range(8)
@@ -175,14 +182,37 @@ def _minimise(p: np.ndarray, u: np.ndarray, prior: float, seed: int) -> tuple:
     return tuple(net)
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+def mixture_bound(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior by scores of positive and unlabelled rows that trained nothing."""
+    p, u = np.sort(positive), np.sort(unlabelled)
+    above_p = 1 - np.searchsorted(p, p, "left") / len(p)
+    above_u = 1 - np.searchsorted(u, p, "left") / len(u)
+    slack = np.sqrt(np.log(4 / DELTA) / (2 * len(u))) + np.sqrt(np.log(4 / DELTA) / (2 * len(p)))
+    best = int(np.argmin((above_u + (1 + MARGIN) * slack) / above_p))
+    return float(above_u[best] / above_p[best])
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior from feature rows: each half's scores by a network of the other half. One in two
+    where there are too few rows to tell."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    halves = [(positive[k::2], unlabelled[k::2]) for k in (0, 1)]
+    found = []
+    for (p, u), (other_p, other_u) in (halves, halves[::-1]):
+        model = train(p, u, 0.5, models=1)
+        found.append(mixture_bound(model.score(other_p), model.score(other_u)))
+    return float(np.clip(np.mean(found), *PRIORS))
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, models: int = MODELS) -> Model:
     """Minimise the non-negative risk on feature rows."""
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), [], prior)
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
     p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
-    return Model(mean, scale, [_minimise(p, u, prior, s) for s in range(MODELS)], prior)
+    return Model(mean, scale, [_minimise(p, u, prior, s) for s in range(models)], prior)
 
 
 def _rows(texts: list[str]) -> np.ndarray:
@@ -192,13 +222,11 @@ def _rows(texts: list[str]) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
         unlabelled: int = UNLABELLED, max_chars: int = MAX_CHARS) -> Model:
     """Train on good documents outside the held-out fold and an unlabelled sample."""
-    counts = {r[0]: r[1] for r in labels.where(fold("doc_id", 5) != 0).where("quality in (0, 1)")
-              .groupBy("quality").count().collect()}
-    prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     good = labelled_sample(docs, labels, "quality", per_class, max_chars, classes=(1,))[1]
     ids = [r[0] for r in smallest_hashes(docs, "doc_id", unlabelled, 29).collect()]
     mixed = [t for _, t in fetch_texts(docs, ids, max_chars)]
-    return train(_rows(good), _rows(mixed), prior)
+    positive, other = _rows(good), _rows(mixed)
+    return train(positive, other, estimated_prior(positive, other))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

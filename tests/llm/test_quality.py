@@ -1,4 +1,5 @@
 import random
+from zlib import crc32
 
 import numpy as np
 
@@ -28,8 +29,30 @@ def test_held_out_accuracy(spark):
     model = Q.fit(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"))
     assert 0.7 < model.prior < 0.9
     got = {r["doc_id"]: r["score"] for r in Q.score(docs, model).collect()}
-    right = np.mean([(got[i] >= Q.CUTOFF) == bool(y) for i, y in labels])
-    assert right > 0.97
+    held_out = [(i, y) for i, y in labels if crc32(str(i).encode()) % 5 == 0]
+    right = np.mean([(got[i] >= Q.CUTOFF) == bool(y) for i, y in held_out])
+    assert right > 0.97 and len(held_out) > 100
+
+
+def test_bad_labels_are_not_read(spark):
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    both = Q.fit(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    good = Q.fit(docs, spark.createDataFrame([x for x in labels if x[1]], "doc_id bigint, quality int"))
+    assert both.prior == good.prior
+    x = Q._rows([t for _, t in rows])
+    assert np.array_equal(both.score(x), good.score(x))
+
+
+def test_prior_of_mixtures():
+    rng = np.random.default_rng(3)
+    for prior in (0.2, 0.5, 0.9):
+        p = rng.normal(2, 1, (1500, 6))
+        n = int(3000 * prior)
+        u = np.concatenate([rng.normal(2, 1, (n, 6)), rng.normal(-2, 1, (3000 - n, 6))])
+        assert abs(Q.estimated_prior(p, rng.permutation(u)) - prior) < 0.06
+    assert Q.estimated_prior(p[:2], u) == Q.estimated_prior(p, u[:0]) == 0.5
+    assert Q.PRIORS[0] <= Q.estimated_prior(np.zeros((9, 6)), np.zeros((9, 6))) <= Q.PRIORS[1]
 
 
 def test_defined_results(spark):

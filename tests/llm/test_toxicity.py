@@ -1,5 +1,6 @@
 import itertools
 import random
+from zlib import crc32
 
 import numpy as np
 
@@ -45,8 +46,9 @@ def test_held_out_accuracy_and_offsets(spark):
     lab = spark.createDataFrame(labels, "doc_id bigint, toxic int")
     model = T.fit(docs, lab)
     got = {r["doc_id"]: r for r in T.score(docs, model).collect()}
-    wrong = sum((got[i]["score"] >= 0.5) != bool(y) for i, y in labels)
-    assert wrong == 0
+    held_out = [(i, y) for i, y in labels if crc32(str(i).encode()) % 5 == 0]
+    wrong = sum((got[i]["score"] >= 0.5) != bool(y) for i, y in held_out)
+    assert wrong == 0 and {y for _, y in held_out} == {0, 1}
     for i, text in rows:
         for s in got[i]["spans"]:
             assert set(text[s["start"]:s["end"]].split()) <= set(BAD)
