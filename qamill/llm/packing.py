@@ -22,9 +22,9 @@ bounded by the capacity and the steps, not by the data.
 
 Token ids: a text is split at single spaces, which no pre-token of the byte-level
 BPE crosses (texts holding two white-space characters in a row are encoded whole). The ids of
-words and of their pre-tokens are kept in bounded dictionaries, from task to task, so each is merged
-only once while it is kept. Pre-tokens of ASCII and Latin-1 letters are merged by ``tiktoken``
-over the tokenizer file's own vocabulary, all others by ``tokenizers``, whose ids the
+words are kept in bounded dictionaries, from task to task, so each is merged
+only once while it is kept. New words of ASCII and Latin-1 letters are merged by ``tiktoken``, all of a
+batch in one call, over the tokenizer file's own vocabulary, all others by ``tokenizers``, whose ids the
 tests hold both to.
 
 Defined results: null and empty texts are the end id alone; special-token strings in
@@ -72,10 +72,11 @@ SPREAD = 0.0005
 
 _TWO_SPACES = re.compile(r"\s\s")
 # The tokenizer's pre-token pattern on ASCII and Latin-1 letters, where its
-# Unicode classes come down to these.
+# Unicode classes come down to these. NUL stands between two words and is a pre-token of its own.
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _PLAIN = re.compile(f"[\\n -~{_LATIN}]*\\Z")
-_PIECES = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LATIN}]+| ?[0-9]+| ?[^\\s0-9{_LATIN}]+|\\s+(?!\\S)|\\s+")
+_PLAIN_WORDS = re.compile(f"[\0\\n -~{_LATIN}]*\\Z")
+_PRE_TOKENS = f"\\x00|'(?:[sdmt]|ll|ve|re)| ?[{_LATIN}]+| ?[0-9]+| ?[^\\x00\\s0-9{_LATIN}]+|\\s+(?!\\S)|\\s+"
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -106,46 +107,65 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # a text that holds one is encoded whole
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # merges the same vocabulary's words several times faster; pre-tokens come apart before
-        self.merge = Encoding("words", pat_str=r"(?s).+", mergeable_ranks=vocabulary_ranks(path),
-                              special_tokens={}).encode_ordinary
+        # merges the same vocabulary's words several times faster, many of them in a call
+        ranks = vocabulary_ranks(path)
+        self.merge = Encoding("words", pat_str=_PRE_TOKENS, mergeable_ranks=ranks,
+                              special_tokens={}).encode_to_numpy
+        self.between = ranks[b"\0"]
         self.words: dict[str, bytes] = {}   # between two spaces
         self.old: dict[str, bytes] = {}     # words in use before, which return when they occur again
-        self.pieces: dict[str, bytes] = {}  # pre-tokens
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in done]
 
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Ids of words of ASCII and Latin-1 letters, without NUL: one call, cut at the NULs between them."""
+        ids = self.merge("\0".join(words))
+        cuts = (4 * np.flatnonzero(ids == self.between)).tolist()
+        data = ids.astype("<u4").tobytes()
+        return [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)])]
+
+    def _learn(self, missing: set[str]) -> list[str]:
+        """Keep the ids of words that are not known; returns the words that it encoded."""
+        known, old = self.words, self.old
+        again = old.keys() & missing
+        known.update((x, old[x]) for x in again)
+        words = list(missing - again)
+        full = [x[1:] if x[:1] == " " else " " + x for x in words]
+        if _PLAIN_WORDS.match("\0".join(full)) and not any("\0" in x for x in full):
+            plain, odd = list(zip(words, full)), []
+        else:
+            plain, odd = [], []
+            for x, y in zip(words, full):
+                (plain if _PLAIN.match(y) else odd).append((x, y))
+        if plain:
+            known.update(zip([x for x, _ in plain], self._merge([y for _, y in plain])))
+        if odd:
+            known.update(zip([x for x, _ in odd], self._encode([y for _, y in odd])))
+        return words
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
         whole = [bool(_TWO_SPACES.search(t)) or any(x in t for x in self.special) for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words, self.old = {}, self.words
-        if len(self.pieces) > 2 * CACHE_WORDS:
-            self.pieces.clear()
+        known = self.words
         # words stand without the space before them; a text's first word has one instead
         parts = [[] if w or not t else t.split(" ") for t, w in zip(texts, whole)]
         for words in parts:
             words[:1] = [" " + x for x in words[:1]]
-        known, pieces = self.words, self.pieces
-        fresh, odd = {}, []
-        missing = set(chain.from_iterable(parts)).difference(known)
-        again = self.old.keys() & missing
-        known.update((x, self.old[x]) for x in again)
-        for x in missing - again:
-            y = x[1:] if x[:1] == " " else " " + x
-            if _PLAIN.match(y):
-                fresh[x] = _PIECES.findall(y)
-            else:
-                odd.append((x, y))
-        for p in set(chain.from_iterable(fresh.values())).difference(pieces):
-            pieces[p] = array("I", self.merge(p)).tobytes()
-        known.update((x, b"".join([pieces[p] for p in ps])) for x, ps in fresh.items())
-        known.update(zip([x for x, _ in odd], self._encode([y for _, y in odd])))
+        flat = list(chain.from_iterable(parts))
+        ids = list(map(known.get, flat))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        fresh = self._learn({flat[i] for i in gaps}) if gaps else []
+        for i in gaps:
+            ids[i] = known[flat[i]]
         long = iter(self._encode([t for t, w in zip(texts, whole) if w]))
-        get = known.__getitem__
-        out = [next(long) if w else b"".join(map(get, words)) for words, w in zip(parts, whole)]
+        out, at = [], 0
+        for words, w in zip(parts, whole):
+            out.append(next(long) if w else b"".join(ids[at:at + len(words)]))
+            at += len(words)
         for x in fresh:
             if "\n" in x:  # two words joined by a line break come once
                 del known[x]
