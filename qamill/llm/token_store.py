@@ -114,50 +114,87 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SYMBOLS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+#: Byte that stands for the end-of-word suffix; plain words hold no such byte.
+_END = b"\x01"
+
+
+def word_ranks(model: dict) -> dict[bytes, int] | None:
+    """Byte sequences (``_END`` for the suffix) and ids of a byte-level BPE with an end-of-word suffix, where
+    ids follow the order of the merges and can serve as their ranks; None for other models."""
+    vocab, suffix = model["vocab"], model.get("end_of_word_suffix")
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model.get("merges", [])]
+    byte = {chr(b): b for b in _PRINTABLE} | {s: b for b, s in _SYMBOLS.items()}
+    single = [vocab.get(c + end) for c in byte for end in ("", suffix or "")]
+    if not suffix or None in single or any(x >= y for x, y in zip([max(single), *merged], merged)):
+        return None
+    out = {}
+    for token, number in vocab.items():
+        cut = token.endswith(suffix) and len(token) > len(suffix)
+        out[bytes(byte[c] for c in (token[:-len(suffix)] if cut else token)) + _END * cut] = number
+    return out if len(out) == len(vocab) else None
+
+
 class Encoder:
-    """Ids of whole texts by ``tokenizers``. The tokenizer drops white space and no pre-token or special
-    token crosses a space or a line break, so words are encoded one by one and kept. When the words
+    """Ids of whole texts as ``tokenizers`` gives them. The tokenizer drops white space and no pre-token or
+    special token crosses a space or a line break, so words are encoded one by one and kept. When the words
     in use outgrow the bound they become the old generation, from which words that occur again return.
-    New words of ASCII and Latin-1 letters go to the tokenizer's model pre-token by pre-token, each once;
-    all others through the whole tokenizer."""
+    New words of ASCII and Latin-1 letters are merged by ``tiktoken`` over the file's own vocabulary, many in a
+    call; all others go through the whole tokenizer."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.tokenizer.model)
-        self.plain = all(t.content[0] == "<" for t in self.tokenizer.get_added_tokens_decoder().values())
+        with open(path, encoding="utf-8") as f:
+            ranks = word_ranks(json.load(f)["model"])
+        if not all(t.content[0] == "<" for t in self.tokenizer.get_added_tokens_decoder().values()):
+            ranks = None
+        self.merge = ranks and Encoding("words", pat_str="[^ \\x01]+\\x01| ", mergeable_ranks=ranks,
+                                        special_tokens={}).encode_to_numpy
+        self.between = ranks and ranks[b" "]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
-        kind = "H" if self.width == 2 else "I"
-        return [array(kind, x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words: one call, cut at the spaces between them."""
+        ids = self.merge(_PIECES.sub("\\g<0>\x01", " ".join(words).lower()))
+        cuts = (self.width * np.flatnonzero(ids == self.between)).tolist()
+        data = ids.astype(f"<u{self.width}").tobytes()
+        return [data[a:b] for a, b in zip([0, *(c + self.width for c in cuts)], [*cuts, len(data)])]
 
     def _new(self, words: list[str]) -> None:
-        plain = list(filter(_PLAIN.match, words)) if self.plain else []
-        odd = list(set(words).difference(plain))
-        parts = list(map(_PIECES.findall, " ".join(plain).lower().split(" "))) if plain else []
-        pieces = list(set(chain.from_iterable(parts)))
-        symbols = [p if p.isascii() else p.encode().decode("latin-1").translate(_SYMBOLS) for p in pieces]
-        known = dict(zip(pieces, self._ids(self.model, symbols)))
-        get = known.__getitem__
-        self.words.update(zip(plain, [get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in parts]))
-        self.words.update(zip(odd, self._ids(self.tokenizer, odd)))
+        plain = list(filter(_PLAIN.match, words)) if self.merge else []
+        if plain:
+            self.words.update(zip(plain, self._merge(plain)))
+        if len(plain) < len(words):
+            odd = list(set(words).difference(plain))
+            kind = "H" if self.width == 2 else "I"
+            done = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+            self.words.update(zip(odd, [array(kind, x.ids).tobytes() for x in done]))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > CACHE_WORDS:
             self.words, self.old = {}, self.words
+        known, old = self.words, self.old
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set(chain.from_iterable(parts)).difference(self.words)
-        again = self.old.keys() & missing
-        self.words.update((w, self.old[w]) for w in again)
+        flat = list(chain.from_iterable(parts))
+        ids = list(map(known.get, flat))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        missing = {flat[i] for i in gaps}
+        again = old.keys() & missing
+        known.update((w, old[w]) for w in again)
         fresh = list(missing - again)
         for k in range(0, len(fresh), ENCODED_WORDS):
             self._new(fresh[k:k + ENCODED_WORDS])
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in parts]
+        for i in gaps:
+            ids[i] = known[flat[i]]
+        out, at = [], 0
+        for words in parts:
+            out.append(b"".join(ids[at:at + len(words)]))
+            at += len(words)
+        return out
 
 
 @lru_cache(maxsize=1)

@@ -112,3 +112,23 @@ def test_index_is_minimal_perfect_and_knows_strangers():
     low, high = S.key_hashes(["a", "a"], [0, 0])
     with pytest.raises(ValueError):
         S.build_index(low, high, np.zeros(2, S.ENTRY))
+
+
+def test_ranks_are_the_ids_of_a_suffixed_vocabulary():
+    import json
+    model = json.load(open(tokenizer_path(S.TOKENIZER), encoding="utf-8"))["model"]
+    ranks = S.word_ranks(model)
+    assert sorted(ranks.values()) == sorted(model["vocab"].values())
+    assert ranks[b"in"] == model["vocab"]["in"] and ranks[b"!\x01"] == model["vocab"]["!</w>"]
+    # no suffix, or ids that don't follow the merges: the whole tokenizer encodes
+    assert S.word_ranks({**model, "end_of_word_suffix": None}) is None
+    assert S.word_ranks({**model, "merges": model["merges"][::-1]}) is None
+
+
+def test_merged_words_equal_the_tokenizer(plain):
+    import random
+    rng, codec = random.Random(5), S.Encoder(tokenizer_path(S.TOKENIZER))
+    parts = [t.removesuffix("</w>") for t in codec.tokenizer.get_vocab()]
+    words = [a + b for a, b in zip(parts, rng.sample(parts, len(parts)))]
+    got = codec.batch(words)
+    assert [array("H", b).tolist() + [2] for b in got] == [plain(w) for w in words]
