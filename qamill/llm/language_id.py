@@ -2,8 +2,9 @@
 
 Texts become words of lower-cased letters with one space around each; an n-gram is three
 characters of that stream, packed into an integer. Training counts n-grams by
-language over every training document (combined in the tasks, then summed by
-Spark). A language's filter holds an n-gram if its share of that language's n-grams is
+language over a sample of whole documents of about ``TRAINING_CHARS`` characters a language, or all
+of them where they are fewer (combined in the tasks, then summed by
+Spark). The sample is chosen by a hash of key and text, and bounds what is broadcast. A language's filter holds an n-gram if its share of that language's n-grams is
 at least ``SHARE`` of the largest share any language gives it, so stray foreign
 passages add nothing. The filters are bit-sliced: one array of slots, a slot's
 bit k belonging to language k, so ``HASHES`` reads joined by AND return the
@@ -37,6 +38,8 @@ from qamill.llm.common import aside, fold, table
 from qamill.session import materialize
 
 SHARE = 0.1
+#: Characters of training texts that a language is learned from, about: rows beyond it are sampled.
+TRAINING_CHARS = 32_000_000
 #: Slots of the filter array at least (more where a language's n-grams would fill over FILL of
 #: them), and probes.
 SLOT_BITS = 20
@@ -165,17 +168,32 @@ def build(counts: list[tuple[str, int, int]], docs: dict[str, int]) -> Model:
     return _model(languages, masks)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Learn from every row of ``docs`` with a text and a language."""
+def sampled(known: DataFrame, sizes: list[tuple[str, int]], chars: int) -> DataFrame:
+    """Rows of (lang, text, hash) by a share of the hashes such that a language of ``sizes`` keeps about
+    ``chars`` characters; all of its rows where it has no more."""
+    shares = known.sparkSession.createDataFrame(
+        [(x, min(1.0, chars / max(1, n))) for x, n in sizes], "lang string, part double")
+    # one row for each language, so broadcast
+    at = F.shiftrightunsigned("hash", 1) / F.lit(float(1 << 63))
+    return known.join(F.broadcast(shares), "lang").where((F.col("part") >= 1) | (at < F.col("part")))
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
+        chars: int | None = None) -> Model:
+    """Learn from the rows of ``docs`` with a text and a language, ``chars`` (``TRAINING_CHARS``) characters a
+    language. Copies of a text are sampled one by one where ``docs`` has the column ``key``."""
+    choice = [F.col(c) for c in (key, text) if c in docs.columns]
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()) \
-        .select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+        .select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(*choice).alias("hash"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)), F.sum(F.length("text"))).collect()
+    docs_by = {r[0]: r[1] for r in sizes}
+    chars = TRAINING_CHARS if chars is None else chars
+    known = sampled(known, [(r[0], r[2]) for r in sizes], chars).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        seen: dict[str, int] = {}
         for b in batches:
             for language, own in b.groupby("lang"):
-                seen[language] = seen.get(language, 0) + len(own)
                 for (part,) in _chunks(own["text"].tolist()):
                     key, n = np.unique(grams(part)[0], return_counts=True)
                     if language in held:
@@ -188,23 +206,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                 yield pd.DataFrame({"lang": language, "gram": key.view(np.int64), "n": n})
         for language, (key, n) in held.items():
             yield pd.DataFrame({"lang": language, "gram": key.view(np.int64), "n": n})
-        if seen:
-            yield pd.DataFrame({"lang": list(seen), "gram": [-1] * len(seen), "n": list(seen.values())})
 
     counted = known.mapInPandas(count, "lang string, gram bigint, n bigint") \
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = materialize(counted)
-    docs_by = {r[0]: r[1] for r in counted.where("gram = -1").select("lang", "n").collect()}
     languages = _order(docs_by)
-    real = counted.where("gram != -1")
-    totals = {r[0]: r[1] for r in real.groupBy("lang").agg(F.sum("n")).collect()}
+    totals = {r[0]: r[1] for r in counted.groupBy("lang").agg(F.sum("n")).collect()}
     if not totals:
         return build([], docs_by)
     # one row for each language, so broadcast
     numbers = docs.sparkSession.createDataFrame(
         [(x, k, totals[x]) for k, x in enumerate(languages) if x in totals],
         "lang string, k int, total bigint")
-    shared = real.join(F.broadcast(numbers), "lang").withColumn("share", F.col("n") / F.col("total"))
+    shared = counted.join(F.broadcast(numbers), "lang").withColumn("share", F.col("n") / F.col("total"))
     top = shared.groupBy("gram").agg(F.max("share").alias("top"))
     own = materialize(shared.join(top, "gram").where(F.col("share") >= F.lit(SHARE) * F.col("top"))
                       .select("k", "gram"))
@@ -253,7 +267,8 @@ def decide(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB for each 8 languages, doubled where n-grams need it
+    # 1 MB for each 8 languages, doubled where n-grams need it: bounded by TRAINING_CHARS, not by the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from qamill.llm import language_id as L
 from tests.llm.helpers import FREMD, awkward_docs, no_docs, prose
@@ -82,3 +83,23 @@ def test_marks_are_no_letters():
     # a spacing mark does not split a word
     key, _ = L.grams(["काम"])
     assert len(key) == 3
+
+
+def test_training_is_bounded_by_characters(spark):
+    docs, rows = corpus(spark, 600)
+    docs = docs.union(spark.createDataFrame([(1000 + i, rows[0][1], "de") for i in range(300)], docs.schema))
+    sizes = {"de": 0, "en": 0}
+    for _, text, lang in rows:
+        sizes[lang] += len(text)
+    sizes["de"] += 300 * len(rows[0][1])
+    known = docs.select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    got = L.sampled(known, list(sizes.items()), 10_000).groupBy("lang").agg(F.sum(F.length("text"))).collect()
+    assert {r[0] for r in got} == {"de", "en"} and all(5_000 < r[1] < 15_000 for r in got)
+    # no more than all rows, whole where they fit
+    assert L.sampled(known, list(sizes.items()), 10**9).count() == docs.count()
+    model = L.fit(docs, chars=10_000)
+    named = {r["doc_id"]: r["lang_pred"] for r in L.predict(docs.drop("lang"), model).collect()}
+    assert all(named[i] == lang for i, _, lang in rows)
+    # the same rows in another layout are sampled alike
+    again = L.fit(docs.repartition(7), chars=10_000)
+    assert again.languages == model.languages and (again.masks == model.masks).all()

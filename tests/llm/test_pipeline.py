@@ -1,8 +1,13 @@
+import zlib
+from array import array
+from collections import Counter, defaultdict
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as C
-from qamill.llm import simhash_dedup, toxicity
+from qamill.llm import packing, simhash_dedup, toxicity
 from tests.conftest import SF_SMALL
 from tests.llm.helpers import DOC_SCHEMA, awkward_docs, no_docs, prose
 
@@ -48,6 +53,39 @@ def test_stages_decide(spark, tables, scratch):
     assert ids["decontamination"] == ids["packing"] == clean
 
 
+def test_run_equals_plain_code(spark, tables):
+    """All rows of ``run``: the documents that should stay, known from how they were made, are cut and encoded by
+    ``tokenizers``; their places have no gaps and no overlaps."""
+    from tokenizers import Tokenizer
+    docs = corpus(spark)
+    docs = docs.unionByName(spark.createDataFrame([(400, prose(400, 5000), "en", "s", 1)], DOC_SCHEMA))
+    for name in ("score", "_hit", "_toxic", "lang_pred", "piece", "fingerprint"):  # names of columns inside
+        docs = docs.withColumn(name, F.lit("x"))
+    docs.write.parquet(tables + "/documents.parquet")
+    got = C.run(spark, tables).collect()
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    want, total = Counter(), 0
+    for r in docs.select("doc_id", "text").collect():
+        if r.doc_id == 400 or (r.doc_id < 200 and r.doc_id % 5):
+            ids = tok.encode(r.text, add_special_tokens=False).ids + [0]
+            total += len(ids)
+            first = len(ids) % 2048 or 2048
+            cuts = [0, *range(first, len(ids) + 1, 2048)]
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                want[r.doc_id, k, a, b - a, zlib.crc32(array("I", ids[a:b]).tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(places) <= -(-total // 2048) + 1
+
+
 def test_awkward_and_empty_tables(spark, tables):
     docs = awkward_docs(spark)
     for name, stage in C.STAGES:
@@ -59,7 +97,7 @@ def test_awkward_and_empty_tables(spark, tables):
 def test_registered(spark):
     names = entry.queries()
     assert "pipeline" in names
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     got = names["pipeline"](spark, SF_SMALL)
     assert got.count() > 50
     assert toxicity.PER_CLASS > 0 and simhash_dedup.WORDS == 4 and simhash_dedup.DISTANCE == 4
