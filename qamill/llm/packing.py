@@ -20,12 +20,12 @@ piece lengths (at most ``capacity`` numbers, whatever the data):
 Only the histogram and the table of configurations pass through the driver; both are
 bounded by the capacity and the steps, not by the data.
 
-Token ids: a text is split at single spaces, which no pre-token of the byte-level
-BPE crosses (texts holding two white-space characters in a row are encoded whole). The ids of
-words are kept in bounded dictionaries, from task to task, so each is merged
-only once while it is kept. New words of ASCII and Latin-1 letters are merged by ``tiktoken``, all of a
-batch in one call, over the tokenizer file's own vocabulary, all others by ``tokenizers``, whose ids the
-tests hold both to.
+Token ids: whole texts of ASCII and Latin-1 letters are merged by ``tiktoken`` over the tokenizer file's own
+vocabulary, all of a batch in one call. Any other text is split at single spaces, which no pre-token of
+the byte-level BPE crosses, and the ids of its words are kept in bounded dictionaries, from task to task, so each
+is merged only once while it is kept: plain ones by ``tiktoken``, all others by ``tokenizers``. Texts holding
+two white-space characters in a row or a special token are encoded whole by ``tokenizers``, whose ids the
+tests hold all to.
 
 Defined results: null and empty texts are the end id alone; special-token strings in
 a text become their ids, as ``tokenizers`` does by default; repeated rows are packed one by one; an empty table gives an empty
@@ -72,11 +72,12 @@ SPREAD = 0.0005
 
 _TWO_SPACES = re.compile(r"\s\s")
 # The tokenizer's pre-token pattern on ASCII and Latin-1 letters, where its
-# Unicode classes come down to these. NUL stands between two words and is a pre-token of its own.
+# Unicode classes come down to these, where no two white-space characters meet, so that it looks at
+# nothing ahead. NUL stands between two words or texts and is a pre-token of its own.
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _PLAIN = re.compile(f"[\\n -~{_LATIN}]*\\Z")
 _PLAIN_WORDS = re.compile(f"[\0\\n -~{_LATIN}]*\\Z")
-_PRE_TOKENS = f"\\x00|'(?:[sdmt]|ll|ve|re)| ?[{_LATIN}]+| ?[0-9]+| ?[^\\x00\\s0-9{_LATIN}]+|\\s+(?!\\S)|\\s+"
+_PRE_TOKENS = f"\\x00|'(?:[sdmt]|ll|ve|re)| ?[{_LATIN}]+| ?[0-9]+| ?[^\\x00\\s0-9{_LATIN}]+|\\s"
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -107,10 +108,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # a text that holds one is encoded whole
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # merges the same vocabulary's words several times faster, many of them in a call
+        # merges the same vocabulary's words several times faster, many of them in a call; without any special
+        # token it would look for the empty one at every character, so it has one that no plain text holds
         ranks = vocabulary_ranks(path)
         self.merge = Encoding("words", pat_str=_PRE_TOKENS, mergeable_ranks=ranks,
-                              special_tokens={}).encode_to_numpy
+                              special_tokens={"\x01": max(ranks.values()) + 2}).encode_to_numpy
         self.between = ranks[b"\0"]
         self.words: dict[str, bytes] = {}   # between two spaces
         self.old: dict[str, bytes] = {}     # words in use before, which return when they occur again
@@ -120,8 +122,9 @@ class Encoder:
         return [array("I", x.ids).tobytes() for x in done]
 
     def _merge(self, words: list[str]) -> list[bytes]:
-        """Ids of words of ASCII and Latin-1 letters, without NUL: one call, cut at the NULs between them."""
-        ids = self.merge("\0".join(words))
+        """Ids of words or texts of ASCII and Latin-1 letters, without NUL and two white-space characters in a
+        row: one call, cut at the NULs between them."""
+        ids = self.merge("\0".join(words), disallowed_special=())
         cuts = (4 * np.flatnonzero(ids == self.between)).tolist()
         data = ids.astype("<u4").tobytes()
         return [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)])]
@@ -148,11 +151,19 @@ class Encoder:
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
         whole = [bool(_TWO_SPACES.search(t)) or any(x in t for x in self.special) for t in texts]
+        plain = [not w and bool(_PLAIN.match(t)) for t, w in zip(texts, whole)]
+        done = iter(self._merge([t for t, p in zip(texts, plain) if p]))
+        others = iter(self._split([t for t, p, w in zip(texts, plain, whole) if not (p or w)]))
+        long = iter(self._encode([t for t, w in zip(texts, whole) if w]))
+        return [next(long if w else done if p else others) for p, w in zip(plain, whole)]
+
+    def _split(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by their words."""
         if len(self.words) > CACHE_WORDS:
             self.words, self.old = {}, self.words
         known = self.words
         # words stand without the space before them; a text's first word has one instead
-        parts = [[] if w or not t else t.split(" ") for t, w in zip(texts, whole)]
+        parts = [t.split(" ") for t in texts]
         for words in parts:
             words[:1] = [" " + x for x in words[:1]]
         flat = list(chain.from_iterable(parts))
@@ -161,10 +172,9 @@ class Encoder:
         fresh = self._learn({flat[i] for i in gaps}) if gaps else []
         for i in gaps:
             ids[i] = known[flat[i]]
-        long = iter(self._encode([t for t, w in zip(texts, whole) if w]))
         out, at = [], 0
-        for words, w in zip(parts, whole):
-            out.append(next(long) if w else b"".join(ids[at:at + len(words)]))
+        for words in parts:
+            out.append(b"".join(ids[at:at + len(words)]))
             at += len(words)
         for x in fresh:
             if "\n" in x:  # two words joined by a line break come once

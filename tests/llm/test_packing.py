@@ -87,6 +87,19 @@ def test_special_tokens_are_read_as_by_default(own):
         [own[1].encode(x, add_special_tokens=False).ids for x in ("a<|endoftext|>", "plain <|endof")]
 
 
+def test_plain_texts_are_merged_in_one_call_without_words():
+    encoder = P.Encoder(P.tokenizer_path())
+    calls, merge = [], encoder.merge
+    encoder.merge = lambda text, **options: calls.append(text) or merge(text, **options)
+    texts = ["one two\nthree", "", "don't é 12", "x  y", "über 你好 two", "a\0b", "a\x01b", "end\n", " <|endoftext|>", "two"]
+    got = [array("I", b).tolist() for b in encoder.batch(texts)]
+    assert got == [encoder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert calls[0] == "one two\nthree\0\0don't é 12\0end\n\0two"
+    assert {w.strip() for w in encoder.words} == {"über", "你好", "two", "a\0b", "a\x01b"}
+    for none in ([], [""], ["", ""]):
+        assert encoder.batch(none) == [b""] * len(none)
+
+
 def test_large_tables_of_configurations_are_not_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "word " * i) for i in range(40)], "doc_id bigint, text string")
     want = sorted(map(tuple, P.pack(docs, P.tokenizer_path()).collect()))
