@@ -17,9 +17,11 @@ is one text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import sha256
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ _SPACE = WS_CLASS[1:-1]
 TOKEN_PATTERN = "[" + _WORD + "]+|[^" + _WORD + _SPACE + "]"
 #: Characters of a tokenizer file at most: it is sent to every executor.
 MAX_TOKENIZER = 64_000_000
+#: Characters that are encoded, and ids that are decoded, at once.
+PART = 200_000
 FIRST_ID = 1   # ids start at 1; 0 is the pad id
 PAD_ID = 0
 
@@ -83,22 +87,50 @@ def token_ids(texts: DataFrame, keys: tuple[str, ...], text_cols: dict[str, str]
     return grouped.select(*out)
 
 
-def _with_tokenizer(spark, path: str, kind: str, work) -> object:
-    """A pandas UDF that applies ``work(tokenizer, values)`` to batches. The tokenizer file is read once on the
-    driver and broadcast, so executors need no copy of it; a worker builds it once a task."""
+#: Tokenizers that this worker has built, one file's at a time, by the file's digest.
+_built: dict[str, object] = {}
+
+
+def _tokenizer(digest: str, shared):
+    """The worker's tokenizer of a broadcast file, kept from task to task."""
+    if digest not in _built:
+        from tokenizers import Tokenizer
+        made = Tokenizer.from_str(shared.value)
+        made.no_truncation()
+        made.no_padding()
+        _built.clear()
+        _built[digest] = made
+    return _built[digest]
+
+
+def _groups(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive values whose sizes sum up to ``most``; a larger value is a range of its own."""
+    start, stop, total = 0, 0, 0
+    for stop, size in enumerate(sizes, 1):
+        if total + size > most and stop - 1 > start:
+            yield start, stop - 1
+            start, total = stop - 1, 0
+        total += size
+    if stop > start:
+        yield start, stop
+
+
+def _with_tokenizer(spark, path: str, kind: str, size, work) -> Callable[[Column | str], Column]:
+    """A pandas UDF that applies ``work(tokenizer, values)`` to parts of batches, as many values at once as
+    have a total ``size`` of ``PART``: what the tokenizer makes of a part, many times its size, is gone before the
+    next one. The tokenizer file is read once on the driver and broadcast, so executors need no copy of it. Not an
+    iterator, so Spark sends several such columns of one projection through one worker."""
     text = Path(path).read_text(encoding="utf-8")
     if len(text) > MAX_TOKENIZER:
         raise ValueError(f"tokenizer file {path!r} is larger than {MAX_TOKENIZER} characters")
-    shared = spark.sparkContext.broadcast(text)
+    shared, digest = spark.sparkContext.broadcast(text), sha256(text.encode()).hexdigest()
 
     @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-        tokenizer = Tokenizer.from_str(shared.value)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        for s in batches:
-            yield pd.Series(work(tokenizer, s), index=s.index, dtype=object)
+    def run(s: pd.Series) -> pd.Series:
+        tokenizer, values, out = _tokenizer(digest, shared), s.tolist(), []
+        for start, stop in _groups(map(size, values), PART):
+            out += work(tokenizer, values[start:stop])
+        return pd.Series(out, index=s.index, dtype=object)
 
     return run
 
@@ -110,10 +142,11 @@ def model_token_ids(texts: DataFrame, keys: tuple[str, ...], text_cols: dict[str
     arrays; whole texts are encoded, whatever their length. Rows stay where they are."""
     def encode(tok, rows):
         done = iter(tok.encode_batch_fast([v or "" for row in rows for v in row], add_special_tokens=False))
-        return [[next(done).ids for _ in row] for row in rows]
+        return [[np.array(next(done).ids, dtype=np.int32) for _ in row] for row in rows]
 
     # the columns of a row go to Python together, so there is one pass
-    ids = _with_tokenizer(texts.sparkSession, tokenizer, "array<array<int>>", encode)
+    ids = _with_tokenizer(texts.sparkSession, tokenizer, "array<array<int>>",
+                          lambda row: sum(len(v or "") for v in row), encode)
     done = texts.select(*keys, ids(F.array(*text_cols)).alias("_ids"))
     return done.select(*keys, *[F.col("_ids")[i].alias(out) for i, out in enumerate(text_cols.values())])
 
@@ -125,4 +158,4 @@ def model_text(df: DataFrame, ids: Column | str, tokenizer: str) -> Column:
         done = iter(tok.decode_batch([[int(i) for i in v] for v in some], skip_special_tokens=False))
         return [None if v is None else next(done) for v in values]
 
-    return _with_tokenizer(df.sparkSession, tokenizer, "string", decode)(ids)
+    return _with_tokenizer(df.sparkSession, tokenizer, "string", lambda v: 0 if v is None else len(v), decode)(ids)

@@ -1,6 +1,7 @@
 """Ids of a model's tokenizer against plain merging by rank, and the texts back from the ids."""
 import json
 
+import pandas as pd
 import regex
 
 from qamill.operators import sft, tokens
@@ -56,6 +57,21 @@ def test_texts_come_back(spark):
     assert {r.i: r.t for r in back} == {i: t or "" for i, t in enumerate(AWKWARD)}
 
 
+def test_a_batch_is_worked_on_in_parts(spark, monkeypatch):
+    sizes, seen = [3, 0, 4, 9, 1, 1], []
+    assert list(tokens._groups(sizes, 7)) == [(0, 3), (3, 4), (4, 6)] and list(tokens._groups([], 7)) == []
+    monkeypatch.setattr(tokens, "PART", 7)
+    run = tokens._with_tokenizer(spark, TOKENIZER, "string", len, lambda tok, values: seen.append(len(values)) or values)
+    texts = pd.Series(["x" * n for n in sizes])
+    assert run.func(texts).tolist() == texts.tolist() and seen == [3, 1, 2]
+
+
+def test_both_texts_of_an_example_share_a_worker(spark):
+    ids = spark.createDataFrame([(1, [1, 2], [3])], "i long, a array<int>, b array<int>")
+    both = ids.select(tokens.model_text(ids, "a", TOKENIZER).alias("a"), tokens.model_text(ids, "b", TOKENIZER).alias("b"))
+    assert both._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_no_shuffle_and_one_python_pass(spark):
     tok = sft.tokenized(spark.createDataFrame([(1, 1, "q", "a")], "conv_id long, turn long, question string, answer string"),
                         tokenizer=TOKENIZER)
