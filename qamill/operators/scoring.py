@@ -65,9 +65,10 @@ def score_prepared(outputs: DataFrame, gold: DataFrame, task: TaskSpec = GSM8K,
 
 def first_outputs(outputs: DataFrame, order_cols: list[str]) -> DataFrame:
     """The output that an evaluation counts: the first of each (run, sample). A sort
-    aggregate (its buffer holds a text), pre-combined in every task."""
+    aggregate (its buffer holds a text), pre-combined in every task; it sorts by sample first, which tells rows
+    apart without a look at the run's texts."""
     first = F.min_by(F.col("model_output"), F.struct(*order_cols))
-    return outputs.groupBy(*RUN_COLS, "sample_id").agg(first.alias("model_output"))
+    return outputs.groupBy("sample_id", *RUN_COLS).agg(first.alias("model_output"))
 
 
 def reward(outputs: DataFrame, samples: DataFrame, task: TaskSpec = GSM8K) -> DataFrame:

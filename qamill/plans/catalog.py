@@ -529,6 +529,16 @@ def _folder(spark, name):
     return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}/{name}"
 
 
+def _results(spark, d):
+    """Summaries and detail rows of one evaluation: the outputs are scored once for both. Every output's sample
+    is asked for, so the scored rows hold all keys that details are numbered by."""
+    test = _test(spark, d)
+    scored = materialize(_evaluated(spark, d, scoring.detail_samples(test), scoring.DETAIL_CARRY))
+    runs = summary.run_summary(scored, test).select("run_id", *summary.SUMMARY_COLS)
+    details = scoring.details_from_scored(scored, scored.select("run_id", "sample_id").distinct())
+    return materialize(runs), materialize(details)
+
+
 def _in_turn(key):
     """Filters for three writes into one folder: some runs, the others, and the first ones again."""
     first = F.pmod(F.xxhash64(key), F.lit(2)) == 0
@@ -540,7 +550,7 @@ def results_roundtrip(spark, d):
     """Result tables written by run, in several writes, and read back: detail rows with their
     run's accuracy."""
     base = _folder(spark, "results")
-    runs, details = materialize(run_summary(spark, d)), materialize(score_details(spark, d))
+    runs, details = _results(spark, d)
     for part in _in_turn("run_id"):
         files.write_results(runs.where(part), details.where(part), base)
     runs, details = files.read_results(spark, base)
@@ -607,7 +617,7 @@ def detail_documents(spark, d):
 def result_documents(spark, d):
     """One nested document a run, in two writes, and its details opened again."""
     base = _folder(spark, "documents")
-    runs, details = materialize(run_summary(spark, d)), materialize(score_details(spark, d))
+    runs, details = _results(spark, d)
     for part in _in_turn("run_id")[:2]:
         documents.write_result_documents(runs.where(part), details.where(part), base)
     return files.read_result_documents(spark, base).select(

@@ -10,8 +10,8 @@
   writes; each row is tagged with its directory, directories without one are skipped and
   no match at all gives an empty table with the full schema;
 * summaries with keys of any name (``read_summary_union``), found in the files as VARIANT;
-* reading details back from JSON lines (any size), or from nested result documents
-  written elsewhere (one document is one row, so one task reads it).
+* reading details back from JSON lines (any size), or from nested result documents: those in the writer's
+  layout by lines (any size), others as a whole (one document is one row, so one task reads it).
 
 Every other read names its schema, so no scan infers types.
 """
@@ -74,6 +74,11 @@ VALUE_TYPES = {"BIGINT": "bigint", "BOOLEAN": "boolean", "DOUBLE": "double", "FL
 #: Distinct splits that a run list is broadcast with at most.
 MAX_SPLITS = 10_000
 FILE_PATH = Ty.StructType([Ty.StructField("file_path", Ty.StringType())])
+#: Documents whose summaries are broadcast to their lines at most.
+MAX_DOCUMENTS = 10_000
+#: First line of a document as ``documents.write_result_documents`` writes it; a detail is a line, then comes the last.
+HEAD = r'^\{"summary": (\{.*\}), "details": \[$'
+TAIL = "]}"
 SUMMARY_FILES = "{summary,part-*}.json"
 DETAIL_FILES = "part-*.json"
 
@@ -221,15 +226,41 @@ def discover_runs(spark: SparkSession, eval_base: str) -> DataFrame:
 def read_result_documents(spark: SparkSession, eval_base: str,
                           file_name: str = "results.json") -> DataFrame:
     """Nested ``{"summary", "details"}`` documents opened into detail rows,
-    tagged with the run directory."""
-    docs = (spark.read.schema(RESULTS_DOC_SCHEMA)
-            .option("multiLine", True)
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", file_name)
-            .json(eval_base)
-            .withColumn("eval_dir", _dir_of_file()))
-    return docs.select("eval_dir", F.col("summary.experiment_name").alias("experiment_name"),
-                       F.inline("details"))
+    tagged with the run directory.
+
+    One pass over the lines finds the documents that are in the writer's layout: a first line with the summary,
+    whole details on every other line, a last line. Their lines are read over tasks, whatever the size of
+    a document. Each of the others is read as one row."""
+    def found(reader):
+        return reader.option("recursiveFileLookup", True).option("pathGlobFilter", file_name)
+
+    lines = found(spark.read).text(eval_base).select(F.col("_metadata.file_path").alias("_file"), "value")
+    head = F.nullif(F.regexp_extract("value", HEAD, 1), F.lit(""))
+    summary = F.when(F.try_parse_json(head).isNotNull(), F.from_json(head, SUMMARY_SCHEMA))
+    more = F.col("value").endswith("},")
+    part = F.when(F.col("value").startswith("{") & (more | F.col("value").endswith("}")),
+                  F.from_json(F.concat(F.lit("["), F.regexp_replace("value", ",$", ""), F.lit("]")),
+                              Ty.ArrayType(DETAIL_SCHEMA)))
+    last = F.col("value") == TAIL
+    kinds = lines.select("_file", summary.alias("_summary"), part.alias("_part"), more.alias("_more"), last.alias("_last"))
+    parts, heads = F.count("_part"), F.count("_summary")
+    ours = (heads == 1) & (F.count_if("_last") == 1) & (heads + parts + 1 == F.count(F.lit(1))) \
+        & (F.count_if(F.col("_part").isNotNull() & ~F.col("_more")) == F.least(parts, F.lit(1)))
+    seen = materialize(kinds.groupBy("_file").agg(
+        ours.alias("_ours"), F.max("_summary.experiment_name").alias("experiment_name")))
+    whole = [r[0] for r in seen.where(~F.col("_ours")).select("_file").collect()]
+    split = seen.where("_ours").select("_file", "experiment_name")
+    if seen.limit(MAX_DOCUMENTS + 1).count() <= MAX_DOCUMENTS:
+        split = F.broadcast(split)
+    folder = F.regexp_replace("_file", "/[^/]+$", "").alias("eval_dir")
+    rows = kinds.where(F.col("_part").isNotNull()).select("_file", "_part").join(split, "_file") \
+        .select(folder, "experiment_name", F.inline("_part"))
+    if not whole:
+        return rows
+    docs = found(spark.read.schema(RESULTS_DOC_SCHEMA).option("multiLine", True)).json(eval_base) \
+        .where(F.col("_metadata.file_path").isin(whole)).withColumn("eval_dir", _dir_of_file())
+    return rows.unionByName(docs.select("eval_dir", F.col("summary.experiment_name").alias("experiment_name"),
+                                        F.inline("details")))
 
 
 def write_comparison_csv(report: DataFrame, path: str, single_file: bool = False,

@@ -217,6 +217,30 @@ def test_documents_hold_all_details_in_order(spark, scratch):
     assert len(_document(documents.document_folder(scratch, "B/1 ü"))["details"]) == 3
 
 
+def test_own_documents_are_read_by_lines_and_others_whole(spark, scratch):
+    documents.write_result_documents(_summary(spark, "A", "B"), _details(spark, "A", 40), scratch)
+    odd = {"two": '{"summary": {"experiment_name": "o"}, "details": [\n{"index": 1, "x": [{"y": 1},\n{"z": 1}]}\n]}\n',
+           "one": '{"summary": {"experiment_name": "o"}, "details": [{"index": 2}, {"index": 3}]}',
+           "both": '{"summary": {"experiment_name": "o"}, "details": [\n{"index": 4}, {"index": 5},\n{"index": 6}\n]}\n'}
+    for name, text in odd.items():
+        os.makedirs(f"{scratch}/{name}")
+        with open(f"{scratch}/{name}/results.json", "w") as f:
+            f.write(text)
+    back = files.read_result_documents(spark, scratch)
+    assert sorted((r.eval_dir.rsplit("/", 1)[1], r.experiment_name, r["index"]) for r in back.collect()) == \
+        [("A", "a", k) for k in range(40)] + [("both", "o", k) for k in (4, 5, 6)] + [("one", "o", 2), ("one", "o", 3), ("two", "o", 1)]
+    only = files.read_result_documents(spark, f"{scratch}/A")
+    plan = only._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" in plan and "FileScan json" not in plan and only.count() == 40
+
+
+def test_results_are_scored_once(spark, monkeypatch):
+    calls, score = [], C.scoring.score
+    monkeypatch.setattr(C.scoring, "score", lambda *a, **k: calls.append(1) or score(*a, **k))
+    assert C.results_roundtrip(spark, SF_SMALL).count() == C.score_details(spark, SF_SMALL).count()
+    assert len(calls) == 2  # the second for the count
+
+
 def test_a_failed_document_write_leaves_nothing(spark, scratch):
     bad = _details(spark, "A", 50).withColumn(
         "question", F.when(F.col("index") == 40, F.raise_error(F.lit("broken"))).otherwise(F.col("question")))
