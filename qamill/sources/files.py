@@ -235,12 +235,13 @@ def read_result_documents(spark: SparkSession, eval_base: str,
         return reader.option("recursiveFileLookup", True).option("pathGlobFilter", file_name)
 
     lines = found(spark.read).text(eval_base).select(F.col("_metadata.file_path").alias("_file"), "value")
-    head = F.nullif(F.regexp_extract("value", HEAD, 1), F.lit(""))
-    summary = F.when(F.try_parse_json(head).isNotNull(), F.from_json(head, SUMMARY_SCHEMA))
+    head = F.regexp_extract("value", HEAD, 1)
+    summary = F.when(F.col("value").startswith('{"summary": {') & (head != "") & F.try_parse_json(head).isNotNull(),
+                     F.from_json(head, SUMMARY_SCHEMA))
     more = F.col("value").endswith("},")
-    part = F.when(F.col("value").startswith("{") & (more | F.col("value").endswith("}")),
-                  F.from_json(F.concat(F.lit("["), F.regexp_replace("value", ",$", ""), F.lit("]")),
-                              Ty.ArrayType(DETAIL_SCHEMA)))
+    line = F.expr("if(endswith(value, ','), left(value, length(value) - 1), value)")
+    whole_line = F.col("value").startswith("{") & (more | F.col("value").endswith("}"))
+    part = F.when(whole_line, F.from_json(F.concat(F.lit("["), line, F.lit("]")), Ty.ArrayType(DETAIL_SCHEMA)))
     last = F.col("value") == TAIL
     kinds = lines.select("_file", summary.alias("_summary"), part.alias("_part"), more.alias("_more"), last.alias("_last"))
     parts, heads = F.count("_part"), F.count("_summary")
@@ -253,8 +254,9 @@ def read_result_documents(spark: SparkSession, eval_base: str,
     if seen.limit(MAX_DOCUMENTS + 1).count() <= MAX_DOCUMENTS:
         split = F.broadcast(split)
     folder = F.regexp_replace("_file", "/[^/]+$", "").alias("eval_dir")
-    rows = kinds.where(F.col("_part").isNotNull()).select("_file", "_part").join(split, "_file") \
-        .select(folder, "experiment_name", F.inline("_part"))
+    # a line has details, so the outer form adds none; it parses a line once, the plain one also in a filter
+    rows = lines.where(whole_line).select("_file", part.alias("_part")).join(split, "_file") \
+        .select(folder, "experiment_name", F.inline_outer("_part"))
     if not whole:
         return rows
     docs = found(spark.read.schema(RESULTS_DOC_SCHEMA).option("multiLine", True)).json(eval_base) \
