@@ -1,4 +1,4 @@
-"""Phrase collocations counted by broadcast double-array tries.
+"""Phrase collocations counted by double-array tries.
 
 Texts are lower-cased (A-Z), split at punctuation and line ends into pieces and those at spaces
 and tabs into words. Everything is counted for each language (null: ``und``):
@@ -7,17 +7,18 @@ and tabs into words. Everything is counted for each language (null: ``und``):
    token is looked up once and all later passes are array work. Blocks are checkpointed;
 2. for each length of 2 to 4 words, a position is safe if both of its shorter parts are frequent
    (Apriori); that is read from bitmaps of hashed frequent phrases, of fixed size and without misses.
-   Safe positions add to an array of hashed counts that tasks saturate at the support; a
-   phrase of a bucket below the support can't be frequent. The distinct phrases that are left at
-   safe positions are the candidates;
-3. candidates are dealt by hash into shards of about ``SHARD`` phrases, whose double-array tries tasks
-   build. One shard's tries at a time are broadcast, all positions of a block advance through it together, one word a level, accepting
-   states are counted by ``bincount``, and Spark sums the tasks' counts;
+   Every block's hashes at safe positions, with their counts, are dealt to parts that add them up; a phrase
+   whose hash stays below the support can't be frequent. The distinct phrases that are left at safe
+   positions are the candidates;
+3. every block lists its candidates once, with its counts, to shards of about ``SHARD`` phrases that the hash
+   chooses. A shard's task builds the double-array trie of its phrases; all listed phrases advance
+   through it together, one word a level, and the counts of accepting states are added by ``bincount``;
 4. scores, the removal of phrases inside longer ones and the ranking are joins and aggregates over
    the frequent phrases, in exact integers.
 
-What is broadcast has a fixed bound: three bitmaps of 2 ** ``MAX_BITS`` bits and one shard. More
-candidates take more passes over the blocks, not more memory. A language's phrases are ranked by a
+The blocks are read twice a length, however many candidates there are: more of them make more parts and
+shards, not more passes or larger ones. What is broadcast has a fixed bound: four bitmaps of
+2 ** ``MAX_BITS`` bits. A language's phrases are ranked by a
 window that Spark limits to the first ranks in every task before the shuffle.
 
 Defined results: null and empty texts have no words; repeated rows count again; equal scores go by
@@ -28,12 +29,12 @@ names, are left behind.
 
 from __future__ import annotations
 
-import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +49,17 @@ UNDETERMINED = "und"
 #: Tokens of a block, bytes of a slice of text.
 BLOCK = 5_000_000
 SLICE = 1 << 20
-#: Words for each part that lists of candidates are dealt to.
+#: Words for each part that hashed counts are dealt to, listed phrases for each shard.
 PART_WORDS = 2_000_000
+SHARD_ROWS = 1_000_000
 #: Phrases in a trie.
 SHARD = 100_000
-#: Hashed counts: one for every two words, within these powers of two.
+#: Bits of a bitmap: one for every two words, within these powers of two. Bits of a counted hash.
 MIN_BITS, MAX_BITS = 16, 26
+HASH_BITS = 40
 CHUNK = 1 << 16
+#: Listed phrases that advance through a trie together.
+STEP = 1 << 19
 
 # Bytes that end a piece become ".", a tab a space, A-Z a-z.
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -198,8 +203,8 @@ def _chunks(counts: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["chunk", "n"])
 
 
-def frequent_bitmap(frequent: DataFrame, bits: int, support: int) -> dict[int, bytes]:
-    """Bits of the hashed phrases of ``frequent`` (lang, phrase)."""
+def frequent_bitmap(frequent: DataFrame, bits: int, support: int, parts: int = 8) -> dict[int, bytes]:
+    """Bits of the hashed phrases of ``frequent`` (lang, phrase), by few tasks: each has a whole array."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << bits, np.uint8)
         for b in batches:
@@ -212,7 +217,8 @@ def frequent_bitmap(frequent: DataFrame, bits: int, support: int) -> dict[int, b
                 counts[_buckets(h, bits)] = support
         yield _chunks(counts)
 
-    return _bitmap(frequent.select("lang", "phrase").mapInPandas(run, "chunk int, n binary"), support)
+    some = frequent.select("lang", "phrase").coalesce(max(8, parts // 8))
+    return _bitmap(some.mapInPandas(run, "chunk int, n binary"), support)
 
 
 def _safe(name: str, words: list[bytes], ids: np.ndarray, maps: list[np.ndarray], bits: int) \
@@ -231,55 +237,117 @@ def _safe(name: str, words: list[bytes], ids: np.ndarray, maps: list[np.ndarray]
     return at, _joined(h[at], own[at + len(maps)])
 
 
-def candidates(held: DataFrame, maps: list[dict[int, bytes]], bits: int, support: int, parts: int) -> DataFrame:
-    """(lang, phrase): distinct phrases of len(maps) + 1 words at safe positions, without those of
-    a bucket below the support."""
-    sc = held.sparkSession.sparkContext
-    m, shared = len(maps) + 1, sc.broadcast(maps)
+def _planes(numbers: np.ndarray) -> bytes:
+    """Compressed numbers, their first bytes first: the higher bytes are mostly zero."""
+    size = numbers.itemsize
+    return _packers()[0](numbers.view(np.uint8).reshape(-1, size).T.tobytes())
+
+
+def _of_planes(packed: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(_packers()[1](bytes(packed)), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
+def _grouped(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): an order that sorts the codes, and where in it each distinct one starts."""
+    order = np.argsort(codes)
+    ordered = codes[order]
+    return order, np.flatnonzero(np.diff(ordered, prepend=ordered[:1] - 1))
+
+
+def _distinct(columns: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts) of the rows of word numbers below ``size``."""
+    codes, room = columns[0].astype(np.int64), size
+    for column in columns[1:]:
+        if room > (1 << 62) // size:  # numbers of the distinct rows so far
+            known, codes = np.unique(codes, return_inverse=True)
+            room = len(known)
+        codes, room = codes * size + column, room * size
+    return _grouped(codes)
+
+
+def _dealt(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each hash: equal ranges in ascending order."""
+    return _buckets(hashes, HASH_BITS) * parts >> HASH_BITS
+
+
+def hashed_counts(held: DataFrame, maps: list[dict[int, bytes]], bits: int, support: int, parts: int) \
+        -> tuple[dict[int, bytes], int, int]:
+    """(bitmap, phrases, rows): the buckets of the hashes of len(maps) + 1 words that reach the support at
+    safe positions, how many hashes do, and how many distinct phrases the blocks have in those buckets."""
+    sc, spare = held.sparkSession.sparkContext, HASH_BITS - bits
+    shared = sc.broadcast(maps)
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, known = np.zeros(1 << bits, np.uint8), [opened_bitmap(x, bits) for x in shared.value]
+        known = [opened_bitmap(x, bits) for x in shared.value]
         for name, words, ids in _opened(batches):
-            _, h = _safe(name, words, ids, known, bits)
-            at, n = np.unique(_buckets(h, bits), return_counts=True)
-            counts[at] = np.minimum(counts[at] + n, support)
-        yield _chunks(counts)
+            keys, n = np.unique(_buckets(_safe(name, words, ids, known, bits)[1], HASH_BITS), return_counts=True)
+            n = np.minimum(n, support).astype(np.int32)
+            ends = np.searchsorted(keys * parts >> HASH_BITS, np.arange(parts + 1))
+            rows = [(k, _planes(np.diff(keys[i:j], prepend=0)), _planes(n[i:j]))
+                    for k, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if i < j]
+            yield pd.DataFrame(rows, columns=["part", "keys", "n"])
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack, keys, counts = _packers()[0], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for b in batches:
+            keys += [np.cumsum(_of_planes(x, np.int64)) for x in b["keys"].tolist()]
+            counts += [_of_planes(x, np.int32) for x in b["n"].tolist()]
+        key, n = np.concatenate(keys), np.concatenate(counts)
+        keys.clear()
+        counts.clear()
+        order, starts = _grouped(key)
+        if not len(starts):
+            return
+        key, blocks = key[order[starts]], np.diff(starts, append=len(order))
+        enough = np.add.reduceat(n[order], starts, dtype=np.int64) >= support
+        hit = np.unique(key[enough] >> spare)
+        rows = [(-1, b"", int(np.count_nonzero(enough)), int(blocks[np.isin(key >> spare, hit)].sum()))]
+        for chunk in np.unique(hit // CHUNK).tolist():
+            flags = np.zeros(CHUNK, np.uint8)
+            flags[hit[hit // CHUNK == chunk] % CHUNK] = 1
+            rows.append((chunk, pack(np.packbits(flags).tobytes()), 0, 0))
+        yield pd.DataFrame(rows, columns=["chunk", "n", "phrases", "rows"])
+
+    sent = held.mapInPandas(tally, "part int, keys binary, n binary").repartitionById(parts, "part")
+    out, phrases, rows = {}, 0, 0
+    pack, unpack = _packers()
+    for chunk, n, some, more in sent.mapInPandas(add_up, "chunk int, n binary, phrases bigint, rows bigint").collect():
+        phrases, rows = phrases + some, rows + more
+        if chunk in out:  # parts that share a chunk
+            out[chunk] = pack((np.frombuffer(unpack(out[chunk]), np.uint8) | np.frombuffer(unpack(bytes(n)), np.uint8)).tobytes())
+        elif chunk >= 0:
+            out[chunk] = bytes(n)
+    shared.unpersist()
+    return out, phrases, rows
 
-    enough = sc.broadcast(_bitmap(held.mapInPandas(tally, "chunk int, n binary"), support))
 
+def candidates(held: DataFrame, shared: Broadcast, m: int, bits: int, shards: int) -> DataFrame:
+    """(lang, shard, words, rows, n): the distinct phrases of ``m`` words at each block's safe positions whose
+    bucket is reached, as rows of numbers of ``words``, and how often the block has them. ``shared``: the
+    maps, that of the buckets last."""
     def list_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh32_intdigest
-        pack = _packers()[0]
-        known, reached = [opened_bitmap(x, bits) for x in shared.value], opened_bitmap(enough.value, bits)
+        *known, hit = [opened_bitmap(x, bits) for x in shared.value]
         for name, words, ids in _opened(batches):
             at, h = _safe(name, words, ids, known, bits)
-            at = at[_test(reached, _buckets(h, bits))]
-            code = ids[at].astype(np.int64)
-            for k in range(1, m):  # numbers of the phrases so far, then one word more
-                code = np.unique(code, return_inverse=True)[1] * len(words) + ids[at + k]
-            first = at[np.unique(code, return_index=True)[1]]
-            columns = [ids[first + k].tolist() for k in range(m)]
-            lists: dict[int, list[bytes]] = defaultdict(list)
-            for row in zip(*columns):
-                phrase = b" ".join([words[j] for j in row])
-                lists[xxh32_intdigest(phrase) % parts].append(phrase)
-            rows = [(name, part, pack(b"\n".join(sorted(found)))) for part, found in lists.items()]
-            yield pd.DataFrame(rows, columns=["lang", "part", "phrases"])
-
-    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack, found = _packers()[1], defaultdict(set)
-        for b in batches:
-            for name, phrases in zip(b["lang"].tolist(), b["phrases"].tolist()):
-                found[name].update(unpack(bytes(phrases)).split(b"\n"))
-        for name, phrases in found.items():
-            yield _rows(name, [p.decode() for p in phrases])
-
-    # a block's phrases travel as sorted lists, one a part: no phrase holds a line break
-    listed = held.mapInPandas(list_up, "lang string, part int, phrases binary")
-    found = materialize(listed.repartition(parts, "part").mapInPandas(distinct, "lang string, phrase string"))
-    shared.unpersist()
-    enough.unpersist()
-    return found
+            on = _test(hit, _buckets(h, bits))
+            at, h = at[on], h[on]
+            order, starts = _distinct([ids[at + k] for k in range(m)], len(words))
+            first, n = order[starts], np.diff(starts, append=len(order)).astype(np.int32)
+            shard = _dealt(h[first], shards)
+            by = np.argsort(shard, kind="stable")
+            first, n = at[first[by]], n[by]
+            ends = np.searchsorted(shard[by], np.arange(shards + 1))
+            rows = []
+            for k, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                if i < j:
+                    used, own = np.unique(ids[first[i:j] + np.arange(m)[:, None]], return_inverse=True)
+                    rows.append((name, k, b" ".join([words[w] for w in used.tolist()]),
+                                 _planes(own.astype(np.int32).ravel()), _planes(n[i:j])))
+            yield pd.DataFrame(rows, columns=["lang", "shard", "words", "rows", "n"])
+
+    return held.mapInPandas(list_up, "lang string, shard int, words binary, rows binary, n binary")
 
 
 # --- the double-array trie -------------------------------------------------------------------
@@ -343,73 +411,63 @@ class DoubleArray:
         self.accept[owners[node]] = np.arange(count)
         self.count_of = count
 
-    def count(self, words: np.ndarray) -> np.ndarray:
+    def count(self, words: np.ndarray, at: np.ndarray | None = None, times: np.ndarray | None = None) -> np.ndarray:
         """Occurrences of each phrase among word numbers (0: a word of no phrase), overlaps
-        included: the states of all positions advance together, one level at a time."""
-        n = len(words) - self.length + 1
-        at = np.flatnonzero(words[:max(n, 0)])
+        included: the states of all positions advance together, one level at a time. ``at``: only the
+        phrases that start there, each so many ``times``."""
+        if at is None:
+            at = np.flatnonzero(words[:max(len(words) - self.length + 1, 0)])
         state = np.full(len(at), self.root, np.int32)
         for d in range(self.length):
             word = words[at + d]
             then = self.base[state] + word // self.digits
             on = (self.check[then] == state) & (word > 0)
-            at, state, word = at[on], then[on], word[on]
+            at, state, word, times = at[on], then[on], word[on], times if times is None else times[on]
             then = self.base[state] + word % self.digits
             on = self.check[then] == state
-            at, state = at[on], then[on]
-        return np.bincount(self.accept[state], minlength=self.count_of)
-
-
-def _tries(shard: pd.DataFrame) -> dict[str, tuple[list[bytes], np.ndarray, DoubleArray]]:
-    """For each language: words (number 0 is no word), phrases as rows of word numbers, their trie."""
-    out = {}
-    for name, part in shard.groupby("lang"):
-        split = [p.encode().split(b" ") for p in part["phrase"].tolist()]
-        words = [b"", *sorted({w for s in split for w in s})]
-        numbers = {w: k for k, w in enumerate(words)}
-        phrases = np.array([[numbers[w] for w in s] for s in split], np.int32)
-        out[name] = words, phrases, DoubleArray(phrases, len(words) - 1)
-    return out
-
-
-def tries(wanted: DataFrame, shards: int) -> DataFrame:
-    """(shard, trie): the phrases dealt out by hash, each shard built by a task of its own."""
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        made = pickle.dumps(_tries(part), protocol=5)
-        return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "trie": pd.Series([made], dtype=object)})
-
-    dealt = wanted.select("lang", "phrase", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int").alias("shard"))
-    return dealt.groupBy("shard").applyInPandas(build, "shard int, trie binary")
-
-
-def trie_counts(held: DataFrame, wanted: DataFrame, support: int, shard: int = SHARD) -> DataFrame:
-    """(lang, phrase, f) of the phrases of ``wanted``, all of one length, that reach the support."""
-    shards = max(1, -(-wanted.count() // shard))
-    built = materialize(tries(wanted, shards))
-    out = None
-    for k in range(shards):
-        one = [bytes(r[0]) for r in built.where(F.col("shard") == k).select("trie").collect()]
-        shared = held.sparkSession.sparkContext.broadcast(one)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            found = {name: x for made in shared.value for name, x in pickle.loads(made).items()}
-            known = {name: {w: j for j, w in enumerate(x[0]) if j} for name, x in found.items()}
-            sums: dict[str, np.ndarray] = {}
-            for name, words, ids in _opened(batches):
-                if name in found:
-                    own = np.fromiter((known[name].get(w, 0) for w in words), np.int32, len(words))
-                    own[0] = 0
-                    sums[name] = sums.get(name, 0) + found[name][2].count(own[ids])
-            for name, n in sums.items():
-                words, phrases, _ = found[name]
-                on = np.flatnonzero(n)
-                yield _rows(name, [b" ".join([words[j] for j in row]).decode() for row in phrases[on].tolist()], f=n[on])
-
-        counted = held.mapInPandas(run, "lang string, phrase string, f bigint") \
-            .groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= support)
-        counted = materialize(counted)
-        shared.unpersist()
-        out = counted if out is None else out.unionByName(counted)
+            at, state, times = at[on], then[on], times if times is None else times[on]
+        # sums of weights are floats, exact below 2 ** 53
+        return np.bincount(self.accept[state], times, self.count_of).astype(np.int64)
+
+
+def _counted(listed: pd.DataFrame, m: int, support: int) -> pd.DataFrame:
+    """lang, phrase, f of a shard's listed phrases of ``m`` words that reach the support."""
+    out = []
+    for name, part in listed.groupby("lang"):
+        known: defaultdict = defaultdict()
+        known.default_factory = lambda known=known: len(known) + 1  # number 0 is no word
+        lists, times = [], []
+        for words, rows, n in zip(part["words"].tolist(), part["rows"].tolist(), part["n"].tolist()):
+            own = np.array([known[w] for w in bytes(words).split(b" ")], np.int32)
+            lists.append(own[_of_planes(rows, np.int32)].reshape(m, -1))
+            times.append(_of_planes(n, np.int32))
+        rows, n = np.concatenate(lists, axis=1), np.concatenate(times)
+        order, starts = _distinct(list(rows), len(known) + 1)
+        phrases, rows = rows[:, order[starts]].T, rows.T.ravel()
+        f = np.zeros(len(phrases), np.int64)
+        trie = DoubleArray(phrases, len(known))
+        for k in range(0, len(n), STEP):
+            times = n[k:k + STEP]
+            f += trie.count(rows, np.arange(k, k + len(times)) * m, times)
+        on, names = f >= support, [b"", *known]
+        out.append(_rows(name, [b" ".join([names[j] for j in row]).decode() for row in phrases[on].tolist()], f=f[on]))
+    return pd.concat(out)
+
+
+def trie_counts(held: DataFrame, maps: list[dict[int, bytes]], bits: int, support: int, parts: int,
+                shard: int = SHARD) -> DataFrame:
+    """(lang, phrase, f) of the phrases of len(maps) + 1 words that reach the support. A phrase's hash chooses its
+    shard, where a task counts all that the blocks list of it."""
+    reached, phrases, rows = hashed_counts(held, maps, bits, support, parts)
+    m, shards = len(maps) + 1, max(8, -(-phrases // shard), -(-rows // SHARD_ROWS))
+    shared = held.sparkSession.sparkContext.broadcast([*maps, reached])
+
+    def run(listed: pd.DataFrame) -> pd.DataFrame:
+        return _counted(listed, m, support)
+
+    listed = candidates(held, shared, m, bits, shards).repartitionById(shards, "shard")
+    out = materialize(listed.groupBy("shard").applyInPandas(run, "lang string, phrase string, f bigint"))
+    shared.unpersist()
     return out
 
 
@@ -423,8 +481,8 @@ def frequent_phrases(held: DataFrame, words: DataFrame, n_words: int, longest: i
     found = [words.where(F.col("f") >= support)]
     maps: list[dict[int, bytes]] = []
     for _ in range(1, longest):
-        maps.append(frequent_bitmap(found[-1], bits, support))
-        found.append(trie_counts(held, candidates(held, maps, bits, support, parts), support, shard))
+        maps.append(frequent_bitmap(found[-1], bits, support, parts))
+        found.append(trie_counts(held, maps, bits, support, parts, shard))
     return found
 
 

@@ -64,6 +64,60 @@ def test_equals_brute_force_over_blocks_and_shards(spark):
     assert got(C.collocations(docs, top=50, support=8, shard=7, block=300)) == want
 
 
+def test_more_shards_take_no_more_passes(spark, monkeypatch):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, DOC_SCHEMA).repartition(3)
+    made, materialize = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df: made.append(1) or materialize(df))
+    want = got(C.collocations(docs, top=50, support=8))
+    few = len(made)
+    assert got(C.collocations(docs, top=50, support=8, shard=7)) == want
+    assert len(made) == 2 * few
+
+
+def test_hashed_counts_over_parts_that_share_a_chunk(spark):
+    rows = corpus()
+    held = C.materialize(C.blocks(spark.createDataFrame(rows, DOC_SCHEMA).repartition(3), size=300))
+    words = C.word_counts(held).where("f >= 8")
+    bits, pairs = 16, Counter()
+    for r in rows:
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", r[1].translate(FOLD)):
+            w = re.findall(r"[^ \t]+", piece)
+            pairs.update((r[2] or "und", x.encode(), y.encode()) for x, y in zip(w, w[1:]))
+    frequent = [p for p, n in pairs.items() if n >= 8]
+    hashes = np.array([C._joined(*C._word_hashes(p[0], list(p[1:])).reshape(2, 1))[0] for p in frequent])
+    maps = [C.frequent_bitmap(words, bits, 8)]
+    for parts in (1, 50):
+        found, phrases, _ = C.hashed_counts(held, maps, bits, 8, parts)
+        assert phrases == len(frequent) > 40
+        on = np.flatnonzero(np.unpackbits(C.opened_bitmap(found, bits)))
+        assert on.tolist() == sorted(set(C._buckets(hashes, bits).tolist()))
+
+
+def test_trie_adds_up_listed_phrases():
+    rng = np.random.default_rng(1)
+    rows, times = rng.integers(1, 9, (5000, 3)), rng.integers(1, 50, 5000)
+    phrases = np.unique(rows, axis=0)[::2]
+    seen = Counter()
+    for row, n in zip(map(tuple, rows.tolist()), times.tolist()):
+        seen[row] += n
+    found = C.DoubleArray(phrases, 8).count(rows.ravel(), np.arange(0, rows.size, 3), times)
+    assert found.tolist() == [seen[tuple(p)] for p in phrases.tolist()]
+
+
+def test_rows_of_many_words_are_numbered_anew():
+    rng = np.random.default_rng(2)
+    rows = rng.integers(1, 4, (500, 4))
+    for size in (4, 1 << 30):
+        order, starts = C._distinct(list(rows.T), size)
+        assert len(starts) == len(np.unique(rows, axis=0))
+        assert (np.diff(starts, append=len(order)) == [(rows == rows[order[k]]).all(axis=1).sum() for k in starts]).all()
+    assert [len(x) for x in C._distinct([np.zeros(0, np.int32)] * 4, 5)] == [0, 0]
+    for kind in (np.int32, np.int64):
+        numbers = rng.integers(0, 1 << 30, 1000).astype(kind)
+        assert (C._of_planes(C._planes(numbers), kind) == numbers).all()
+
+
 def test_covered_phrases_go_even_by_longer_ones_that_go_too(spark):
     text = "alpha beta gamma delta. " * 10 + "alpha beta. " * 3
     docs = spark.createDataFrame([(1, text, "en", "", 0)], DOC_SCHEMA)
